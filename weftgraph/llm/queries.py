@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, quality_ledger, token_counts, url_rules
+from . import decontaminate, license_scan, mixing, quality_ledger, substring_dedup, token_counts, url_rules
 from .common import table
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -58,6 +58,22 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM x ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def _adds(kind: str):
     return lambda n, s: n + F.when(s["kind"] == kind, s["tokens"]).otherwise(0.0)
 
@@ -114,6 +130,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op5_token_counts, op6_url_rules, op9_license_scan, op10_quality_ledger)
+    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_substring_dedup, op5_token_counts, op6_url_rules, op9_license_scan, op10_quality_ledger)
 }
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_url_rules": OP6_SQL, "op10_quality_ledger": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_url_rules": OP6_SQL, "op10_quality_ledger": OP10_SQL}
