@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, license_scan, mixing, quality_ledger, substring_dedup, token_counts, url_rules
+from . import decontaminate, hidden_markov, jaccard_join, license_scan, mixing, quality_ledger, substring_dedup, token_counts, toxicity, url_rules
 from .common import table
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -107,6 +107,14 @@ LEFT JOIN best USING (page_id)
 """
 
 
+def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_matches", F.array_join("licenses", ",").alias("licenses"), "license", F.round("dice", 6).alias("dice"))
@@ -134,6 +142,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_substring_dedup, op4_jaccard_join, op5_token_counts, op6_url_rules, op9_license_scan, op10_quality_ledger)
+    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_substring_dedup, op4_jaccard_join, op5_token_counts, op6_url_rules, op7_hidden_markov, op8_toxicity, op9_license_scan, op10_quality_ledger)
 }
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_url_rules": OP6_SQL, "op10_quality_ledger": OP10_SQL}
