@@ -235,7 +235,7 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20) -> DataFrame:
-    """Documents over the coverage limit go; from the others the matched spans are cut."""
+    """Documents over the coverage limit go; from the others the matched spans are cut, and `n_chars`, if any, is counted anew."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), docs["text"])
     judged = contamination(rows, benchmark, window, carry=("row",)).where(~contaminated(one_in=one_in))
 
@@ -244,4 +244,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
 
     cut = F.pandas_udf(cut, "string")
     dirty = F.when(F.size("spans") > 0, cut(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
-    return judged.select(*[dirty.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    n_chars = F.length(dirty).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    new = {"text": dirty, "n_chars": F.when(F.size("spans") > 0, n_chars).otherwise(F.col("row.n_chars")) if n_chars is not None else None}
+    return judged.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,11 @@ def _runs_of(rows: DataFrame, segs: DataFrame, window: int) -> DataFrame:
     return map_arrow(joined, run, "anchor long, run long, k long, at long")
 
 
+def _tag(docs: DataFrame) -> F.Column:
+    """Tells rows with one doc_id apart by their texts."""
+    return F.shiftrightunsigned(F.xxhash64(docs["text"]), 64 - (63 - _START_BITS - _COUNT_BITS))
+
+
 def repeats(docs: DataFrame, window: int = 20, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): the documents as k, th, text; and k, th, a, n for runs of n from a that also start earlier.
 
@@ -130,9 +136,8 @@ def repeats(docs: DataFrame, window: int = 20, k: int = 5) -> tuple[DataFrame, D
     """
     if not 0 < k <= window or window - k + 1 >= 1 << _COUNT_BITS:
         raise ValueError("k must be from 1 to window, and within 62 of it")
-    tag = F.shiftrightunsigned(F.xxhash64("text"), 64 - (63 - _START_BITS - _COUNT_BITS))
     text = docs["text"].cast("string")
-    rows = docs.select(keyed(docs).alias("k"), tag.alias("th"), text.alias("text"))
+    rows = docs.select(keyed(docs).alias("k"), _tag(docs).alias("th"), text.alias("text"))
     often = checkpointed(_anchor_counts(rows, window, k).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
     hits = checkpointed(_occurrences(rows, window, k).join(often, "anchor"))
     firsts = hits.groupBy("anchor", "segment").agg(F.min(F.struct("k", "at")).alias("first"))
@@ -187,3 +192,30 @@ def dedup(docs: DataFrame, window: int = 20, k: int = 5, text_out: bool = False)
     schema = "k long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text_out
     out = map_arrow(joined, run, schema)
     return out.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), *out.columns[1:])
+
+
+def dedup_documents(docs: DataFrame, window: int = 20, k: int = 5) -> DataFrame:
+    """docs with the repeated words cut from their texts and `n_chars`, where there is one, counted anew.
+
+    A text that loses nothing stays as it is, a text that loses something has one space between words,
+    and a row that loses all its words goes.
+    """
+    _, spans = repeats(docs, window, k)
+    by_doc = spans.groupBy(F.col("k").alias("_k"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("a", "n")).alias("_s"))
+
+    def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        out = []
+        for text, some in zip(texts, runs, strict=True):
+            if some is not None and len(some):
+                words = split_words(text)
+                gone = covered(len(words), np.array([x["a"] for x in some]), np.array([x["n"] for x in some]), window)
+                text = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode("utf-8", "surrogatepass")
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), keyed(docs).alias("_k"), _tag(docs).alias("_th"))
+    joined = rows.join(by_doc, ["_k", "_th"], "left")
+    cut_text = F.pandas_udf(cut, "string")(F.col("_row.text"), F.col("_s"))
+    kept = joined.select("_row", "_s", cut_text.alias("_text")).where("_s IS NULL OR _text != ''")
+    counted = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return kept.select(*[F.when(F.col("_s").isNull(), F.col("_row").getField(c)).otherwise(counted[c]).alias(c) if c in counted else F.col("_row").getField(c).alias(c) for c in docs.columns])
