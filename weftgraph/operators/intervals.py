@@ -91,9 +91,9 @@ def merged(df: DataFrame, by: list[str], start: str = "start", end: str = "end",
     return runs.groupBy(*by, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_run")
 
 
-def congealed(locations: DataFrame, by: list[str], most: int = 25) -> DataFrame:
+def congealed(locations: DataFrame, by: list[str], most: int = 25, tie: str = "s2") -> DataFrame:
     """by, s1, e1, s2, e2, n: neighbouring locations (s1, e1, s2, e2) joined while their offsets differ by at most so much."""
-    order = Window.partitionBy(*by).orderBy("s1", "e1")
+    order = Window.partitionBy(*by).orderBy("s1", "e1", tie)
     drift = F.abs((F.col("s2") - F.lag("e2").over(order)) - (F.col("s1") - F.lag("e1").over(order)))
     runs = locations.withColumn("_new", F.coalesce((drift > most).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(order))
     return runs.groupBy(*by, "_run").agg(F.min("s1").alias("s1"), F.max("e1").alias("e1"), F.min("s2").alias("s2"), F.max("e2").alias("e2"), F.count("*").alias("n")).drop("_run")
@@ -101,7 +101,7 @@ def congealed(locations: DataFrame, by: list[str], most: int = 25) -> DataFrame:
 
 def bridge_score(score_a: Column, length_a: Column, score_b: Column, length_b: Column, shared: Column) -> Column:
     """The shorter mapping's score times how much of it is shared, to two places."""
-    return F.round(F.when(length_a <= length_b, score_a * shared / length_a).otherwise(score_b * shared / length_b), 2)
+    return F.round(F.when(length_a <= length_b, score_a * shared / length_a).otherwise(score_b * shared / length_b) + 1e-9, 2)  # halves go up
 
 
 def coverage(df: DataFrame, by: list[str], low: Column, high: Column, start: str = "start", end: str = "end") -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from weftgraph.functions.text import words
 
@@ -26,7 +27,7 @@ def tail(k: int, n: int, size: int, world: int, under: bool) -> float:
     return float((top + math.log(np.exp(logs - top).sum())) / math.log(10))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def log10_tail(k: pd.Series, n: pd.Series, size: pd.Series, world: pd.Series, under: pd.Series) -> pd.Series:
     return pd.Series([tail(*map(int, x[:4]), bool(x[4])) for x in zip(k, n, size, world, under, strict=True)], dtype=float)
 
