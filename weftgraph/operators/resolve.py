@@ -87,16 +87,17 @@ def resolve(queries: DataFrame, hits: DataFrame, black: DataFrame, top: int = 3)
 def reciprocal_best(pairs: DataFrame) -> DataFrame:
     """a, b, n_a, n_b: pairs (a, b, identity, matched, similar) that are best both ways, with the sizes of the tied sets.
 
-    The best of a are all b that tie on identity, matched and similar; sets that do not answer each
-    other in full (a best of b's outside a's ties) are not closed and left out.
+    The best of a are all b that tie on identity, matched and similar; ties are few. Sets count only if
+    they are closed: each of them is the best set of every member of the other.
     """
     key = [F.desc("identity"), F.desc("matched"), F.desc("similar")]
     ranked = pairs.withColumn("ra", F.rank().over(Window.partitionBy("a").orderBy(*key))).withColumn("rb", F.rank().over(Window.partitionBy("b").orderBy(*key)))
-    mutual = ranked.where("ra = 1 AND rb = 1").select("a", "b")
-    best_a = ranked.where("ra = 1").groupBy("a").agg(F.count("*").alias("best_a"))
-    best_b = ranked.where("rb = 1").groupBy("b").agg(F.count("*").alias("best_b"))
-    sized = mutual.withColumn("n_a", F.count("*").over(Window.partitionBy("a"))).withColumn("n_b", F.count("*").over(Window.partitionBy("b")))
-    return sized.join(best_a, "a").join(best_b, "b").where("n_a = best_a AND n_b = best_b").select("a", "b", "n_a", "n_b")
+    best_a = ranked.where("ra = 1").groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("sa"))
+    best_b = ranked.where("rb = 1").groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("sb"))
+    mutual = ranked.where("ra = 1 AND rb = 1").select("a", "b").distinct().join(best_a, "a").join(best_b, "b")
+    both = F.count("*").over(Window.partitionBy("sa", "sb"))
+    closed = mutual.withColumn("n", both).where(F.col("n") == F.size("sa") * F.size("sb"))
+    return closed.select("a", "b", F.size("sa").alias("n_a"), F.size("sb").alias("n_b"))
 
 
 def collapsed_orthologues(pairs: DataFrame) -> DataFrame:

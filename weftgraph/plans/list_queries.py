@@ -375,8 +375,8 @@ _RBM = 'p AS (SELECT l_partkey AS a, l_suppkey AS b, sum(l_quantity) AS identity
 
 
 @query("WITH " + _RBM + """, r AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY identity DESC, matched DESC, "similar" DESC) AS ra, rank() OVER (PARTITION BY b ORDER BY identity DESC, matched DESC, "similar" DESC) AS rb FROM p),
-m AS (SELECT a, b, count(*) OVER (PARTITION BY a) AS n_a, count(*) OVER (PARTITION BY b) AS n_b FROM r WHERE ra = 1 AND rb = 1)
-SELECT a, b, n_a, n_b FROM m JOIN (SELECT a, count(*) AS ba FROM r WHERE ra = 1 GROUP BY 1) USING (a) JOIN (SELECT b, count(*) AS bb FROM r WHERE rb = 1 GROUP BY 1) USING (b) WHERE n_a = ba AND n_b = bb""")
+m AS (SELECT a, b, sa, sb FROM r JOIN (SELECT a, list_sort(list(b)) AS sa FROM r WHERE ra = 1 GROUP BY 1) USING (a) JOIN (SELECT b, list_sort(list(a)) AS sb FROM r WHERE rb = 1 GROUP BY 1) USING (b) WHERE ra = 1 AND rb = 1)
+SELECT a, b, len(sa)::INT AS n_a, len(sb)::INT AS n_b FROM m QUALIFY count(*) OVER (PARTITION BY sa, sb) = len(sa) * len(sb)""")
 def j18_reciprocal_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _t(spark, sf_dir, "lineitem")
     return R.reciprocal_best(lines.groupBy(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.sum("l_quantity").alias("identity"), F.count("*").alias("matched"), F.max("l_tax").alias("similar")))

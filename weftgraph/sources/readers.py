@@ -26,7 +26,7 @@ def tagged_records(spark: SparkSession, path: str, end: str = "//\n", tag: str =
     A record is named by its ID line, or by its first line.
     """
     text = spark.read.text(path, lineSep=end).where("trim(value) != ''")
-    lines = text.select(F.monotonically_increasing_id().alias("_r"), F.posexplode(F.split("value", "\n")).alias("line", "value")).where("trim(value) != ''")
+    lines = text.withColumn("_r", F.monotonically_increasing_id()).select("_r", F.posexplode(F.split("value", "\n")).alias("line", "value")).where("trim(value) != ''")
     found = lines.select("_r", "line", F.regexp_extract("value", tag, 1).alias("tag"), F.trim(F.regexp_extract("value", tag, 2)).alias("value")).where("tag != ''")
     name = F.coalesce(F.min_by(F.when(F.col("tag") == "ID", F.col("value")), F.when(F.col("tag") == "ID", F.col("line"))).over(Window.partitionBy("_r")), F.min_by("value", "line").over(Window.partitionBy("_r")))
     return found.withColumn("record", name).withColumn("n", F.row_number().over(Window.partitionBy("_r", "tag").orderBy("line"))).select("record", "tag", "n", "value")
