@@ -1,9 +1,10 @@
 """N-gram Jaccard join with signature trees: exact links between texts by the overlap of their word n-grams.
 
 A text's set holds the distinct hashes of its runs of n words (of all its words, if fewer). Equal
-sets are one class. Two sets reach the threshold only if the rarest n-grams of both, as many as the
-threshold leaves room for, share one; the least class with an n-gram is its centre, and classes
-that share an n-gram meet under its centre. That routing makes the roots of a forest.
+sets are one class. For each band of sizes the n-grams are dealt by hash to more parts than sets of
+these sizes may differ by n-grams, so that sets over the threshold agree on some part; the least
+class with a part's content is its centre, and classes that agree on a part meet under its centre.
+That routing makes the roots of a forest.
 
 Within a root, sets of one size band form a tree: leaves hold a bitmap of the set, inner nodes the
 OR of their children's bitmaps and their range of sizes. Two nodes can share at most the bits
@@ -22,21 +23,25 @@ id is in it. Sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, checkpointed, gram_hashes, keyed, lists, map_arrow, signed
+from .common import WORD, WordHashes, checkpointed, gram_hashes, keyed, lists, map_arrow, mix, signed
 
-_CELLS = 1 << 16  # of the frequency table that orders n-grams; a fixed size, sent to tasks
 _FANOUT = 8
 _PAIR_WORDS = 1 << 20  # bitmap words compared at a time
 _GRAMS = 2048  # n-grams for each set of a block
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -54,9 +59,12 @@ class Likeness:
     def least_partner(self, size):
         return -(-self.part * size // self.over)
 
-    def prefix(self, size: int) -> int:
-        """How many of a set's rarest n-grams must meet those of a partner; 0 if it can link with no other set."""
-        return 0 if self.over * size < self.part * (size + 1) else size - self.least_partner(size) + 1
+    def alone(self, size: int) -> bool:
+        """Whether a set of this size can link with no other set."""
+        return self.over * size < self.part * (size + 1)
+
+    def most_partner(self, size: int) -> int:
+        return self.over * size // self.part
 
 
 def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
@@ -71,45 +79,74 @@ def set_id(members: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes())).astype(np.int64))
 
 
-def _frequencies(rows: DataFrame, n: int) -> np.ndarray:
-    """How often n-grams of each cell occur in all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        hashes, seen = WordHashes(), np.zeros(_CELLS, np.int64)
-        for b in batches:
-            grams = [shingles(text, n, hashes) for text in b.column(0).to_pylist()]
-            seen += np.bincount((np.concatenate([np.empty(0, np.uint64), *grams]) >> np.uint64(48)).astype(np.int64), minlength=_CELLS)
-        cells = np.flatnonzero(seen)
-        yield {"cell": cells.astype(np.int32), "n": seen[cells]}
-
-    got = map_arrow(rows.select("text"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(_CELLS, np.uint64)
-    out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+def _edges() -> list[int]:
+    """Where bands of sizes begin."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4 if out[-1] < 64 else out[-1] * 3 // 2))
     return out
 
 
+_BANDS = _edges()
+
+
+@lru_cache
+def parts(how: Likeness, band: int) -> tuple[int, int]:
+    """(m, z): sets of a band's sizes that link agree on at least z + 1 of m parts."""
+    low, high = _BANDS[band], _BANDS[band + 1] - 1
+    differ = (how.over - how.part) * 2 * high // (how.over + how.part)
+    z = 1
+    for _ in range(4):  # a little over the empty parts that a set of the least size will have
+        m = differ + 1 + z
+        z = max(1, math.ceil(1.5 * m * math.exp(-how.least_partner(low) / m)))
+    return differ + 1 + z, z
+
+
+def part_keys(members: np.ndarray, how: Likeness) -> np.ndarray:
+    """Keys of which sets that link share one: the content of each part, in the bands of the set's size and its larger partners'.
+
+    Two sets may agree on empty parts. With at most z of them, a set still agrees with a partner on
+    another part; sets with more also have the keys of z + 1 empty parts each (of one, if there are many parts).
+    """
+    out = [np.empty(0, np.uint64)]
+    size = len(members)
+    band = bisect_right(_BANDS, size) - 1
+    most = how.most_partner(size)
+    while not how.alone(size) and _BANDS[band] <= most:
+        m, z = parts(how, band)
+        part = (members >> np.uint64(32)).astype(np.int64) % m
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        held = part[first]
+        content = np.add.reduceat(mix(members[order]), first)
+        out.append(mix(content * _ODD + (held + (band << 40)).astype(np.uint64)))
+        if m - len(held) > z:
+            empty = np.setdiff1d(np.arange(m), held).tolist()
+            some = combinations(empty, z + 1) if m <= 10 else ((k,) for k in empty)
+            out.append(np.array([xxhash.xxh3_64_intdigest(repr((band, x)).encode()) for x in some], np.uint64))
+        band += 1
+    return np.concatenate(out)
+
+
 def _leaves(rows: DataFrame, how: Likeness) -> DataFrame:
-    """k, th, n, sid of each text, and with the first of equal sets in a task its rarest n-grams."""
-    counts = rows.sparkSession.sparkContext.broadcast(np.minimum(_frequencies(rows, how.n), np.uint64((1 << 32) - 1)) << np.uint64(32))
+    """doc_id, k, th, n, sid of each text, and with the first of equal sets in a task its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        hashes, known, low = WordHashes(), set(), np.uint64((1 << 32) - 1)
+        hashes, known = WordHashes(), set()
         for b in batches:
-            sizes, ids, rare, lengths = [], [], [], []
+            sizes, ids, keys = [], [], []
             for text in b.column(3).to_pylist():
                 members = np.unique(shingles(text, how.n, hashes))
+                sid = set_id(members) if len(members) else None
+                keys.append(np.empty(0, np.uint64) if sid is None or sid in known else part_keys(members, how))
+                known.add(sid)
                 sizes.append(len(members))
-                ids.append(sid := set_id(members) if len(members) else None)
-                first = np.empty(0, np.uint64)
-                if sid is not None and sid not in known and (p := how.prefix(len(members))):
-                    known.add(sid)
-                    order = counts.value[(members >> np.uint64(48)).astype(np.int64)] | (members & low)
-                    first = members[order <= np.partition(order, p - 1)[p - 1]]
-                rare.append(first)
-                lengths.append(len(first))
-            yield {"doc_id": b.column(0), "k": b.column(1), "th": b.column(2), "n": sizes, "sid": ids, "rare": lists(signed(np.concatenate(rare)) if rare else np.empty(0, np.int64), lengths, pa.int64())}
+                ids.append(sid)
+            flat = np.concatenate([np.empty(0, np.uint64), *keys])
+            yield {"doc_id": b.column(0), "k": b.column(1), "th": b.column(2), "n": sizes, "sid": ids, "keys": lists(signed(flat), list(map(len, keys)), pa.int64())}
 
-    return map_arrow(rows, run, "doc_id long, k long, th long, n long, sid long, rare array<long>")
+    return map_arrow(rows, run, "doc_id long, k long, th long, n long, sid long, keys array<long>")
 
 
 class _Tree:
@@ -179,7 +216,7 @@ def forest_links(members: list[np.ndarray], how: Likeness, part: np.ndarray | No
     for band in range(1, int(sizes.max(initial=1)).bit_length() + 1):
         low, top = 1 << (band - 1), (1 << band) - 1
         inside = np.flatnonzero((sizes >= how.least_partner(low)) & (sizes <= top))
-        if len(inside) < 2 or not how.prefix(top):
+        if len(inside) < 2 or how.alone(top):
             continue
         inside = inside[np.lexsort((sizes[inside], [members[k][0] for k in inside]))]
         left = inside[_Tree([members[k] for k in inside], top).pairs(how)]
@@ -197,7 +234,7 @@ def forest_links(members: list[np.ndarray], how: Likeness, part: np.ndarray | No
 
 
 def _link_groups(rows: DataFrame, how: Likeness, leaves: int) -> DataFrame:
-    """(a, b): links within each group of rows (g1, g2, sid, part, members), whole groups at a time."""
+    """(a, b): links within each group of rows (g1, g2, sid, part, text), whole groups at a time."""
 
     def joined(pack: dict[int, tuple[np.ndarray, int]]) -> dict:
         ids = list(pack)
@@ -206,21 +243,21 @@ def _link_groups(rows: DataFrame, how: Likeness, leaves: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         pack: dict[int, tuple[np.ndarray, int]] = {}
-        last, held = None, 0
+        last, held, hashes = None, 0, WordHashes()
         for batch in batches:
             c = [x.to_pylist() for x in batch.columns]
-            for g1, g2, sid, part, members in zip(*c, strict=True):
+            for g1, g2, sid, part, text in zip(*c, strict=True):
                 if (g1, g2) != last and (len(pack) >= leaves or held >= leaves * _GRAMS):
                     yield joined(pack)
                     pack, held = {}, 0
                 last = (g1, g2)
-                if sid not in pack:
-                    pack[sid] = (np.frombuffer(members, np.uint64), part)
-                    held += len(members) // 8
+                if sid not in pack and set_id(members := np.unique(shingles(text, how.n, hashes))) == sid:
+                    pack[sid] = (members, part)
+                    held += len(members)
         if pack:
             yield joined(pack)
 
-    dealt = rows.select("g1", "g2", "sid", "part", "members").repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    dealt = rows.select("g1", "g2", "sid", "part", "text").repartition("g1", "g2").sortWithinPartitions("g1", "g2")
     return map_arrow(dealt, run, "a long, b long").distinct()
 
 
@@ -244,17 +281,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
-def _members_of(rows: DataFrame, wanted: DataFrame, how: Likeness) -> DataFrame:
-    """sid, members: the sets of the wanted (sid, k, th), made anew from the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        hashes = WordHashes()
-        for b in batches:
-            found = [(sid, members.tobytes()) for sid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if set_id(members := np.unique(shingles(text, how.n, hashes))) == sid]
-            yield {"sid": [x[0] for x in found], "members": [x[1] for x in found]}
-
-    texts = rows.join(wanted.select("sid", "k", "th").distinct(), ["k", "th"]).select("sid", "text")
-    return map_arrow(texts, run, "sid long, members binary")
+def _with_texts(dealt: DataFrame, rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """dealt (g1, g2, sid, part, k, th) with its texts; so few rows go to the texts, more meet them in a shuffle."""
+    dealt = checkpointed(dealt.select("g1", "g2", "sid", "part", "k", "th"))
+    return rows.join(F.broadcast(dealt) if dealt.count() <= most else dealt, ["k", "th"])
 
 
 def _chunk(size: str, total: str, block: int) -> F.Column:
@@ -262,7 +292,7 @@ def _chunk(size: str, total: str, block: int) -> F.Column:
     return F.greatest(F.ceil(F.col(size) / block), F.ceil(F.col(total) / (block * _GRAMS))).cast("long")
 
 
-def _rest(first: DataFrame, links: DataFrame, sets: DataFrame, how: Likeness, block: int) -> DataFrame:
+def _rest(first: DataFrame, links: DataFrame, rows: DataFrame, how: Likeness, block: int) -> DataFrame:
     """Links across the blocks of one root: what the centre's component doesn't hold meets everything in its root."""
     comp = components(links)
     held = first.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("root", "sid")).drop("root")
@@ -274,8 +304,8 @@ def _rest(first: DataFrame, links: DataFrame, sets: DataFrame, how: Likeness, bl
     # pairs of blocks (i of the outer sets, j of the outer or, from qo on, of the inner ones)
     outer = held.where("out").withColumn("pair", F.explode(F.expr("transform(sequence(0L, qo + ql - 1), j -> IF(j < at, struct(j AS i, at AS j), struct(at AS i, j AS j)))")))
     inner = held.where("NOT out").withColumn("pair", F.explode(F.expr("transform(sequence(0L, qo - 1), i -> struct(i AS i, qo + at AS j))")))
-    dealt = outer.unionByName(inner).select("sid", "part", F.col("c").alias("g1"), F.expr("pair.i * (qo + ql) + pair.j").alias("g2"))
-    return _link_groups(dealt.join(sets, "sid"), how, block)
+    dealt = outer.unionByName(inner).select("sid", "part", "k", "th", F.col("c").alias("g1"), F.expr("pair.i * (qo + ql) + pair.j").alias("g2"))
+    return _link_groups(_with_texts(dealt, rows), how, block)
 
 
 def links(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -285,20 +315,20 @@ def links(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> tup
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), keyed(docs).alias("k"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
     leaves = checkpointed(_leaves(rows, how))
-    rare = leaves.where(F.size("rare") > 0).select(F.explode("rare").alias("gram"), "sid")
-    centres = rare.groupBy("gram").agg(F.min("sid").alias("c"), F.max("sid").alias("other")).where("c != other").select("gram", "c")
-    edges = checkpointed(rare.join(centres, "gram").select("c", "sid").distinct())
+    alike = Window.partitionBy("key")
+    met = leaves.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "sid").select("sid", F.min("sid").over(alike).alias("c"), F.max("sid").over(alike).alias("other"))
+    edges = met.where("c != other").select("c", "sid").distinct()
     classes = leaves.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("k", "th")).alias("rep"), F.first("n").alias("n"))
     held = checkpointed(edges.join(classes, "sid").select("c", "sid", "n", "rep.k", "rep.th"))
-    sets = checkpointed(_members_of(rows.select("k", "th", "text"), held, how))
     sizes = held.groupBy("c").agg(F.count("*").alias("size"), F.sum("n").alias("total")).select("c", _chunk("size", "total", block).alias("q"))
-    dealt = held.select("c", "sid", "n").join(sizes, "c")
+    dealt = held.join(sizes, "c")
     at = F.when(F.col("sid") == F.col("c"), F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("q"))))
-    first = dealt.select(F.col("c").alias("g1"), F.explode(at).alias("g2"), "sid", F.col("sid").alias("part"))
-    found = checkpointed(_link_groups(first.join(sets, "sid"), how, block))
-    large = checkpointed(dealt.where("q > 1").select("c", "sid", "n"))
-    if large.limit(1).count():
-        found = found.unionByName(_rest(large, found, sets, how, block))
+    first = dealt.select(F.col("c").alias("g1"), F.explode(at).alias("g2"), "sid", F.col("sid").alias("part"), "k", "th")
+    texts = rows.select("k", "th", "text")
+    found = checkpointed(_link_groups(_with_texts(first, texts), how, block))
+    large = checkpointed(dealt.where("q > 1").select("c", "sid", "n", "k", "th"))
+    if not large.isEmpty():
+        found = found.unionByName(_rest(large, found, texts, how, block))
     return leaves.select("doc_id", "k", "th", "n", "sid"), found
 
 
