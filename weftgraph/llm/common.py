@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -101,6 +102,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """The rows of counts (a key, n) down to the lowest level of n that at most so many rows reach, the largest n first.
+
+    Levels are 32 to a doubling, at most 2,017 of them, so no task and not the driver sees more rows than asked for.
+    """
+    level = F.floor(32 * F.log2("n")).cast("int")
+    sizes = counts.groupBy(level.alias("level")).count().toPandas().sort_values("level", ascending=False)
+    levels = sizes["level"][sizes["count"].cumsum() <= most]
+    least = int(levels.min()) if len(levels) else 1 << 30
+    key = next(c for c in counts.columns if c != "n")
+    return counts.where(level >= least).toPandas().sort_values(["n", key], ascending=[False, True])
+
+
 def keyed(docs: DataFrame, key: str = "doc_id") -> F.Column:
     return F.coalesce(docs[key].cast("long"), F.lit(NO_ID))
 

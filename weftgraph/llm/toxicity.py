@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, gram_hashes, map_arrow, split_words
+from .common import WordHashes, checkpointed, gram_hashes, map_arrow, most_frequent, split_words
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 STEMS = (4, 5, 6)  # letters of the word beginnings
@@ -113,8 +113,8 @@ def _toxic_features(rows: DataFrame, most: int) -> list[str]:
                     seen.clear()
         yield out()
 
-    got = map_arrow(rows.where("label = 1").select("text"), run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    return [r.f for r in got.orderBy(F.desc("n"), "f").limit(most).select("f").collect()]
+    got = checkpointed(map_arrow(rows.where("label = 1").select("text"), run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")))
+    return most_frequent(got, most)["f"].tolist()
 
 
 def _weighed(rows: DataFrame, candidates: list[str]) -> pd.DataFrame:
