@@ -3,8 +3,8 @@
 A text's set holds the distinct hashes of its runs of n words (of all its words, if fewer). Equal
 sets are one class. For each band of sizes the n-grams are dealt by hash to more parts than sets of
 these sizes may differ by n-grams, so that sets over the threshold agree on some part; the least
-class with a part's content is its centre, and classes that agree on a part meet under its centre.
-That routing makes the roots of a forest.
+class with a part's content is its centre, and classes that agree on a part meet under its centre,
+or under the least centre that this one has itself. That routing makes the roots of a forest.
 
 Within a root, sets of one size band form a tree: leaves hold a bitmap of the set, inner nodes the
 OR of their children's bitmaps and their range of sizes. Two nodes can share at most the bits
@@ -33,6 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -243,7 +244,7 @@ def _link_groups(rows: DataFrame, how: Likeness, leaves: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         pack: dict[int, tuple[np.ndarray, int]] = {}
-        last, held, hashes = None, 0, WordHashes()
+        last, held, hashes, unpack = None, 0, WordHashes(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             c = [x.to_pylist() for x in batch.columns]
             for g1, g2, sid, part, text in zip(*c, strict=True):
@@ -251,7 +252,7 @@ def _link_groups(rows: DataFrame, how: Likeness, leaves: int) -> DataFrame:
                     yield joined(pack)
                     pack, held = {}, 0
                 last = (g1, g2)
-                if sid not in pack and set_id(members := np.unique(shingles(text, how.n, hashes))) == sid:
+                if sid not in pack and set_id(members := np.unique(shingles(unpack(text).decode("utf-8", "surrogatepass"), how.n, hashes))) == sid:
                     pack[sid] = (members, part)
                     held += len(members)
         if pack:
@@ -282,9 +283,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _with_texts(dealt: DataFrame, rows: DataFrame, most: int = 500_000) -> DataFrame:
-    """dealt (g1, g2, sid, part, k, th) with its texts; so few rows go to the texts, more meet them in a shuffle."""
+    """dealt (g1, g2, sid, part, k, th) with its texts, packed; so few rows go to the texts, more meet them in a shuffle."""
     dealt = checkpointed(dealt.select("g1", "g2", "sid", "part", "k", "th"))
-    return rows.join(F.broadcast(dealt) if dealt.count() <= most else dealt, ["k", "th"])
+    sent = F.broadcast if dealt.count() <= most else lambda df: df
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        packer = zstandard.ZstdCompressor()
+        for b in batches:
+            yield {"sid": b.column(0), "text": [packer.compress((x or "").encode("utf-8", "surrogatepass")) for x in b.column(1).to_pylist()]}
+
+    wanted = dealt.select("sid", "k", "th").distinct()
+    texts = map_arrow(rows.join(sent(wanted), ["k", "th"]).select("sid", "text"), pack, "sid long, text binary")
+    return texts.join(sent(dealt.drop("k", "th")), "sid")
 
 
 def _chunk(size: str, total: str, block: int) -> F.Column:
@@ -317,7 +327,10 @@ def links(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> tup
     leaves = checkpointed(_leaves(rows, how))
     alike = Window.partitionBy("key")
     met = leaves.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "sid").select("sid", F.min("sid").over(alike).alias("c"), F.max("sid").over(alike).alias("other"))
-    edges = met.where("c != other").select("c", "sid").distinct()
+    edges = checkpointed(met.where("c != other").select("c", "sid").distinct())
+    upper = edges.groupBy(F.col("sid").alias("c")).agg(F.min("c").alias("root"))  # the centre's own least centre takes its place
+    edges = edges.join(upper, "c").select(F.col("root").alias("c"), "sid")
+    edges = edges.unionByName(edges.select("c", F.col("c").alias("sid"))).distinct()
     classes = leaves.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("k", "th")).alias("rep"), F.first("n").alias("n"))
     held = checkpointed(edges.join(classes, "sid").select("c", "sid", "n", "rep.k", "rep.th"))
     sizes = held.groupBy("c").agg(F.count("*").alias("size"), F.sum("n").alias("total")).select("c", _chunk("size", "total", block).alias("q"))
@@ -340,9 +353,13 @@ def classified(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -
 
 def near_duplicates(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id for each row of docs."""
-    rows = classified(docs, how, block)
-    named = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(named, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    leaves, found = links(docs, how, block)
+    least = leaves.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    linked = checkpointed(components(found).select(F.col("node").alias("sid"), "root").join(least, "sid"))
+    by_root = checkpointed(linked.groupBy("root").agg(F.min("least").alias("of_root")))
+    named = least.join(linked.join(by_root, "root").select("sid", "of_root"), "sid", "left")
+    named = checkpointed(named.select("sid", F.when(F.col("of_root").isNull(), F.col("least")).otherwise(F.col("of_root")).alias("component_id")))
+    return leaves.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> DataFrame:  # noqa: B008
