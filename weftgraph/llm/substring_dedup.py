@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import NO_ID, WordHashes, checkpointed, gram_hashes, keyed, map_arrow, mix, signed, split_words
 
 _COUNT_BITS, _START_BITS = 6, 33  # of a position; a hash of the text comes before them
+_MOST_KEYS = 1_000_000  # of 16 bytes, that are sent to tasks
 _THREE, _ODD = np.uint64(3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,6 +101,9 @@ _TAG = f"shiftrightunsigned(at, {_START_BITS + _COUNT_BITS})"
 def _runs_of(rows: DataFrame, segs: DataFrame, window: int) -> DataFrame:
     """anchor, run hash, k and at (of one run) for the runs of these segments; the texts come by a join on the key."""
     by_doc = segs.select("k", F.expr(_TAG).alias("th"), F.struct("anchor", F.expr(_START).alias("a"), F.expr(_RUNS).alias("n")).alias("s")).groupBy("k", "th").agg(F.collect_list("s").alias("s"))
+    keys = segs.select("k", F.expr(_TAG).alias("th")).distinct()
+    if keys.count() <= _MOST_KEYS:  # then other texts need not be shuffled
+        rows = rows.join(F.broadcast(keys), ["k", "th"], "left_semi")
     joined = rows.join(by_doc, ["k", "th"]).select("k", "th", "text", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
