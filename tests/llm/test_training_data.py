@@ -191,6 +191,34 @@ def test_language_model_on_no_rows_and_no_training_rows(spark):
     assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0
 
 
+def test_training_goes_on_until_it_gains_no_more(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(8):  # runs of words of three kinds; all texts are long
+        w = []
+        while len(w) < 4500:
+            kind = rng.randrange(3)
+            w += [f"{'abc'[kind]}{rng.randrange(8)}" for _ in range(rng.randrange(5, 40))]
+        texts.append(" ".join(w))
+    shape = hidden_markov.Shape(states=3, own=64, shared=8, known=64)
+    got = {r.doc_id: r for r in hidden_markov.score(docs_of(spark, texts), shape).collect()}
+    train = [i for i in got if not got[i].held_out]
+    place = {w: k for k, w in enumerate(sorted({w for i in train for w in hidden_markov.tokens(texts[i])}))}
+    codes = [np.array([place[w] for w in hidden_markov.tokens(texts[i])]) for i in train]
+    share = np.bincount(np.concatenate(codes)) / sum(map(len, codes))
+    best = -np.inf
+    for seed in range(2):
+        r = np.random.default_rng(seed)
+        m = hidden_markov.Model(np.full(3, 1 / 3), np.full((3, 3), 0.05) + 0.85 * np.eye(3), (e := share[:, None] * r.uniform(0.5, 1.5, (len(share), 3))) / e.sum(axis=0))
+        for _ in range(30):
+            c = hidden_markov.Counts(len(share), 3)
+            c.add_all(m, codes)
+            m = hidden_markov.estimated(c.start, c.move, c.emit, m.move, share)
+        best = max(best, c.log)
+    n = sum(map(len, codes))
+    assert sum(got[i].score for i in train) * math.log(10) / n > best / n - 0.02
+
+
 # --- toxicity -----------------------------------------------------------------------------------
 
 

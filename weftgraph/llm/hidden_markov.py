@@ -6,8 +6,8 @@ times that of the word within its class. The number of classes and states, and s
 and the driver adds up, is fixed by parameters; word counts themselves stay a distributed table, and
 words outside the table sent to tasks meet their counts in a join.
 
-Starting values come from a few passes over a bounded number of texts (`init_docs`, by a hash of the
-id), for speed alone: the Baum-Welch passes that follow, and all counts, cover every training text.
+Starting values are random; every Baum-Welch pass, and all counts, cover every training text. Passes
+end when the log-likelihood gained per token is under `least_gain` and no longer rising.
 
 A null or empty text is an end alone. Rows without an id are held out. An empty table gives an empty
 result, and where no text is left to learn from every token is unknown. Rows are scored one by one.
@@ -39,9 +39,7 @@ class Shape:
     own: int = 1 << 14  # classes of a single word
     shared: int = 1 << 12  # hashed classes of the other words; a power of two
     known: int = 1 << 17  # words whose counts are sent to tasks
-    passes: int = 2
-    init_docs: int = 2000
-    init_passes: int = 12
+    least_gain: float = 1e-3  # natural log-likelihood per token that a further pass must bring
 
     @property
     def classes(self) -> int:
@@ -242,43 +240,53 @@ def estimated(start: np.ndarray, move: np.ndarray, emit: np.ndarray, old: np.nda
     return Model(start, move, emit)
 
 
-def _first_model(sample: list[np.ndarray], share: np.ndarray, shape: Shape) -> Model:
-    """Starting values: texts are dealt to states at random, then Baum-Welch passes over the sample."""
+def _first_model(share: np.ndarray, shape: Shape) -> Model:
+    """Starting values: the classes' shares of all tokens, changed at random for each state; states tend to stay."""
     rng = np.random.default_rng(7)
     k = shape.states
     noise = rng.dirichlet(np.ones(k), len(share)) * k
     emit = share[:, None] * (0.5 + 0.5 * noise)
     move = np.full((k, k), 0.1 / max(1, k - 1))
     np.fill_diagonal(move, 0.9)
-    model = Model(np.full(k, 1 / k), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-    for _ in range(shape.init_passes if sample else 0):
-        c = Counts(len(share), k)
-        c.add_all(model, sample)
-        model = estimated(c.start, c.move, c.emit, model.move, share)
-    return model
+    return Model(np.full(k, 1 / k), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 def _codes(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
 
 
-def _pass(coded: DataFrame, model: Broadcast, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over all training texts: tasks add up their own, Spark adds up the tasks'."""
+def _pass(coded: DataFrame, model: Broadcast, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts and the log-likelihood over all training texts: tasks add up their own, Spark adds up the tasks'."""
     k, classes = shape.states, shape.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         c = Counts(classes, k)
         for b in batches:
             c.add_all(model.value, _codes(b.column(0)))
-        rows = np.concatenate([c.emit, c.move, c.start[None]])
-        some = np.flatnonzero(rows.sum(axis=1) > 0)
+        rows = np.concatenate([c.emit, c.move, c.start[None], np.full((1, k), c.log)])
+        some = np.flatnonzero(rows.any(axis=1))
         yield {"cell": some.astype(np.int32)} | {f"s{s}": rows[some, s] for s in range(k)}
 
     kind = "cell int, " + ", ".join(f"s{s} double" for s in range(k))
     got = map_arrow(coded.where("NOT held_out").select("codes"), run, kind).groupBy("cell").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)]).toPandas()
-    rows = np.zeros((classes + k + 1, k))  # as many rows as classes and states, whatever the corpus
+    rows = np.zeros((classes + k + 2, k))  # as many rows as classes and states, whatever the corpus
     rows[got["cell"].to_numpy(np.int64)] = got[[f"s{s}" for s in range(k)]].to_numpy()
-    return rows[-1], rows[classes:-1], rows[:classes]
+    return rows[-2], rows[classes:-2], rows[:classes], float(rows[-1, 0])
+
+
+def fitted(coded: DataFrame, share: np.ndarray, total: int, shape: Shape) -> Model:
+    """Baum-Welch over all training texts until a pass gains less than `least_gain` a token, and no more than the one before."""
+    context = coded.sparkSession.sparkContext
+    model, logs = _first_model(share, shape), []
+    while total:
+        sent = context.broadcast(model)
+        start, move, emit, log = _pass(coded, sent, shape)
+        sent.unpersist()
+        model = estimated(start, move, emit, model.move, share)
+        logs.append(log / total)
+        if len(logs) > 2 and logs[-1] - logs[-2] < min(shape.least_gain, logs[-2] - logs[-3]):
+            break
+    return model
 
 
 def _class_sums(counts: DataFrame, own: np.ndarray, shape: Shape) -> np.ndarray:
@@ -302,24 +310,7 @@ def score(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id") -> DataF
     coded = checkpointed(_encoded(rows, spark.sparkContext.broadcast(v)).withColumn("row", F.monotonically_increasing_id()))
     sums = _class_sums(counts, v.hashes[: shape.own], shape)
     share = (sums + 0.1) / (sums.sum() + 0.1 * len(sums))
-    able = coded.where("NOT held_out AND n_tokens <= 4096")
-    share_of = min(1 << 20, (2 * shape.init_docs << 20) // max(1, able.count()) + 64)  # about twice as many texts as wanted, whatever the corpus
-    able = able.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share_of)
-    sample = able.orderBy(F.xxhash64("doc_id"), "row").limit(shape.init_docs).select("codes")
-    shared = spark.sparkContext.broadcast((share, shape))
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        sample = [c for b in batches for c in _codes(b.column(0))]
-        m = _first_model(sample, *shared.value)
-        yield {"start": [m.start.tobytes()], "move": [m.move.tobytes()], "emit": [m.emit.tobytes()]}
-
-    got = map_arrow(sample.coalesce(1), first, "start binary, move binary, emit binary").first()
-    start, move, emit = (np.frombuffer(x) for x in got) if got else (np.full(shape.states, 1 / shape.states),) * 3
-    model = Model(start, move.reshape(shape.states, -1), emit.reshape(-1, shape.states)) if got else _first_model([], share, shape)
-    for _ in range(shape.passes):
-        sent = spark.sparkContext.broadcast(model)
-        a, b, c = _pass(coded, sent, shape)
-        model = estimated(a, b, c, model.move, share)
+    model = fitted(coded, share, int(total), shape)
     sent = spark.sparkContext.broadcast((model, np.log10(sums + 0.1)))
 
     kept = ["row", "doc_id", "held_out", "n_tokens", "known_n", "base", "inside"]
