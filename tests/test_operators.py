@@ -72,6 +72,16 @@ def test_components_and_pointers(spark):
     assert rows(T.chased(pointers)) == [(1, 4), (2, 4), (3, 4), (6, 7)]
 
 
+def test_pointers_are_chased_to_the_end(spark):
+    chain = spark.range(1000).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    got = T.chased(chain)
+    assert got.count() == 1000 and got.where("target != 1000").isEmpty()
+    ring = [(2000 + k, 2000 + (k + 1) % 7) for k in range(7)] + [(2100 + k, 2101 + k) for k in range(20)] + [(2120, 2003), (2201, 2200), (2200, 2201)]
+    got = T.chased(chain.unionByName(spark.createDataFrame(ring, "source long, target long")))
+    want = [(2000 + k, 2000) for k in range(1, 7)] + [(2100 + k, 2000) for k in range(21)] + [(2201, 2200)]
+    assert rows(got.where("source >= 2000")) == want and got.where("source < 1000 AND target = 1000").count() == 1000
+
+
 def test_wildcards(spark):
     names = spark.createDataFrame([("A_B",), ("AxB",), ("a_b",), ("A_BC",), (None,)], "name string")
     assert rows(names.where(X.name_matches(F.col("name"), "a_b%"))) == [("A_B",), ("A_BC",), ("a_b",)]

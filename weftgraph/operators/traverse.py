@@ -201,21 +201,37 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def chased(pointers: DataFrame, most: int = 64) -> DataFrame:
+def chased(pointers: DataFrame) -> DataFrame:
     """source, target: each target replaced by its own target until none changes.
 
-    Of several targets the least counts, pointers to oneself do not, and a cycle keeps the target
-    that it had when every pointer had gone round once.
+    Of several targets the least counts, pointers to oneself do not. A cycle ends at its least node:
+    the others on it, and all that lead into it, get that node, which has no target itself.
+    Distances double with each round, so a chain of n pointers takes log2(n) rounds.
     """
-    have = checkpointed(pointers.where("source != target").groupBy("source").agg(F.min("target").alias("target")))
-    for _ in range(most.bit_length()):
+
+    def doubled(have: DataFrame) -> DataFrame:
         onward = have.select(F.col("source").alias("target"), F.col("target").alias("further"))
-        moved = have.join(onward, "target", "left").select("source", F.when(F.col("further") != F.col("source"), F.col("further")).otherwise(F.col("target")).alias("to"), F.col("target").alias("was"))
-        moved = checkpointed(moved.select("source", F.coalesce("to", "was").alias("target"), "was"))
-        have = moved.select("source", "target")
-        if moved.where("target != was").isEmpty():
-            break
-    return have
+        both = have.join(onward, "target", "left")
+        return checkpointed(both.select("source", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved")))
+
+    first = checkpointed(pointers.where("source != target").groupBy("source").agg(F.min("target").alias("target")))
+    have, before = first, -1
+    while (now := (moved := doubled(have)).where("moved").count()) not in (0, before):  # a chain that goes on has nodes at every distance, so some arrive in each round
+        have, before = moved.select("source", "target"), now
+    ended = moved.where("NOT moved").select("source", "target")
+    if now == 0:
+        return ended
+    have, size = moved.where("moved").select("source", "target"), -1  # all of these lead into cycles
+    while (now := have.select("target").distinct().count()) != size:  # until only nodes on cycles are reached
+        have, size = doubled(have).select("source", "target"), now
+    ring = first.join(have.select(F.col("target").alias("source")).distinct(), "source", "left_semi").withColumn("least", F.col("source"))
+    changed = True
+    while changed:
+        onward = ring.select(F.col("source").alias("target"), F.col("target").alias("further"), F.col("least").alias("lower"))
+        next_ring = checkpointed(ring.join(onward, "target").select("source", F.col("further").alias("target"), F.least("least", "lower").alias("least"), (F.col("lower") < F.col("least")).alias("changed")))
+        changed, ring = not next_ring.where("changed").isEmpty(), next_ring.drop("changed")
+    met = have.join(ring.select(F.col("source").alias("target"), "least"), "target").select("source", F.col("least").alias("target"))
+    return ended.unionByName(met.where("source != target"))
 
 
 def versions(named: DataFrame, key: str = "accession", last: str = "version") -> DataFrame:
