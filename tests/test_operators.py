@@ -41,6 +41,14 @@ def test_long_chain_takes_few_rounds(spark):
     assert got.count() == 40 * 41 // 2 and got.where("depth != ancestor - node").isEmpty()
 
 
+def test_deep_hierarchies_and_far_nodes_are_whole(spark):
+    links = spark.range(110).select(F.col("id").alias("child"), (F.col("id") + 1).alias("parent"))
+    assert T.closure(links).count() == 110 * 111 // 2 and T.closure(links, 3).agg(F.max("depth")).first()[0] == 3
+    seed = spark.createDataFrame([(0,)], "node_id long")
+    far = T.distances(links.select(F.col("child").alias("mine"), F.col("parent").alias("other")), seed)
+    assert far.count() == 111 and far.where("distance != node_id").isEmpty()
+
+
 def test_no_recursion_walks_one_hop_and_hubs_stop(spark):
     links = oriented(edges(spark, (1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (2, 7), (8, 2)))
     seed = spark.createDataFrame([(8,)], "node_id long")

@@ -7,6 +7,7 @@ driver holds one count per level.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Sequence
 from functools import reduce
@@ -25,8 +26,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(links: DataFrame, most: int = 100) -> DataFrame:
-    """(node, ancestor, depth): the least depth of every ancestor, from links (child, parent).
+def closure(links: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, ancestor, depth): the least depth of every ancestor, from links (child, parent); with most, of those up to this depth.
 
     Distances double with each round, so a chain of n links takes log2(n) rounds; cycles do no harm.
     """
@@ -36,7 +37,9 @@ def closure(links: DataFrame, most: int = 100) -> DataFrame:
         size = now
         upper = have.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
         longer = have.join(upper, "ancestor").select("node", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        longer = longer.where((F.col("node") != F.col("ancestor")) & (F.col("depth") <= most))
+        longer = longer.where(F.col("node") != F.col("ancestor"))
+        if most is not None:
+            longer = longer.where(F.col("depth") <= most)
         have = checkpointed(have.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
     return have
 
@@ -117,17 +120,19 @@ def expand(
     return found.select("mine", "other", "type_id", "dir", "depth", "grouped")
 
 
-def distances(links: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
-    """node_id, distance: the fewest edges from any seed, for every node within reach."""
+def distances(links: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """node_id, distance: the fewest edges from any seed, for every node within reach, or within so many edges."""
     level = checkpointed(seeds.select("node_id", F.lit(0).alias("distance")).distinct())
     out, step = level, links.select("mine", "other").distinct()
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1) if most is None else range(1, most + 1):
         nearer = level.select(F.col("node_id").alias("mine"))
         level = step.join(nearer, "mine", "left_semi").select(F.col("other").alias("node_id")).distinct().join(out, "node_id", "left_anti")
         level = checkpointed(level.select("node_id", F.lit(depth).alias("distance")))
         if level.isEmpty():
             break
         out = out.unionByName(level)
+        if depth % 16 == 0:
+            out = checkpointed(out)
     return out
 
 
