@@ -369,6 +369,29 @@ def test_license_scan_against_every_template(spark):
     assert got[len(texts) - 4].license == "Apache-2.0"
 
 
+def test_license_scan_against_every_run_of_words(spark):
+    rng = random.Random(4)
+    templates = license_scan.TEMPLATES + (("Two", "One may copy this work freely.\n\nNo warranty of any kind is given by its makers."),)
+    notices = [t for _, t in templates]
+    texts = [f"{notices[0]} and then a good deal of other text that has nothing to do with it at all", "# Copyright x\n#\n# " + notices[4].replace("licensed", "licensed\n#") + "\n#\n# import of much else follows here", "x y z\n\n" + notices[-1] + "\n\nw v", "Licensed under CC BY-NC 4.0.", " * Licensed under CC\n * BY 4.0 or not", "licensed under " * 300]
+    for _ in range(30):
+        w = [f"f{k}" for k in range(rng.randrange(10))]
+        for _ in range(2):
+            some = [x for x in rng.choice(notices).split() if rng.random() < 0.93]
+            w += some + [rng.choice(some or ["q"]) for _ in range(rng.randrange(4))]
+        texts.append("".join(x + rng.choice((" ", " ", "\n", "\n\n")) for x in w))
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs_of(spark, texts), templates).collect()}
+    sets = [(name, license_scan.bigrams(license_scan.normal_words(t))) for name, t in templates]
+    for i, t in enumerate(texts):
+        w, best = license_scan.normal_words(t), 0.0
+        for a in range(len(w)):
+            for b in range(a + 2, min(len(w), a + 120) + 1):
+                g = set(zip(w[a:b], w[a + 1 : b], strict=False))
+                best = max(best, max(2 * len(g & x) / (len(g) + len(x)) for _, x in sets))
+        assert math.isclose(got[i].dice, best if best >= 0.8 - 1e-12 else 0.0), t
+    assert [got[i].licenses for i in range(6)] == [["Apache-2.0"], ["GPL-3.0"], ["Two"], ["CC-BY-NC-4.0"], ["CC-BY-4.0"], []]
+
+
 def test_ledger_policies_and_ablations(spark):
     texts = odd_texts() + ["word " * 60, "A B C " * 40, "\n".join(["same line of words"] * 20), "# $ % " * 30]
     book = quality_ledger.ledger(docs_of(spark, texts)).cache()

@@ -1,9 +1,10 @@
 """License scans: Dice coefficient of word bigrams between passages of a text and licence templates.
 
-The passages of a text are its lines, and the runs of lines between blank ones. Normalising keeps
-lower-case letters, digits and dots within numbers. Dice is 2 * common / (n + m) over the sets of
-bigrams (of a single word, the word); a template can reach the threshold only where the smaller set
-is at least threshold / (2 - threshold) of the larger, and only those are compared.
+Every run of words of a text is a passage, across lines, blank lines and comment signs. Normalising
+keeps lower-case letters, digits and dots within numbers. Dice is 2 * common / (n + m) over the sets
+of bigrams. Only runs that can be best are tried: they begin and end with bigrams of the template,
+hold neither of these twice, and stay within the sizes at which the threshold can be reached. Of
+runs that overlap the best Dice counts, then the longest run; a template of one word must be a line.
 
 Null, empty and blank texts have no passages and no licence. Rows are scanned one by one, whatever
 their doc_id.
@@ -12,7 +13,7 @@ their doc_id.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,53 +50,87 @@ def bigrams(words: list[str]) -> set[tuple[str, ...]]:
 
 
 class Templates:
-    """Templates by the size of their bigram sets."""
+    """Templates as sets of bigrams; of which ones each bigram is part."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float):
-        sets = sorted(((len(g), name, g) for name, text in templates if (g := bigrams(normal_words(text)))), key=lambda x: x[:2])
-        self.sizes, self.names, self.sets = ([x[k] for x in sets] for k in range(3))
-        self.threshold = threshold
+        sets = [(name, g) for name, text in templates if (g := bigrams(normal_words(text)))]
+        self.sets = [(name, g) for name, g in sets if len(next(iter(g))) > 1]
+        self.words = {next(iter(g))[0]: name for name, g in sorted(sets, key=lambda x: x[0], reverse=True) if len(next(iter(g))) == 1}
+        self.threshold = threshold - 1e-12
         self.ratio = threshold / (2 - threshold)
-        self.known = set().union(*self.sets)
-        self.least = min(self.sizes, default=1) * self.ratio
-        self.most = max(self.sizes, default=0) / self.ratio
-
-    def best(self, words: list[str]) -> tuple[float, str] | None:
-        """The highest Dice at the threshold or above, ties by name."""
-        n = len(words)
-        if n < self.least:
-            return None
-        grams = bigrams(words)
-        if not self.least <= len(grams) <= self.most or grams.isdisjoint(self.known):
-            return None
-        low = bisect_left(self.sizes, len(grams) * self.ratio - 1e-9)
-        high = bisect_right(self.sizes, len(grams) / self.ratio + 1e-9)
-        dice = [(2 * len(grams & self.sets[k]) / (len(grams) + self.sizes[k]), self.names[k]) for k in range(low, high)]
-        return min(((-d, name) for d, name in dice if d >= self.threshold - 1e-12), default=None)
-
-
-def passages(text: str) -> Iterator[str]:
-    lines = text.split("\n")
-    yield from lines
-    block: list[str] = []
-    for line in [*lines, ""]:
-        if line.strip():
-            block.append(line)
-            continue
-        if len(block) > 1:
-            yield "\n".join(block)
-        block = []
+        self.known = set().union(*(g for _, g in self.sets))
+
+    def runs(self, grams: list[tuple[str, str]], name: str, template: set[tuple[str, str]], starts: list[int]) -> Iterator[tuple[float, int, int, str]]:
+        """-Dice, -length, start and name of the best run from each start."""
+        m = len(template)
+        most = m / self.ratio + 1e-9
+        for i in starts:
+            seen: set[tuple[str, str]] = set()
+            common, best, end = 0, 0.0, i
+            for j in range(i, len(grams)):
+                g = grams[j]
+                if g in seen:
+                    if g == grams[i]:
+                        break
+                    continue
+                seen.add(g)
+                if len(seen) > most:
+                    break
+                if g in template:
+                    common += 1
+                    if (dice := 2 * common / (len(seen) + m)) > best:
+                        best, end = dice, j
+            if best >= self.threshold:
+                yield -best, i - end - 1, i, name
+
+    def found(self, words: list[str]) -> list[tuple[float, int, int, str]]:
+        """Dice, first and last word, and licence of the runs that match, none overlapping a better one."""
+        grams = list(zip(words, words[1:], strict=False))
+        hits = [k for k, g in enumerate(grams) if g in self.known]
+        if not hits:
+            return []
+        held = {grams[k] for k in hits}
+        runs = []
+        for name, template in self.sets:
+            if len(held & template) >= len(template) * self.ratio - 1e-9:
+                runs += self.runs(grams, name, template, [k for k in hits if grams[k] in template])
+        taken: list[tuple[int, int]] = []
+        out = []
+        for dice, length, start, name in sorted(runs):
+            end = start - length  # of the last word
+            at = bisect_left(taken, (start, end))
+            if (at and taken[at - 1][1] >= start) or (at < len(taken) and taken[at][0] <= end):
+                continue
+            taken.insert(at, (start, end))
+            out.append((-dice, start, end, name))
+        return out
+
+
+def matches(text: str | None, templates: Templates) -> list[tuple[float, str, str]]:
+    """Dice, licence and words of each passage that matches."""
+    if not text:
+        return []
+    words = normal_words(text)
+    out = [(dice, name, " ".join(words[start : end + 1])) for dice, start, end, name in templates.found(words)]
+    for line in text.split("\n") if templates.words else ():
+        if len(w := normal_words(line)) == 1 and w[0] in templates.words:
+            out.append((1.0, templates.words[w[0]], w[0]))
+    return out
+
+
+def passages(text: str, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> Iterator[str]:
+    """The words of the passages that match a template."""
+    for _, _, words in matches(text, Templates(templates, threshold)):
+        yield words
 
 
 def scan_text(text: str | None, templates: Templates) -> tuple[dict[str, float], int]:
     """The best Dice for each licence found, and the number of passages that match."""
     found: dict[str, float] = {}
-    n = 0
-    for p in passages(text) if text else ():
-        if got := templates.best(normal_words(p)):
-            n += 1
-            found[got[1]] = max(found.get(got[1], 0.0), -got[0])
-    return found, n
+    got = matches(text, templates)
+    for dice, name, _ in got:
+        found[name] = max(found.get(name, 0.0), dice)
+    return found, len(got)
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8, key: str = "doc_id") -> DataFrame:
