@@ -3,18 +3,25 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the
 folder that the executors share and reads it again, so that a lost executor costs one stage at most.
 All stages but the last return the columns of documents.
+
+Null, empty and blank texts go in the first stage, with all others of fewer than 50 words; a null
+doc_id or source stays as it is (a null source is one of its own, the last). Rows that repeat a
+doc_id are documents of their own if their texts differ; of equal texts, and of near copies, the
+least doc_id stays. Very long texts are held whole by one task, never cut. Empty tables give empty
+results. Columns beyond those of documents are handed on whatever their names, dots and the names
+that operators use inside included; only the last stage's own four columns (size, source_size,
+target, taken) take the place of such columns.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import decontaminate, jaccard_join, mixing, quality_ledger, substring_dedup
-from weftgraph.llm.common import table
+from weftgraph.llm.common import shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"

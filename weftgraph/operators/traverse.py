@@ -8,7 +8,6 @@ driver holds one count per level.
 from __future__ import annotations
 
 import itertools
-import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,14 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.plans.graph import read_as
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that the session names; where it names none, in one of this machine."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+from weftgraph.plans.shared import checkpointed
 
 
 def closure(links: DataFrame, most: int | None = None) -> DataFrame:
