@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from weftgraph.plans.shared import checkpointed, shared_folder  # noqa: F401  the operators take checkpointed from here
+
 #: A word is a run of characters other than these; `bytes.split()` splits at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The id that rows without a doc_id are ordered and joined under.
@@ -94,12 +96,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the shared folder that the session names; where it names none, in one of this machine."""
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder, which is smaller than a checkpoint of many rows."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Sieve:
+    """Which 64-bit hashes may be in a set: two bits for each, so that a no is always right.
+
+    There are 16 to 32 bits for each hash in the set, of which under 1.4 in 100 others pass, and at
+    most 2^29 of them (64 MB, the most that the driver sees and tasks hold); larger sets let more
+    others through, and lose none.
+    """
+
+    def __init__(self, hashes: DataFrame):
+        spark, (column,) = hashes.sparkSession, hashes.columns
+        self.bits = min(29, max(15, (hashes.count() * 16).bit_length()))
+        cells = F.array(*[F.shiftrightunsigned(column, k).bitwiseAND(F.lit((1 << self.bits) - 1)) for k in (0, 20)])
+        dealt = hashes.select(F.explode(cells).alias("cell")).select(F.shiftright("cell", 15).cast("int").alias("place"), F.col("cell").bitwiseAND(F.lit(0x7FFF)).alias("bit")).repartition("place")
+        held = np.zeros((1 << self.bits) // 8, np.uint8)
+        for place, part in dealt.groupBy("place").agg(F.bitmap_construct_agg("bit")).toLocalIterator():
+            held[place << 12 : (place + 1) << 12] = np.frombuffer(part, np.uint8)
+        self.cells = spark.sparkContext.broadcast(held)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        held, out = self.cells.value, np.ones(len(hashes), bool)
+        for k in (0, 20):
+            cell = (hashes.view(np.uint64) >> np.uint64(k)) & np.uint64((1 << self.bits) - 1)
+            out &= (held[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return out
+
+    def column(self, hashes: Column) -> Column:
+        def look(h: pd.Series) -> pd.Series:
+            return pd.Series(self.may_hold(h.to_numpy(np.int64)))
+
+        return F.pandas_udf(look, "boolean")(hashes)
 
 
 def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
@@ -115,10 +149,15 @@ def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
     return counts.where(level >= least).toPandas().sort_values(["n", key], ascending=[False, True])
 
 
-def keyed(docs: DataFrame, key: str = "doc_id") -> F.Column:
+def keyed(docs: DataFrame, key: str = "doc_id") -> Column:
     return F.coalesce(docs[key].cast("long"), F.lit(NO_ID))
 
 
-def tidy(df: DataFrame, *columns: str) -> DataFrame:
-    """Only these columns, whatever else the input holds."""
-    return df.select(*[df[c] for c in columns])
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, whatever their names."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+
+
+def parts_of(row: str, columns: list[str], **new: Column) -> list[Column]:
+    """The columns of such a struct, with some replaced."""
+    return [(new[c] if c in new else F.col(row).getField(c)).alias(c) for c in columns]

@@ -2,139 +2,220 @@
 
 Each run of `window` words has one anchor: the k words in it with the least hash, the first on a
 tie. The runs with one anchor make up a segment, the anchor extended both ways as far as it stays
-theirs; a text falls into about 2 / (window - k + 2) segments a word. Occurrences that share an
-anchor are joined. Equal segments match in all their runs: all but the first are repeats. The first
-occurrences of unlike segments on one anchor match in part: for these the runs are compared. The
-repeated runs of a document that touch make up its maximal repeats.
+theirs; a text falls into about 2 / (window - k + 2) segments a word. Occurrences of segments meet
+on their anchor. An equal segment is a repeat of the first one in all its runs. The first
+occurrences of unlike segments may match in part: where they agree with another one beyond the
+anchor on one side by half of what a run has left, their runs are compared. Repeated pieces that lie
+side by side in the document and in their earlier occurrence are then joined, past the segments'
+ends: these are the maximal repeats.
+
+Anchors that occur once never leave the tasks that find them, but for a few that a `Sieve` lets
+through; neither do texts in which nothing repeats. Anchors with more than one in 4096 of all shared
+occurrences are hot, so there are fewer than 4096 of them: theirs are dealt by document to 256 parts
+each, of which only the first ones meet again.
 
 Words are compared by 64-bit hashes, segments and runs by two of these (anchor and extension).
 
 Null and empty texts have no words. A null doc_id counts as the smallest id. Rows that repeat a
 doc_id are separate documents if their texts differ (in the order of a hash of the text) and one
-document, with equal results, if not. Texts under `window` words never change.
+document, with equal results, if not. Texts under `window` words never change; a very long text is
+held whole by one task, with about 100 bytes for each of its words. An empty table gives an empty
+result. Columns other than doc_id and text are not read; dedup_documents hands them on, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHashes, checkpointed, gram_hashes, keyed, map_arrow, mix, signed, split_words
+from .common import NO_ID, Sieve, WordHashes, gram_hashes, keyed, map_arrow, mix, parts_of, signed, split_words, whole, written
 
 _COUNT_BITS, _START_BITS = 6, 33  # of a position; a hash of the text comes before them
-_MOST_KEYS = 1_000_000  # of 16 bytes, that are sent to tasks
+_HOT, _DEAL = 4096, 256
+_CHUNK = 1 << 18  # words looked at together
 _THREE, _ODD = np.uint64(3), np.uint64(0x9E3779B97F4A7C15)
 
 
 def first_minima(values: np.ndarray, width: int) -> np.ndarray:
     """For each stretch of so many values, where its least value is first found."""
     at, have = np.arange(len(values)), 1
-    least = lambda a, b: np.where(values[b] < values[a], b, a)
+
+    def joined(values: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        later = values[step:] < values[:-step]
+        return np.where(later, values[step:], values[:-step]), np.where(later, at[step:], at[:-step])
+
     while have * 2 <= width:
-        at = least(at[:-have], at[have:])
+        values, at = joined(values, at, have)
         have *= 2
-    rest = width - have
-    return least(at[: len(at) - rest], at[rest:]) if rest else at
+    return joined(values, at, width - have)[1] if width > have else at
+
+
+@dataclass
+class Segments:
+    """The segments of some texts whose word hashes `h` stand end to end; starts count from the beginning of the text."""
+
+    h: np.ndarray
+    runs: np.ndarray  # hash of the run at each place in h
+    anchor: np.ndarray
+    at: np.ndarray  # of the anchor, in h
+    first: np.ndarray  # run of each segment, in h
+    count: np.ndarray  # of runs
+    key: np.ndarray
+    place: np.ndarray  # text hash, start of the first run and number of runs, packed
+    tag: np.ndarray
+    start: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, tags: np.ndarray, sizes: np.ndarray, h: np.ndarray, window: int, k: int) -> Segments:
+        runs = gram_hashes(h, window)
+        begin = np.cumsum(sizes) - sizes
+        text = np.repeat(np.arange(len(sizes)), sizes)[: len(runs)]
+        whole = np.flatnonzero(np.arange(window, len(h) + 1) <= (begin + sizes)[text])  # runs that stay in their text
+        least = first_minima(gram_hashes(h, k), window - k + 1)[whole]
+        new = np.flatnonzero(np.diff(least, prepend=-1))
+        first, count, at = whole[new], np.diff(new, append=len(whole)), least[new]
+        text = text[first]
+        start = first - begin[text]
+        return cls(h, runs, gram_hashes(h, k)[at], at, first, count, keys[text], _packed(tags[text], start, count), tags[text], start)
+
+    def some(self, which: np.ndarray) -> Segments:
+        return Segments(self.h, self.runs, *(getattr(self, f)[which] for f in ("anchor", "at", "first", "count", "key", "place", "tag", "start")))
+
+    def hashes(self) -> np.ndarray:
+        return mix(self.runs[self.first] * _ODD + self.runs[self.first + self.count - 1] * _THREE + self.count.astype(np.uint64))
+
+    def sides(self, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of each anchor with half of what a run has beyond it, to the left and to the right; over a text's ends any value."""
+        more = (window - k + 1) // 2
+        longer = gram_hashes(self.h, k + more)
+        out = []
+        for start in (self.at - more, self.at):
+            there = (start >= 0) & (start < len(longer))
+            side = mix(self.at.astype(np.uint64) + _ODD)
+            side[there] = longer[start[there]]
+            out.append((side >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        return out[0], out[1]
+
+
+def _segments(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[Segments]:
+    """Of texts (columns: k, th, text) that have a run at all, about `_CHUNK` words at a time."""
+    hashes = WordHashes()
+    held: list[tuple[int, int, np.ndarray]] = []
+
+    def out() -> Segments:
+        keys, tags, some = zip(*held, strict=True)
+        held.clear()
+        return Segments.of(np.array(keys, np.int64), np.array(tags, np.int64), np.fromiter(map(len, some), np.int64, len(some)), np.concatenate(some), window, k)
+
+    size = 0
+    for b in batches:
+        keys, tags = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for key, tag, text in zip(keys, tags, b.column(2), strict=True):
+            words = split_words(text.as_py())
+            if len(words) >= window:
+                held.append((key, tag, hashes.of(words)))
+                size += len(words)
+                if size >= _CHUNK:
+                    yield out()
+                    size = 0
+    if held:
+        yield out()
+
+
+def _packed(tag: np.ndarray, start: np.ndarray, count: np.ndarray | int) -> np.ndarray:
+    return (tag << (_START_BITS + _COUNT_BITS)) + (start << _COUNT_BITS) + count
 
 
-def segments(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, segment hash, first run and number of runs of each segment of a text's word hashes."""
-    anchors, runs = gram_hashes(h, k), gram_hashes(h, window)
-    at = first_minima(anchors, window - k + 1)
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    count = np.diff(first, append=len(at))
-    whole = mix(runs[first] * _ODD + runs[first + count - 1] * _THREE + count.astype(np.uint64))
-    return anchors[at[first]], whole, first, count
+#: What `at` packs, as SQL.
+_START = f"shiftright({{}}, {_COUNT_BITS}) & {(1 << _START_BITS) - 1}L"
+_RUNS = f"{{}} & {(1 << _COUNT_BITS) - 1}L"
+_TAG = f"shiftrightunsigned({{}}, {_START_BITS + _COUNT_BITS})"
+
 
+def _place_hash(k: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(k.view(np.uint64) * _ODD + at.view(np.uint64) * _THREE)
 
-def _numbered(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Key, text hash and words of the texts that have a run at all; columns: k, th, text."""
-    keys, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    for n, text in enumerate(batch.column(2).to_pylist()):
-        words = split_words(text)
-        if len(words) >= window:
-            yield keys[n], tags[n], words
+
+def _dealt(hot: np.ndarray, anchor: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """0, or for hot anchors one of `_DEAL` parts by the document."""
+    out = np.zeros(len(anchor), np.int16)
+    if len(hot) and len(anchor):
+        at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+        some = hot[at] == anchor
+        out[some] = 1 + (mix(keys[some].view(np.uint64) * _ODD) % np.uint64(_DEAL)).astype(np.int16)
+    return out
 
 
 def _anchor_counts(rows: DataFrame, window: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        hashes = WordHashes()
-        for b in batches:
-            found = [segments(hashes.of(w), window, k)[0] for _, _, w in _numbered(b, window)]
-            if found:
-                anchor, n = np.unique(np.concatenate(found), return_counts=True)
-                yield {"anchor": signed(anchor), "n": n}
+        for s in _segments(batches, window, k):
+            anchor, n = np.unique(s.anchor, return_counts=True)
+            yield {"anchor": signed(anchor), "n": n}
 
-    return map_arrow(rows, run, "anchor long, n long")
+    return map_arrow(rows, run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def _occurrences(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """anchor, segment, k and at: text hash, first run and number of runs, packed in this order."""
+def _occurrences(rows: DataFrame, window: int, k: int, shared: Sieve, hot: Broadcast) -> DataFrame:
+    """anchor, part, segment, left, right, k and at of the segments on anchors that may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        hashes = WordHashes()
-        for b in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
-            for key, tag, words in _numbered(b, window):
-                anchor, whole, first, count = segments(hashes.of(words), window, k)
-                at = (np.int64(tag) << (_START_BITS + _COUNT_BITS)) + (first << _COUNT_BITS) + count
-                parts.append((anchor, whole, np.full(len(at), key), at))
-            if parts:
-                anchor, whole, keys, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield {"anchor": signed(anchor), "segment": signed(whole), "k": keys, "at": at}
+        for s in _segments(batches, window, k):
+            s = s.some(np.flatnonzero(shared.may_hold(s.anchor)))
+            left, right = s.sides(window, k)
+            anchor = signed(s.anchor)
+            yield {"anchor": anchor, "part": _dealt(hot.value, anchor, s.key), "segment": signed(s.hashes()), "left": left, "right": right, "k": s.key, "at": s.place}
 
-    return map_arrow(rows, run, "anchor long, segment long, k long, at long")
+    return map_arrow(rows, run, "anchor long, part short, segment long, left int, right int, k long, at long")
 
 
-#: What `at` packs, as SQL.
-_START = f"shiftright(at, {_COUNT_BITS}) & {(1 << _START_BITS) - 1}L"
-_RUNS = f"at & {(1 << _COUNT_BITS) - 1}L"
-_TAG = f"shiftrightunsigned(at, {_START_BITS + _COUNT_BITS})"
+def _runs(rows: DataFrame, window: int, k: int, wanted: Sieve, hot: Broadcast) -> DataFrame:
+    """anchor, part, segment (here one run), k and at of the runs in the segments at places that may be wanted."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for s in _segments(batches, window, k):
+            s = s.some(np.flatnonzero(wanted.may_hold(_place_hash(s.key, s.place))))
+            each = np.repeat(np.arange(len(s.count)), s.count)
+            more = np.arange(len(each)) - np.repeat(np.cumsum(s.count) - s.count, s.count)
+            anchor, key = signed(s.anchor)[each], s.key[each]
+            yield {"anchor": anchor, "part": _dealt(hot.value, anchor, key), "segment": signed(s.runs[s.first[each] + more]), "k": key, "at": _packed(s.tag[each], s.start[each] + more, 1)}
 
-def _runs_of(rows: DataFrame, segs: DataFrame, window: int) -> DataFrame:
-    """anchor, run hash, k and at (of one run) for the runs of these segments; the texts come by a join on the key."""
-    by_doc = segs.select("k", F.expr(_TAG).alias("th"), F.struct("anchor", F.expr(_START).alias("a"), F.expr(_RUNS).alias("n")).alias("s")).groupBy("k", "th").agg(F.collect_list("s").alias("s"))
-    keys = segs.select("k", F.expr(_TAG).alias("th")).distinct()
-    if keys.count() <= _MOST_KEYS:  # then other texts need not be shuffled
-        rows = rows.join(F.broadcast(keys), ["k", "th"], "left_semi")
-    joined = rows.join(by_doc, ["k", "th"]).select("k", "th", "text", "s")
+    return map_arrow(rows, run, "anchor long, part short, segment long, k long, at long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        hashes = WordHashes()
-        for b in batches:
-            keys, tags, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
-            lists = b.column(3)
-            flat = lists.flatten()
-            anchors, starts, counts = (flat.field(x).to_numpy() for x in ("anchor", "a", "n"))
-            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            out: list[tuple[np.ndarray, ...]] = []
-            for n, text in enumerate(texts):
-                one = slice(ends[n], ends[n + 1])
-                count = counts[one]
-                runs = gram_hashes(hashes.of(split_words(text)), window)
-                at = np.repeat(starts[one] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                packed = (np.int64(tags[n]) << (_START_BITS + _COUNT_BITS)) + (at << _COUNT_BITS) + 1
-                out.append((np.repeat(anchors[one], count), signed(runs[at]), np.full(len(at), keys[n]), packed))
-            if out:
-                yield dict(zip(("anchor", "run", "k", "at"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
-
-    return map_arrow(joined, run, "anchor long, run long, k long, at long")
-
-
-def _tag(docs: DataFrame) -> F.Column:
+
+def _marked(found: DataFrame, *extra: Column) -> DataFrame:
+    """Occurrences with the first one (sk, sat) in their part, and whether they are that one."""
+    first = F.first(F.struct("k", "at")).over(Window.partitionBy("anchor", "part", "segment").orderBy("k", "at"))
+    rows = found.repartition("anchor", "part").select("anchor", "part", "segment", "k", "at", first.alias("first"), *extra)  # which suits all windows
+    return rows.select(*[c for c in rows.columns if c != "first"], F.col("first.k").alias("sk"), F.col("first.at").alias("sat"), ((F.col("k") == F.col("first.k")) & (F.col("at") == F.col("first.at"))).alias("is_first"))
+
+
+def _met_again(marked: DataFrame) -> DataFrame:
+    """The first ones of the parts of hot anchors, marked anew against all parts; at most `_DEAL` meet."""
+    return _marked(marked.where("is_first AND part > 0").select("anchor", F.lit(0).cast("short").alias("part"), "segment", "k", "at"))
+
+
+def _alike(side: str) -> Column:
+    """Whether an unlike segment has the same hash of this side."""
+    w = Window.partitionBy("anchor", "part", side)
+    return F.min("segment").over(w) != F.max("segment").over(w)
+
+
+def _tag(docs: DataFrame) -> Column:
     """Tells rows with one doc_id apart by their texts."""
     return F.shiftrightunsigned(F.xxhash64(docs["text"]), 64 - (63 - _START_BITS - _COUNT_BITS))
 
 
-def repeats(docs: DataFrame, window: int = 20, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): the documents as k, th, text; and k, th, a, n for runs of n from a that also start earlier.
+def repeats(docs: DataFrame, window: int = 20, k: int = 5) -> DataFrame:
+    """k, th, a, n, sk, sa: n runs from a on in a document that also stand, earlier, from sa on in sk.
 
     A run starts earlier with a smaller key, or in the same document before.
     """
@@ -142,18 +223,37 @@ def repeats(docs: DataFrame, window: int = 20, k: int = 5) -> tuple[DataFrame, D
         raise ValueError("k must be from 1 to window, and within 62 of it")
     text = docs["text"].cast("string")
     rows = docs.select(keyed(docs).alias("k"), _tag(docs).alias("th"), text.alias("text"))
-    often = checkpointed(_anchor_counts(rows, window, k).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
-    hits = checkpointed(_occurrences(rows, window, k).join(often, "anchor"))
-    firsts = hits.groupBy("anchor", "segment").agg(F.min(F.struct("k", "at")).alias("first"))
-    firsts = checkpointed(firsts.select("anchor", "segment", F.col("first.k").alias("fk"), F.col("first.at").alias("fat")))
-    later = hits.join(firsts, ["anchor", "segment"]).where("k != fk OR at != fat")
-    unlike = firsts.groupBy("anchor").agg(F.min("segment").alias("a"), F.max("segment").alias("b")).where("a != b").select("anchor")
-    partly = firsts.join(unlike, "anchor").select("anchor", F.col("fk").alias("k"), F.col("fat").alias("at"))
-    runs = _runs_of(rows, partly, window)
-    first_runs = runs.groupBy("anchor", "run").agg(F.min(F.struct("k", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later_runs = runs.join(first_runs.select("anchor", "run", "first"), ["anchor", "run"]).where("k != first.k OR at != first.at")
-    spans = later.select("k", "at").unionByName(later_runs.select("k", "at"))
-    return rows, spans.selectExpr("k", f"{_TAG} AS th", f"{_START} AS a", f"{_RUNS} AS n")
+    often = written(_anchor_counts(rows, window, k).where("n > 1"))
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = np.array(sorted(r.anchor for r in often.where(F.col("n") * _HOT > total).select("anchor").collect()), np.int64)  # fewer than _HOT
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    found = _occurrences(rows, window, k, Sieve(often.select("anchor")), sent)
+    marked = _marked(found, (_alike("left") | _alike("right")).alias("partly"))
+    gone = F.when(F.col("is_first"), F.col("anchor")).alias("anchor"), F.when(F.col("is_first"), F.col("segment")).alias("segment")
+    marked = written(marked.where("NOT is_first OR partly OR part > 0").select(*gone, "part", "k", "at", "sk", "sat", "is_first"))
+    again = _met_again(marked)
+    unlike = again.groupBy("anchor").agg(F.min("segment").alias("low"), F.max("segment").alias("high")).where("low != high").select("anchor")
+    partly = marked.where("is_first AND part = 0").select("k", "at").unionByName(again.where("is_first").join(F.broadcast(unlike), "anchor", "left_semi").select("k", "at"))  # fewer than _HOT anchors
+
+    def place(k: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series(signed(_place_hash(k.to_numpy(np.int64), at.to_numpy(np.int64))))
+
+    wanted = Sieve(partly.select(F.pandas_udf(place, "long")("k", "at").alias("h")))
+    runs = written(_marked(_runs(rows, window, k, wanted, sent)).where("NOT is_first OR part > 0"))
+    pieces = [x.where("NOT is_first").select("k", "at", "sk", "sat") for x in (marked, again, runs, _met_again(runs))]
+    pieces = pieces[0].unionByName(pieces[1]).unionByName(pieces[2]).unionByName(pieces[3])
+    return pieces.selectExpr("k", f"{_TAG.format('at')} AS th", f"{_START.format('at')} AS a", f"{_RUNS.format('at')} AS n", "sk", f"{_START.format('sat')} AS sa")
+
+
+def joined(a: np.ndarray, n: np.ndarray, sk: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces of one document that lie side by side here and in their source, joined: a, n, sk, sa of maximal repeats, in runs."""
+    order = np.lexsort((a, a - sa, sk))
+    a, n, sk, sa = a[order], n[order], sk[order], sa[order]
+    if not len(a):
+        return a, n, sk, sa
+    apart = (sk[1:] != sk[:-1]) | (a[1:] - sa[1:] != a[:-1] - sa[:-1]) | (a[1:] > a[:-1] + n[:-1])
+    first = np.flatnonzero(np.concatenate([[True], apart]))
+    return a[first], np.maximum.reduceat(a + n, first) - a[first], sk[first], sa[first]
 
 
 def covered(n_words: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -164,38 +264,68 @@ def covered(n_words: int, starts: np.ndarray, counts: np.ndarray, window: int) -
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame, window: int = 20, k: int = 5, text_out: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept, the text, if asked for) per document.
+_PIECES = ("a", "n", "sk", "sa")
+
+
+def _by_document(docs: DataFrame, window: int, k: int) -> tuple[DataFrame, Sieve]:
+    """k, th, s (the pieces) of the documents with repeats, and a sieve for the hashes of k and th."""
+    pieces = repeats(docs, window, k)
+    keys = pieces.select("k", "th").distinct()
+    return pieces.groupBy("k", "th").agg(F.collect_list(F.struct(*_PIECES)).alias("s")), Sieve(keys.select(F.xxhash64("k", "th").alias("h")))
+
+
+def _repeats_of(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """The maximal repeats of each row of a list column of pieces."""
+    flat = column.flatten()
+    values = [flat.field(x).to_numpy() for x in _PIECES]
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy())
+    for start, end in zip(np.concatenate([[0], ends[:-1]]).astype(int), ends, strict=True):
+        yield joined(*(v[start:end] for v in values))
+
+
+def maximal_repeats(docs: DataFrame, window: int = 20, k: int = 5) -> DataFrame:
+    """doc_id, start, n_words, source_id, source_start: stretches of at least `window` words that also stand earlier, in words from 0.
 
-    Kept words are joined by one space. In `kept`, a text that loses nothing stays as it is.
+    Each run of words counts with one earlier place: the first, or with hot anchors the first of its part.
     """
-    rows, spans = repeats(docs, window, k)
-    by_doc = spans.groupBy("k", "th").agg(F.collect_list(F.struct("a", "n")).alias("s"))
-    joined = rows.join(by_doc, ["k", "th"], "left").select("k", "text", "s")
+    pieces, _ = _by_document(docs, window, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            for key, (a, n, sk, sa) in zip(keys, _repeats_of(b.column(1)), strict=True):
+                yield {"k": np.full(len(a), key), "start": a, "n_words": n + window - 1, "sk": sk, "source_start": sa}
+
+    out = map_arrow(pieces.select("k", "s"), run, "k long, start long, n_words long, sk long, source_start long")
+    return out.select(_id("k").alias("doc_id"), "start", "n_words", _id("sk").alias("source_id"), "source_start")
+
+
+def _id(key: str) -> Column:
+    return F.when(F.col(key) != NO_ID, F.col(key))
+
+
+def dedup(docs: DataFrame, window: int = 20, k: int = 5) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256, of the kept words joined by one space, per document."""
+    by_doc, sieve = _by_document(docs, window, k)
+    rows = docs.select(keyed(docs).alias("k"), _tag(docs).alias("th"), docs["text"].cast("string").alias("text")).withColumn("may", sieve.column(F.xxhash64("k", "th")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-            flat = b.column(2).flatten()
-            starts, counts = flat.field("a").to_numpy(), flat.field("n").to_numpy()
-            done = 0
-            for text, size in zip(b.column(1).to_pylist(), b.column(2).value_lengths().fill_null(0).to_pylist(), strict=True):
+            out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": []}
+            for text, (a, n, _, _) in zip(b.column(1).to_pylist(), _repeats_of(b.column(2)), strict=True):
                 words = kept = split_words(text)
-                if size:
-                    gone = covered(len(words), starts[done : done + size], counts[done : done + size], window)
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    done += size
-                joined_words = b" ".join(kept)
+                if len(a):
+                    kept = [w for w, g in zip(words, covered(len(words), a, n, window).tolist(), strict=True) if not g]
                 out["n_words"].append(len(words))
                 out["n_removed"].append(len(words) - len(kept))
-                out["kept_sha256"].append(hashlib.sha256(joined_words).hexdigest())
-                if text_out:
-                    out["kept"].append(joined_words.decode("utf-8", "surrogatepass") if size else text)
-            yield {"k": b.column(0)} | {c: v for c, v in out.items() if text_out or c != "kept"}
+                out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            yield {"k": b.column(0)} | out
 
-    schema = "k long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text_out
-    out = map_arrow(joined, run, schema)
-    return out.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), *out.columns[1:])
+    none = F.lit(None).cast(by_doc.schema["s"].dataType).alias("s")
+    schema = "k long, n_words long, n_removed long, kept_sha256 string"
+    met = map_arrow(rows.where("may").join(by_doc, ["k", "th"], "left").select("k", "text", "s"), run, schema)
+    out = map_arrow(rows.where("NOT may").select("k", "text", none), run, schema).unionByName(met)
+    return out.select(_id("k").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def dedup_documents(docs: DataFrame, window: int = 20, k: int = 5) -> DataFrame:
@@ -204,22 +334,25 @@ def dedup_documents(docs: DataFrame, window: int = 20, k: int = 5) -> DataFrame:
     A text that loses nothing stays as it is, a text that loses something has one space between words,
     and a row that loses all its words goes.
     """
-    _, spans = repeats(docs, window, k)
-    by_doc = spans.groupBy(F.col("k").alias("_k"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("a", "n")).alias("_s"))
+    by_doc, sieve = _by_document(docs, window, k)
 
-    def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, pieces: pd.Series) -> pd.Series:
         out = []
-        for text, some in zip(texts, runs, strict=True):
+        for text, some in zip(texts, pieces, strict=True):
             if some is not None and len(some):
                 words = split_words(text)
-                gone = covered(len(words), np.array([x["a"] for x in some]), np.array([x["n"] for x in some]), window)
+                a, n, _, _ = joined(*(np.array([x[f] for x in some]) for f in _PIECES))
+                gone = covered(len(words), a, n, window)
                 text = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode("utf-8", "surrogatepass")
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), keyed(docs).alias("_k"), _tag(docs).alias("_th"))
-    joined = rows.join(by_doc, ["_k", "_th"], "left")
-    cut_text = F.pandas_udf(cut, "string")(F.col("_row.text"), F.col("_s"))
-    kept = joined.select("_row", "_s", cut_text.alias("_text")).where("_s IS NULL OR _text != ''")
-    counted = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return kept.select(*[F.when(F.col("_s").isNull(), F.col("_row").getField(c)).otherwise(counted[c]).alias(c) if c in counted else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    rows = docs.select(whole(docs).alias("row"), keyed(docs).alias("k"), _tag(docs).alias("th"))
+    rows = rows.withColumn("may", sieve.column(F.xxhash64("k", "th")))
+    met = rows.where("may").join(by_doc, ["k", "th"], "left")
+    met = met.select("row", "s", F.pandas_udf(cut, "string")(F.col("row.text"), F.col("s")).alias("cut")).where("s IS NULL OR cut != ''")
+    lost = F.col("s").isNotNull()
+    new = {"text": F.when(lost, F.col("cut")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(lost, F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.where("NOT may").select(*parts_of("row", docs.columns)).unionByName(met.select(*parts_of("row", docs.columns, **new)))
