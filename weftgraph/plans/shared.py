@@ -1,8 +1,9 @@
-"""The folder that driver and executors share, and lineage cut there."""
+"""The folder that driver and executors share, lineage cut there, and joins on keys of very unlike sizes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,3 +26,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def met(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", most: int = 1024) -> DataFrame:
+    """rows joined (inner or left) with other, which has one row for each key; rows should be cheap to read twice.
+
+    Keys with more than one in `most` of all rows, fewer than `most`, meet their rows by a broadcast, so
+    that no task receives such a key's rows; the others meet in a shuffle.
+    """
+    total = rows.count()
+    hot = F.broadcast(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * most > total).select(key))
+    there = rows.join(hot, key, "left_semi").join(F.broadcast(other.join(hot, key, "left_semi")), key, how)
+    return there.unionByName(rows.join(hot, key, "left_anti").join(other, key, how))
