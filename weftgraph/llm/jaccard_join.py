@@ -16,9 +16,15 @@ centre; afterwards only what the centre's component does not hold meets the othe
 Links come as a spanning forest: no link between different texts is lost to the components, though
 copies and connected texts are not expanded into all pairs.
 
+Keys that one set alone has never meet others, but for a few that a `Sieve` lets through, and neither
+do texts outside the roots. Keys, centres and sets with a large share of the rows are joined by a
+broadcast of their fewer than 1024 counterparts, whatever the number of their rows.
+
 Null, empty and blank texts have the empty set and are linked with nothing. Rows that repeat a
 doc_id are documents of their own; a null doc_id takes part, but names a component only if no other
-id is in it. Sets are told apart by 64-bit hashes.
+id is in it. Sets are told apart by 64-bit hashes. A very long text is held whole by one task, with
+about 100 bytes for each of its words. An empty table gives an empty result. Columns other than
+doc_id and text are not read; one_of_each hands them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,14 +40,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, checkpointed, gram_hashes, keyed, lists, map_arrow, mix, signed
+from weftgraph.operators.traverse import components
+from weftgraph.plans.shared import met
+
+from .common import Sieve, WordHashes, gram_hashes, keyed, lists, map_arrow, mix, parts_of, signed, whole, written
 
 _FANOUT = 8
 _PAIR_WORDS = 1 << 20  # bitmap words compared at a time
 _GRAMS = 2048  # n-grams for each set of a block
+_HELD_SETS = 200_000  # whose keys a task remembers to have given
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,7 +141,7 @@ def part_keys(members: np.ndarray, how: Likeness) -> np.ndarray:
 
 
 def _leaves(rows: DataFrame, how: Likeness) -> DataFrame:
-    """doc_id, k, th, n, sid of each text, and with the first of equal sets in a task its keys."""
+    """doc_id, k, th, n, sid of each text, and its keys, but for sets that a task has met lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashes, known = WordHashes(), set()
@@ -141,6 +151,8 @@ def _leaves(rows: DataFrame, how: Likeness) -> DataFrame:
                 members = np.unique(shingles(text, how.n, hashes))
                 sid = set_id(members) if len(members) else None
                 keys.append(np.empty(0, np.uint64) if sid is None or sid in known else part_keys(members, how))
+                if len(known) >= _HELD_SETS:
+                    known.clear()
                 known.add(sid)
                 sizes.append(len(members))
                 ids.append(sid)
@@ -262,39 +274,21 @@ def _link_groups(rows: DataFrame, how: Likeness, leaves: int) -> DataFrame:
     return map_arrow(dealt, run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node of the links: its component's least node, by alternating stars."""
-
-    def mark(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-
-    e = checkpointed(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    seen = None
-    while (now := mark(e)) != seen:
-        seen = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    roots = e.select(F.col("v").alias("node")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
-
-
-def _with_texts(dealt: DataFrame, rows: DataFrame, most: int = 500_000) -> DataFrame:
-    """dealt (g1, g2, sid, part, k, th) with its texts, packed; so few rows go to the texts, more meet them in a shuffle."""
-    dealt = checkpointed(dealt.select("g1", "g2", "sid", "part", "k", "th"))
-    sent = F.broadcast if dealt.count() <= most else lambda df: df
+def _with_texts(dealt: DataFrame, rows: DataFrame) -> DataFrame:
+    """dealt (g1, g2, sid, part, k, th) with its texts, packed; hardly any other text leaves its task."""
+    dealt = written(dealt.select("g1", "g2", "sid", "part", "k", "th"))
+    sieve = Sieve(dealt.select("k", "th").distinct().select(F.xxhash64("k", "th").alias("h")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         packer = zstandard.ZstdCompressor()
         for b in batches:
-            yield {"sid": b.column(0), "text": [packer.compress((x or "").encode("utf-8", "surrogatepass")) for x in b.column(1).to_pylist()]}
+            some = np.flatnonzero(sieve.may_hold(b.column(3).to_numpy()))
+            if len(some):
+                b = b.take(pa.array(some))
+                yield {"k": b.column(0), "th": b.column(1), "text": [packer.compress((x or "").encode("utf-8", "surrogatepass")) for x in b.column(2).to_pylist()]}
 
-    wanted = dealt.select("sid", "k", "th").distinct()
-    texts = map_arrow(rows.join(sent(wanted), ["k", "th"]).select("sid", "text"), pack, "sid long, text binary")
-    return texts.join(sent(dealt.drop("k", "th")), "sid")
+    packed = map_arrow(rows.select("k", "th", "text", F.xxhash64("k", "th").alias("h")), pack, "k long, th long, text binary")
+    return packed.dropDuplicates(["k", "th"]).join(dealt, ["k", "th"])
 
 
 def _chunk(size: str, total: str, block: int) -> F.Column:
@@ -305,12 +299,12 @@ def _chunk(size: str, total: str, block: int) -> F.Column:
 def _rest(first: DataFrame, links: DataFrame, rows: DataFrame, how: Likeness, block: int) -> DataFrame:
     """Links across the blocks of one root: what the centre's component doesn't hold meets everything in its root."""
     comp = components(links)
-    held = first.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("root", "sid")).drop("root")
+    held = written(first.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("root", "sid")).drop("root"))
     centre = held.where("sid = c").select("c", F.col("part").alias("own"))
-    held = held.join(centre, "c").withColumn("out", F.col("part") != F.col("own"))
+    held = written(met(held, centre, "c").withColumn("out", F.col("part") != F.col("own")))
     sizes = held.groupBy("c").agg(F.count_if("out").alias("no"), F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)).alias("to"), F.count_if(~F.col("out")).alias("nl"), F.sum(F.when(F.col("out"), 0).otherwise(F.col("n"))).alias("tl"))
     sizes = sizes.where("no > 0").select("c", _chunk("no", "to", block).alias("qo"), _chunk("nl", "tl", block).alias("ql"))
-    held = held.join(sizes, "c").withColumn("at", F.pmod(F.xxhash64("sid"), F.when(F.col("out"), F.col("qo")).otherwise(F.col("ql"))))
+    held = met(held, sizes, "c").withColumn("at", F.pmod(F.xxhash64("sid"), F.when(F.col("out"), F.col("qo")).otherwise(F.col("ql"))))
     # pairs of blocks (i of the outer sets, j of the outer or, from qo on, of the inner ones)
     outer = held.where("out").withColumn("pair", F.explode(F.expr("transform(sequence(0L, qo + ql - 1), j -> IF(j < at, struct(j AS i, at AS j), struct(at AS i, j AS j)))")))
     inner = held.where("NOT out").withColumn("pair", F.explode(F.expr("transform(sequence(0L, qo - 1), i -> struct(i AS i, qo + at AS j))")))
@@ -324,51 +318,58 @@ def links(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> tup
     A block has about `block` sets, or `_GRAMS` * `block` n-grams, whichever comes first.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), keyed(docs).alias("k"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
-    leaves = checkpointed(_leaves(rows, how))
-    alike = Window.partitionBy("key")
-    met = leaves.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "sid").select("sid", F.min("sid").over(alike).alias("c"), F.max("sid").over(alike).alias("other"))
-    edges = checkpointed(met.where("c != other").select("c", "sid").distinct())
+    leaves = written(_leaves(rows, how))
+    keys = leaves.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "sid")
+    often = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    keys = written(keys.where(Sieve(often).column(F.col("key"))))
+    least = keys.groupBy("key").agg(F.min("sid").alias("c"), F.max("sid").alias("other")).where("c != other").select("key", "c")
+    edges = written(met(keys, least, "key").select("c", "sid").distinct())
     upper = edges.groupBy(F.col("sid").alias("c")).agg(F.min("c").alias("root"))  # the centre's own least centre takes its place
-    edges = edges.join(upper, "c").select(F.col("root").alias("c"), "sid")
+    edges = met(edges, upper, "c").select(F.col("root").alias("c"), "sid")
     edges = edges.unionByName(edges.select("c", F.col("c").alias("sid"))).distinct()
     classes = leaves.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("k", "th")).alias("rep"), F.first("n").alias("n"))
-    held = checkpointed(edges.join(classes, "sid").select("c", "sid", "n", "rep.k", "rep.th"))
+    held = written(edges.join(classes, "sid").select("c", "sid", "n", "rep.k", "rep.th"))
     sizes = held.groupBy("c").agg(F.count("*").alias("size"), F.sum("n").alias("total")).select("c", _chunk("size", "total", block).alias("q"))
-    dealt = held.join(sizes, "c")
+    dealt = met(held, sizes, "c")
     at = F.when(F.col("sid") == F.col("c"), F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("q"))))
     first = dealt.select(F.col("c").alias("g1"), F.explode(at).alias("g2"), "sid", F.col("sid").alias("part"), "k", "th")
     texts = rows.select("k", "th", "text")
-    found = checkpointed(_link_groups(_with_texts(first, texts), how, block))
-    large = checkpointed(dealt.where("q > 1").select("c", "sid", "n", "k", "th"))
+    found = written(_link_groups(_with_texts(first, texts), how, block))
+    large = written(dealt.where("q > 1").select("c", "sid", "n", "k", "th"))
     if not large.isEmpty():
         found = found.unionByName(_rest(large, found, texts, how, block))
     return leaves.select("doc_id", "k", "th", "n", "sid"), found
 
 
-def classified(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> DataFrame:  # noqa: B008
-    """doc_id, k, th, n, sid and root (the least sid of the component) for each row of docs."""
-    leaves, found = links(docs, how, block)
-    return leaves.join(components(found).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-
-
 def near_duplicates(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id for each row of docs."""
     leaves, found = links(docs, how, block)
-    least = leaves.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    linked = checkpointed(components(found).select(F.col("node").alias("sid"), "root").join(least, "sid"))
-    by_root = checkpointed(linked.groupBy("root").agg(F.min("least").alias("of_root")))
-    named = least.join(linked.join(by_root, "root").select("sid", "of_root"), "sid", "left")
-    named = checkpointed(named.select("sid", F.when(F.col("of_root").isNull(), F.col("least")).otherwise(F.col("of_root")).alias("component_id")))
-    return leaves.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    some = leaves.where("sid IS NOT NULL")
+    least = some.groupBy("sid").agg(F.min("doc_id").alias("least"))
+    linked = written(components(found).select(F.col("node").alias("sid"), "root").join(least, "sid"))
+    by_root = linked.groupBy("root").agg(F.min("least").alias("of_root"))
+    named = least.join(met(linked, by_root, "root").select("sid", "root", "of_root"), "sid", "left")
+    named = written(named.select("sid", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("of_root")).alias("component_id")))
+    out = met(some, named, "sid").unionByName(leaves.where("sid IS NULL").withColumn("component_id", F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> DataFrame:  # noqa: B008
     """docs without near copies: of each component the row with the least doc_id stays, and every row without words.
 
-    Among rows with this doc_id the least hash of the text decides, and one of equal rows stays.
+    Among rows with this doc_id the least hash of the text decides, and one of equal rows stays. Rows
+    that stay are not shuffled, but for those that others equal and a few more.
     """
-    first = classified(docs, how, block).where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("k", "th")).alias("rep")).select(F.col("rep.k").alias("_k"), F.col("rep.th").alias("_th"))
-    blank = F.regexp_count(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(WORD)) == 0
-    rows = docs.select(F.struct(*docs.columns).alias("row"), keyed(docs).alias("_k"), F.xxhash64(docs["text"]).alias("_th"), blank.alias("blank"))
-    kept = rows.where("NOT blank").join(first, ["_k", "_th"]).dropDuplicates(["_k", "_th"])
-    return kept.select("row.*").unionByName(rows.where("blank").select("row.*"))
+    leaves, found = links(docs, how, block)
+    places = written(leaves.where("sid IS NOT NULL").groupBy("sid", "k", "th").agg(F.count("*").alias("rows")))
+    placed = written(met(places, components(found).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    first = placed.groupBy("root").agg(F.min(F.struct("k", "th")).alias("rep"))
+    wanted = met(placed, first, "root").withColumn("gone", (F.col("k") != F.col("rep.k")) | (F.col("th") != F.col("rep.th"))).where("gone OR rows > 1")
+    wanted = written(wanted.select(F.col("k").alias("_k"), F.col("th").alias("_th"), "gone"))
+    sieve = Sieve(wanted.select(F.xxhash64("_k", "_th").alias("h")))
+    rows = docs.select(whole(docs).alias("row"), keyed(docs).alias("_k"), F.xxhash64(docs["text"]).alias("_th"))
+    rows = rows.withColumn("may", sieve.column(F.xxhash64("_k", "_th")))
+    some = rows.where("may").join(wanted, ["_k", "_th"], "left").where("gone IS NULL OR NOT gone")
+    once = some.where("gone IS NOT NULL").dropDuplicates(["_k", "_th"])
+    kept = rows.where("NOT may").select("row").unionByName(some.where("gone IS NULL").select("row")).unionByName(once.select("row"))
+    return kept.select(*parts_of("row", docs.columns))
