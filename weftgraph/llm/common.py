@@ -20,7 +20,7 @@ from weftgraph.plans.shared import checkpointed, shared_folder  # noqa: F401  th
 WORD = r"[^\x20\x09-\x0D]+"
 #: The id that rows without a doc_id are ordered and joined under.
 NO_ID = -(2**63)
-_HELD_WORDS = 400_000
+_HELD_WORDS = 1 << 17
 
 
 def split_words(text: str | None) -> list[bytes]:

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.traverse import components
@@ -51,6 +51,7 @@ from .common import Sieve, WordHashes, gram_hashes, keyed, lists, map_arrow, mix
 _FANOUT = 8
 _PAIR_WORDS = 1 << 20  # bitmap words compared at a time
 _GRAMS = 2048  # n-grams for each set of a block
+_HOT = 4096
 _HELD_SETS = 200_000  # whose keys a task remembers to have given
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,24 +141,37 @@ def part_keys(members: np.ndarray, how: Likeness) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _leaves(rows: DataFrame, how: Likeness) -> DataFrame:
-    """doc_id, k, th, n, sid of each text, and its keys, but for sets that a task has met lately."""
+def _sets(texts: pa.Array, how: Likeness, hashes: WordHashes, known: set[int]) -> Iterator[tuple[int, int | None, np.ndarray]]:
+    """Size, id and keys of each text's set; no keys for sets that the task has met lately."""
+    for text in texts.to_pylist():
+        members = np.unique(shingles(text, how.n, hashes))
+        sid = set_id(members) if len(members) else None
+        if len(known) >= _HELD_SETS:
+            known.clear()
+        yield len(members), sid, np.empty(0, np.uint64) if sid is None or sid in known else part_keys(members, how)
+        known.add(sid)
+
+
+def _shared_keys(rows: DataFrame, how: Likeness) -> DataFrame:
+    """key, n: keys that several sets have, or one set in several tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        hashes, known = WordHashes(), set()
+        for b in batches:
+            yield {"key": signed(np.concatenate([np.empty(0, np.uint64), *(keys for _, _, keys in _sets(b.column(3), how, hashes, known))]))}
+
+    return map_arrow(rows, run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _leaves(rows: DataFrame, how: Likeness, shared: Sieve) -> DataFrame:
+    """doc_id, k, th, n, sid of each text, and those of its keys that may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashes, known = WordHashes(), set()
         for b in batches:
-            sizes, ids, keys = [], [], []
-            for text in b.column(3).to_pylist():
-                members = np.unique(shingles(text, how.n, hashes))
-                sid = set_id(members) if len(members) else None
-                keys.append(np.empty(0, np.uint64) if sid is None or sid in known else part_keys(members, how))
-                if len(known) >= _HELD_SETS:
-                    known.clear()
-                known.add(sid)
-                sizes.append(len(members))
-                ids.append(sid)
-            flat = np.concatenate([np.empty(0, np.uint64), *keys])
-            yield {"doc_id": b.column(0), "k": b.column(1), "th": b.column(2), "n": sizes, "sid": ids, "keys": lists(signed(flat), list(map(len, keys)), pa.int64())}
+            sizes, ids, keys = zip(*_sets(b.column(3), how, hashes, known), strict=True) if b.num_rows else ((), (), ())
+            some = [x[shared.may_hold(x)] for x in keys]
+            yield {"doc_id": b.column(0), "k": b.column(1), "th": b.column(2), "n": sizes, "sid": ids, "keys": lists(signed(np.concatenate([np.empty(0, np.uint64), *some])), list(map(len, some)), pa.int64())}
 
     return map_arrow(rows, run, "doc_id long, k long, th long, n long, sid long, keys array<long>")
 
@@ -318,12 +332,16 @@ def links(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> tup
     A block has about `block` sets, or `_GRAMS` * `block` n-grams, whichever comes first.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), keyed(docs).alias("k"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
-    leaves = written(_leaves(rows, how))
+    often = written(_shared_keys(rows, how))
+    leaves = written(_leaves(rows, how, Sieve(often.select("key"))))
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(often.where(F.col("n") * _HOT > total).select("key"))  # fewer than _HOT rows
     keys = leaves.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "sid")
-    often = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    keys = written(keys.where(Sieve(often).column(F.col("key"))))
-    least = keys.groupBy("key").agg(F.min("sid").alias("c"), F.max("sid").alias("other")).where("c != other").select("key", "c")
-    edges = written(met(keys, least, "key").select("c", "sid").distinct())
+    alike = Window.partitionBy("key")
+    met_by_key = keys.join(hot, "key", "left_anti").select("sid", F.min("sid").over(alike).alias("c"), F.max("sid").over(alike).alias("other")).where("c != other").select("c", "sid")
+    at_hot = keys.join(hot, "key", "left_semi")
+    centres = F.broadcast(at_hot.groupBy("key").agg(F.min("sid").alias("c")))
+    edges = written(met_by_key.unionByName(at_hot.join(centres, "key").select("c", "sid")).distinct())
     upper = edges.groupBy(F.col("sid").alias("c")).agg(F.min("c").alias("root"))  # the centre's own least centre takes its place
     edges = met(edges, upper, "c").select(F.col("root").alias("c"), "sid")
     edges = edges.unionByName(edges.select("c", F.col("c").alias("sid"))).distinct()

@@ -191,16 +191,16 @@ def _runs(rows: DataFrame, window: int, k: int, wanted: Sieve, hot: Broadcast) -
     return map_arrow(rows, run, "anchor long, part short, segment long, k long, at long")
 
 
-def _marked(found: DataFrame, *extra: Column) -> DataFrame:
+def _marked(found: DataFrame, *extra: Column, deal: str = "part") -> DataFrame:
     """Occurrences with the first one (sk, sat) in their part, and whether they are that one."""
     first = F.first(F.struct("k", "at")).over(Window.partitionBy("anchor", "part", "segment").orderBy("k", "at"))
-    rows = found.repartition("anchor", "part").select("anchor", "part", "segment", "k", "at", first.alias("first"), *extra)  # which suits all windows
+    rows = found.repartition("anchor", deal).select("anchor", "part", "segment", "k", "at", first.alias("first"), *extra)  # which suits all windows
     return rows.select(*[c for c in rows.columns if c != "first"], F.col("first.k").alias("sk"), F.col("first.at").alias("sat"), ((F.col("k") == F.col("first.k")) & (F.col("at") == F.col("first.at"))).alias("is_first"))
 
 
 def _met_again(marked: DataFrame) -> DataFrame:
     """The first ones of the parts of hot anchors, marked anew against all parts; at most `_DEAL` meet."""
-    return _marked(marked.where("is_first AND part > 0").select("anchor", F.lit(0).cast("short").alias("part"), "segment", "k", "at"))
+    return _marked(marked.where("is_first AND part > 0").select("anchor", F.lit(0).cast("short").alias("part"), "segment", "k", "at"), deal="segment")
 
 
 def _alike(side: str) -> Column:
@@ -312,8 +312,8 @@ def dedup(docs: DataFrame, window: int = 20, k: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": []}
-            for text, (a, n, _, _) in zip(b.column(1).to_pylist(), _repeats_of(b.column(2)), strict=True):
-                words = kept = split_words(text)
+            for text, (a, n, _, _) in zip(b.column(1), _repeats_of(b.column(2)), strict=True):
+                words = kept = split_words(text.as_py())
                 if len(a):
                     kept = [w for w, g in zip(words, covered(len(words), a, n, window).tolist(), strict=True) if not g]
                 out["n_words"].append(len(words))
