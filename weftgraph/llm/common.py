@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 from weftgraph.plans.shared import checkpointed, shared_folder  # noqa: F401  the operators take checkpointed from here
 
@@ -73,16 +73,21 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+def carried(kinds: dict[str, DataType], more: str) -> StructType:
+    """A schema of columns with these types, whatever field names they hold, and of what the DDL text says."""
+    return StructType([StructField(n, k) for n, k in kinds.items()] + StructType.fromDDL(more).fields)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | StructType) -> DataFrame:
     """mapInArrow for functions that yield dicts of columns."""
-    kind = StructType.fromDDL(schema)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(kind)
         for columns in fn(batches):
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in zip(arrow, (columns[f.name] for f in arrow), strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, kind)
 
 
 def lists(flat: np.ndarray, lengths: list[int], kind: pa.DataType) -> pa.Array:

@@ -1,11 +1,15 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The items are cut into blocks of at most `block_words` words; each block becomes one automaton,
-which is what tasks hold at a time. Documents stream through it word by word and yield the runs of
-words that an item's window covers.
+The items are dealt to blocks of about `block_words` words; each block becomes one automaton, which
+is what a task holds at a time. Documents stream through it word by word and yield the runs of words
+that an item's window covers. The driver sends `_TOGETHER` blocks at a time to the tasks; with more
+of them, so many are looked up in each pass over the documents, which a written table ends.
 
 Null and empty texts have no words and no hits; null and empty items are never found. Items that
-repeat under one item_id count once; documents are judged row by row, whatever their doc_id.
+repeat under one item_id count once; documents are judged row by row, whatever their doc_id. A very
+long text is held whole by one task, with about 100 bytes for each of its words. Without documents
+the result is empty, without items nothing is hit. Other columns of the documents are not read;
+decontaminate hands them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,15 +19,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import carried, map_arrow, parts_of, whole, written
 
 #: Letters, digits and everything beyond ASCII, after lower-casing A-Z.
 _ITEM_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TEXT_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_TOGETHER = 16  # blocks in a pass
+_CHUNK = 32 << 20  # bytes of text for which a block's automaton is built again, where there are several
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -159,53 +164,77 @@ def _automaton(items: list[tuple[str, list[bytes]]], window: int) -> SuffixAutom
     return sam
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of at most so many words (or one item); the driver holds one block at a time."""
-    block: list[tuple[str, list[bytes]]] = []
-    held = 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    for row in rows.toLocalIterator():
-        words = item_words(row.t)
-        if block and held + len(words) > block_words:
-            yield block
-            block, held = [], 0
-        block.append((row.i, words))
-        held += len(words)
-    if block:
-        yield block
+def _blocks(benchmark: DataFrame, block_words: int) -> tuple[DataFrame, int]:
+    """(block, i, t) for each item with a text, and the number of blocks; an item's block follows from a hash of it."""
+    rows = benchmark.select(benchmark["item_id"].cast("string").alias("i"), benchmark["text"].cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    words = rows.agg(F.sum(F.regexp_count("t", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")))).first()[0] or 0
+    n = -(-words // block_words)
+    return rows.select((F.pmod(F.xxhash64("i", "t"), F.lit(n)) if n else F.lit(0).cast("long")).alias("block"), "i", "t"), n
+
+
+def _looked_up(texts: list[str | None], blocks: list, window: int, only: SuffixAutomaton | None) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+    """Words, covered runs and items found of each text."""
+    n_words, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+    for b in blocks:
+        sam = only or _automaton([(i, item_words(t)) for i, t in b], window)
+        for k, t in enumerate(texts):
+            if t:
+                words = _TEXT_WORD.findall(t.encode("utf-8", "surrogatepass").lower())
+                n_words[k] = len(words)
+                got, ids = sam.spans(words)
+                spans[k] += got
+                items[k] |= ids
+    return n_words, [merged(s) for s in spans], items
+
+
+def _pass(rows: DataFrame, names: list[str], blocks: list[list[tuple[str, str]]], window: int, last: bool) -> DataFrame:
+    """rows (names, t, spans, items), with what these blocks find added to spans and items, and n_words; without t if it is the last pass."""
+    shared = rows.sparkSession.sparkContext.broadcast(blocks)
+
+    def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.nbytes for x in held) >= most:
+                yield pa.Table.from_batches(held)
+                held = []
+        if held:
+            yield pa.Table.from_batches(held)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        blocks = shared.value or [[]]
+        only = _automaton([(i, item_words(t)) for i, t in blocks[0]], window) if len(blocks) == 1 else None
+        for chunk in chunks(batches, _CHUNK if len(blocks) > 1 else 0):
+            n_words, spans, items = _looked_up(chunk.column("t").to_pylist(), blocks, window, only)
+            before = [[(p["a"], p["b"]) for p in s] for s in chunk.column("spans").to_pylist()]
+            spans = [merged(a + b) if a else b for a, b in zip(before, spans, strict=True)]
+            items = [sorted(x.union(y)) for x, y in zip(items, chunk.column("items").to_pylist(), strict=True)]
+            kept = {n: chunk.column(n).combine_chunks() for n in kinds}
+            yield kept | {"n_words": n_words, "spans": [[{"a": a, "b": b} for a, b in s] for s in spans], "items": items}
+
+    kinds = {n: rows.schema[n].dataType for n in [*names, *(() if last else ("t",))]}
+    return map_arrow(rows.select(*names, "t", "spans", "items"), run, carried(kinds, f"n_words long, spans {_SPANS}, items array<string>"))
+
+
+_SPANS = "array<struct<a:long,b:long>>"
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 500_000, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 500_000, carry: tuple[str, ...] = ("doc_id",), together: int = _TOGETHER) -> DataFrame:
     """One row per document: the carried columns, n_words, spans (first word, after the last), n_hit, items."""
-    spark = docs.sparkSession
-    blocks: list[Broadcast] = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, block_words)]
     names = [f"c{k}" for k in range(len(carry))]
-    kinds = [docs.schema[c].dataType.simpleString() for c in carry]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        one = _automaton(blocks[0].value, window) if len(blocks) == 1 else None
-        for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
-            n_words = [0] * len(texts)
-            for b in blocks:
-                sam = one or _automaton(b.value, window)
-                for k, t in enumerate(texts):
-                    if t:
-                        words = _TEXT_WORD.findall(t.encode("utf-8", "surrogatepass").lower())
-                        n_words[k] = len(words)
-                        got, ids = sam.spans(words)
-                        spans[k] += got
-                        items[k] |= ids
-            if not blocks:
-                n_words = [len(item_words(t)) for t in texts]
-            spans = [merged(s) for s in spans]
-            yield {n: batch.column(k) for k, n in enumerate(names)} | {"n_words": n_words, "spans": [[{"a": a, "b": b} for a, b in s] for s in spans], "n_hit": [sum(b - a for a, b in s) for s in spans], "items": [sorted(x) for x in items]}
-
-    schema = "".join(f"{n} {k}, " for n, k in zip(names, kinds, strict=True)) + "n_words long, spans array<struct<a:long,b:long>>, n_hit long, items array<string>"
-    out = map_arrow(docs.select(*[docs[c].alias(n) for c, n in zip(carry, names, strict=True)], docs["text"].cast("string").alias("t")), run, schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "n_words", "spans", "n_hit", "items")
+    rows = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(carry, names, strict=True)], docs["text"].cast("string").alias("t"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    by_block, n = _blocks(benchmark, block_words)
+    if n > together:
+        by_block = written(by_block)
+    for first in range(0, max(1, n), together):
+        blocks: dict[int, list[tuple[str, str]]] = {}
+        for r in by_block.where(F.col("block").between(first, first + together - 1)).toLocalIterator():  # about together * block_words words
+            blocks.setdefault(r.block, []).append((r.i, r.t))
+        last = first + together >= n
+        rows = _pass(rows, names, list(blocks.values()), window, last)
+        rows = rows if last else written(rows)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "n_words", "spans", n_hit.alias("n_hit"), "items")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -236,14 +265,14 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20) -> DataFrame:
     """Documents over the coverage limit go; from the others the matched spans are cut, and `n_chars`, if any, is counted anew."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["text"])
+    rows = docs.select(whole(docs).alias("row"), docs["text"])
     judged = contamination(rows, benchmark, window, carry=("row",)).where(~contaminated(one_in=one_in))
 
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_spans(t, [(p["a"], p["b"]) for p in s]) for t, s in zip(texts, spans, strict=True)])
+        return pd.Series([cut_spans(t, [(p["a"], p["b"]) for p in s]) if len(s) else t for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    cut = F.pandas_udf(cut, "string")
-    dirty = F.when(F.size("spans") > 0, cut(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
-    n_chars = F.length(dirty).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    new = {"text": dirty, "n_chars": F.when(F.size("spans") > 0, n_chars).otherwise(F.col("row.n_chars")) if n_chars is not None else None}
-    return judged.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+    dirty = F.size("spans") > 0
+    new = {"text": F.when(dirty, F.pandas_udf(cut, "string")(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(dirty, F.length(new["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return judged.select(*parts_of("row", docs.columns, **new))

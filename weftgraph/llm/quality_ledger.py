@@ -1,7 +1,9 @@
 """Quality rules: every rule is evaluated once into a failure bit, policies are bit masks over the stored ledger.
 
 Null, empty and blank texts have no words and fail the rule on short texts. Rows with a null or
-repeated doc_id are judged one by one; other columns are passed through and may have any name.
+repeated doc_id are judged one by one; an empty table gives an empty result. A very long text is
+measured whole in one task, with about 100 bytes for each of its words. Other columns are passed
+through whatever their names, but for those named like the ledger's own, which take their place.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, split_words
+from .common import carried, map_arrow, parts_of, split_words, whole
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -81,9 +83,11 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with the measurements and `failed`, a bit for each rule that the text fails."""
-    inner = [f"c{k}" for k in range(len(docs.columns))]
-    at = docs.columns.index(text)
     names = [x.split()[0] for x in MEASURES.split(", ")]
+    outer = [c for c in docs.columns if c not in (*names, "failed") or c == text]
+    docs = docs.select(*[docs[f"`{c}`"] for c in outer])
+    inner = [f"c{k}" for k in range(len(outer))]
+    at = outer.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -91,11 +95,10 @@ def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield {c: b.column(k) for k, c in enumerate(inner)} | dict(zip(names, columns, strict=True))
 
-    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, docs.schema, strict=True))
-    out = map_arrow(docs.toDF(*inner), run, f"{kinds}, {MEASURES}")
+    out = map_arrow(docs.toDF(*inner), run, carried({c: f.dataType for c, f in zip(inner, docs.schema, strict=True)}, MEASURES))
     bits = sum((F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules), F.lit(0).cast("long"))
     new = [F.col(x) for x in names] + [bits.alias("failed")]
-    return out.select(*[F.col(c).alias(name) for c, name in zip(inner, docs.columns, strict=True)], *new)
+    return out.select(*[F.col(c).alias(name) for c, name in zip(inner, outer, strict=True)], *new)
 
 
 def passes(policy: str | tuple[str, ...] = "v1", failed: str = "failed") -> Column:
@@ -118,5 +121,5 @@ def ablations(book: DataFrame, policy: str | tuple[str, ...] = "v1", rules: tupl
 
 def filter_documents(docs: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame:
     """The documents that the policy keeps, with their columns as they are."""
-    book = ledger(docs.select(F.struct(*docs.columns).alias("row"), F.col("text")))
-    return book.where(passes(policy)).select("row.*")
+    book = ledger(docs.select(whole(docs).alias("row"), docs["text"].cast("string").alias("text")))
+    return book.where(passes(policy)).select(*parts_of("row", docs.columns))
