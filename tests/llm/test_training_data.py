@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -330,16 +331,61 @@ def test_dedup_against_plain_windows(spark):
     assert substring_dedup.dedup(docs_of(spark, [])).isEmpty() and substring_dedup.dedup_documents(docs_of(spark, [])).isEmpty()
 
 
-def test_token_counts_add_up(spark):
-    texts = odd_texts() + ["# a | b\n\n- c\ncopyright x\nplain", "\n\n\n", "<|endoftext|> is text"]
-    for rule in ("start", "most", "share"):
-        for r in token_counts.count_tokens(with_clashes(docs_of(spark, texts)), rule=rule).collect():
-            text = texts[r.doc_id] or ""
-            assert math.isclose(sum(s.tokens for s in r.sections), r.n_tokens, abs_tol=1e-6)
-            assert sum(s.n_bytes for s in r.sections) == len(text.encode()) and (r.n_tokens > 0) == bool(text)
+def encoder():
+    return token_counts.Encoder(Path(token_counts.VOCABULARY).read_bytes())
+
+
+def test_tokens_of_each_section_against_single_tokens(spark):
+    """Every rule, section by section, against a loop over the bytes of single tokens."""
+    texts = odd_texts()[:7] + ["# a | b\n\n- c\ncopyright x\nplain", "\n\n\n", "<|endoftext|> is text", "a\n\n  b\n \n\n c\n", "x \n\ty\r\n\r\n世界\n\u3000\n", "one\n" * 50, "\n - - \n* x"]
+    titles = [None, "", "a title\n", "two\nlines"] * 4
+    docs = spark.createDataFrame([(k, t, titles[k]) for k, t in enumerate(texts)], "doc_id long, text string, title string")
+    enc = encoder().encoding
+    crossed = 0
+    for rule, fields in itertools.product(("start", "most", "share"), (("text",), ("title", "text"))):
+        for r in token_counts.count_tokens(with_clashes(docs), rule=rule, fields=fields).collect():
+            some = [(f, t) for f, t in (("title", titles[r.doc_id]), ("text", texts[r.doc_id])) if f in fields and t is not None]
+            whole, lines = "\n".join(t for _, t in some), []
+            for n, (f, t) in enumerate(some):
+                pieces = t.split("\n")
+                lines += [(f, x + "\n" * (k + 1 < len(pieces) or n + 1 < len(some))) for k, x in enumerate(pieces)]
+            if not whole:
+                lines = [] if len(some) < 2 else lines
+            owner = [k for k, (_, x) in enumerate(lines) for _ in x.encode()]
+            want, at, crossing = [0.0] * len(lines), 0, 0
+            tokens = [enc.decode_single_token_bytes(x) for x in enc.encode_ordinary(whole)]
+            for token in tokens:
+                of = Counter(owner[at : at + len(token)])
+                crossing += len(of) > 1
+                if rule == "start":
+                    want[owner[at]] += 1
+                elif rule == "most":
+                    want[min(of, key=lambda k: (-of[k], k))] += 1
+                else:
+                    for k, n in of.items():
+                        want[k] += n / len(token)
+                at += len(token)
+            crossed += crossing
+            assert (r.n_tokens, r.n_sections, r.n_crossing) == (len(tokens), len(lines), crossing)
+            assert [s.field for s in r.sections] == [f for f, _ in lines] and [s.n_bytes for s in r.sections] == [len(x.encode()) for _, x in lines]
+            assert np.allclose([s.tokens for s in r.sections], want)
+    assert crossed > 20
     assert token_counts.count_tokens(docs_of(spark, [])).isEmpty()
 
 
+def test_tokens_of_long_runs(spark):
+    """Blanks and unbroken letters of any length; where the pattern can still do it, against the pattern."""
+    e = encoder()
+    for n in (999, 1000, 1001, 4000):
+        for blank in (" ", "\n", " \n", "\t", "\u3000", "\x85"):
+            for t in (blank * n, "a" + blank * n, blank * n + "b", "a," + blank * n + "1", blank * n + "'s", "x" + blank * n + "!" + blank * n + " y", "\x1f" + blank * n + "\x1f"):
+                want = [len(e.encoding.decode_single_token_bytes(x)) for x in e.encoding.encode_ordinary(t)]
+                assert np.diff(e.ends(t), prepend=0).tolist() == want
+    texts = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "y" * 1_000_000, "!" * 300_000]
+    for r in token_counts.count_tokens(docs_of(spark, texts)).collect():
+        assert sum(s.n_bytes for s in r.sections) == len(texts[r.doc_id]) and math.isclose(sum(s.tokens for s in r.sections), r.n_tokens) and r.n_tokens > 1000
+
+
 def test_url_rules_against_every_rule(spark):
     urls = [None, "", "no scheme", "http://example.net/en/a", "https://a.EXAMPLE.net/x", "http://net", "ftp://sub.example.com/de/x?q", "http://x.org/fr/y#z", "http://spam-farm.biz/", "http://a.b/casino/x", "http://example.com://x/casino"]
     pages = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string").withColumn("k", F.lit(1)).withColumn("rule", F.lit(2))
