@@ -2,42 +2,82 @@
 
 Every run of words of a text is a passage, across lines, blank lines and comment signs. Normalising
 keeps lower-case letters, digits and dots within numbers. Dice is 2 * common / (n + m) over the sets
-of bigrams. Only runs that can be best are tried: they begin and end with bigrams of the template,
-hold neither of these twice, and stay within the sizes at which the threshold can be reached. Of
-runs that overlap the best Dice counts, then the longest run; a template of one word must be a line.
+of bigrams. A template is tried where a text holds enough of its bigrams to reach the threshold, and
+only on runs that can be best: they begin and end with bigrams of the template, hold neither of these
+twice, and stay within the sizes at which the threshold can be reached. Of runs that overlap the best
+Dice counts, then the longest run; a template of one word must be a line.
+
+Templates are names and texts of any length, from notices to whole licences: those of this module, or
+what read_templates finds; each task holds them, so they are refused beyond `MOST_BYTES`.
 
 Null, empty and blank texts have no passages and no licence. Rows are scanned one by one, whatever
-their doc_id.
+their doc_id; an empty table gives an empty result; other columns are not read. A very long text is
+held whole by one task, with about 200 bytes for each of its words.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import carried, map_arrow
 
-#: Notices and short licence texts, by SPDX-like id.
-TEMPLATES = (
+MOST_BYTES = 16 << 20
+#: Notices, by SPDX-like id.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "Licensed under the MIT License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("All-rights-reserved", "All rights reserved."),
 )
+#: Whole licences that are short.
+WHOLE = (
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+)
+#: Ids that source files name.
+SPDX = ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+_FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_GNU = (("GPL", "General Public License", ("2", "3")), ("LGPL", "Lesser General Public License", ("2.1", "3")), ("AGPL", "Affero General Public License", ("3",)))
+TEMPLATES = (
+    *NOTICES, *WHOLE,
+    *((f"{short}-{v if '.' in v else v + '.0'}", _FREE.format(name, v)) for short, name, versions in _GNU for v in versions),
+    *((name, f"SPDX-License-Identifier: {name}") for name in SPDX),
+)
 _WORDS = re.compile(r"[0-9]+(?:\.[0-9]+)*|[a-z]+").findall
 
 
@@ -60,28 +100,23 @@ class Templates:
         self.ratio = threshold / (2 - threshold)
         self.known = set().union(*(g for _, g in self.sets))
 
-    def runs(self, grams: list[tuple[str, str]], name: str, template: set[tuple[str, str]], starts: list[int]) -> Iterator[tuple[float, int, int, str]]:
-        """-Dice, -length, start and name of the best run from each start."""
-        m = len(template)
+    def runs(self, before: np.ndarray, after: np.ndarray, name: str, m: int, starts: np.ndarray) -> Iterator[tuple[float, int, int, str]]:
+        """-Dice, -length, start and name of the best run from each start.
+
+        before and after hold where a bigram of the text stood last and stands next; starts are the
+        places of the template's bigrams, of which it has m.
+        """
         most = m / self.ratio + 1e-9
-        for i in starts:
-            seen: set[tuple[str, str]] = set()
-            common, best, end = 0, 0.0, i
-            for j in range(i, len(grams)):
-                g = grams[j]
-                if g in seen:
-                    if g == grams[i]:
-                        break
-                    continue
-                seen.add(g)
-                if len(seen) > most:
-                    break
-                if g in template:
-                    common += 1
-                    if (dice := 2 * common / (len(seen) + m)) > best:
-                        best, end = dice, j
-            if best >= self.threshold:
-                yield -best, i - end - 1, i, name
+        inside = np.zeros(len(before), bool)
+        inside[starts] = True
+        for i in starts.tolist():
+            new = before[i : after[i]] < i  # the first of its kind since the start
+            sizes = np.cumsum(new)
+            stop = int(np.searchsorted(sizes, most, "right"))
+            ends = new[:stop] & inside[i : i + stop]
+            dice = np.where(ends, 2 * np.cumsum(ends) / (sizes[:stop] + m), 0.0)
+            if (best := dice.max(initial=0.0)) >= self.threshold:
+                yield -float(best), -int(dice.argmax()) - 1, i, name
 
     def found(self, words: list[str]) -> list[tuple[float, int, int, str]]:
         """Dice, first and last word, and licence of the runs that match, none overlapping a better one."""
@@ -89,11 +124,20 @@ class Templates:
         hits = [k for k, g in enumerate(grams) if g in self.known]
         if not hits:
             return []
-        held = {grams[k] for k in hits}
+        places: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for k in hits:
+            places[grams[k]].append(k)
+        wanted = [(name, t, some) for name, t in self.sets if len(some := t & places.keys()) >= len(t) * self.ratio - 1e-9]
+        if not wanted:
+            return []
+        before, after, last = np.full(len(grams), -1), np.full(len(grams), len(grams)), {}
+        for k, g in enumerate(grams):
+            if (p := last.get(g)) is not None:
+                before[k], after[p] = p, k
+            last[g] = k
         runs = []
-        for name, template in self.sets:
-            if len(held & template) >= len(template) * self.ratio - 1e-9:
-                runs += self.runs(grams, name, template, [k for k in hits if grams[k] in template])
+        for name, template, some in wanted:
+            runs += self.runs(before, after, name, len(template), np.sort(np.concatenate([places[g] for g in some])))
         taken: list[tuple[int, int]] = []
         out = []
         for dice, length, start, name in sorted(runs):
@@ -118,10 +162,16 @@ def matches(text: str | None, templates: Templates) -> list[tuple[float, str, st
     return out
 
 
-def passages(text: str, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> Iterator[str]:
-    """The words of the passages that match a template."""
-    for _, _, words in matches(text, Templates(templates, threshold)):
-        yield words
+def read_templates(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:
+    """(name, text) of a table with these columns at the path, a Parquet file or folder, or of the text files in a folder, by their names."""
+    if path.rstrip("/").endswith(".parquet"):
+        rows = spark.read.parquet(path).select("name", "text").where("name IS NOT NULL AND text IS NOT NULL")
+    else:
+        rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1).alias("name"), F.col("value").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"templates of {size} bytes; at most {MOST_BYTES} are sent to tasks")
+    return tuple(sorted((r.name, r.text) for r in rows.collect()))
 
 
 def scan_text(text: str | None, templates: Templates) -> tuple[dict[str, float], int]:
@@ -139,9 +189,9 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         index = Templates(templates, threshold)
         for b in batches:
-            got = [scan_text(t, index) for t in b.column(1).to_pylist()]
+            got = [scan_text(t.as_py(), index) for t in b.column(1)]
             best = [min(((-d, name) for name, d in found.items()), default=(0.0, None)) for found, _ in got]
             yield {"k": b.column(0), "n_matches": [n for _, n in got], "licenses": [sorted(f) for f, _ in got], "license": [x[1] for x in best], "dice": [abs(x[0]) for x in best]}
 
     rows = docs.select(docs[key].alias("k"), docs["text"].cast("string").alias("t"))
-    return map_arrow(rows, run, f"k {rows.schema['k'].dataType.simpleString()}, n_matches long, licenses array<string>, license string, dice double").withColumnRenamed("k", key)
+    return map_arrow(rows, run, carried({"k": rows.schema["k"].dataType}, "n_matches long, licenses array<string>, license string, dice double")).withColumnRenamed("k", key)
