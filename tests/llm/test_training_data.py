@@ -386,8 +386,8 @@ def test_tokens_of_long_runs(spark):
         assert sum(s.n_bytes for s in r.sections) == len(texts[r.doc_id]) and math.isclose(sum(s.tokens for s in r.sections), r.n_tokens) and r.n_tokens > 1000
 
 
-def test_url_rules_against_every_rule(spark):
-    urls = [None, "", "no scheme", "http://example.net/en/a", "https://a.EXAMPLE.net/x", "http://net", "ftp://sub.example.com/de/x?q", "http://x.org/fr/y#z", "http://spam-farm.biz/", "http://a.b/casino/x", "http://example.com://x/casino"]
+def test_url_rules_against_every_rule(spark, tmp_path):
+    urls = [None, "", "no scheme", "http://example.net/en/a", "https://a.EXAMPLE.net/x", "http://net", "ftp://sub.example.com/de/x?q", "http://x.org/fr/y#z", "http://spam-farm.biz/", "http://a.b/casino/x", "http://example.com://x/casino", "http://a.org/" + "b" * 200_000 + "/casino/", "http://a.net" + "/é" * 50_000]
     pages = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string").withColumn("k", F.lit(1)).withColumn("rule", F.lit(2))
     rules = url_rules.HOST_RULES + url_rules.PATTERN_RULES
     want = {}
@@ -396,8 +396,22 @@ def test_url_rules_against_every_rule(spark):
         address = (m[1].lower() + m[2]) if m else ""
         best = max((r for r in rules if re.search(r.pattern, address)), key=lambda r: (r.rank, r.name), default=None)
         want[k] = (best and best.name, best.verdict if best else "allow")
-    for most in (url_rules.MOST_RULES, 0):
-        assert {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, most_rules=most).collect()} == want
+    table = spark.createDataFrame([(r.name, r.pattern, r.verdict, r.rank, list(r.tokens)) for r in rules], "name string, pattern string, verdict string, rank long, tokens array<string>")
+    table.write.parquet(str(tmp_path / "rules.parquet"))
+    table.drop("tokens").write.parquet(str(tmp_path / "bare.parquet"))
+    for some in (rules, url_rules.read_rules(spark, str(tmp_path / "rules.parquet")), url_rules.read_rules(spark, str(tmp_path / "bare.parquet"))):
+        for block in (url_rules.BLOCK, 3):  # one block, and several passes
+            assert {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, some, block=block).collect()} == want
+    assert url_rules.judge_urls(pages.where("false")).isEmpty()
+    assert {r.verdict for r in url_rules.judge_urls(pages, ()).collect()} == {"allow"}
+
+
+def test_tokens_that_a_pattern_needs():
+    want = {
+        r"(?:^|[.-])spam-farm\.": {"spam", "farm"}, r"casino": set(), r"(?:^|[./-])casino(?:[./-]|$)": {"casino"}, r"^ads\d+\.": set(), r"^(?:[^/]*\.)?example\.net/en/": {"net", "en"},
+        r"/Track/(?:a|b)/pixel\.gif$": {"track", "pixel", "gif"}, r"[./]x?y/": set(), r"\bviagra\b": {"viagra"}, r"(?:a|/)b/": set(), r"/(?:b)/": {"b"}, r"/a\Bb/": set(), r"(?i)/Pixel/log/": {"log"},
+    }
+    assert {p: set(url_rules.needed_tokens(p)) for p in want} == want
 
 
 def test_license_scan_on_planted_lines(spark):
