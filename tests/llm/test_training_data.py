@@ -140,7 +140,7 @@ def test_forward_against_all_state_sequences():
     m = hidden_markov.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(classes), k).T)
     texts = [[0], [1, 4, 2], [3, 3, 0, 1, 2], [2, 2]]
     for at, length, table in hidden_markov._grouped([np.array(t) for t in texts], k):
-        got = hidden_markov.forward(m, table, length)[0]
+        got = hidden_markov.forward(m, table, length)
         for d, x in zip(at, got, strict=True):
             t = texts[d]
             total = sum(m.start[s[0]] * m.emit[t[0], s[0]] * math.prod(m.move[s[j - 1], s[j]] * m.emit[t[j], s[j]] for j in range(1, len(t))) for s in itertools.product(range(k), repeat=len(t)))
