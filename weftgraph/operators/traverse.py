@@ -182,7 +182,7 @@ def best_paths(paths: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root: the least node of each connected cluster of links (a, b), by alternating stars.
 
-    Links of a node to itself count for nothing. Hubs meet their links by a broadcast (see `met`).
+    Links of a node to itself count for nothing. The links of hubs are dealt to several tasks (see `met`).
     """
 
     def mark(e: DataFrame):
@@ -194,7 +194,7 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = checkpointed(met(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = met(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = met(large, least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())

@@ -28,13 +28,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def met(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", most: int = 1024) -> DataFrame:
-    """rows joined (inner or left) with other, which has one row for each key; rows should be cheap to read twice.
+def met(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", parts: int = 8) -> DataFrame:
+    """rows joined (inner or left) with other, which has one row for each key and is much the smaller.
 
-    Keys with more than one in `most` of all rows, fewer than `most`, meet their rows by a broadcast, so
-    that no task receives such a key's rows; the others meet in a shuffle.
+    Each row of other goes to `parts` places, and a key's rows are dealt to these by a hash of the
+    whole row, so that no task receives all rows of a key that most have, or all that have none.
     """
-    total = rows.count()
-    hot = F.broadcast(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * most > total).select(key))
-    there = rows.join(hot, key, "left_semi").join(F.broadcast(other.join(hot, key, "left_semi")), key, how)
-    return there.unionByName(rows.join(hot, key, "left_anti").join(other, key, how))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
+    copied = other.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(copied, [key, "_part"], how).drop("_part")
