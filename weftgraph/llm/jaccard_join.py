@@ -17,8 +17,8 @@ Links come as a spanning forest: no link between different texts is lost to the
 copies and connected texts are not expanded into all pairs.
 
 Keys that one set alone has never meet others, but for a few that a `Sieve` lets through, and neither
-do texts outside the roots. Keys, centres and sets with a large share of the rows are joined by a
-broadcast of their fewer than 1024 counterparts, whatever the number of their rows.
+do texts outside the roots. Keys with more than one in 4096 of all shared ones meet their centres by a
+broadcast of these, fewer than 4096; the rows of centres and of equal sets are dealt to several tasks.
 
 Null, empty and blank texts have the empty set and are linked with nothing. Rows that repeat a
 doc_id are documents of their own; a null doc_id takes part, but names a component only if no other
@@ -143,8 +143,8 @@ def part_keys(members: np.ndarray, how: Likeness) -> np.ndarray:
 
 def _sets(texts: pa.Array, how: Likeness, hashes: WordHashes, known: set[int]) -> Iterator[tuple[int, int | None, np.ndarray]]:
     """Size, id and keys of each text's set; no keys for sets that the task has met lately."""
-    for text in texts.to_pylist():
-        members = np.unique(shingles(text, how.n, hashes))
+    for text in texts:
+        members = np.unique(shingles(text.as_py(), how.n, hashes))
         sid = set_id(members) if len(members) else None
         if len(known) >= _HELD_SETS:
             known.clear()
