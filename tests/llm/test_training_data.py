@@ -248,6 +248,100 @@ def test_toxicity_on_held_out_texts(spark):
     assert len(wrong) <= 0.02 * len(held)
 
 
+def plain_toxicity(texts, labels, setup):
+    """All of it in one place, without batches, partitions or bounds on what is counted."""
+    held = np.array([zlib.crc32(str(k).encode()) % 5 == 0 for k in range(len(texts))])
+    label = np.array([-1 if held[k] else labels.get(k, -1) for k in range(len(texts))])
+    counts = [Counter(re.findall(r"[^\W\d_]+", t.lower())) for t in texts]
+    features = [{f for w in c for f in [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) >= k)]} for c in counts]
+    n1, n0 = (label == 1).sum(), (label == 0).sum()
+    fit = []
+    for f in sorted({f for k in np.flatnonzero(label == 1) for f in features[k]}):
+        a, b = sum(f in features[k] for k in np.flatnonzero(label == 1)), sum(f in features[k] for k in np.flatnonzero(label == 0))
+        ratio, share = 0.0, n1 / (n1 + n0)
+        for x, y in ((a, b), (n1 - a, n0 - b)):
+            ratio += sum(2 * z * math.log(z / ((x + y) * r)) for z, r in ((x, share), (y, 1 - share)) if z)
+        if math.log((a + 0.5) / (n1 + 1) * (n0 + 1) / (b + 0.5)) >= math.log(setup.least_lift) and ratio >= setup.least_ratio:
+            fit.append((-ratio, f))
+    voters = []
+    for _, f in sorted(fit):
+        stem = f.rstrip("*")
+        if not any((v.endswith("*") and stem.startswith(v[:-1])) or v.startswith(stem) for v in voters):
+            voters.append(f)
+    groups = [[v] for v in voters[: setup.voters]] + ([voters[setup.voters :]] if voters[setup.voters :] else [])
+    votes = np.zeros((len(texts), len(groups) + len(toxicity.PATTERNS)))
+    for k, c in enumerate(counts):
+        for j, g in enumerate(groups):
+            votes[k, j] = sum(n for w, n in c.items() for v in g if w == v or (v.endswith("*") and w.startswith(v[:-1])))
+        votes[k, len(groups) :] = [p.search(texts[k]) is not None for _, p in toxicity.PATTERNS]
+    v = votes.shape[1]
+    train, fired, silent = ~held, votes > 0, (votes > 0).sum(axis=1) == 0
+
+    def fitted(rows, q):
+        m = {"n": np.array([(1 - q)[rows].sum(), q[rows].sum()])}
+        weigh = lambda x: np.array([((1 - q)[rows, None] * x[rows]).sum(axis=0), (q[rows, None] * x[rows]).sum(axis=0)])
+        m["fires"] = (weigh(fired) + 0.05) / (m["n"][:, None] + 1)
+        m["silent"] = (weigh(silent[:, None])[:, 0] + 0.5) / (m["n"] + 1)
+        m["gold"] = (weigh((label == 1)[:, None])[:, 0] + np.array([0.4, 19.6])) / (weigh((label >= 0)[:, None])[:, 0] + 20)
+        m["prior"] = (m["n"][1] + 1) / (m["n"].sum() + 10)
+        return m
+
+    def posterior(m, group, together):
+        out = []
+        for k in range(len(texts)):
+            odds = math.log(m["prior"] / (1 - m["prior"]))
+            for g in set(group):
+                some = [j for j in range(v) if group[j] == g and fired[k, j]]
+                odds += sum(math.log(m["fires"][1, j] / m["fires"][0, j]) for j in some) / (1 + together[g] * max(0, len(some) - 1))
+            odds += math.log(m["silent"][1] / m["silent"][0]) if silent[k] else 0
+            gold = {1: m["gold"], 0: 1 - m["gold"]}.get(label[k])
+            odds += 0 if gold is None else math.log(gold[1] / gold[0])
+            out.append(1 / (1 + math.exp(-min(30, max(-30, odds)))))
+        return np.array(out)
+
+    group, together = list(range(v)), dict.fromkeys(range(v), 0.0)
+    m = fitted(train & (label >= 0), label.astype(float))
+    for k in range(2 * setup.label_rounds):
+        if k == setup.label_rounds:
+            q = posterior(m, group, together)
+            cov = sum(w * np.outer(fired[d] - m["fires"][c], fired[d] - m["fires"][c]) for d in np.flatnonzero(train) for c, w in ((0, 1 - q[d]), (1, q[d])))
+            spread = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+            cor = cov / np.outer(spread, spread)
+            for a, b in itertools.combinations(range(v), 2):
+                if cor[a, b] >= setup.together:
+                    group = [group[a] if g == group[b] else g for g in group]
+            for g in set(group):
+                some = [j for j in range(v) if group[j] == g]
+                together[g] = min(1, max(0, sum(cor[a, b] for a in some for b in some if a != b) / max(1, len(some) * (len(some) - 1))))
+        m = fitted(train, posterior(m, group, together))
+    q = posterior(m, group, together)
+    hits, size = votes.sum(axis=1), np.array([sum(c.values()) for c in counts])
+    x = np.column_stack([np.ones(len(texts)), fired, np.log(1 + hits), np.minimum(1, 20 * hits / np.maximum(1, size)), np.log(1 + size) / 10])
+    w = np.zeros(x.shape[1])
+    for _ in range(setup.newton_steps):
+        p = 1 / (1 + np.exp(-x[train] @ w))
+        w += np.linalg.solve((x[train] * (p * (1 - p))[:, None]).T @ x[train] + setup.ridge * np.eye(len(w)), x[train].T @ (q[train] - p) - setup.ridge * w)
+    return 1 / (1 + np.exp(-x @ w))
+
+
+@pytest.mark.parametrize("voters", [96, 1])
+def test_toxicity_against_plain_version(spark, voters):
+    docs, labels, texts = toxic_corpus(spark, 350)
+    setup = toxicity.Setup(voters=voters)
+    want = plain_toxicity(texts, {r.doc_id: r.toxic for r in labels.collect()}, setup)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels, setup).collect()}
+    assert np.allclose([got[k] for k in range(len(texts))], want, atol=1e-6) and want.max() > 0.8 > 0.2 > want.min()
+
+
+def test_near_copies_count_once_and_others_do_not(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(base), " ".join(base[:299] + ["end"]), " ".join(base[:40] + [f"x{k}" for k in range(200)]), "", "other words"]
+    rows = spark.createDataFrame([(k, label, t) for k, t in enumerate(texts) for label in (0,)] + [(9, 1, texts[0])], "k long, label int, text string")
+    got = {r.k for r in toxicity.unlike(rows).collect()}
+    assert got >= {0, 2, 3, 4, 9}
+
+
 def test_toxicity_reads_no_label_of_a_held_out_text(spark):
     docs, labels, _ = toxic_corpus(spark, 400)
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
