@@ -78,9 +78,17 @@ def carried(kinds: dict[str, DataType], more: str) -> StructType:
     return StructType([StructField(n, k) for n, k in kinds.items()] + StructType.fromDDL(more).fields)
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Python workers get at most 8 MB at a time, unless the session has a bound of its own: whole texts make large batches, which JVM and worker hold several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "").rstrip("b") == str(64 << 20):  # Spark's own
+        spark.conf.set(key, str(8 << 20))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | StructType) -> DataFrame:
     """mapInArrow for functions that yield dicts of columns."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    in_small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(kind)
@@ -126,6 +134,7 @@ class Sieve:
         for place, part in dealt.groupBy("place").agg(F.bitmap_construct_agg("bit")).toLocalIterator():
             held[place << 12 : (place + 1) << 12] = np.frombuffer(part, np.uint8)
         self.cells = spark.sparkContext.broadcast(held)
+        in_small_batches(spark)
 
     def may_hold(self, hashes: np.ndarray) -> np.ndarray:
         held, out = self.cells.value, np.ones(len(hashes), bool)

@@ -91,7 +91,7 @@ def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            rows = [measure(x) for x in b.column(at).to_pylist()]
+            rows = [measure(x.as_py()) for x in b.column(at)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield {c: b.column(k) for k, c in enumerate(inner)} | dict(zip(names, columns, strict=True))
 
