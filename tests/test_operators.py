@@ -2,7 +2,10 @@
 
 import json
 import math
+import random
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +15,8 @@ from weftgraph.operators import intervals as I
 from weftgraph.operators import lists as L
 from weftgraph.operators import resolve as R
 from weftgraph.operators import traverse as T
-from weftgraph.plans.graph import oriented
+from weftgraph.operators.stretches import numbered
+from weftgraph.plans.graph import oriented, read_as, with_reading
 from weftgraph.sources import readers, writers
 from weftgraph.streaming import ingest as G
 
@@ -25,8 +29,91 @@ def edges(spark, *pairs, kind=1):
     return spark.createDataFrame([(a, b, kind, True, 1) for a, b in pairs], "name1 long, name2 long, type_id int, live boolean, space_id int")
 
 
-def test_symmetric_edges_and_self_edges_are_read_once(spark):
-    got = oriented(edges(spark, (1, 2), (3, 3), kind=5)).select("mine", "other", "dir")
+@pytest.fixture(scope="module")
+def types(spark):
+    return spark.createDataFrame([(1, "is under", "is over"), (5, "is like", "is like"), (7, "cites", "is cited by"), (9, "meets", "meets")], "type_id int, forward string, backward string")
+
+
+def test_types_come_from_the_graph(spark, types):
+    """Types and symmetric types that no module names."""
+    e = edges(spark, (1, 2), kind=7).union(edges(spark, (3, 4), kind=9)).union(edges(spark, (5, 6), kind=8))
+    got = with_reading(oriented(e, types), types).select("mine", "other", "dir", "reading")
+    assert rows(got) == sorted([(1, 2, 1, "cites"), (2, 1, -1, "is cited by"), (3, 4, 0, "meets"), (4, 3, 0, "meets"), (5, 6, 1, None), (6, 5, -1, None)], key=str)
+    both = oriented(e, types)
+    assert rows(both.where(read_as(types, "is cited by", "meets")).select("mine")) == [(2,), (3,), (4,)]
+    assert rows(both.where(read_as(types, "#2#cites")).select("mine")) == [] and rows(both.where(read_as(types, "#1#cites")).select("mine")) == [(1,)]
+    h = spark.createDataFrame([(4, 3, 9, "A", True, 1)], "name1 long, name2 long, type_id int, authority string, live boolean, size int")
+    empty = spark.createDataFrame([], "node_id long, class_id int")
+    g = SimpleNamespace(edges=e, types=types, history=h, meta=None, labels=empty, classes=None, taxa=None, nodes=None)
+    assert rows(E.edge_query(g, keep_authority=["A"]).select("mine", "other")) == [(3, 4), (4, 3)]
+
+
+def test_halts_by_type_and_ungrouped_nodes(spark, types):
+    links = oriented(edges(spark, (1, 2), (1, 3), (1, 4), kind=7).union(edges(spark, (2, 5), kind=9)).union(edges(spark, (5, 6), kind=7)), types)
+    seed = spark.createDataFrame([(1,)], "node_id long")
+    assert {r.depth for r in T.expand(links, seed, 5, group_at=3).collect()} == {1}
+    assert {r.depth for r in T.expand(links, seed, 5, group_at=3, ungrouped=seed).collect()} == {1, 2, 3}
+    assert {r.other for r in T.expand(links, seed, 5, halt_types=[9]).collect()} == {2, 3, 4, 5}
+
+
+def test_edges_among_the_seeds_are_kept_but_not_followed(spark, types):
+    links = oriented(edges(spark, (1, 2), (2, 3), (3, 4)), types)
+    two = spark.createDataFrame([(1,), (2,)], "node_id long")
+    assert rows(T.expand(links, two, 1).select("mine", "other", "depth")) == [(1, 2, 1), (2, 1, 1), (2, 3, 1), (3, 4, 2)]
+
+
+def test_numbers_and_runs_over_stretches(spark):
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), rng.randrange(60), k) for k in range(500)]
+    df = spark.createDataFrame(data, "g string, x int, k int").repartition(7)
+    got = rows(numbered(df, ["g"], [F.col("x").desc()]).select("g", "x", "rank").distinct())
+    want = {(g, x, 1 + sum(h == g and y > x for h, y, _ in data)) for g, x, _ in data}
+    assert got == sorted(want, key=str)
+    assert sorted(r.rank for r in numbered(df, [], [F.col("x").asc(), F.col("k").asc()], ties=False).collect()) == list(range(1, 501))
+    spans = [("s", a, a + rng.randrange(1, 9)) for a in (rng.randrange(4000) for _ in range(300))]
+    runs = []
+    for _, a, b in sorted(spans):
+        if runs and a <= runs[-1][1] + 1:
+            runs[-1][1] = max(runs[-1][1], b)
+            runs[-1][2] += 1
+        else:
+            runs.append([a, b, 1])
+    merged = I.merged(spark.createDataFrame(spans, "seq string, start int, end int").repartition(5), ["seq"])
+    assert sorted((r.start, r.end, r.n) for r in merged.collect()) == sorted(map(tuple, runs))
+
+
+def test_overlaps_of_very_unlike_lengths(spark):
+    rng = random.Random(7)
+    some = lambda n, c: [("q", k, a, a + rng.choice((0, 3, 300, 5_000, 900_000_000))) for k, a in enumerate(rng.randrange(1_000_000) for _ in range(n))]
+    a, b = some(60, "a"), some(60, "b")
+    got = I.overlapping(*(spark.createDataFrame(x, f"seq string, {c}_id int, {c}_start long, {c}_end long") for x, c in ((a, "a"), (b, "b"))), within=10)
+    assert sorted((r.a_id, r.b_id) for r in got.collect()) == sorted((i, j) for _, i, s, e in a for _, j, t, f in b if s - 10 <= f and e + 10 >= t)
+
+
+def test_tails_against_single_terms():
+    rng = random.Random(3)
+    cases = [(rng.randrange(0, 12), rng.randrange(1, 60), rng.randrange(1, 80), 200, rng.random() < 0.5) for _ in range(200)] + [(3, 100, 50, 10**8, False), (90_000, 10**6, 10**6, 10**7, True)]
+    got = R.tails(*(np.array(x) for x in zip(*cases, strict=True)))
+    for (k, n, size, world, under), x in zip(cases, got, strict=True):
+        if world > 200:
+            assert -40_000 < x < 0
+            continue
+        terms = range(0, k + 1) if under else range(k, min(n, size) + 1)
+        p = sum(math.comb(size, i) * math.comb(world - size, n - i) for i in terms if i <= size and i <= n) / math.comb(world, n)
+        assert math.isclose(x, math.log10(p) if p else -999, abs_tol=1e-9)
+
+
+def test_terms_too_rare_to_report_still_count_as_tests(spark):
+    ids = [(f"t{k % 4}", k) for k in range(400)]
+    terms = spark.createDataFrame(ids + [("same", k) for k in range(40)], "term string, id int")
+    picked = spark.createDataFrame([(k,) for k in range(40)], "id int")
+    all_terms = {r.term: r.log_p_all for r in R.enrichment(terms, picked).collect()}
+    few = {r.term: r.log_p_all for r in R.enrichment(terms, picked, least=1e-20).collect()}
+    assert "same" in all_terms and "same" not in few and all(few[t] == all_terms[t] for t in few)
+
+
+def test_symmetric_edges_and_self_edges_are_read_once(spark, types):
+    got = oriented(edges(spark, (1, 2), (3, 3), kind=5), types).select("mine", "other", "dir")
     assert rows(got) == [(1, 2, 0), (2, 1, 0), (3, 3, 0)]
 
 
@@ -49,8 +136,8 @@ def test_deep_hierarchies_and_far_nodes_are_whole(spark):
     assert far.count() == 111 and far.where("distance != node_id").isEmpty()
 
 
-def test_no_recursion_walks_one_hop_and_hubs_stop(spark):
-    links = oriented(edges(spark, (1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (2, 7), (8, 2)))
+def test_no_recursion_walks_one_hop_and_hubs_stop(spark, types):
+    links = oriented(edges(spark, (1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (2, 7), (8, 2)), types)
     seed = spark.createDataFrame([(8,)], "node_id long")
     assert rows(T.expand(links, seed).select("mine", "other", "depth")) == [(8, 2, 1)]
     far = T.expand(links, seed, recurse=5, group_at=5)
@@ -59,13 +146,13 @@ def test_no_recursion_walks_one_hop_and_hubs_stop(spark):
     assert {r.depth for r in hub.collect()} == {1} and all(r.grouped for r in hub.collect())
 
 
-def test_expand_from_nothing(spark):
-    links = oriented(edges(spark, (1, 2)))
+def test_expand_from_nothing(spark, types):
+    links = oriented(edges(spark, (1, 2)), types)
     assert T.expand(links, spark.createDataFrame([], "node_id long"), recurse=2).isEmpty()
 
 
-def test_paths_take_the_short_way_unless_slack(spark):
-    links = oriented(edges(spark, (1, 2), (2, 3), (1, 4), (4, 5), (5, 3)))
+def test_paths_take_the_short_way_unless_slack(spark, types):
+    links = oriented(edges(spark, (1, 2), (2, 3), (1, 4), (4, 5), (5, 3)), types)
     start, end = (spark.createDataFrame([(k,)], "node_id long") for k in (1, 3))
     assert [r.path for r in T.find_paths(links, start, end).collect()] == [[3, 2, 1]]
     both = T.find_paths(links, start, end, slack=1).collect()
@@ -141,8 +228,8 @@ def test_hypergeometric_tails():
         return math.log10(chance)
 
     for case in ((0, 5, 4, 20, False), (4, 5, 4, 20, False), (1, 5, 10, 20, True), (3, 5, 4, 20, False), (0, 5, 4, 20, True)):
-        assert math.isclose(R.tail(*case), brute(*case), abs_tol=1e-9)
-    assert R.tail(5, 5, 4, 20, False) == -999
+        assert math.isclose(R.tails(*(np.array([x]) for x in case))[0], brute(*case), abs_tol=1e-9)
+    assert R.tails(*(np.array([x]) for x in (5, 5, 4, 20, False)))[0] == -999
 
 
 def test_reciprocal_best_needs_closed_ties(spark):

@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.plans.graph import Graph, oriented, read_as
+from weftgraph.operators.traverse import closure
+from weftgraph.plans.graph import Graph, oriented, read_as, symmetric
 
 _EDGE = ["name1", "name2", "type_id"]
 
@@ -22,22 +23,17 @@ def ends(rows: DataFrame) -> DataFrame:
     return rows.withColumn("name1", F.when(back, F.col("other")).otherwise(F.col("mine"))).withColumn("name2", F.when(back, F.col("mine")).otherwise(F.col("other")))
 
 
-def _by_edge(rows: DataFrame, edges: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of oriented rows with edges; a symmetric edge may be stored either way."""
-    return ends(rows).join(edges.select(*_EDGE).union(edges.where("type_id = 5").select("name2", "name1", "type_id")), _EDGE, how).select(*rows.columns)
+def _by_edge(rows: DataFrame, edges: DataFrame, how: str, either_way: Sequence[int]) -> DataFrame:
+    """Semi or anti join of oriented rows with edges; edges of symmetric types may be stored either way."""
+    back = edges.where(F.col("type_id").isin(list(either_way))).select("name2", "name1", "type_id")
+    return ends(rows).join(edges.select(*_EDGE).union(back), _EDGE, how).select(*rows.columns)
 
 
-def descendants(classes: DataFrame, names: Sequence[str]) -> list[int]:
-    """Ids of these classes and all below them; the class table is a vocabulary of a few rows."""
-    below: dict[int | None, list[int]] = {}
-    ids = []
-    for c in classes.collect():
-        below.setdefault(c.parent_id, []).append(c.class_id)
-        if c.class_name in names:
-            ids.append(c.class_id)
-    for k in ids:
-        ids += [x for x in below.get(k, []) if x not in ids]
-    return sorted(set(ids))
+def descendants(classes: DataFrame, names: Sequence[str]) -> DataFrame:
+    """class_id of these classes and all below them."""
+    named = classes.where(F.col("class_name").isin(list(names))).select("class_id")
+    above = closure(classes.select(F.col("class_id").alias("child"), F.col("parent_id").alias("parent")))
+    return named.union(above.join(named.withColumnRenamed("class_id", "ancestor"), "ancestor", "left_semi").select("node")).distinct()
 
 
 @dataclass(frozen=True)
@@ -74,35 +70,40 @@ def edge_query(
     Edges are live and in space 1 unless told otherwise. Authorities count where their history is
     live. Classes stand for all classes below them, taxa for themselves alone. `connects` asks that
     the neighbour also touches one of these nodes by a live edge. `limit` is per seed and reading, in
-    the order of the neighbour's id, so that results are the same each time.
+    the order of the neighbour's id, so that results are the same each time. A reading may name the
+    space of its edges (`#2#supplies`), which then counts instead of `space`.
     """
-    rows = oriented(g.edges)
+    rows = oriented(g.edges, g.types)
     if space is not None:
-        rows = rows.where(F.col("space_id") == space)
+        own = [r for r in reads if not r.startswith("#")]
+        named = [r for r in reads if r.startswith("#")]
+        here = F.col("space_id") == space
+        rows = rows.where((here & (read_as(g.types, *own) if own else F.lit(not named))) | read_as(g.types, *named) if named else here)
     if not dead_too:
         rows = rows.where("live")
     if reads:
-        rows = rows.where(read_as(*reads))
+        rows = rows.where(read_as(g.types, *reads))
     if seeds is not None:
         rows = rows.join(seeds.select(F.col("node_id").alias("mine")).distinct(), "mine", "left_semi")
     said = g.history.where("live")
+    either_way = symmetric(g.types) if keep_authority or toss_authority or tags else []
     if keep_authority:
-        rows = _by_edge(rows, said.where(F.col("authority").isin(*keep_authority)), "left_semi")
+        rows = _by_edge(rows, said.where(F.col("authority").isin(*keep_authority)), "left_semi", either_way)
     if toss_authority:
-        rows = _by_edge(rows, said.where(F.col("authority").isin(*toss_authority)), "left_anti")
+        rows = _by_edge(rows, said.where(F.col("authority").isin(*toss_authority)), "left_anti", either_way)
     labels = g.labels.select(F.col("node_id").alias("other"), "class_id")
     if keep_class:
-        rows = rows.join(labels.where(F.col("class_id").isin(descendants(g.classes, keep_class))), "other", "left_semi")
+        rows = rows.join(labels.join(descendants(g.classes, keep_class), "class_id", "left_semi"), "other", "left_semi")
     if toss_class:
-        rows = rows.join(labels.where(F.col("class_id").isin(descendants(g.classes, toss_class))), "other", "left_anti")
+        rows = rows.join(labels.join(descendants(g.classes, toss_class), "class_id", "left_semi"), "other", "left_anti")
     if keep_taxa:
         rows = rows.join(g.taxa.where(F.col("tax_id").isin(*keep_taxa)).select(F.col("node_id").alias("other")), "other", "left_semi")
     if keep_space:
         rows = rows.join(g.nodes.where(F.col("space_id").isin(*keep_space)).select(F.col("node_id").alias("other")), "other", "left_semi")
     for t in tags:
-        rows = _by_edge(rows, t.edges(g.meta), "left_semi")
+        rows = _by_edge(rows, t.edges(g.meta), "left_semi", either_way)
     if connects is not None:
-        touching = oriented(g.edges).where(F.col("live") & (read_as(*connects_by) if connects_by else F.lit(True)))
+        touching = oriented(g.edges, g.types).where(F.col("live") & (read_as(g.types, *connects_by) if connects_by else F.lit(True)))
         touching = touching.join(connects.select(F.col("node_id").alias("mine")), "mine", "left_semi")
         rows = rows.join(touching.select("other").distinct(), "other", "left_semi")
     if limit is not None:

@@ -1,8 +1,10 @@
 """Coordinate intervals with closed bounds: overlap, containment, nearest, lift-over, intersection, clusters.
 
-Joins on ranges are joins on equal bins: an interval is listed once for each bin of fixed width that
-it touches, and a pair counts in the first bin that both touch, so that no pair comes twice and no
-step compares everything with everything.
+Joins on ranges are joins on equal bins, whose width doubles from level to level. An interval's own
+level is the first whose bins are at least as wide as it is, so it touches two of them at most. Of a
+pair the one of the lower level is also listed at the level of the other, so that the pair meets
+there, in the first bin that both touch: it comes once, whatever the lengths, and each interval is
+listed at most twice for each level that there is.
 """
 
 from __future__ import annotations
@@ -10,18 +12,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.stretches import previous, ranged, running
 
-def _binned(df: DataFrame, low: Column, high: Column, width: int) -> DataFrame:
-    first = F.floor(low / width)
-    return df.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, F.floor(high / width))))
+
+def _levels(df: DataFrame, low: Column, high: Column, width: int) -> tuple[DataFrame, list[int]]:
+    """df with the level of its intervals, and the levels that there are (at most 64)."""
+    least = max(0, (width - 1).bit_length())
+    df = df.withColumn("_level", F.greatest(F.lit(least), F.ceil(F.log2(F.greatest(high - low + 1, F.lit(1)).cast("double")))).cast("int"))
+    return df, sorted(r[0] for r in df.select("_level").distinct().collect() if r[0] is not None)
+
+
+def _binned(df: DataFrame, low: Column, high: Column, others: list[int]) -> DataFrame:
+    """df listed by `_at` and `_bin`: at its own level, and at the higher ones of the other side."""
+    levels = F.array_union(F.array("_level"), F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > F.col("_level")))
+    df = df.withColumn("_at", F.explode(levels))
+    wide = F.expr("shiftleft(1L, _at)")
+    first = F.floor(low / wide)
+    return df.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, F.floor(high / wide))))
 
 
 def overlapping(a: DataFrame, b: DataFrame, width: int = 256, within: int = 0) -> DataFrame:
-    """Pairs of (seq, a_id, a_start, a_end) and (seq, b_id, b_start, b_end) that overlap or are at most `within` apart."""
-    left = _binned(a, F.col("a_start") - within, F.col("a_end") + within, width).withColumnRenamed("_first", "_fa")
-    right = _binned(b, F.col("b_start"), F.col("b_end"), width).withColumnRenamed("_first", "_fb")
-    pairs = left.join(right, ["seq", "_bin"]).where((F.col("_bin") == F.greatest("_fa", "_fb")) & (F.col("a_start") - within <= F.col("b_end")) & (F.col("a_end") + within >= F.col("b_start")))
-    return pairs.drop("_bin", "_fa", "_fb")
+    """Pairs of (seq, a_id, a_start, a_end) and (seq, b_id, b_start, b_end) that overlap or are at most `within` apart; width: of the narrowest bins."""
+    a_low, a_high, b_low, b_high = F.col("a_start") - within, F.col("a_end") + within, F.col("b_start"), F.col("b_end")
+    (a, a_levels), (b, b_levels) = _levels(a.where("a_start <= a_end"), a_low, a_high, width), _levels(b.where("b_start <= b_end"), b_low, b_high, width)
+    left = _binned(a, a_low, a_high, b_levels).withColumnsRenamed({"_first": "_fa", "_level": "_la"})
+    right = _binned(b, b_low, b_high, a_levels).withColumnsRenamed({"_first": "_fb", "_level": "_lb"})
+    once = (F.col("_at") == F.greatest("_la", "_lb")) & (F.col("_bin") == F.greatest("_fa", "_fb"))
+    pairs = left.join(right, ["seq", "_at", "_bin"]).where(once & (a_low <= b_high) & (a_high >= b_low))
+    return pairs.drop("_at", "_bin", "_fa", "_fb", "_la", "_lb")
 
 
 def contained(a: DataFrame, b: DataFrame, width: int = 256) -> DataFrame:
@@ -41,22 +59,37 @@ def gap(a_start: str = "a_start", a_end: str = "a_end", b_start: str = "b_start"
     return F.when(b1 < a0, b1 - a0).when(b0 > a1, b0 - a1).otherwise(0)
 
 
-def nearest(a: DataFrame, b: DataFrame, within: int, width: int = 256, flank: bool = False) -> DataFrame:
-    """For each a the closest b at most so far away, ties kept; with flank the closest on either side."""
+def nearest(a: DataFrame, b: DataFrame, within: int, width: int = 256, flank: bool = False, keep_all: bool = False) -> DataFrame:
+    """For each a the closest b at most so far away, ties kept; with flank the closest on either side, with keep_all every one within reach."""
     pairs = overlapping(a, b, width, within).withColumn("distance", gap())
+    if keep_all:
+        return pairs
     by = ["seq", "a_id", F.signum("distance")] if flank else ["seq", "a_id"]
     order = Window.partitionBy(*by).orderBy(F.abs("distance"))
     return pairs.withColumn("_r", F.rank().over(order)).where("_r = 1").drop("_r")
 
 
+def nearest_blocks(a: DataFrame, b: DataFrame, within: int, width: int = 256) -> DataFrame:
+    """a_id, b_id, distance between mappings made of blocks (rows that share an a_id or b_id): that of their two closest blocks.
+
+    A b that lies in a gap between two blocks of a, without touching them, has a positive distance to the nearer one.
+    """
+    pairs = overlapping(a, b, width, within).withColumn("distance", gap())
+    best = F.min(F.struct(F.abs("distance").alias("d"), F.col("distance").alias("s")))
+    whole = a.groupBy("seq", "a_id").agg(F.min("a_start").alias("_low"), F.max("a_end").alias("_high"))
+    got = pairs.groupBy("seq", "a_id", "b_id").agg(best.alias("x"), F.min("b_start").alias("_bs"), F.max("b_end").alias("_be"))
+    inside = (F.col("_bs") >= F.col("_low")) & (F.col("_be") <= F.col("_high"))
+    return got.join(whole, ["seq", "a_id"]).select("a_id", "b_id", F.when(inside, F.col("x.d")).otherwise(F.col("x.s")).alias("distance"))
+
+
 def lifted(points: DataFrame, maps: DataFrame, width: int = 256) -> DataFrame:
     """point_id, map_id, seq2, pos2: positions (point_id, seq, pos) carried over (map_id, seq1, start1, end1, seq2, start2, end2, strand).
 
     A backward strand counts from the end; lengths that differ scale the offset.
     """
-    at = points.select("point_id", "seq", "pos", F.floor(F.col("pos") / width).alias("_bin"))
-    spans = _binned(maps.withColumnRenamed("seq1", "seq"), F.col("start1"), F.col("end1"), width)
-    hit = at.join(spans, ["seq", "_bin"]).where("pos BETWEEN start1 AND end1")
+    a = points.select("seq", F.col("point_id").alias("a_id"), F.col("pos").alias("a_start"), F.col("pos").alias("a_end"))
+    b = maps.select(F.col("seq1").alias("seq"), F.col("map_id").alias("b_id"), F.col("start1").alias("b_start"), F.col("end1").alias("b_end"), "start1", "end1", "seq2", "start2", "end2", "strand")
+    hit = overlapping(a, b, width).withColumnsRenamed({"a_id": "point_id", "a_start": "pos", "b_id": "map_id"})
     return hit.select("point_id", "map_id", "seq2", carried(F.col("pos")).alias("pos2"))
 
 
@@ -75,27 +108,71 @@ def intersections(a: DataFrame, b: DataFrame, width: int = 256) -> DataFrame:
     return pairs.select("a_id", "b_id", "seq", start.alias("start"), end.alias("end"), ((end - start + 1) / shorter).alias("coverage"))
 
 
+def bridged(a: DataFrame, b: DataFrame, width: int = 256, merge: int = 1) -> DataFrame:
+    """a_id, b_id, seq1, s1, e1, seq2, s2, e2, strand, n, shared, gaps, coverage: from the far side of a over a shared sequence to that of b.
+
+    Both are tables of blocks: id, seq, start, end on the shared sequence, seq2, start2, end2 on the
+    other, strand. Blocks of one pair that lie within `merge` of each other on both far sides are
+    joined; strands multiply; a block's far side is carried by its step ratio; gaps are the positions
+    between the joined blocks, coverage is the shared part of the shorter mapping.
+    """
+
+    def renamed(df: DataFrame, c: str) -> DataFrame:
+        return df.select("seq", F.col("id").alias(f"{c}_id"), F.col("start").alias(f"{c}_start"), F.col("end").alias(f"{c}_end"), *[F.col(x).alias(f"{c}_{x}") for x in ("seq2", "start2", "end2", "strand")])
+
+    def far(c: str, pos: str) -> Column:
+        ratio = (F.col(f"{c}_end2") - F.col(f"{c}_start2") + 1) / (F.col(f"{c}_end") - F.col(f"{c}_start") + 1)
+        offset = (F.col(pos) - F.col(f"{c}_start")) * ratio
+        return F.when(F.col(f"{c}_strand") < 0, F.col(f"{c}_end2") - offset).otherwise(F.col(f"{c}_start2") + offset)
+
+    pairs = overlapping(renamed(a, "a"), renamed(b, "b"), width)
+    pairs = pairs.withColumn("low", F.greatest("a_start", "b_start")).withColumn("high", F.least("a_end", "b_end"))
+    for c, k in (("a", 1), ("b", 2)):
+        pairs = pairs.withColumn(f"s{k}", F.least(far(c, "low"), far(c, "high"))).withColumn(f"e{k}", F.greatest(far(c, "low"), far(c, "high")))
+    key = ["a_id", "b_id", "a_seq2", "b_seq2", "strand"]
+    pairs = pairs.withColumn("strand", F.col("a_strand") * F.col("b_strand"))
+    w = Window.partitionBy(*key).orderBy("low", "high")  # the blocks of one pair of mappings
+    near = [(F.greatest(F.col(f"s{k}") - F.lag(f"e{k}").over(w), F.lag(f"s{k}").over(w) - F.col(f"e{k}")) <= merge) for k in (1, 2)]
+    runs = pairs.withColumn("_new", F.when(F.lag("low").over(w).isNull() | ~(near[0] & near[1]), 1).otherwise(0)).withColumn("_between", F.greatest(F.lit(0), F.col("low") - F.lag("high").over(w) - 1))
+    runs = runs.withColumn("_run", F.sum("_new").over(w))
+    out = runs.groupBy(*key, "_run").agg(
+        *[f(c).alias(c) for c, f in (("s1", F.min), ("e1", F.max), ("s2", F.min), ("e2", F.max))], F.count("*").alias("n"),
+        F.sum(F.col("high") - F.col("low") + 1).alias("shared"), F.sum(F.when(F.col("_new") == 0, F.col("_between")).otherwise(0)).alias("gaps"),
+    )
+    lengths = [df.groupBy(F.col("id").alias(f"{c}_id")).agg(F.sum(F.col("end") - F.col("start") + 1).alias(f"_{c}")) for c, df in (("a", a), ("b", b))]
+    out = out.join(lengths[0], "a_id").join(lengths[1], "b_id").withColumn("coverage", F.col("shared") / F.least("_a", "_b"))
+    return out.select("a_id", "b_id", F.col("a_seq2").alias("seq1"), "s1", "e1", F.col("b_seq2").alias("seq2"), "s2", "e2", "strand", "n", "shared", "gaps", "coverage")
+
+
+def place_key(locations: DataFrame, key: str) -> DataFrame:
+    """key, place: one text for each set of locations (seq, start, end), equal for sets that are equal."""
+    one = F.concat_ws(":", "seq", "start", "end")
+    return locations.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(one)), "|").alias("place"))
+
+
 def clustered(df: DataFrame, by: list[str], start: str, most: int, tie: str) -> DataFrame:
     """df with `cluster`: a new one begins where the start is more than `most` after the one before."""
-    order = Window.partitionBy(*by).orderBy(start, tie)
-    new = F.coalesce((F.col(start) - F.lag(start).over(order) > most).cast("int"), F.lit(1))
-    return df.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(order)).drop("_new")
+    order = [F.col(start).asc(), F.col(tie).asc()]
+    dealt = previous(ranged(df, by, order), by, order, F.col(start), "_prev")
+    new = F.coalesce((F.col(start) - F.col("_prev") > most).cast("int"), F.lit(1))
+    return running(dealt, by, order, new, "cluster").drop("_prev", "_stretch")
 
 
 def merged(df: DataFrame, by: list[str], start: str = "start", end: str = "end", slack: int = 1) -> DataFrame:
     """by, start, end, n: runs of intervals that overlap or touch (or are at most `slack` apart)."""
-    order = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col(start) > reach + slack).cast("int"), F.lit(1))
-    runs = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
+    order = [F.col(start).asc(), F.col(end).asc()]
+    dealt = running(ranged(df, by, order), by, order, F.col(end), "_reach", "max", current=False)
+    new = F.coalesce((F.col(start) > F.col("_reach") + slack).cast("int"), F.lit(1))
+    runs = running(dealt.withColumn("_new", new), by, order, F.col("_new"), "_run")
     return runs.groupBy(*by, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_run")
 
 
 def congealed(locations: DataFrame, by: list[str], most: int = 25, tie: str = "s2") -> DataFrame:
     """by, s1, e1, s2, e2, n: neighbouring locations (s1, e1, s2, e2) joined while their offsets differ by at most so much."""
-    order = Window.partitionBy(*by).orderBy("s1", "e1", tie)
-    drift = F.abs((F.col("s2") - F.lag("e2").over(order)) - (F.col("s1") - F.lag("e1").over(order)))
-    runs = locations.withColumn("_new", F.coalesce((drift > most).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(order))
+    order = [F.col("s1").asc(), F.col("e1").asc(), F.col(tie).asc()]
+    dealt = previous(ranged(locations, by, order), by, order, F.struct("e1", "e2"), "_prev")
+    drift = F.abs((F.col("s2") - F.col("_prev.e2")) - (F.col("s1") - F.col("_prev.e1")))
+    runs = running(dealt.withColumn("_new", F.coalesce((drift > most).cast("int"), F.lit(1))), by, order, F.col("_new"), "_run")
     return runs.groupBy(*by, "_run").agg(F.min("s1").alias("s1"), F.max("e1").alias("e1"), F.min("s2").alias("s2"), F.max("e2").alias("e2"), F.count("*").alias("n")).drop("_run")
 
 

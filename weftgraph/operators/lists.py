@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.stretches import numbered
+
 
 def chain(rules: Sequence[DataFrame], how: str = "product") -> DataFrame:
     """input, output, score, via: rules (term_in, term_out, score) composed in order.
@@ -71,14 +73,13 @@ def grid(rows: DataFrame, row: str, column: str, columns: Sequence[str], score:
 
 
 def sparse_matrix(rows: DataFrame, row: str, column: str, score: str = "score") -> DataFrame:
-    """i, j, value with the names numbered from 1 in order; each name list is ranked in its own range-sorted table."""
+    """i, j, value with the names numbered from 1 in order."""
 
-    def numbered(c: str, n: str) -> DataFrame:
-        names = rows.select(c).distinct()
-        return names.withColumn(n, F.rank().over(Window.orderBy(c)))  # names of an axis, not cells
+    def axis(c: str, n: str) -> DataFrame:
+        return numbered(rows.select(c).distinct(), [], [F.col(c).asc()], n)
 
     cells = rows.groupBy(row, column).agg(F.max(score).alias("value"))
-    return cells.join(numbered(row, "i"), row).join(numbered(column, "j"), column).select("i", "j", "value")
+    return cells.join(axis(row, "i"), row).join(axis(column, "j"), column).select("i", "j", "value")
 
 
 def top_per_group(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

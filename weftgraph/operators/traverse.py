@@ -72,20 +72,24 @@ def expand(
     recurse: int = 0,
     *,
     group_at: int | None = None,
+    ungrouped: DataFrame | None = None,
     halt_nodes: DataFrame | None = None,
+    halt_types: Sequence[int] = (),
     same_taxa: DataFrame | None = None,
     limit: int | None = None,
 ) -> DataFrame:
     """mine, other, type_id, dir, depth, grouped: edges met level by level from the seeds (node_id).
 
     links are oriented edges. No recursion still walks one hop. Where a node has `group_at` or more
-    new edges of one reading these are kept (grouped) but not followed; nodes in `halt_nodes` are
-    kept but not followed either, and so are edges between nodes of the frontier. With `same_taxa`
+    new edges of one reading these are kept (grouped) but not followed, unless the node is in
+    `ungrouped` (node_id). Nodes in `halt_nodes` are kept but not followed either, and so are the ends
+    of edges with `halt_types`, and edges between nodes of the frontier. With `same_taxa`
     (node_id, tax_id) a neighbour must share a taxon with the seeds, or have none. `limit` is per
     node and reading, by the neighbour's id.
     """
     frontier = checkpointed(seeds.select(F.col("node_id").alias("mine")).distinct())
     seen, found = frontier, None
+    free = None if ungrouped is None else ungrouped.select(F.col("node_id").alias("mine")).distinct().withColumn("_free", F.lit(True))
     allowed = None if same_taxa is None else same_taxa.join(frontier.select(F.col("mine").alias("node_id")), "node_id", "left_semi").select("tax_id").distinct()
     for depth in range(recurse + 1):
         hop = links.join(frontier, "mine").select("mine", "other", "type_id", "dir")
@@ -100,9 +104,12 @@ def expand(
         if limit is not None:
             hop = hop.withColumn("_n", F.row_number().over(by_reading.orderBy("other"))).where(F.col("_n") <= limit).drop("_n")
         grouped = F.lit(False) if group_at is None else F.count("*").over(by_reading) >= group_at
-        hop = checkpointed(hop.withColumn("grouped", grouped).withColumn("depth", F.lit(depth + 1)))
+        hop = hop.withColumn("grouped", grouped).withColumn("depth", F.lit(depth + 1))
+        if free is not None:
+            hop = hop.join(free, "mine", "left").withColumn("grouped", F.col("grouped") & F.col("_free").isNull()).drop("_free")
+        hop = checkpointed(hop)
         found = hop if found is None else found.unionByName(hop)
-        following = hop.where("NOT grouped").select(F.col("other").alias("mine")).distinct().join(seen, "mine", "left_anti")
+        following = hop.where(~F.col("grouped") & ~F.col("type_id").isin(list(halt_types))).select(F.col("other").alias("mine")).distinct().join(seen, "mine", "left_anti")
         if halt_nodes is not None:
             following = following.join(halt_nodes.select(F.col("node_id").alias("mine")), "mine", "left_anti")
         frontier = checkpointed(following)
@@ -115,7 +122,7 @@ def expand(
 def distances(links: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """node_id, distance: the fewest edges from any seed, for every node within reach, or within so many edges."""
     level = checkpointed(seeds.select("node_id", F.lit(0).alias("distance")).distinct())
-    out, step = level, links.select("mine", "other").distinct()
+    out, step = level, checkpointed(links.select("mine", "other").distinct())
     for depth in itertools.count(1) if most is None else range(1, most + 1):
         nearer = level.select(F.col("node_id").alias("mine"))
         level = step.join(nearer, "mine", "left_semi").select(F.col("other").alias("node_id")).distinct().join(out, "node_id", "left_anti")
@@ -128,15 +135,15 @@ def distances(links: DataFrame, seeds: DataFrame, most: int | None = None) -> Da
     return out
 
 
-def explicit(links: DataFrame, seeds: DataFrame, legs: Sequence[Sequence[str]], complete: bool = True) -> DataFrame:
-    """root, node, path: walks that take one edge of each leg's readings in turn, without coming back to a node.
+def explicit(links: DataFrame, types: DataFrame, seeds: DataFrame, legs: Sequence[Sequence[str]], complete: bool = True) -> DataFrame:
+    """root, node, path: walks that take one edge of each leg's readings (of types) in turn, without coming back to a node.
 
     Incomplete walks end where no edge of the next leg goes on; they are left out if `complete`.
     """
     walks = seeds.select(F.col("node_id").alias("root"), F.col("node_id").alias("node"), F.array("node_id").alias("path")).distinct()
     ended = []
     for leg in legs:
-        step = links.where(read_as(*leg)).select(F.col("mine").alias("node"), "other").distinct()
+        step = links.where(read_as(types, *leg)).select(F.col("mine").alias("node"), "other").distinct()
         further = walks.join(step, "node").where(~F.array_contains("path", F.col("other")))
         if not complete:
             ended.append(walks.join(further.select("path").distinct(), "path", "left_anti").select("root", "node", "path"))
@@ -160,16 +167,18 @@ def find_paths(links: DataFrame, start: DataFrame, end: DataFrame, weight: Colum
     """
     away = distances(links, start, max_legs).select(F.col("node_id").alias("other"), F.col("distance").alias("there"))
     step = links.select("mine", "other", "type_id", "dir", (F.lit(0.95) if weight is None else weight).alias("weight")).groupBy("mine", "other").agg(F.max("weight").alias("weight"))
-    step = step.join(away, "other")
-    walks = end.join(away.select(F.col("other").alias("node_id"), "there"), "node_id").select(F.col("node_id").alias("mine"), "there", F.array("node_id").alias("path"), F.lit(1.0).alias("score"), F.lit(0).alias("lost"))
-    out = []
-    for _ in range(max_legs):
-        out.append(walks.where("there = 0"))
-        further = walks.where("there > 0").withColumnRenamed("there", "here").join(step, "mine")
+    step = checkpointed(step.join(away, "other"))
+    walks = checkpointed(end.join(away.select(F.col("other").alias("node_id"), "there"), "node_id").select(F.col("node_id").alias("mine"), "there", F.array("node_id").alias("path"), F.lit(1.0).alias("score"), F.lit(0).alias("lost")))
+    out = [walks.where("there = 0")]
+    for leg in range(max_legs):
+        left = max_legs - leg - 1  # legs after this one
+        further = walks.where("there > 0").withColumnRenamed("there", "here").join(step.where(F.col("there") <= left), "mine")
         further = further.withColumn("lost", F.col("lost") + F.greatest(F.lit(0), F.col("there") - F.col("here") + 1))
         further = further.where((F.col("lost") <= slack) & ~F.array_contains("path", F.col("other")))
-        walks = further.select(F.col("other").alias("mine"), "there", F.concat("path", F.array("other")).alias("path"), (F.col("score") * F.col("weight")).alias("score"), "lost").where(F.col("score") >= least)
-    out.append(walks.where("there = 0"))
+        walks = checkpointed(further.select(F.col("other").alias("mine"), "there", F.concat("path", F.array("other")).alias("path"), (F.col("score") * F.col("weight")).alias("score"), "lost").where(F.col("score") >= least))
+        if walks.isEmpty():
+            break
+        out.append(walks.where("there = 0"))
     return reduce(DataFrame.unionByName, out).select("path", "score")
 
 

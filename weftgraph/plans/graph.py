@@ -2,18 +2,22 @@
 
 Nodes carry a name within a space, edges a type with a forward and a backward reading (a type that
 reads alike both ways is symmetric), a space, and a live flag that follows their history by
-authority. Small vocabularies (types, classes, spaces) have a fixed number of rows.
+authority. Readings come from the graph's own table of types. `stored` writes a graph once, edges by
+type and nodes by space, so that queries and the levels of a walk read what they need of it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.plans.shared import shared_folder
+
 #: space_id: prefix of the names in it, class of its nodes.
 SPACES = {1: ("R#", 3), 2: ("N#", 4), 3: ("C#", 6), 4: ("S#", 7), 5: ("P#", 9), 6: ("O#", 10)}
 #: type_id, forward and backward reading.
@@ -57,7 +61,35 @@ def _edge(df: DataFrame, a: tuple[str, int], b: tuple[str, int], kind: int, live
     return df.select(node_id(*a).alias("name1"), node_id(*b).alias("name2"), F.lit(kind).alias("type_id"), live.alias("live"), F.lit(space).alias("space_id"))
 
 
+#: Of stored graphs: how their tables are laid out.
+_LAYOUT = {"nodes": "space_id", "edges": "type_id"}
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(g: Graph, folder: str) -> Graph:
+    """The graph written to a folder and read again: edges by type, nodes by space."""
+    spark = g.nodes.sparkSession
+    for f in fields(Graph):
+        df, by = getattr(g, f.name), _LAYOUT.get(f.name)
+        (df.repartition(by, F.pmod(F.xxhash64(*df.columns[:2]), F.lit(64))) if by else df).write.partitionBy(*[by] if by else []).parquet(f"{folder}/{f.name}")
+    return read_stored(spark, folder)
+
+
+def read_stored(spark: SparkSession, folder: str) -> Graph:
+    return Graph(*[spark.read.parquet(f"{folder}/{f.name}") for f in fields(Graph)])
+
+
 def from_tables(spark: SparkSession, sf_dir: str) -> Graph:
+    """projected(), stored in the shared folder by the first query of an application over these tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+        stored(projected(spark, sf_dir), folder)
+        _STORED[key] = folder
+    return read_stored(spark, _STORED[key])
+
+
+def projected(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions, nations, parties, parts and orders as nodes; keys and order lines as edges, with the lines as history and metadata."""
     t = {n: table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
     keys = {1: ("region", "r_regionkey"), 2: ("nation", "n_nationkey"), 3: ("customer", "c_custkey"), 4: ("supplier", "s_suppkey"), 5: ("part", "p_partkey"), 6: ("orders", "o_orderkey")}
@@ -99,24 +131,41 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, edges, history, meta, spark.createDataFrame(TYPES, "type_id int, forward string, backward string"), classes, labels, taxa, taxonomy, mappings)
 
 
-def oriented(edges: DataFrame) -> DataFrame:
+def vocabulary(df: DataFrame, most: int = 10_000) -> list[Row]:
+    """The rows of a vocabulary, which may not be more than so many."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary of more than {most} rows")
+    return rows
+
+
+def symmetric(types: DataFrame) -> list[int]:
+    """Ids of the types that read alike both ways."""
+    return [r.type_id for r in vocabulary(types.where("forward = backward").select("type_id"))]
+
+
+def oriented(edges: DataFrame, types: DataFrame) -> DataFrame:
     """mine, other, type_id, dir, live, space_id: each edge from both ends; dir is 0 for a symmetric type, else 1 or -1."""
-    symmetric = F.col("type_id").isin([k for k, a, b in TYPES if a == b])
+    both = F.col("type_id").isin(symmetric(types))
     rest = ["type_id", "live", "space_id"]
-    there = edges.select(F.col("name1").alias("mine"), F.col("name2").alias("other"), F.when(symmetric, 0).otherwise(1).alias("dir"), *rest)
-    back = edges.select(F.col("name2").alias("mine"), F.col("name1").alias("other"), F.when(symmetric, 0).otherwise(-1).alias("dir"), *rest)
+    there = edges.select(F.col("name1").alias("mine"), F.col("name2").alias("other"), F.when(both, 0).otherwise(1).alias("dir"), *rest)
+    back = edges.select(F.col("name2").alias("mine"), F.col("name1").alias("other"), F.when(both, 0).otherwise(-1).alias("dir"), *rest)
     return there.unionByName(back.where(F.col("mine") != F.col("other")))
 
 
-def reading(kind: str = "type_id", direction: str = "dir") -> Column:
-    """The edge as read from its own end."""
-    forward = F.create_map(*[F.lit(x) for k, a, _ in TYPES for x in (k, a)])
-    backward = F.create_map(*[F.lit(x) for k, _, b in TYPES for x in (k, b)])
-    return F.when(F.col(direction) < 0, backward[F.col(kind)]).otherwise(forward[F.col(kind)])
+def with_reading(rows: DataFrame, types: DataFrame, name: str = "reading") -> DataFrame:
+    """Oriented edges with the type as read from their own end; null for a type that the table lacks."""
+    read = types.select("type_id", F.col("forward").alias("_forward"), F.col("backward").alias("_backward"))
+    return rows.join(read, "type_id", "left").withColumn(name, F.when(F.col("dir") < 0, F.col("_backward")).otherwise(F.col("_forward"))).drop("_forward", "_backward")
 
 
-def read_as(*readings: str) -> Column:
-    """Whether an oriented edge has one of these readings."""
-    fits = [(F.col("type_id") == k) & (F.col("dir") >= 0) for k, a, _ in TYPES if a in readings]
-    fits += [(F.col("type_id") == k) & (F.col("dir") < 0) for k, a, b in TYPES if b in readings and a != b]
-    return reduce(Column.__or__, fits, F.lit(False))
+def read_as(types: DataFrame, *readings: str) -> Column:
+    """Whether an oriented edge has one of these readings; `#space_id#reading` asks for an edge of that space, whatever the query's own."""
+    asked = [r[1:].split("#", 1) if r.startswith("#") and "#" in r[1:] else (None, r) for r in readings]
+    rows = vocabulary(types.where(F.col("forward").isin([r for _, r in asked]) | F.col("backward").isin([r for _, r in asked])))
+    fits = [F.lit(False)]
+    for space, r in asked:
+        here = F.lit(True) if space is None else F.col("space_id") == int(space)
+        fits += [here & (F.col("type_id") == t.type_id) & (F.col("dir") >= 0) for t in rows if t.forward == r]
+        fits += [here & (F.col("type_id") == t.type_id) & (F.col("dir") < 0) for t in rows if t.backward == r and t.forward != t.backward]
+    return reduce(Column.__or__, fits)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.text import name_matches
 from weftgraph.operators import edges as E
 from weftgraph.operators import traverse as T
-from weftgraph.plans.graph import SPACES, Graph, from_tables, oriented, read_as, reading, table
+from weftgraph.plans.graph import SPACES, Graph, from_tables, oriented, read_as, table, with_reading
 from weftgraph.plans.registry import query
 
 
@@ -31,7 +31,7 @@ _ROW = "SELECT mine, other, type_id, dir, live, space_id FROM ori"
 def j1_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = from_tables(spark, sf_dir)
     rows = E.edge_query(g, _of_class(g, 2), reads=["is a child of"])
-    return E.named(rows, g.nodes, "mine", "other").select("mine_name", "other_name", reading().alias("reading"))
+    return E.named(with_reading(rows, g.types), g.nodes, "mine", "other").select("mine_name", "other_name", "reading")
 
 
 @query(_ROW + " WHERE live AND space_id = 1 AND type_id = 1 AND mine % 10 = 2", True)
@@ -43,7 +43,7 @@ def j1_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT mine, other, CASE WHEN dir < 0 THEN backward ELSE forward END AS reading FROM ori JOIN edge_type USING (type_id) WHERE live AND space_id = 1 AND mine % 10 = 5", True)
 def j3_oriented_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = from_tables(spark, sf_dir)
-    return E.edge_query(g, _of_class(g, 5)).select("mine", "other", reading().alias("reading"))
+    return with_reading(E.edge_query(g, _of_class(g, 5)), g.types).select("mine", "other", "reading")
 
 
 @query(_ROW + " WHERE live AND type_id = 4 AND dir = -1", True)
@@ -120,11 +120,14 @@ def w3_limit_per_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.edge_query(from_tables(spark, sf_dir), limit=2)
 
 
-@query("SELECT e.name1, e.name2, e.type_id FROM edge e WHERE type_id IN (1, 5)", True)
+@query("SELECT e.name1, e.name2, e.type_id FROM edge e WHERE type_id IN (1, 2, 5) AND (name1 // 10) % 3 <> 0 UNION ALL SELECT name1, name2, type_id FROM edge WHERE type_id = 3 AND (name1 // 10) % 3 = 2 AND (name2 // 10) % 2 = 0", True)
 def j2_node_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs either way round, of which a third, moved to another space or number, belong to no edge."""
     g = from_tables(spark, sf_dir)
-    pairs = g.edges.where("type_id IN (1, 5)").select(F.col("name2").alias("a"), F.col("name1").alias("b"))
-    return E.between(g.edges, pairs).select("name1", "name2", "type_id")
+    at = F.expr("name1 div 10") % 3
+    some = g.edges.where("type_id IN (1, 2, 5)").select(F.when(at == 1, F.col("name2")).otherwise(F.col("name1")).alias("a"), F.when(at == 1, F.col("name1")).when(at == 0, -F.col("name2")).otherwise(F.col("name2")).alias("b"))
+    more = g.edges.where("type_id = 3").where(at == 2).select(F.col("name2").alias("a"), F.when(F.expr("name2 div 10") % 2 == 0, F.col("name1")).otherwise(F.col("name1") + 100_000_000_000).alias("b"))
+    return E.between(g.edges, some.union(more)).select("name1", "name2", "type_id")
 
 
 @query("SELECT name1, name2, type_id, live, space_id FROM edge WHERE live AND name1 % 10 IN (2, 3) AND name2 % 10 IN (2, 3)", True)
@@ -169,12 +172,15 @@ def sc10_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_tables(spark, sf_dir).nodes.where(F.substring(F.md5("name"), 1, 1) == "0").select("node_id", "name")
 
 
-@query("SELECT DISTINCT 0 AS input, x.n_nationkey * 10 + 2 AS output FROM nation x", False)
+@query(""", place AS (SELECT DISTINCT o_orderkey AS input, c_nationkey::BIGINT * 10 + 2 AS output FROM orders JOIN customer ON c_custkey = o_custkey UNION SELECT l_orderkey, n_regionkey::BIGINT * 10 + 1 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)
+SELECT input, output FROM place p WHERE NOT EXISTS (FROM place q JOIN up ON up.child = q.output WHERE q.input = p.input AND up.parent = p.output)""", True)
 def f19_leaves_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places as outputs of one input: the regions go, as parents of nations that are there too."""
+    """Places as outputs of orders, the customer's nation and the suppliers' regions: a region goes where it is that nation's."""
     g = from_tables(spark, sf_dir)
-    rows = _of_class(g, 1).union(_of_class(g, 2)).select(F.lit(0).alias("input"), F.col("node_id").cast("long").alias("output"))
-    return E.leaves_only(rows, _up(g))
+    orders, customer, lines, supplier, nation = (table(spark, sf_dir, n) for n in ("orders", "customer", "lineitem", "supplier", "nation"))
+    of_nation = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("input"), (F.col("c_nationkey").cast("long") * 10 + 2).alias("output"))
+    of_region = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("l_orderkey").alias("input"), (F.col("n_regionkey").cast("long") * 10 + 1).alias("output"))
+    return E.leaves_only(of_nation.union(of_region).distinct(), _up(g))
 
 
 @query("""SELECT type_id, class1, class2, n FROM (SELECT type_id, a.class_id AS class1, b.class_id AS class2, count(*) AS n FROM edge JOIN label a ON a.node_id = name1 JOIN label b ON b.node_id = name2 GROUP BY ALL)
@@ -196,6 +202,13 @@ def g19_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.closure(_up(from_tables(spark, sf_dir)))
 
 
+@query("WITH RECURSIVE c AS (SELECT p_partkey AS node, p_partkey // 2 AS ancestor, 1 AS depth FROM part WHERE p_partkey > 1 UNION ALL SELECT node, ancestor // 2, depth + 1 FROM c WHERE ancestor > 1) SELECT node, ancestor, depth FROM c")
+def g19_deep_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a tree in which each number lies under its half: 10 levels at 2,000 parts, 14 at 20,000."""
+    part = table(spark, sf_dir, "part").where("p_partkey > 1")
+    return T.closure(part.select(F.col("p_partkey").cast("long").alias("child"), F.expr("p_partkey div 2").alias("parent")))
+
+
 @query("SELECT ancestor, count(DISTINCT node) AS children, max(depth) AS deepest FROM clo GROUP BY ancestor", True)
 def g20_child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.closure(_up(from_tables(spark, sf_dir))).groupBy("ancestor").agg(F.count("*").alias("children"), F.max("depth").alias("deepest"))
@@ -248,7 +261,7 @@ def g28_bounded_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(g: Graph, *kinds: int) -> DataFrame:
-    return oriented(g.edges).where(F.col("live") & F.col("type_id").isin(*kinds))
+    return oriented(g.edges, g.types).where(F.col("live") & F.col("type_id").isin(*kinds))
 
 
 _TWO = """SELECT name2 AS mine, name1 AS other, 1 AS type_id, -1 AS dir, 1 AS depth, {g1} AS grouped FROM edge WHERE type_id = 1 AND name2 % 10 = 1
@@ -285,7 +298,7 @@ def g3_expand_same_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM region r JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'""")
 def g7_explicit_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = from_tables(spark, sf_dir)
-    walks = T.explicit(_links(g, 1, 2), _of_class(g, 1), [["is a parent of"], ["is a parent of"], ["has member"]])
+    walks = T.explicit(_links(g, 1, 2), g.types, _of_class(g, 1), [["is a parent of"], ["is a parent of"], ["has member"]])
     return walks.select("root", "node", _text().alias("path"))
 
 
@@ -294,21 +307,21 @@ UNION ALL SELECT 1 FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN
 UNION ALL SELECT 2 FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' AND l_linestatus = 'F')) GROUP BY legs""")
 def g7_incomplete_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = from_tables(spark, sf_dir)
-    walks = T.explicit(_links(g, 2, 3), _of_class(g, 3), [["has member"], ["contains"]], complete=False)
+    walks = T.explicit(_links(g, 2, 3), g.types, _of_class(g, 3), [["has member"], ["contains"]], complete=False)
     return walks.groupBy((F.size("path") - 1).alias("legs")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT c_custkey * 10 + 3 AS root, n_regionkey::BIGINT * 10 + 1 AS node FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def g8_telescope(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = from_tables(spark, sf_dir)
-    walks = T.explicit(_links(g, 1), _of_class(g, 3), [["is a child of"], ["is a child of"]])
+    walks = T.explicit(_links(g, 1), g.types, _of_class(g, 3), [["is a child of"], ["is a child of"]])
     return T.telescope(walks, g.labels, [SPACES[1][1]])
 
 
 @query("SELECT c_nationkey::BIGINT * 10 + 2 AS root, c_custkey * 10 + 3 AS node FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY length('C#' || c_custkey), 'C#' || c_custkey) = 1")
 def g8_telescope_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = from_tables(spark, sf_dir)
-    walks = T.explicit(_links(g, 1), _of_class(g, 2), [["is a parent of"]])
+    walks = T.explicit(_links(g, 1), g.types, _of_class(g, 2), [["is a parent of"]])
     return T.telescope(walks, g.labels, [SPACES[3][1]], g.nodes)
 
 
@@ -358,8 +371,8 @@ def d6_walk_with_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = from_tables(spark, sf_dir)
     urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_orderkey") * 10 + 6).alias("node_id"))
     links = _links(g, 1, 2)
-    members = links.where(read_as("is a member of")).join(urgent.withColumnRenamed("node_id", "mine"), "mine", "left_semi").select(F.col("other").alias("node_id")).distinct()
-    places = links.where(read_as("is a child of")).join(members.withColumnRenamed("node_id", "mine"), "mine", "left_semi")
+    members = links.where(read_as(g.types, "is a member of")).join(urgent.withColumnRenamed("node_id", "mine"), "mine", "left_semi").select(F.col("other").alias("node_id")).distinct()
+    places = links.where(read_as(g.types, "is a child of")).join(members.withColumnRenamed("node_id", "mine"), "mine", "left_semi")
     return places.select(F.col("other").alias("node"), F.lit("pick").alias("pick")).distinct()
 
 

@@ -9,6 +9,7 @@ from weftgraph.functions import text as X
 from weftgraph.operators import intervals as I
 from weftgraph.operators import lists as L
 from weftgraph.operators import resolve as R
+from weftgraph.operators.stretches import numbered
 from weftgraph.plans.graph import from_tables, table
 from weftgraph.plans.registry import query
 from weftgraph.sources import writers as W
@@ -64,10 +65,10 @@ def j12_flanks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.nearest(*_two(spark, sf_dir), within=20, flank=True).groupBy("a_id", "distance").agg(F.count("*").alias("n"))
 
 
-@query("SELECT map_id, seq1, start1, end1, score FROM mp WHERE score >= 5 AND seq1 IN (SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (1, 2)) ORDER BY score DESC, map_id LIMIT 500", True)
+@query("SELECT map_id, seq1, start1, end1, score FROM mp WHERE score >= 0.7 AND seq1 IN (SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (1, 2)) ORDER BY score DESC, map_id LIMIT 500", True)
 def j13_best_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 500 best mappings with taxa left out: a top list is the operator."""
-    m = from_tables(spark, sf_dir).mappings.where("score >= 5")
+    m = from_tables(spark, sf_dir).mappings.where("score >= 0.7")
     good = _t(spark, sf_dir, "supplier").where("NOT s_nationkey IN (1, 2)").select(F.col("s_suppkey").alias("seq1"))
     return m.join(good, "seq1", "left_semi").orderBy(F.desc("score"), "map_id").limit(500).select("map_id", "seq1", "start1", "end1", "score")
 
@@ -213,17 +214,20 @@ def j16_save_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.saved_to(nation.select(F.lower("n_name").alias("name")), rows, "name", ["output"])
 
 
+def _order_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by the ranks of their orders in one list for each priority."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("target"), F.col("o_orderpriority").alias("source"), "o_totalprice")
+    return numbered(orders, ["source"], [F.desc("o_totalprice")])
+
+
 @query("SELECT o_custkey AS target, min(r)::DOUBLE AS rank, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS sources FROM (SELECT *, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) AS r FROM orders) GROUP BY 1")
 def a8_collapsed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"))
-    return L.collapsed_ranks(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("target"), F.col("o_orderpriority").alias("source"), F.rank().over(order).alias("rank")))
+    return L.collapsed_ranks(_order_ranks(spark, sf_dir))
 
 
 @query("SELECT o_custkey AS target, round(avg(r), 6) AS rank FROM (SELECT *, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) AS r FROM orders) GROUP BY 1")
 def a8_mean_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"))
-    rows = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("target"), F.col("o_orderpriority").alias("source"), F.rank().over(order).alias("rank"))
-    return L.collapsed_ranks(rows, "mean").select("target", F.round("rank", 6).alias("rank"))
+    return L.collapsed_ranks(_order_ranks(spark, sf_dir), "mean").select("target", F.round("rank", 6).alias("rank"))
 
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -245,16 +249,16 @@ def a11_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.moments(rows, ["o_orderpriority"], "value").select("o_orderpriority", "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), F.round("cv", 6).alias("cv"), F.array_join("others", ",").alias("others"))
 
 
-@query("SELECT c_mktsegment AS list, c_custkey AS id, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC)::INT AS rank FROM customer")
+@query("SELECT c_mktsegment AS list, c_custkey AS id, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) AS rank FROM customer")
 def w1_list_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"))
-    return _t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("list"), F.col("c_custkey").alias("id"), F.rank().over(order).alias("rank"))
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("list"), F.col("c_custkey").alias("id"), "c_acctbal")
+    return numbered(rows, ["list"], [F.desc("c_acctbal")]).select("list", "id", "rank")
 
 
-@query("SELECT space_id, name, row_number() OVER (PARTITION BY space_id ORDER BY upper(regexp_extract(name, '^(\\D*)', 1)), regexp_extract(name, '(\\d+)', 1)::DOUBLE, name)::INT AS place FROM node", True)
+@query("SELECT space_id, name, row_number() OVER (PARTITION BY space_id ORDER BY upper(regexp_extract(name, '^(\\D*)', 1)), regexp_extract(name, '(\\d+)', 1)::DOUBLE, name) AS place FROM node", True)
 def o1_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("space_id").orderBy(*X.natural_key(F.col("name")))
-    return from_tables(spark, sf_dir).nodes.select("space_id", "name", F.row_number().over(order).alias("place"))
+    nodes = from_tables(spark, sf_dir).nodes.select("space_id", "name")
+    return numbered(nodes, ["space_id"], X.natural_key(F.col("name")), "place", ties=False)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= (SELECT min(o_totalprice) FROM (SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 25))")
@@ -344,8 +348,7 @@ x AS (SELECT term, size, max(i / size - (rank - i) / (total - size)) AS high, mi
 SELECT term, size, round(CASE WHEN high >= -low THEN high ELSE low END, 9) AS es FROM x""")
 def a10_running_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
-    order = Window.orderBy(F.desc("p_retailprice"), "p_partkey")  # one list: its ranks are its input
-    ranked = part.select(F.col("p_partkey").alias("id"), F.row_number().over(order).alias("rank"))
+    ranked = numbered(part.select(F.col("p_partkey").alias("id"), "p_retailprice"), [], [F.desc("p_retailprice"), F.col("id").asc()], ties=False).select("id", "rank")
     return R.running_enrichment(ranked, part.select(F.col("p_brand").alias("term"), F.col("p_partkey").alias("id")))
 
 
@@ -409,9 +412,16 @@ def x9_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.percent(F.col("l_discount")).alias("discount"))
 
 
-@query("SELECT c_custkey, c_name[1:7] || '...' AS name FROM customer")
+@query("SELECT p_partkey, CASE WHEN length(p_name) > 12 THEN p_name[1:9] || '...' ELSE p_name END AS name FROM part")
 def x10_shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "customer").select("c_custkey", X.shortened(F.col("c_name"), 10).alias("name"))
+    return _t(spark, sf_dir, "part").select("p_partkey", X.shortened(F.col("p_name"), 12).alias("name"))
+
+
+@query("""SELECT l_orderkey, array_to_string(s[1:2], ', ') || CASE WHEN len(s) > 2 THEN ' +' || (len(s) - 2) ELSE '' END AS suppliers FROM
+(SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey::VARCHAR)) AS s FROM lineitem GROUP BY 1)""")
+def x10_shortened_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.col("l_suppkey").cast("string"))).alias("s"))
+    return lines.select("l_orderkey", X.shortened_list(F.col("s"), 2).alias("suppliers"))
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")
@@ -426,9 +436,9 @@ def x12_guessed_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_tables(spark, sf_dir).nodes.groupBy(X.guessed_space(F.col("name")).alias("space")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, replace(replace(p_name || ' <&>', '&', '&amp;'), '<', '&lt;') AS t FROM part WHERE false UNION ALL SELECT p_partkey, p_name || ' &lt;&amp;&gt;' FROM part")
+@query("""SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS t FROM pages""")
 def x13_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "part").select("p_partkey", X.xml_escaped(F.concat("p_name", F.lit(" <&>"))).alias("t"))
+    return _t(spark, sf_dir, "pages").select("page_id", F.md5(X.xml_escaped(F.col("html"))).alias("t"))
 
 
 @query("SELECT event_id, (props::JSON ->> 'k')::INT AS k FROM events")
@@ -436,10 +446,16 @@ def x17_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("SELECT n_nationkey, '7' AS chromosome, 'NCBI36' AS build FROM nation")
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'X' WHEN 1 THEN 'MT' ELSE p_size::VARCHAR END AS chromosome, CASE WHEN p_partkey % 3 = 0 THEN 'B' || p_size END AS build,
+CASE WHEN p_partkey % 3 < 2 THEN split_part(p_name, ' ', 1) ELSE CASE p_size % 4 WHEN 0 THEN 'chrX' WHEN 1 THEN 'chrMT' ELSE 'chr0' || p_size END END AS species FROM part""")
 def x6_genomic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lower("n_name"), F.lit(".chromosome.7.NCBI36"))
-    return _t(spark, sf_dir, "nation").select("n_nationkey", X.chromosome(name).alias("chromosome"), X.genomic(name)["build"].alias("build"))
+    """Full names, names without a build, and short names with `chr` and leading zeros."""
+    size, at = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    short = F.when(F.col("p_size") % 4 == 0, "X").when(F.col("p_size") % 4 == 1, "MT").otherwise(size)
+    long = F.concat(F.substring_index("p_name", " ", 1), F.lit(".chromosome."), short)
+    name = F.when(at == 0, F.concat(long, F.lit(".B"), size)).when(at == 1, long).otherwise(F.concat(F.lit("chr"), F.when(short == size, F.concat(F.lit("0"), size)).otherwise(short)))
+    parts = X.genomic(name)
+    return _t(spark, sf_dir, "part").select("p_partkey", X.chromosome(name).alias("chromosome"), parts["build"].alias("build"), parts["species"].alias("species"))
 
 
 # --- operations, streams, lines -------------------------------------------------------------------
@@ -468,10 +484,13 @@ def t3_edge_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.groupBy("name1").agg(F.count_if("live").alias("alive"), F.count("*").alias("edges"))
 
 
-@query("SELECT user_id, max(ts) AS last FROM events GROUP BY 1 HAVING datediff('day', max(ts)::DATE, DATE '2024-02-15') > 16")
+@query("""SELECT user_id, event_type, max(ts) AS last FROM events GROUP BY 1, 2
+HAVING datediff('day', max(ts)::DATE, DATE '2024-02-15') > CASE WHEN max(CASE WHEN event_type = 'purchase' THEN value END) IS NULL THEN 18 ELSE 16 END""")
 def t4_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cached = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("updated")).withColumn("score", F.lit(1.0))
-    return G.stale(cached, "2024-02-15", 16).select("user_id", F.col("updated").alias("last"))
+    """Rows that a purchase has scored grow stale after 16 days, unscored ones after 18."""
+    scored = F.max(F.when(F.col("event_type") == "purchase", F.col("value")))
+    cached = _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("updated"), scored.alias("score"))
+    return G.stale(cached, "2024-02-15", 16, redo_null=18).select("user_id", "event_type", F.col("updated").alias("last"))
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
