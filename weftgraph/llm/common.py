@@ -81,7 +81,7 @@ def carried(kinds: dict[str, DataType], more: str) -> StructType:
 def in_small_batches(spark: SparkSession) -> None:
     """Python workers get at most 8 MB at a time, unless the session has a bound of its own: whole texts make large batches, which JVM and worker hold several times over."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "").rstrip("b") == str(64 << 20):  # Spark's own
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):  # Spark's own
         spark.conf.set(key, str(8 << 20))
 
 
