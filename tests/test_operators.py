@@ -13,6 +13,7 @@ from weftgraph.functions import text as X
 from weftgraph.operators import edges as E
 from weftgraph.operators import intervals as I
 from weftgraph.operators import lists as L
+from weftgraph.operators import network as N
 from weftgraph.operators import resolve as R
 from weftgraph.operators import traverse as T
 from weftgraph.operators.stretches import numbered
@@ -324,3 +325,39 @@ def test_writers(spark, tmp_path):
     assert rows(writers.xgmml(e)) == [('<edge source="a&lt;" target="b" label="r"/>',)]
     writers.write_lines(writers.sif(e), str(tmp_path / "sif"))
     assert rows(spark.read.text(str(tmp_path / "sif"))) == [("a<\tr\tb",)]
+
+
+def test_bridged_blocks_are_joined_with_their_gaps(spark):
+    kind = "id string, seq string, start int, end int, seq2 string, start2 int, end2 int, strand int"
+    a = spark.createDataFrame([("A", "q", 1, 10, "x", 101, 110, 1), ("A", "q", 14, 20, "x", 111, 117, 1), ("A", "q", 60, 69, "x", 300, 309, 1)], kind)
+    b = spark.createDataFrame([("B", "q", 1, 100, "y", 1, 300, -1)], kind)
+    got = I.bridged(a, b, merge=20).orderBy("s1").collect()
+    assert [(r.s1, r.e1, r.n, r.shared, r.gaps, r.strand) for r in got] == [(101, 117, 2, 17, 3, -1), (300, 309, 1, 10, 0, -1)]
+    assert [(r.s2, r.e2) for r in got] == [(300 - 19 * 3, 300), (300 - 68 * 3, 300 - 59 * 3)] and math.isclose(got[0].coverage, 17 / 27)
+
+
+def test_nearest_by_blocks_and_all(spark):
+    a = spark.createDataFrame([("q", "A", 1, 10), ("q", "A", 50, 60)], "seq string, a_id string, a_start int, a_end int")
+    b = spark.createDataFrame([("q", "in", 20, 22), ("q", "left", -20, -6), ("q", "on", 55, 70), ("q", "right", 65, 66)], "seq string, b_id string, b_start int, b_end int")
+    assert rows(I.nearest_blocks(a, b, 30)) == [("A", "in", 10), ("A", "left", -7), ("A", "on", 0), ("A", "right", 5)]
+    assert I.nearest(a, b, 30, keep_all=True).count() == 5
+
+
+def test_list_helpers(spark):
+    df = spark.createDataFrame([("a", 5.0, "IEA"), ("b", None, "TAS"), ("c", 1.0, None)], "name string, score double, evidence string")
+    assert rows(L.by_evidence(df, "!IEA").select("name")) == [("b",)] and rows(L.by_evidence(df, "IEA", "TAS", "!TAS").select("name")) == [("a",)]
+    for text, want in (("score > 2", "a"), ("!score > 2", "c"), ("score defined", "ac"), ("!score defined", "b"), ("name = b", "b"), ("score <= 1e0", "c")):
+        assert "".join(sorted(r.name for r in df.where(L.predicate(text)).collect())) == want
+    with pytest.raises(ValueError):
+        L.predicate("score ~ 2")
+    rules = spark.createDataFrame([("A", "B"), ("B", "C"), ("A", "D"), ("D", "C"), ("C", "A")], "space_in string, space_out string")
+    assert L.rule_path(rules, "A", "C") == ["A", "B", "C"] and L.rule_path(rules, "C", "X") == [] and L.rule_path(rules, "B", "D") == ["B", "C", "A", "D"]
+
+
+def test_traversal_is_aborted_and_hubs_are_split(spark, types):
+    links = oriented(edges(spark, (1, 2), (1, 3), (2, 4), (3, 5), (3, 6), (3, 7), (5, 8)), types)
+    root = spark.createDataFrame([(1,)], "node_id long")
+    mark = lambda *x: spark.createDataFrame(list(x), "node_id long, action string")
+    nodes = lambda **o: [r.node for r in N.traversed(links, root, **o).orderBy("place").collect()]
+    assert nodes() == [1, 2, 3, 4, 5, 6, 7, 8] and nodes(split_at=3) == [1, 2, 3, 4] and nodes(most_depth=1) == [1, 2, 3]
+    assert nodes(actions=mark((3, "abort"))) == [1, 2, 3] and nodes(actions=mark((3, "skip"), (2, "hide"))) == [1, 4]

@@ -77,6 +77,18 @@ def percent(score: Column) -> Column:
     return F.when(score.isNull(), "").otherwise(F.concat(F.round(score * 100).cast("int").cast("string"), F.lit("%")))
 
 
+def powered(score: Column) -> Column:
+    """A score as the power of ten it stands for: 7.3 as 5.0e-08; empty for null."""
+    x = F.pow(F.lit(10.0), -score)
+    power = F.floor(F.log10(x))
+    return F.when(score.isNull(), "").otherwise(F.format_string("%.1fe%+03d", x / F.pow(F.lit(10.0), power), power))
+
+
+def from_powered(text: Column) -> Column:
+    """The score of such a text."""
+    return F.round(-F.log10(text.try_cast("double")), 1)
+
+
 def shortened(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import operator
+import re
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.edges import leaves_only
 from weftgraph.operators.stretches import numbered
+from weftgraph.operators.traverse import closure
 
 
 def chain(rules: Sequence[DataFrame], how: str = "product") -> DataFrame:
@@ -114,3 +118,110 @@ def changes(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """key, change: added, retired or kept."""
     a, b = old.select(*key).distinct().withColumn("_o", F.lit(1)), new.select(*key).distinct().withColumn("_n", F.lit(1))
     return a.join(b, list(key), "full_outer").select(*key, F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "retired").otherwise("kept").alias("change"))
+
+
+def by_evidence(rows: DataFrame, *codes: str, column: str = "evidence") -> DataFrame:
+    """Rows with one of these codes, and without those given as `!code`; a null code satisfies neither."""
+    want, gone = [c for c in codes if not c.startswith("!")], [c[1:] for c in codes if c.startswith("!")]
+    good = F.col(column).isin(*want) if want else F.col(column).isNotNull()
+    return rows.where(good & ~F.col(column).isin(*gone) if gone else good)
+
+
+_OPERATORS = {"=": operator.eq, "==": operator.eq, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
+
+
+def predicate(text: str) -> Column:
+    """`[!]name op value` or `[!]name defined` as a condition; where the name is null it is false, with `!` too."""
+    found = re.fullmatch(r"\s*(!?)\s*(\w+)\s*(?:(defined)|(==|>=|<=|=|>|<)\s*(.+?))\s*", text)
+    if not found:
+        raise ValueError(f"{text!r} is no condition")
+    turned, name, defined, op, value = found.groups()
+    column = F.col(name)
+    if defined:
+        return column.isNull() if turned else column.isNotNull()
+    number = re.fullmatch(r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?", value)
+    fits = _OPERATORS[op](column.try_cast("double") if number else column.cast("string"), float(value) if number else value)
+    return F.coalesce(~fits if turned else fits, F.lit(False))
+
+
+def chosen_columns(rows: DataFrame, names: Sequence[str], aliases: dict[str, str] | None = None, prune: bool = False) -> DataFrame:
+    """These columns in this order, under their own names or those that aliases stand for; with prune only those that hold anything."""
+    real = [(aliases or {}).get(n, n) for n in names]
+    if prune:
+        full = rows.agg(*[F.count(F.col(c)).alias(f"c{k}") for k, c in enumerate(real)]).first()
+        real = [c for c, n in zip(real, full, strict=True) if n]
+    return rows.select(*[F.col(c) for c in real])
+
+
+def by_threshold(rows: DataFrame, value: str, most: float, key: str) -> DataFrame:
+    """key, kept, weak, unmeasured, best: how many rows of each key are at most so much, above it, or null, and the least value kept."""
+    x = F.col(value)
+    return rows.groupBy(key).agg(F.count_if(x <= most).alias("kept"), F.count_if(x > most).alias("weak"), F.count_if(x.isNull()).alias("unmeasured"), F.min(F.when(x <= most, x)).alias("best"))
+
+
+def compared(rows: DataFrame, listed: DataFrame, key: str, term: str = "term", place: str = "place") -> DataFrame:
+    """rows with `places`: the places at which a list (term, place) has their key, whatever its case, joined in order; null for none."""
+    at = listed.groupBy(F.upper(term).alias("_key")).agg(F.array_join(F.transform(F.array_sort(F.collect_set(place)), lambda x: x.cast("string")), ",").alias("places"))
+    return rows.withColumn("_key", F.upper(key)).join(at, "_key", "left").drop("_key")
+
+
+def deep_membership(rows: DataFrame, sets: DataFrame, parents: DataFrame, names: Sequence[str]) -> DataFrame:
+    """membership() in which a set also holds what the sets below it hold; parents: (child, parent) of set names."""
+    above = closure(parents).select(F.col("node").alias("set_name"), F.col("ancestor").alias("_up"))
+    lifted = sets.join(above, "set_name").select(F.col("_up").alias("set_name"), "term", "score")
+    return membership(rows, sets.select("set_name", "term", "score").unionByName(lifted), names)
+
+
+def best_terms(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """input, score, terms: the outputs that tie for an input's top score, without parents of others among them, joined in order."""
+    best = leaves_only(keep_best(rows, ["input"]), parents)
+    return best.groupBy("input").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set(F.col("output").cast("string"))), ", ").alias("terms"))
+
+
+def rule_path(rules: DataFrame, source: str, target: str, most: int = 6) -> list[str]:
+    """The spaces on the shortest way of rules (space_in, space_out) from one to another, the first by name among equals; empty if there is none.
+
+    Rules are a vocabulary: pairs of spaces, of which each step keeps one way to each space.
+    """
+    ways = rules.sparkSession.createDataFrame([(source, [source])], "at string, way array<string>")
+    step = rules.select(F.col("space_in").alias("at"), "space_out").distinct()
+    for _ in range(most):
+        there = ways.where(F.col("at") == target).select("way").first()
+        if there:
+            return list(there.way)
+        further = ways.join(step, "at").where(~F.array_contains("way", F.col("space_out"))).select(F.col("space_out").alias("at"), F.concat("way", F.array("space_out")).alias("way"))
+        ways = ways.unionByName(further).groupBy("at").agg(F.min_by("way", F.struct(F.size("way"), "way")).alias("way"))
+    there = ways.where(F.col("at") == target).select("way").first()
+    return list(there.way) if there else []
+
+
+def allowed_conversions(rules: DataFrame, names: Sequence[str]) -> DataFrame:
+    """space_in, and for each space the fewest rules that lead there, null for none: rules (space_in, space_out)."""
+    reach = closure(rules.select(F.col("space_in").alias("child"), F.col("space_out").alias("parent")))
+    return reach.groupBy(F.col("node").alias("space_in")).pivot("ancestor", list(names)).agg(F.min("depth"))
+
+
+def converted(terms: DataFrame, rules: DataFrame, source: str, target: str) -> DataFrame:
+    """input, output, score, via: terms (term) taken along the shortest way of rules (space_in, space_out, term_in, term_out, score)."""
+    way = rule_path(rules, source, target)
+    if len(way) < 2:
+        return terms.sparkSession.createDataFrame([], "input string, output string, score double, via array<string>")
+    steps = [rules.where((F.col("space_in") == a) & (F.col("space_out") == b)).select("term_in", "term_out", "score") for a, b in zip(way, way[1:], strict=False)]
+    steps[0] = steps[0].join(terms.select(F.col("term").alias("term_in")).distinct(), "term_in", "left_semi")
+    return chain(steps)
+
+
+def first_tags(meta: DataFrame, key: Sequence[str], tag: str = "tag", value: str = "value") -> DataFrame:
+    """key, tag, value, n: one value for each tag of an edge, the first in order, and how many different ones there are."""
+    return meta.groupBy(*key, tag).agg(F.min(value).alias(value), F.count_distinct(value).alias("n"))
+
+
+def shuffled(rows: DataFrame, columns: Sequence[str], seed: int = 0) -> DataFrame:
+    """rows with `place`: their number in a random order that a seed and these columns fix."""
+    keyed = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])))
+    return numbered(keyed, [], [F.col("_h").asc()], "place").drop("_h")
+
+
+def with_columns_of(rows: DataFrame, key: str, *tables: DataFrame) -> DataFrame:
+    """rows with the columns that each table (key and others, one row for each key) has for them."""
+    return reduce(lambda a, b: a.join(b, key, "left"), tables, rows)

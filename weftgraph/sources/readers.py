@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions.text import name_matches
+
 
 def tab_table(spark: SparkSession, path: str, columns: Sequence[str], taxa: Sequence[str] = (), taxon: str = "tax_id", sep: str = "\t") -> DataFrame:
     """A tab file with `#` comment lines and `-` for nothing; with taxa, only rows of these."""
@@ -107,3 +109,24 @@ def resolved_names(df: DataFrame, aliases: DataFrame, key: str = "name") -> Data
     own = df.join(aliases.where("kind = 'name'").select(F.upper("alias").alias("_k"), F.col("tax_id").alias("_own")), F.upper(key) == F.col("_k"), "left").drop("_k")
     other = own.join(aliases.where("kind != 'name'").groupBy(F.upper("alias").alias("_k")).agg(F.min("tax_id").alias("_other")), F.upper(key) == F.col("_k"), "left").drop("_k")
     return other.select(*df.columns, F.coalesce("_own", "_other").alias("tax_id"))
+
+
+def network_file(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """nodes (name, value: its label), edges (name1, reading, name2) and parameters (name, value) of a network's flat file.
+
+    Lines are `NODE`, `EDGE` or `PARAM` and their fields, between tabs; `#` begins a comment.
+    """
+    parts = F.split("value", "\t")
+    rows = spark.read.text(path).where("value NOT LIKE '#%' AND trim(value) != ''").select(F.upper(parts[0]).alias("kind"), *[F.get(parts, F.lit(k)).alias(f"f{k}") for k in (1, 2, 3)])
+    two = [F.col("f1").alias("name"), F.col("f2").alias("value")]
+    return {
+        "nodes": rows.where("kind = 'NODE'").select(*two), "parameters": rows.where("kind = 'PARAM'").select(*two),
+        "edges": rows.where("kind = 'EDGE'").select(F.col("f1").alias("name1"), F.col("f2").alias("reading"), F.col("f3").alias("name2")),
+    }
+
+
+def taxa_named(names: DataFrame, pattern: str) -> DataFrame:
+    """tax_id: taxa (tax_id, merged_id, name, alias) whose name fits a pattern with `%` and `?`, or whose alias does where no name fits; merged ones as what they are now."""
+    fits = names.select(F.coalesce("merged_id", "tax_id").alias("tax_id"), name_matches(F.col("name"), pattern).alias("by_name"), name_matches(F.col("alias"), pattern).alias("by_alias"))
+    any_name = F.broadcast(fits.agg(F.bool_or("by_name").alias("named")))  # one row
+    return fits.join(any_name).where(F.when(F.coalesce("named", F.lit(False)), F.col("by_name")).otherwise(F.col("by_alias"))).select("tax_id").distinct()

@@ -68,3 +68,11 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:
     df.write.mode("error").csv(path, sep=sep, header=True, emptyValue="")
+
+
+def network_lines(nodes: DataFrame, edges: DataFrame, parameters: dict[str, str]) -> DataFrame:
+    """value: the lines of a network's flat file, as readers.network_file takes them; nodes (name, value), edges (name1, reading, name2)."""
+    params = nodes.sparkSession.createDataFrame([(f"PARAM\t{k}\t{v}",) for k, v in sorted(parameters.items())], "value string")
+    tab = F.lit("\t")
+    lines = nodes.select(F.concat_ws("\t", F.lit("NODE"), "name", F.coalesce("value", F.lit(""))).alias("value"))
+    return params.union(lines).union(edges.select(F.concat(F.lit("EDGE"), tab, "name1", tab, "reading", tab, "name2").alias("value")))
