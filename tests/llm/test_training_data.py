@@ -383,6 +383,28 @@ def test_decontamination_against_plain_windows(spark):
             assert (r.n_words, r.n_hit, set(r["items"])) == (len(w), len(hit), found)
 
 
+def test_decontamination_in_several_passes_and_without_rows(spark):
+    rng = random.Random(12)
+    items = [" ".join(f"i{rng.randrange(500)}" for _ in range(20)) for _ in range(40)]
+    texts = [" ".join(rng.choice(items).split()[k % 5 :] + [f"t{k}"] * 30) for k in range(50)] + odd_texts()
+    docs, bench = with_clashes(docs_of(spark, texts)), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    one, many = (sorted(tuple(r) for r in decontaminate.contamination(docs, bench, **o).collect()) for o in ({}, {"block_words": 50, "together": 3}))
+    assert one == many and sum(r[3] > 0 for r in one) >= 50
+    none = bench.where("false")
+    assert all(r.n_hit == 0 and r["items"] == [] for r in decontaminate.contamination(docs, none).collect())
+    assert decontaminate.contamination(docs_of(spark, []), bench).isEmpty() and decontaminate.decontaminate(docs_of(spark, []), none).isEmpty()
+
+
+def test_maximal_repeats_run_past_segments(spark):
+    """Passages of 20 words and more that stand in two documents, whole, with where they stand."""
+    rng = random.Random(8)
+    words = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    a, b = words(90), words(33)
+    texts = [" ".join(words(40) + a + words(10)), " ".join(words(7) + b + words(21)), " ".join(words(5) + a[10:80] + words(30) + b), " ".join(words(12) + a[:19])]
+    got = sorted(tuple(r) for r in substring_dedup.maximal_repeats(docs_of(spark, texts)).collect())
+    assert got == [(2, 5, 70, 0, 50), (2, 105, 33, 1, 7)]
+
+
 def test_mix_hits_its_targets(spark):
     rng = random.Random(3)
     rows = [(k, "w " * rng.randrange(0, 400), "en", rng.choice(["hot"] * 6 + ["b", "c", None]), 0) for k in range(1500)] + [(7, None, "en", "b", 0), (None, "x y", "en", "c", 0), (8, "q " * 9000, "en", "hot", 0)]
@@ -570,6 +592,9 @@ def test_ledger_policies_and_ablations(spark):
     failed = [r.failed for r in book.collect()]
     for rule in quality_ledger.RULES:
         assert by_rule[rule.name] == (sum(f >> rule.bit & 1 for f in failed), sum(f == 1 << rule.bit for f in failed))
+    clashing = quality_ledger.ledger(with_clashes(docs_of(spark, texts)).withColumn("a.b", F.lit(1)))
+    assert {(r.doc_id, r.failed, r.n_words) for r in clashing.collect()} == {(r.doc_id, r.failed, r.n_words) for r in book.collect()}
+    assert clashing.columns.count("failed") == 1 and "a.b" in clashing.columns and clashing.where(quality_ledger.passes("v1")).count() == sum(f == 0 for f in failed)
     kept = quality_ledger.filter_documents(with_clashes(docs_of(spark, texts)))
     assert "spans" in kept.columns and kept.count() == sum(f == 0 for f in failed)
     assert quality_ledger.filter_documents(docs_of(spark, [])).isEmpty()
