@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.plans.graph import read_as
-from weftgraph.plans.shared import checkpointed, met
+from weftgraph.plans.shared import checkpointed
 
 
 def closure(links: DataFrame, most: int | None = None) -> DataFrame:
@@ -191,7 +191,8 @@ def best_paths(paths: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root: the least node of each connected cluster of links (a, b), by alternating stars.
 
-    Links of a node to itself count for nothing. The links of hubs are dealt to several tasks (see `met`).
+    Links of a node to itself count for nothing. Joins are on nodes; the partitions of hubs are left to
+    Spark's adaptive splitting of skewed joins.
     """
 
     def mark(e: DataFrame):
@@ -203,9 +204,9 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = met(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = met(large, least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
