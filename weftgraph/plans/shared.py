@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,19 @@ def met(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", parts:
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
     copied = other.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return dealt.join(copied, [key, "_part"], how).drop("_part")
+
+
+#: A key that more than this share of all rows have is hot; so there are fewer hot keys than this.
+HOT = 4096
+
+
+def met_by_count(rows: DataFrame, other: DataFrame, keys: Sequence[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with other, which has one row for each key and, in `count`, how many of the rows have it; total is their sum.
+
+    The fewer than 4,096 keys that more than one row in 4,096 has meet their rows by a broadcast, all
+    others in a join on the key, where none can fill a task. rows are read twice.
+    """
+    hot = F.col(count) * HOT > total
+    near = rows.join(F.broadcast(other.where(hot).withColumn("_hot", F.lit(True))), list(keys), "left")
+    far = near.where("_hot IS NULL").select(*[f"`{c}`" for c in rows.columns]).join(other.where(~hot), list(keys), how)
+    return near.where("_hot").drop("_hot").unionByName(far)
