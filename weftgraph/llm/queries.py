@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hidden_markov, jaccard_join, license_scan, mixing, quality_ledger, substring_dedup, token_counts, toxicity, url_rules
+from . import decontaminate, hidden_markov, jaccard_join, later_queries, license_scan, mixing, quality_ledger, substring_dedup, token_counts, toxicity, url_rules
 from .common import table
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -143,5 +143,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_substring_dedup, op4_jaccard_join, op5_token_counts, op6_url_rules, op7_hidden_markov, op8_toxicity, op9_license_scan, op10_quality_ledger)
-}
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_url_rules": OP6_SQL, "op10_quality_ledger": OP10_SQL}
+} | later_queries.QUERIES
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_url_rules": OP6_SQL, "op10_quality_ledger": OP10_SQL} | later_queries.ORACLE_SQL
