@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, Sieve, WordHashes, gram_hashes, keyed, map_arrow, mix, parts_of, signed, split_words, whole, written
 
-_COUNT_BITS, _START_BITS = 6, 33  # of a position; a hash of the text comes before them
+_COUNT_BITS = 6  # of a position; its start comes before them
 _HOT, _DEAL = 4096, 256
 _CHUNK = 1 << 18  # words looked at together
 _THREE, _ODD = np.uint64(3), np.uint64(0x9E3779B97F4A7C15)
@@ -70,8 +70,8 @@ class Segments:
     first: np.ndarray  # run of each segment, in h
     count: np.ndarray  # of runs
     key: np.ndarray
-    place: np.ndarray  # text hash, start of the first run and number of runs, packed
-    tag: np.ndarray
+    place: np.ndarray  # start of the first run and number of runs, packed
+    tag: np.ndarray  # hash of the text
     start: np.ndarray
 
     @classmethod
@@ -85,7 +85,7 @@ class Segments:
         first, count, at = whole[new], np.diff(new, append=len(whole)), least[new]
         text = text[first]
         start = first - begin[text]
-        return cls(h, runs, gram_hashes(h, k)[at], at, first, count, keys[text], _packed(tags[text], start, count), tags[text], start)
+        return cls(h, runs, gram_hashes(h, k)[at], at, first, count, keys[text], _packed(start, count), tags[text], start)
 
     def some(self, which: np.ndarray) -> Segments:
         return Segments(self.h, self.runs, *(getattr(self, f)[which] for f in ("anchor", "at", "first", "count", "key", "place", "tag", "start")))
@@ -131,18 +131,17 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterato
         yield out()
 
 
-def _packed(tag: np.ndarray, start: np.ndarray, count: np.ndarray | int) -> np.ndarray:
-    return (tag << (_START_BITS + _COUNT_BITS)) + (start << _COUNT_BITS) + count
+def _packed(start: np.ndarray, count: np.ndarray | int) -> np.ndarray:
+    return (start << _COUNT_BITS) + count
 
 
 #: What `at` packs, as SQL.
-_START = f"shiftright({{}}, {_COUNT_BITS}) & {(1 << _START_BITS) - 1}L"
+_START = f"shiftright({{}}, {_COUNT_BITS})"
 _RUNS = f"{{}} & {(1 << _COUNT_BITS) - 1}L"
-_TAG = f"shiftrightunsigned({{}}, {_START_BITS + _COUNT_BITS})"
 
 
-def _place_hash(k: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return mix(k.view(np.uint64) * _ODD + at.view(np.uint64) * _THREE)
+def _place_hash(k: np.ndarray, th: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(mix(k.view(np.uint64) * _ODD + th.view(np.uint64)) + at.view(np.uint64) * _THREE)
 
 
 def _dealt(hot: np.ndarray, anchor: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -165,42 +164,43 @@ def _anchor_counts(rows: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def _occurrences(rows: DataFrame, window: int, k: int, shared: Sieve, hot: Broadcast) -> DataFrame:
-    """anchor, part, segment, left, right, k and at of the segments on anchors that may be shared."""
+    """anchor, part, segment, left, right, k, th and at of the segments on anchors that may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for s in _segments(batches, window, k):
             s = s.some(np.flatnonzero(shared.may_hold(s.anchor)))
             left, right = s.sides(window, k)
             anchor = signed(s.anchor)
-            yield {"anchor": anchor, "part": _dealt(hot.value, anchor, s.key), "segment": signed(s.hashes()), "left": left, "right": right, "k": s.key, "at": s.place}
+            yield {"anchor": anchor, "part": _dealt(hot.value, anchor, s.key), "segment": signed(s.hashes()), "left": left, "right": right, "k": s.key, "th": s.tag, "at": s.place}
 
-    return map_arrow(rows, run, "anchor long, part short, segment long, left int, right int, k long, at long")
+    return map_arrow(rows, run, "anchor long, part short, segment long, left int, right int, k long, th long, at long")
 
 
 def _runs(rows: DataFrame, window: int, k: int, wanted: Sieve, hot: Broadcast) -> DataFrame:
-    """anchor, part, segment (here one run), k and at of the runs in the segments at places that may be wanted."""
+    """anchor, part, segment (here one run), k, th and at of the runs in the segments at places that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for s in _segments(batches, window, k):
-            s = s.some(np.flatnonzero(wanted.may_hold(_place_hash(s.key, s.place))))
+            s = s.some(np.flatnonzero(wanted.may_hold(_place_hash(s.key, s.tag, s.place))))
             each = np.repeat(np.arange(len(s.count)), s.count)
             more = np.arange(len(each)) - np.repeat(np.cumsum(s.count) - s.count, s.count)
             anchor, key = signed(s.anchor)[each], s.key[each]
-            yield {"anchor": anchor, "part": _dealt(hot.value, anchor, key), "segment": signed(s.runs[s.first[each] + more]), "k": key, "at": _packed(s.tag[each], s.start[each] + more, 1)}
+            yield {"anchor": anchor, "part": _dealt(hot.value, anchor, key), "segment": signed(s.runs[s.first[each] + more]), "k": key, "th": s.tag[each], "at": _packed(s.start[each] + more, 1)}
 
-    return map_arrow(rows, run, "anchor long, part short, segment long, k long, at long")
+    return map_arrow(rows, run, "anchor long, part short, segment long, k long, th long, at long")
 
 
 def _marked(found: DataFrame, *extra: Column, deal: str = "part") -> DataFrame:
     """Occurrences with the first one (sk, sat) in their part, and whether they are that one."""
-    first = F.first(F.struct("k", "at")).over(Window.partitionBy("anchor", "part", "segment").orderBy("k", "at"))
-    rows = found.repartition("anchor", deal).select("anchor", "part", "segment", "k", "at", first.alias("first"), *extra)  # which suits all windows
-    return rows.select(*[c for c in rows.columns if c != "first"], F.col("first.k").alias("sk"), F.col("first.at").alias("sat"), ((F.col("k") == F.col("first.k")) & (F.col("at") == F.col("first.at"))).alias("is_first"))
+    place = F.struct("k", "th", "at")
+    first = F.first(place).over(Window.partitionBy("anchor", "part", "segment").orderBy("k", "th", "at"))
+    rows = found.repartition("anchor", deal).select("anchor", "part", "segment", "k", "th", "at", first.alias("first"), *extra)  # which suits all windows
+    return rows.select(*[c for c in rows.columns if c != "first"], F.col("first.k").alias("sk"), F.col("first.at").alias("sat"), (place == F.col("first")).alias("is_first"))
 
 
 def _met_again(marked: DataFrame) -> DataFrame:
     """The first ones of the parts of hot anchors, marked anew against all parts; at most `_DEAL` meet."""
-    return _marked(marked.where("is_first AND part > 0").select("anchor", F.lit(0).cast("short").alias("part"), "segment", "k", "at"), deal="segment")
+    return _marked(marked.where("is_first AND part > 0").select("anchor", F.lit(0).cast("short").alias("part"), "segment", "k", "th", "at"), deal="segment")
 
 
 def _alike(side: str) -> Column:
@@ -210,12 +210,12 @@ def _alike(side: str) -> Column:
 
 
 def _tag(docs: DataFrame) -> Column:
-    """Tells rows with one doc_id apart by their texts."""
-    return F.shiftrightunsigned(F.xxhash64(docs["text"]), 64 - (63 - _START_BITS - _COUNT_BITS))
+    """Tells rows with one doc_id apart by their texts: the whole hash, since any number of rows can be without an id."""
+    return F.xxhash64(docs["text"])
 
 
 def repeats(docs: DataFrame, window: int = 20, k: int = 5) -> DataFrame:
-    """k, th, a, n, sk, sa: n runs from a on in a document that also stand, earlier, from sa on in sk.
+    """k, th, a, n, sk, sa: n runs from a on in a document (k and a hash of the text) that also stand, earlier, from sa on in sk.
 
     A run starts earlier with a smaller key, or in the same document before.
     """
@@ -230,19 +230,19 @@ def repeats(docs: DataFrame, window: int = 20, k: int = 5) -> DataFrame:
     found = _occurrences(rows, window, k, Sieve(often.select("anchor")), sent)
     marked = _marked(found, (_alike("left") | _alike("right")).alias("partly"))
     gone = F.when(F.col("is_first"), F.col("anchor")).alias("anchor"), F.when(F.col("is_first"), F.col("segment")).alias("segment")
-    marked = written(marked.where("NOT is_first OR partly OR part > 0").select(*gone, "part", "k", "at", "sk", "sat", "is_first"))
+    marked = written(marked.where("NOT is_first OR partly OR part > 0").select(*gone, "part", "k", "th", "at", "sk", "sat", "is_first"))
     again = _met_again(marked)
     unlike = again.groupBy("anchor").agg(F.min("segment").alias("low"), F.max("segment").alias("high")).where("low != high").select("anchor")
-    partly = marked.where("is_first AND part = 0").select("k", "at").unionByName(again.where("is_first").join(F.broadcast(unlike), "anchor", "left_semi").select("k", "at"))  # fewer than _HOT anchors
+    partly = marked.where("is_first AND part = 0").select("k", "th", "at").unionByName(again.where("is_first").join(F.broadcast(unlike), "anchor", "left_semi").select("k", "th", "at"))  # fewer than _HOT anchors
 
-    def place(k: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series(signed(_place_hash(k.to_numpy(np.int64), at.to_numpy(np.int64))))
+    def place(k: pd.Series, th: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series(signed(_place_hash(*(x.to_numpy(np.int64) for x in (k, th, at)))))
 
-    wanted = Sieve(partly.select(F.pandas_udf(place, "long")("k", "at").alias("h")))
+    wanted = Sieve(partly.select(F.pandas_udf(place, "long")("k", "th", "at").alias("h")))
     runs = written(_marked(_runs(rows, window, k, wanted, sent)).where("NOT is_first OR part > 0"))
-    pieces = [x.where("NOT is_first").select("k", "at", "sk", "sat") for x in (marked, again, runs, _met_again(runs))]
+    pieces = [x.where("NOT is_first").select("k", "th", "at", "sk", "sat") for x in (marked, again, runs, _met_again(runs))]
     pieces = pieces[0].unionByName(pieces[1]).unionByName(pieces[2]).unionByName(pieces[3])
-    return pieces.selectExpr("k", f"{_TAG.format('at')} AS th", f"{_START.format('at')} AS a", f"{_RUNS.format('at')} AS n", "sk", f"{_START.format('sat')} AS sa")
+    return pieces.selectExpr("k", "th", f"{_START.format('at')} AS a", f"{_RUNS.format('at')} AS n", "sk", f"{_START.format('sat')} AS sa")
 
 
 def joined(a: np.ndarray, n: np.ndarray, sk: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, ...]:
