@@ -18,6 +18,7 @@ from weftgraph.operators import resolve as R
 from weftgraph.operators import traverse as T
 from weftgraph.operators.stretches import numbered
 from weftgraph.plans.graph import oriented, read_as, with_reading
+from weftgraph.plans.shared import met
 from weftgraph.sources import readers, writers
 from weftgraph.streaming import ingest as G
 
@@ -168,6 +169,41 @@ def test_components_and_pointers(spark):
     assert rows(T.chased(pointers)) == [(1, 4), (2, 4), (3, 4), (6, 7)]
 
 
+def test_hot_keys_are_met_where_their_rows_are(spark):
+    """A key with half of a million rows, and rows without one: no task of the join gets more than the others."""
+    n = 1_000_000
+    key = F.when(F.col("id") % 2 == 0, F.lit(7)).when(F.col("id") % 10 == 1, F.lit(None)).otherwise(F.col("id"))
+    df = spark.range(n, numPartitions=8).select(key.alias("k"), F.col("id").alias("v"))
+    other = df.where("k IS NOT NULL").select("k").distinct().withColumn("w", F.col("k") + 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for how in ("inner", "left"):
+            out = met(df, other, "k", how)
+            assert out.agg(F.count("*"), F.sum(F.col("w") - F.col("k"))).first() == (n if how == "left" else n - n // 10, n - n // 10)
+            sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+            assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_components_with_hubs(spark):
+    """Two hubs, one the least and one the greatest of its cluster, beside a chain and random links."""
+    rng = random.Random(1)
+    pairs = [(rng.randrange(2000), rng.randrange(2000)) for _ in range(1400)] + [(k, k + 1) for k in range(3000, 3200)] + [(5000, 5001 + k) for k in range(900)] + [(6000 + k, 7000) for k in range(900)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert {r.node: r.root for r in T.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == {x: find(x) for x in linked}
+
+
 def test_pointers_are_chased_to_the_end(spark):
     chain = spark.range(1000).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
     got = T.chased(chain)

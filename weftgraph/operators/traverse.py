@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.plans.graph import read_as
-from weftgraph.plans.shared import checkpointed
+from weftgraph.plans.shared import checkpointed, met_by_count
 
 
 def closure(links: DataFrame, most: int | None = None) -> DataFrame:
@@ -191,8 +191,9 @@ def best_paths(paths: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root: the least node of each connected cluster of links (a, b), by alternating stars.
 
-    Links of a node to itself count for nothing. Joins are on nodes; the partitions of hubs are left to
-    Spark's adaptive splitting of skewed joins.
+    Links of a node to itself count for nothing. Each half round meets links with the least neighbour
+    of their node, by the measured number of links: a hub with more than one link in 4,096 by a
+    broadcast of such hubs' least neighbours, so that its links stay where they are.
     """
 
     def mark(e: DataFrame):
@@ -203,10 +204,11 @@ def components(links: DataFrame) -> DataFrame:
     while (now := mark(e)) != seen:
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+        upward = e.select(F.col("v").alias("u"), F.col("u").alias("v"))  # the larger neighbours of each
+        large = checkpointed(met_by_count(upward, least, ["u"], "n", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = met_by_count(large, least, ["u"], "n", large.count()).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -30,17 +30,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def met(rows: DataFrame, other: DataFrame, key: str, how: str = "inner", parts: int = 8) -> DataFrame:
-    """rows joined (inner or left) with other, which has one row for each key and is much the smaller.
-
-    Each row of other goes to `parts` places, and a key's rows are dealt to these by a hash of the
-    whole row, so that no task receives all rows of a key that most have, or all that have none.
-    """
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
-    copied = other.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return dealt.join(copied, [key, "_part"], how).drop("_part")
-
-
 #: A key that more than this share of all rows have is hot; so there are fewer hot keys than this.
 HOT = 4096
 
@@ -49,9 +38,17 @@ def met_by_count(rows: DataFrame, other: DataFrame, keys: Sequence[str], count:
     """rows joined (inner or left) with other, which has one row for each key and, in `count`, how many of the rows have it; total is their sum.
 
     The fewer than 4,096 keys that more than one row in 4,096 has meet their rows by a broadcast, all
-    others in a join on the key, where none can fill a task. rows are read twice.
+    others in a join on the key, where none can fill a task; rows without a key take part in neither.
+    rows are read twice.
     """
-    hot = F.col(count) * HOT > total
+    hot, keyless = F.col(count) * HOT > total, " OR ".join(f"{k} IS NULL" for k in keys)
     near = rows.join(F.broadcast(other.where(hot).withColumn("_hot", F.lit(True))), list(keys), "left")
-    far = near.where("_hot IS NULL").select(*[f"`{c}`" for c in rows.columns]).join(other.where(~hot), list(keys), how)
-    return near.where("_hot").drop("_hot").unionByName(far)
+    far = near.where(f"_hot IS NULL AND NOT ({keyless})").select(*[f"`{c}`" for c in rows.columns]).join(other.where(~hot), list(keys), how)
+    done = near.where("_hot" if how == "inner" else f"_hot OR {keyless}")
+    return done.drop("_hot").unionByName(far)
+
+
+def met(rows: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """met_by_count() with the counts measured: rows joined with other, which has one row for each key, whatever share of the rows a key has."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    return met_by_count(rows, other.join(counts, key), [key], "_n", rows.count(), how).drop("_n")
