@@ -397,3 +397,39 @@ def test_traversal_is_aborted_and_hubs_are_split(spark, types):
     nodes = lambda **o: [r.node for r in N.traversed(links, root, **o).orderBy("place").collect()]
     assert nodes() == [1, 2, 3, 4, 5, 6, 7, 8] and nodes(split_at=3) == [1, 2, 3, 4] and nodes(most_depth=1) == [1, 2, 3]
     assert nodes(actions=mark((3, "abort"))) == [1, 2, 3] and nodes(actions=mark((3, "skip"), (2, "hide"))) == [1, 4]
+
+
+def test_orders_of_a_traversal(spark):
+    """Depth first and by rank, on a tree with two roots; ranked against a queue that is served one at a time."""
+    rng = random.Random(7)
+    parent = {k: rng.randrange(max(0, k - 12), k) for k in range(2, 120)} | {1: None, 0: None}
+    kind = {k: rng.choice([3, 5, 9]) for k in parent}
+    links = spark.createDataFrame([(p, k, kind[k], 1) for k, p in parent.items() if p is not None] + [(k, p, kind[k], -1) for k, p in parent.items() if p is not None], "mine long, other long, type_id int, dir int")
+    roots = spark.createDataFrame([(0,), (1,)], "node_id long")
+    kids = {k: sorted(x for x, p in parent.items() if p == k) for k in parent}
+    first, stack = [], [1, 0]
+    while stack:
+        first.append(node := stack.pop())
+        stack += reversed(kids[node])
+    assert [r.node for r in N.traversed(links, roots, most_depth=200, order="immediate").orderBy("place").collect()] == first
+    score, depth = {3: 1.0, 5: 0.7, 9: 0.7}, {0: 0, 1: 0}
+    for k in range(2, 120):
+        depth[k] = depth[parent[k]] + 1
+    queue, taken = [(-1.0, 0, 0), (-1.0, 0, 1)], []
+    while queue:
+        queue.sort()
+        _, _, node = queue.pop(0)
+        taken.append(node)
+        queue += [(-score[kind[k]], depth[k], k) for k in kids[node]]
+    by = F.when(F.col("type_id") == 3, 1.0).otherwise(0.7)
+    assert [r.node for r in N.traversed(links, roots, most_depth=200, order="ranked", score=by).orderBy("place").collect()] == taken
+    assert N.traversed(links, roots.limit(0), order="immediate").count() == 0
+    with pytest.raises(ValueError, match="no order"):
+        N.traversed(links, roots, order="random")
+
+
+def test_edges_are_listed_once_from_the_end_that_comes_first(spark, types):
+    links = oriented(edges(spark, (1, 2), (2, 3), (1, 3), (3, 3)), types)
+    placed = N.traversed(links, spark.createDataFrame([(1,)], "node_id long"))
+    assert [(r.place, r.mine, r.other) for r in N.listed_edges(links, placed).orderBy("place").collect()] == [(1, 1, 2), (2, 1, 3), (3, 2, 3), (4, 3, 3)]
+    assert rows(N.listed_edges(links, placed, linear=True).select("mine", "other")) == [(1, 2), (1, 3)]

@@ -1,15 +1,16 @@
-"""Edits of a network, traversal as an ordered list, and status of deprecated names."""
+"""Edits of a network, traversal as an ordered list (by level, depth first, or by rank), and status of deprecated names."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.stretches import numbered
+from weftgraph.operators.stretches import CHUNK, numbered, ranged, running
 from weftgraph.operators.traverse import chased
-from weftgraph.plans.shared import checkpointed
+from weftgraph.plans.shared import checkpointed, met
 
 
 def without_edges(edges: DataFrame, gone: DataFrame, key: Sequence[str] = ("name1", "name2", "type_id")) -> tuple[DataFrame, DataFrame]:
@@ -34,29 +35,103 @@ def proxied(edges: DataFrame, by: DataFrame, names: DataFrame) -> DataFrame:
     return edges.where("name1 != name2").distinct()
 
 
-def traversed(links: DataFrame, roots: DataFrame, actions: DataFrame | None = None, most_depth: int = 10, split_at: int | None = None) -> DataFrame:
-    """place, node, parent, depth: the nodes that oriented links reach from the roots (node_id), each once, in the order of level, parent's place and id.
+def _entered(hop: DataFrame, ranked: bool) -> DataFrame:
+    """node, parent, worse (the score, negative): one way into each node, from the least parent, with ranks from the least of those with the best score."""
+    worse = (-F.col("score")).alias("worse")
+    way = F.min(F.struct(worse, "mine") if ranked else F.struct("mine", worse)).alias("_w")
+    return hop.groupBy("node").agg(way).select("node", F.col("_w.mine").alias("parent"), F.col("_w.worse").alias("worse"))
+
+
+def traversed(links: DataFrame, roots: DataFrame, actions: DataFrame | None = None, most_depth: int = 10, split_at: int | None = None, order: str = "level", score: Column | None = None) -> DataFrame:
+    """place, node, parent, depth: the nodes that oriented links reach from the roots (node_id), each once.
 
     actions (node_id, action): `skip` leaves a node out and does not follow it, `hide` leaves it out but
     follows it, `keep` lists it but does not follow it, `abort` lists it and ends the traversal with
-    its level. A node with `split_at` or more new links is listed but not followed.
+    its level. A node with `split_at` or more new links is listed but not followed. A node hangs from
+    one parent on the level above: with ranks the one whose link has the best score, then the least.
+
+    order: `level` by level, parent's place and id; `immediate` takes all below a node before its next
+    sibling, which come by id; `ranked` always takes, of all nodes whose parent is taken, the one with
+    the best score (of its link, a Column over type_id and dir; 1 unless given), then the least depth,
+    then the least id.
     """
+    if order not in ("level", "immediate", "ranked"):
+        raise ValueError(f"no order named {order}")
+    ranked = order == "ranked"
+    scored = links.withColumn("score", (F.lit(1.0) if score is None else score).cast("double"))
     marks = roots.sparkSession.createDataFrame([], "node long, action string") if actions is None else actions.select(F.col("node_id").alias("node"), "action")
-    level = checkpointed(roots.select(F.col("node_id").cast("long").alias("node")).distinct().withColumn("parent", F.lit(None).cast("long")).withColumn("depth", F.lit(0)).join(marks, "node", "left"))
-    found = level
+    top = roots.select(F.col("node_id").cast("long").alias("node")).distinct().select("node", F.lit(None).cast("long").alias("parent"), F.lit(-1.0).alias("worse"), F.lit(0).alias("depth"))
+    own = F.array(F.struct("worse", "depth", "node"))
+    level = checkpointed(top.join(marks, "node", "left").withColumn("way", own))
+    levels, found = [level], level
     for depth in range(1, most_depth + 1):
         if not level.where("action = 'abort'").isEmpty():
             break
         open_ = level.where("action IS NULL OR action = 'hide'").select(F.col("node").alias("mine"))
-        hop = links.join(open_, "mine", "left_semi").select("mine", F.col("other").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
+        hop = scored.join(open_, "mine", "left_semi").groupBy("mine", F.col("other").alias("node")).agg(F.max("score").alias("score")).join(found.select("node"), "node", "left_anti")
         if split_at is not None:
-            hop = hop.withColumn("_n", F.count("*").over(Window.partitionBy("mine"))).where(F.col("_n") < split_at).drop("_n")
-        level = checkpointed(hop.groupBy("node").agg(F.min("mine").alias("parent")).withColumn("depth", F.lit(depth)).join(marks, "node", "left"))
+            new = Window.partitionBy("mine")
+            hop = hop.withColumn("_n", F.count("*").over(new)).where(F.col("_n") < split_at).drop("_n")
+        entered = _entered(hop, ranked).withColumn("depth", F.lit(depth)).join(marks, "node", "left")
+        if ranked:  # of the way from the root only what is worse than all after it counts
+            above = level.select(F.col("node").alias("parent"), F.col("way").alias("_way"))
+            entered = met(checkpointed(entered), above, "parent").withColumn("way", F.concat(F.filter("_way", lambda w: w > F.struct("worse", "depth", "node")), own)).drop("_way")
+        else:
+            entered = entered.withColumn("way", own)
+        level = checkpointed(entered.select(*found.columns))
         if level.isEmpty():
             break
+        levels.append(level)
         found = found.unionByName(level)
-    shown = found.where("action IS NULL OR action NOT IN ('skip', 'hide')").drop("action")
-    return numbered(shown, [], [F.col("depth").asc(), F.col("parent").asc_nulls_first(), F.col("node").asc()], "place", ties=False).select("place", "node", "parent", "depth")
+    shown = "action IS NULL OR action NOT IN ('skip', 'hide')"
+    if order == "immediate":
+        return _preorder(levels, F.expr(f"coalesce({shown}, true)")).select("place", "node", "parent", "depth")
+    by = [F.col("way").asc()] if ranked else [F.col("depth").asc(), F.col("parent").asc_nulls_first(), F.col("node").asc()]
+    return numbered(found.where(shown), [], by, "place", ties=False).select("place", "node", "parent", "depth")
+
+
+def _preorder(levels: list[DataFrame], shown: Column) -> DataFrame:
+    """The shown nodes with their place, all below a node before its next sibling (by id).
+
+    Sizes of subtrees go up level by level, sums over earlier siblings are made by stretches, places go
+    down level by level; so the number of rounds is the depth, and no task holds a subtree or all
+    siblings.
+    """
+    one, sized, below = shown.cast("long"), [], None
+    for level in reversed(levels):
+        rows = level.select("node", "parent", "depth", one.alias("own"))
+        if below is None:
+            rows = rows.withColumn("size", F.col("own"))
+        else:
+            sums = below.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("_below"))
+            rows = rows.join(sums, "node", "left").withColumn("size", F.col("own") + F.coalesce("_below", F.lit(0))).drop("_below")
+        below = checkpointed(rows)
+        sized.append(below)
+    order = [F.col("node")]
+    dealt = ranged(reduce(DataFrame.unionByName, sized), ["parent"], order)
+    offset = checkpointed(running(dealt, ["parent"], order, F.col("size"), "before", current=False).withColumn("before", F.coalesce("before", F.lit(0))).drop(CHUNK))
+    above = checkpointed(offset.where("depth = 0").withColumn("place", F.col("before") + 1))
+    out = [above]
+    for depth in range(1, len(levels)):
+        first = above.select(F.col("node").alias("parent"), (F.col("place") + F.col("own")).alias("_first"))
+        above = checkpointed(met(offset.where(F.col("depth") == depth), first, "parent").withColumn("place", F.col("_first") + F.col("before")).drop("_first"))
+        out.append(above)
+    return reduce(DataFrame.unionByName, out).where("own = 1")
+
+
+def listed_edges(links: DataFrame, placed: DataFrame, linear: bool = False) -> DataFrame:
+    """place, mine, other, type_id, dir: the links among traversed() nodes, each once, from the end that is taken first; in the order of its place, type and the other's place.
+
+    linear: only those that lead from a node's parent to the node, so that there are no circles.
+    """
+    near = placed.select(F.col("node").alias("mine"), F.col("place").alias("_a"))
+    far = placed.select(F.col("node").alias("other"), F.col("place").alias("_b"), F.col("parent").alias("_parent"))
+    both = links.select("mine", "other", "type_id", "dir").join(near, "mine").join(far, "other").where("_a < _b OR (_a = _b AND dir >= 0)")
+    if linear:
+        both = both.where("_parent = mine")
+    rows = both.select("mine", "other", "type_id", "dir", "_a", "_b").distinct()
+    order = [F.col(c).asc() for c in ("_a", "type_id", "dir", "_b")]
+    return numbered(rows, [], order, "place", ties=False).select("place", "mine", "other", "type_id", "dir")
 
 
 def status(terms: DataFrame, pointers: DataFrame) -> DataFrame:

@@ -22,6 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def located(spark: SparkSession, path: str):
+    """(path, file system) of Hadoop, which is what Spark reads and writes through."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    at, fs = located(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with files in the shared folder."""
     context = df.sparkSession.sparkContext

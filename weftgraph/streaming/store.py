@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from weftgraph.operators.traverse import closure
-from weftgraph.plans.shared import checkpointed, shared_folder
+from weftgraph.plans.shared import checkpointed, listed, located, shared_folder
 from weftgraph.streaming.ingest import advanced
 
 
@@ -71,20 +71,10 @@ KINDS = {
 # --- versions ----------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _listed(spark: SparkSession, path: str) -> list[str]:
-    at, fs = _folder(spark, path)
-    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
-
-
 def versions(spark: SparkSession, store: str) -> list[int]:
     """The versions that were written whole."""
-    names = [n for n in _listed(spark, f"{store}/manifest") if n.startswith("v=")]
-    return sorted(int(n[2:]) for n in names if _folder(spark, f"{store}/manifest/{n}/_SUCCESS")[1].exists(_folder(spark, f"{store}/manifest/{n}/_SUCCESS")[0]))
+    names = [n for n in listed(spark, f"{store}/manifest") if n.startswith("v=")]
+    return sorted(int(n[2:]) for n in names if "_SUCCESS" in listed(spark, f"{store}/manifest/{n}"))
 
 
 def manifest(spark: SparkSession, store: str, version: int | None = None) -> tuple[int, list[int | None]]:
@@ -123,7 +113,7 @@ def replace(spark: SparkSession, store: str, kind: Kind, parts: Iterable[int], r
     path = f"{store}/data/v={v + 1}"
     names = kind.schema.names
     rows.select(*names, part_of(kind, len(held)).alias("part")).repartition("part").write.partitionBy("part").parquet(path)
-    filled = {int(n[5:]) for n in _listed(spark, path) if n.startswith("part=")}
+    filled = {int(n[5:]) for n in listed(spark, path) if n.startswith("part=")}
     for p in parts:
         held[p] = v + 1 if p in filled else None
     _written(spark, store, v + 1, held)
@@ -136,13 +126,13 @@ def remove_versions(spark: SparkSession, store: str, keep: int = 1) -> list[int]
     gone, kept = have[:-keep], have[-keep:]
     used = {(v, p) for k in kept for p, v in enumerate(manifest(spark, store, k)[1]) if v is not None}
     for v in gone:
-        at, fs = _folder(spark, f"{store}/manifest/v={v}")
+        at, fs = located(spark, f"{store}/manifest/v={v}")
         fs.delete(at, True)
-    for name in _listed(spark, f"{store}/data"):
+    for name in listed(spark, f"{store}/data"):
         v = int(name[2:])
-        for part in _listed(spark, f"{store}/data/{name}"):
+        for part in listed(spark, f"{store}/data/{name}"):
             if v < kept[-1] and part.startswith("part=") and (v, int(part[5:])) not in used:
-                at, fs = _folder(spark, f"{store}/data/{name}/{part}")
+                at, fs = located(spark, f"{store}/data/{name}/{part}")
                 fs.delete(at, True)
     return gone
 
@@ -260,7 +250,7 @@ def ingest(spark: SparkSession, source: str, store: str, kind: Kind, checkpoint:
 
 def fresh(spark: SparkSession, parts: int = 16) -> str:
     """An empty store in a new folder that driver and executors share."""
-    store = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    store = f"{sharedlocated(spark)}/store-{uuid.uuid4().hex}"
     create(spark, store, parts)
     return store
 
