@@ -4,7 +4,8 @@ Each source's shuffled documents, end to end, are cut into blocks of equally man
 the mix map golden-ratio points through the cumulative target shares to a source; the slot's rank
 within its source names a block, round and round. The last slot of a source takes only what its
 target leaves. DataFrame functions only; no step brings a source's rows, or all sources, into one
-task: sums over what comes before are made chunk by chunk.
+task: sums over what comes before are made chunk by chunk. Sources meet their documents and slots in
+plain joins, whose kind Spark takes from the sizes of the tables.
 
 Null and empty texts have size 0 and are taken 0 times; a very long text is a document like others,
 cut by the blocks' borders alone. A null source is a source of its own, the last. Rows that repeat a
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, parts_of, whole
+from .common import WORD, checkpointed, parts_of, whole, written
 
 _GOLDEN = 0.6180339887498949
 
@@ -86,11 +87,6 @@ def plan(by_source: DataFrame, block_words: int, weights: tuple[int, ...] = (5,
     return t.select("*", slots.cast("long").alias("slots"))
 
 
-def _small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
-    """Broadcast if the table has few enough rows, or else left to Spark."""
-    return F.broadcast(df) if rows <= most else df
-
-
 def schedule(planned: DataFrame) -> DataFrame:
     """slot, source, rank, block number and words: the mix in order, one row per block that it takes.
 
@@ -98,7 +94,7 @@ def schedule(planned: DataFrame) -> DataFrame:
     points leave out of a source's slots follows at the end.
     """
     spark = planned.sparkSession
-    total, n_sources = planned.agg(F.coalesce(F.sum("slots"), F.lit(0)).cast("long"), F.count("*")).first()
+    total = planned.agg(F.coalesce(F.sum("slots"), F.lit(0)).cast("long")).first()[0]
     drawn = total + total // 10 + 16 if total else 0
     arcs = _prefix(planned, [], [F.col("source").asc_nulls_last()], F.col("slots"), "before")
     upto = F.col("before") + F.col("slots")
@@ -110,13 +106,13 @@ def schedule(planned: DataFrame) -> DataFrame:
     points = spark.range(drawn).select(F.col("id").alias("slot"), point.alias("x"), F.expr(f"CAST(id * {cells} div {max(1, drawn)} AS INT)").alias("chunk"))
     points = points.withColumn("cell", F.floor(F.col("x") * cells).cast("int"))
     split = arcs.select("source", "slots", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * cells).cast("int"), F.least(F.lit(cells - 1), F.floor(F.col("high") * cells)).cast("int"))).alias("cell"))
-    slots = points.join(_small(split, n_sources + cells), "cell").where("low <= x AND x < high").select("slot", "source", "slots", "chunk")
+    slots = points.join(split, "cell").where("low <= x AND x < high").select("slot", "source", "slots", "chunk")
     ranked = _prefix(slots, ["source"], [F.col("slot")], F.lit(1), "rank").where("rank < slots").select("slot", "source", "rank")
     got = ranked.groupBy("source").agg(F.count("*").alias("got")).select(F.col("source").alias("_s"), "got")
     short = planned.join(got, planned["source"].eqNullSafe(F.col("_s")), "left").select("source", F.coalesce("got", F.lit(0)).alias("got"), "slots").where("got < slots")
     extra = short.select((F.lit(drawn) + F.xxhash64("source").bitwiseAND(F.lit(0xFFFF))).alias("slot"), "source", F.explode(F.sequence("got", F.col("slots") - 1)).alias("rank"))
     p = planned.select(F.col("source").alias("_s"), "source_size", "blocks", "block", "words")
-    rows = ranked.unionByName(extra).join(_small(p, n_sources), F.col("source").eqNullSafe(F.col("_s")))
+    rows = ranked.unionByName(extra).join(p, F.col("source").eqNullSafe(F.col("_s")))
     number = F.pmod(F.col("rank"), F.col("blocks"))
     length = F.least(F.col("block"), F.col("source_size") - number * F.col("block"))
     lap = F.expr("rank div blocks") * F.col("source_size") + number * F.col("block")
@@ -125,12 +121,11 @@ def schedule(planned: DataFrame) -> DataFrame:
 
 def _mixed(docs: DataFrame, block_words: int = 4096, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0) -> DataFrame:
     placed = shuffled(docs, seed)
-    planned = checkpointed(plan(docs.groupBy("source").agg(F.sum(sizes(F.col("text"))).alias("source_size")), block_words, weights, most))
-    n_sources = planned.count()
+    planned = written(plan(docs.groupBy("source").agg(F.sum(sizes(F.col("text"))).alias("source_size")), block_words, weights, most))
     slots = schedule(planned)
     uses = slots.groupBy(F.col("source").alias("_s"), "number").agg(F.collect_list("length").alias("lengths"))  # at most `most` + 1
-    small = _small(planned.select(F.col("source").alias("_s"), "block"), n_sources)
-    pieces = placed.where("size > 0").join(small, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    blocks = planned.select(F.col("source").alias("_s"), "block")
+    pieces = placed.where("size > 0").join(blocks, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     last = F.expr("(start + size - 1) div block")
     pieces = pieces.select("*", F.explode(F.sequence(F.expr("start div block"), last)).alias("number"))
     low, high = F.greatest(F.col("start"), F.col("number") * F.col("block")), F.least(F.col("start") + F.col("size"), (F.col("number") + 1) * F.col("block"))
@@ -139,7 +134,7 @@ def _mixed(docs: DataFrame, block_words: int = 4096, weights: tuple[int, ...] =
     words = F.aggregate(F.coalesce("lengths", F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(0), F.least(F.col("b"), x) - F.col("a")))
     taken = hit.groupBy("doc_id", "source", "size", "tie", "start").agg(F.sum(words).alias("taken"))
     rows = taken.unionByName(placed.where("size = 0").select("doc_id", "source", "size", "tie", "start", F.lit(0).cast("long").alias("taken")))
-    t = _small(planned.select(F.col("source").alias("_s"), "source_size", "target"), n_sources)
+    t = planned.select(F.col("source").alias("_s"), "source_size", "target")
     return rows.join(t, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "tie", "source_size", "target", "taken")
 
 

@@ -7,8 +7,8 @@ all training texts. Voters that fire together beyond what the class explains cou
 and count for less when they fire together. A logistic regression is then fitted by Newton steps, summed over
 partitions, to the posterior labels of all training texts.
 
-At most about `most_labels` labelled texts, by a hash of the id, give the lexicon and the labels;
-all other counts and steps take every training text. Labels of held-out texts are never read.
+At most about `most_labels` labelled texts, by a hash of the id, give the lexicon and the labels: of
+these texts every word and beginning is weighed. All other counts and steps take every training text. Labels of held-out texts are never read.
 
 Null and empty texts have no words and get the score of a text in which no voter fires. Rows without
 an id are held out; an id's label is the largest of its rows in labels, null labels are none. An
@@ -27,10 +27,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, carried, checkpointed, gram_hashes, map_arrow, mix, most_frequent, signed, split_words
+from .common import Sieve, WordHashes, carried, checkpointed, gram_hashes, map_arrow, mix, signed, split_words, written
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 STEMS = (4, 5, 6)  # letters of the word beginnings
@@ -47,7 +48,6 @@ PATTERNS = (
 @dataclass(frozen=True)
 class Setup:
     most_labels: int = 250_000
-    candidates: int = 1 << 15  # features of toxic texts that are weighed against other texts
     voters: int = 96
     least_lift: float = 4.0
     least_ratio: float = 24.0  # log-likelihood ratio; of 30,000 chance features hardly one reaches it
@@ -104,50 +104,74 @@ def unlike(rows: DataFrame, n: int = 5) -> DataFrame:
     return seen.groupBy("label", "m0", "m1", "m2", "m3").agg(F.min("k").alias("k")).select("k")
 
 
-def _toxic_features(rows: DataFrame, most: int) -> list[str]:
-    """Words and beginnings of the most toxic texts."""
+def _hash(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen: Counter[str] = Counter()
 
-        def out() -> dict:
-            return {"f": list(seen), "n": list(seen.values())}
+def least_toxic_texts(toxic: int, other: int, ratio: float) -> int | None:
+    """The fewest toxic texts that a feature must be in to reach the likelihood ratio at all, where no other text holds it; None if none can."""
+    counts = np.arange(1, toxic + 1)
+    fit = np.flatnonzero(likelihood_ratio(counts.astype(float), np.zeros(len(counts)), toxic, other) >= ratio)
+    return int(counts[fit[0]]) if len(fit) else None
 
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update({s for w in features(text) for s in stems(w)})
-                if len(seen) > 500_000:
-                    yield out()
-                    seen.clear()
-        yield out()
 
-    got = checkpointed(map_arrow(rows.where("label = 1").select("text"), run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")))
-    return most_frequent(got, most)["f"].tolist()
+def _counted(rows: DataFrame, sieve: Sieve | None) -> DataFrame:
+    """f, h, toxic, other: the labelled texts of either class that hold a word or beginning, of those that the sieve lets through."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen: dict[tuple[str, int], list[int]] = {}
+        of: dict[str, list[tuple[str, int]]] = {}
 
-def _weighed(rows: DataFrame, candidates: list[str]) -> pd.DataFrame:
-    """For each candidate the toxic and the other labelled texts that hold it."""
-    place = rows.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(candidates)})
-    n = len(candidates)
+        def out() -> dict:
+            return {"f": [f for f, _ in seen], "h": signed(np.array([h for _, h in seen], np.uint64)), "toxic": [n[1] for n in seen.values()], "other": [n[0] for n in seen.values()]}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        at, of = place.value, {}
-        seen = np.zeros((2, n + 1), np.int64)  # the last column counts texts
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                hit = {n}
+                hit: set[tuple[str, int]] = set()
                 for w in features(text):
                     if (k := of.get(w)) is None:
                         if len(of) > 300_000:
                             of.clear()
-                        k = of[w] = [at[s] for s in stems(w) if s in at]
+                        k = [(s, _hash(s)) for s in stems(w)]
+                        if sieve is not None:
+                            k = [x for x, held in zip(k, sieve.may_hold(np.array([h for _, h in k], np.uint64)).tolist(), strict=True) if held]
+                        of[w] = k
                     hit.update(k)
-                seen[label, list(hit)] += 1
-        some = np.flatnonzero(seen.any(axis=0))
-        yield {"f": some.astype(np.int32), "other": seen[0, some], "toxic": seen[1, some]}
+                for x in hit:
+                    seen.setdefault(x, [0, 0])[label] += 1
+            if len(seen) > 300_000:
+                yield out()
+                seen.clear()
+        yield out()
+
+    got = map_arrow(rows.select("label", "text"), run, "f string, h long, toxic long, other long")
+    return got.groupBy("f", "h").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
-    got = map_arrow(rows.select("label", "text"), run, "f int, other long, toxic long").groupBy("f").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toPandas()
-    return got.set_index("f").reindex(range(n + 1), fill_value=0)
+
+def _telling(rows: DataFrame, setup: Setup) -> list[tuple[float, str]]:
+    """-ratio and feature of every word and beginning that passes the tests of lift and ratio, the best first.
+
+    Features of too few toxic texts to pass are told by a sieve before the others are counted; counts
+    and tests stay in Spark, so that only what passes comes to the driver: each of these is in several
+    of at most about `most_labels` texts.
+    """
+    n = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    toxic_texts, other_texts = n.get(1, 0), n.get(0, 0)
+    least = least_toxic_texts(toxic_texts, other_texts, setup.least_ratio)
+    if least is None:
+        return []
+    often = written(_counted(rows.where("label = 1"), None).where(F.col("toxic") >= least).select("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            toxic, other = (b.column(k).to_numpy().astype(float) for k in (1, 2))
+            lift = np.log((toxic + 0.5) / (toxic_texts + 1)) - np.log((other + 0.5) / (other_texts + 1))
+            ratio = likelihood_ratio(toxic, other, toxic_texts, other_texts)
+            fit = np.flatnonzero((lift >= np.log(setup.least_lift)) & (ratio >= setup.least_ratio))
+            yield {"f": b.column(0).take(pa.array(fit)), "ratio": ratio[fit]}
+
+    passed = map_arrow(_counted(rows, Sieve(often)).select("f", "toxic", "other"), run, "f string, ratio double")
+    return sorted((-r.ratio, r.f) for r in passed.collect())
 
 
 def likelihood_ratio(toxic: np.ndarray, other: np.ndarray, toxic_texts: float, other_texts: float) -> np.ndarray:
@@ -163,20 +187,12 @@ def likelihood_ratio(toxic: np.ndarray, other: np.ndarray, toxic_texts: float, o
 
 def lexicon(rows: DataFrame, setup: Setup) -> list[list[str]]:
     """The features of each voter: the ones that tell toxic texts best, one for each stem, and in the last voter all others that pass."""
-    candidates = _toxic_features(rows, setup.candidates)
-    if not candidates:
-        return []
-    seen = _weighed(rows, candidates)
-    toxic, other = seen["toxic"].to_numpy(float), seen["other"].to_numpy(float)
-    lift = np.log((toxic + 0.5) / (toxic[-1] + 1)) - np.log((other + 0.5) / (other[-1] + 1))
-    ratio = likelihood_ratio(toxic, other, toxic[-1], other[-1])
-    fit = np.flatnonzero((lift[:-1] >= np.log(setup.least_lift)) & (ratio[:-1] >= setup.least_ratio))
     out: list[str] = []
-    for k in sorted(fit.tolist(), key=lambda k: (-ratio[k], candidates[k])):
-        stem = candidates[k].rstrip("*")
+    for _, feature in _telling(rows, setup):
+        stem = feature.rstrip("*")
         if any(stem.startswith(x.rstrip("*")) for x in out if x.endswith("*")) or any(x.startswith(stem) for x in out):
             continue  # another voter on this stem is the better one
-        out.append(candidates[k])
+        out.append(feature)
     alone, rest = out[: setup.voters], out[setup.voters :]
     return [[w] for w in alone] + ([rest] if rest else [])
 
