@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.plans.graph import read_as
-from weftgraph.plans.shared import checkpointed, met_by_count
+from weftgraph.plans.shared import checkpointed, met_by_count, written
 
 
 def closure(links: DataFrame, most: int | None = None) -> DataFrame:
@@ -199,17 +199,17 @@ def components(links: DataFrame) -> DataFrame:
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
 
-    e = checkpointed(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while (now := mark(e)) != seen:
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
         upward = e.select(F.col("v").alias("u"), F.col("u").alias("v"))  # the larger neighbours of each
-        large = checkpointed(met_by_count(upward, least, ["u"], "n", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = written(met_by_count(upward, least, ["u"], "n", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")))  # as many as links
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = met_by_count(large, least, ["u"], "n", large.count()).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        small = met_by_count(large, least, ["u"], "n", now[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
