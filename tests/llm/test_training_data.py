@@ -572,7 +572,7 @@ def test_license_scan_against_every_run_of_words(spark):
             some = [x for x in rng.choice(notices).split() if rng.random() < 0.93]
             w += some + [rng.choice(some or ["q"]) for _ in range(rng.randrange(4))]
         texts.append("".join(x + rng.choice((" ", " ", "\n", "\n\n")) for x in w))
-    got = {r.doc_id: r for r in license_scan.scan_licenses(docs_of(spark, texts), templates).collect()}
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs_of(spark, texts), templates, names=False).collect()}
     sets = [(name, license_scan.bigrams(license_scan.normal_words(t))) for name, t in templates]
     for i, t in enumerate(texts):
         w, best = license_scan.normal_words(t), 0.0
@@ -584,6 +584,30 @@ def test_license_scan_against_every_run_of_words(spark):
     assert [got[i].licenses for i in range(6)] == [["Apache-2.0"], ["GPL-3.0"], ["Two"], ["CC-BY-NC-4.0"], ["CC-BY-4.0"], []]
 
 
+NAMED = {
+    "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0"], "Licensed under CC BY-ND 4.0": ["CC-BY-ND-4.0"], "Licensed under CC BY 3.0": ["CC-BY-3.0"], "Licensed under CC BY 2.5": [],
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": ["CC-BY-NC-4.0"], "Dual licensed under the MIT and GPL licenses.": ["MIT OR GPL"],
+    "// SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0-or-later"], "SPDX-License-Identifier: GPL-2.0": ["GPL-2.0"], "SPDX-License-Identifier: LGPL-2.1-only": ["LGPL-2.1-only"],
+    "MIT License\n\nCopyright (c) 2020 Jane Doe": ["MIT"], "The MIT License (MIT)": ["MIT"], "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+    "Released under the BSD license": ["BSD"], "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/": ["Apache-2.0"], "Licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+    "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"], "This work is licensed under the GNU Lesser General Public License, version 3.": [], "Licensed under the Apache License, Version 1.1.": [],
+    "Licensed under the MIT License. See 3 files": ["MIT"], "We met at MIT and saw version 2.0": [],
+}
+
+
+def test_license_names(spark, tmp_path):
+    """A near name gives way to its own template, or to none; in one pass and in several."""
+    texts = list(NAMED)
+    got = {texts[r.doc_id]: r.licenses for r in license_scan.scan_licenses(docs_of(spark, texts)).collect()}
+    assert got == NAMED
+    spark.createDataFrame(license_scan.TEMPLATES + (("One", "word1"),), "name string, text string").write.parquet(str(tmp_path / "t.parquet"))
+    blocks = license_scan.read_templates(spark, str(tmp_path / "t.parquet"), most=5000)
+    assert isinstance(blocks, license_scan.Blocks) and len(list(blocks)) > 3
+    more = [*texts, None, "", "word1\nx", "x " * 30_000 + texts[0]]
+    whole = license_scan.scan_licenses(docs_of(spark, more), license_scan.TEMPLATES + (("One", "word1"),))
+    assert sorted(map(str, license_scan.scan_licenses(docs_of(spark, more), blocks).collect())) == sorted(map(str, whole.collect()))
+
+
 def test_ledger_policies_and_ablations(spark):
     texts = odd_texts() + ["word " * 60, "A B C " * 40, "\n".join(["same line of words"] * 20), "# $ % " * 30]
     book = quality_ledger.ledger(docs_of(spark, texts)).cache()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType, StructField, StructType
 
-from weftgraph.plans.shared import checkpointed, shared_folder  # noqa: F401  the operators take checkpointed from here
+from weftgraph.plans.shared import checkpointed, shared_folder, written  # noqa: F401  the operators take these from here
 
 #: A word is a run of characters other than these; `bytes.split()` splits at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,14 +108,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder, which is smaller than a checkpoint of many rows."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Sieve:
     """Which 64-bit hashes may be in a set: two bits for each, so that a no is always right.
 

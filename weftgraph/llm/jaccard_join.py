@@ -310,9 +310,8 @@ def _chunk(size: str, total: str, block: int) -> F.Column:
     return F.greatest(F.ceil(F.col(size) / block), F.ceil(F.col(total) / (block * _GRAMS))).cast("long")
 
 
-def _rest(first: DataFrame, links: DataFrame, rows: DataFrame, how: Likeness, block: int) -> DataFrame:
-    """Links across the blocks of one root: what the centre's component doesn't hold meets everything in its root."""
-    comp = components(links)
+def _rest(first: DataFrame, comp: DataFrame, rows: DataFrame, how: Likeness, block: int) -> DataFrame:
+    """Links across the blocks of one root: what the centre's component (of comp) doesn't hold meets everything in its root."""
     held = written(first.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("root", "sid")).drop("root"))
     centre = held.where("sid = c").select("c", F.col("part").alias("own"))
     held = written(met(held, centre, "c").withColumn("out", F.col("part") != F.col("own")))
@@ -327,7 +326,7 @@ def _rest(first: DataFrame, links: DataFrame, rows: DataFrame, how: Likeness, bl
 
 
 def links(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """(leaves, links): doc_id, k, th, n, sid of each row; and (a, b) between sids, a spanning forest of all links.
+    """(leaves, links): doc_id, k, th, n, sid of each row; and (a, b) between sids, which connect as all links do.
 
     A block has about `block` sets, or `_GRAMS` * `block` n-grams, whichever comes first.
     """
@@ -355,7 +354,8 @@ def links(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> tup
     found = written(_link_groups(_with_texts(first, texts), how, block))
     large = written(dealt.where("q > 1").select("c", "sid", "n", "k", "th"))
     if not large.isEmpty():
-        found = found.unionByName(_rest(large, found, texts, how, block))
+        comp = written(components(found))  # stars, which stand for the links they came from
+        found = comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_rest(large, comp, texts, how, block))
     return leaves.select("doc_id", "k", "th", "n", "sid"), found
 
 
