@@ -433,3 +433,41 @@ def test_edges_are_listed_once_from_the_end_that_comes_first(spark, types):
     placed = N.traversed(links, spark.createDataFrame([(1,)], "node_id long"))
     assert [(r.place, r.mine, r.other) for r in N.listed_edges(links, placed).orderBy("place").collect()] == [(1, 1, 2), (2, 1, 3), (3, 2, 3), (4, 3, 3)]
     assert rows(N.listed_edges(links, placed, linear=True).select("mine", "other")) == [(1, 2), (1, 3)]
+
+
+def test_nearest_against_all_pairs(spark):
+    """Dense and empty stretches, ties on either side, overlaps: the neighbours that all pairs give."""
+    rng = random.Random(11)
+    make = lambda n, wide: [(f"s{rng.randrange(2)}", k, (at := rng.randrange(400)), at + rng.randrange(wide)) for k in range(n)]
+    a, b = make(60, 6), make(80, 4) + [("s0", 500 + k, 1000, 1004) for k in range(30)]
+    a += [("s0", 900, 1010, 1012), ("s0", 901, 990, 995), ("s9", 902, 1, 2), ("s0", 903, 5, 4)]
+    da, db = spark.createDataFrame(a, "seq string, a_id long, a_start long, a_end long"), spark.createDataFrame(b, "seq string, b_id long, b_start long, b_end long")
+    for flank in (False, True):
+        want = set()
+        for s, i, lo, hi in a:
+            near = [(j, bh - lo if bh < lo else bl - hi if bl > hi else 0) for t, j, bl, bh in b if t == s and lo <= hi]
+            near = [(j, d) for j, d in near if abs(d) <= 12]
+            for group in [[x for x in near if (x[1] > 0) - (x[1] < 0) == side] for side in (-1, 0, 1)] if flank else [near]:
+                want |= {(i, j, d) for j, d in group if abs(d) == min(abs(x) for _, x in group)}
+        got = I.nearest(da, db, 12, flank=flank)
+        assert {(r.a_id, r.b_id, r.distance) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_ways_of_rules_by_what_they_can_score(spark):
+    r = [("A", "B", 0.9), ("B", "C", 0.9), ("A", "C", 0.5), ("C", "D", 1.0), ("B", "D", 0.2), ("D", "A", 1.0), ("A", "A", 1.0), ("A", "E", None)]
+    rules = spark.createDataFrame([(a, b, f"{a}1".lower(), f"{b}1".lower(), s) for a, b, s in r] + [("A", "C", "a1", "c1", 0.1)], "space_in string, space_out string, term_in string, term_out string, score double")
+    assert L.best_ways(rules, "A", "D") == [["A", "B", "C", "D"], ["A", "C", "D"], ["A", "B", "D"]]
+    assert L.best_ways(rules, "A", "D", k=1) == [["A", "B", "C", "D"]] and L.best_ways(rules, "D", "D") == [] and L.best_ways(rules, "E", "A") == []
+    terms = spark.createDataFrame([("a1",), ("zz",)], "term string")
+    (one,) = L.converted_best(terms, rules, "A", "D").collect()
+    assert (one.input, one.output, round(one.score, 9), one.way) == ("a1", "d1", 0.81, ["A", "B", "C", "D"])
+    assert L.converted_best(terms, rules, "E", "A").count() == 0
+
+
+def test_clusters_grow_from_the_nearest_seed(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(10)] + [(k + 1, k) for k in range(10)], "mine long, other long")
+    seeds = spark.createDataFrame([(0,), (6,)], "node_id long")
+    got = {r.node: (r.seed, r.distance) for r in T.seeded(links, seeds).collect()}
+    assert got == {0: (0, 0), 1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (6, 2), 5: (6, 1), 6: (6, 0), 7: (6, 1), 8: (6, 2), 9: (6, 3), 10: (6, 4)}
+    assert T.seeded(links, seeds, most=1).count() == 5
+    assert T.seeded(links, seeds, through=links.where("other != 3").select(F.col("other").alias("node_id"))).where("node = 3").isEmpty()

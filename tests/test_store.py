@@ -114,3 +114,71 @@ def test_a_session_leaves_the_base_as_it_is(spark, tmp_path):
     assert files(str(tmp_path / "g")) == before
     s.close()
     assert not (tmp_path / "delta").exists() and reach(s.graph()) == n
+
+
+def test_a_changed_table_makes_a_new_graph(spark, tmp_path):
+    """The stored graph goes by the tables' files, not by their path; forget() removes what was stored."""
+    import shutil
+
+    for name in graph._TABLES:
+        shutil.copy(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    n = graph.from_tables(spark, str(tmp_path)).nodes.where("space_id = 6").count()
+    (tmp_path / "orders.parquet").unlink()
+    spark.read.parquet(f"{SF}/orders.parquet").limit(10).write.parquet(str(tmp_path / "orders.parquet"))
+    assert n > 10 and graph.from_tables(spark, str(tmp_path)).nodes.where("space_id = 6").count() == 10
+    folders = [f for k, f in graph._STORED.items() if k[1] == str(tmp_path)]
+    assert graph.forget(spark, str(tmp_path)) == 2 and not any(os.path.exists(f.removeprefix("file:")) for f in folders)
+
+
+def test_more_symmetric_types_than_literals(spark, monkeypatch):
+    types = spark.createDataFrame([(k, f"r{k}", f"r{k}" if k % 2 else f"b{k}") for k in range(10)], "type_id int, forward string, backward string")
+    edges = spark.createDataFrame([(k, 100 + k, k, True, 1) for k in range(10)] + [(5, 6, 99, True, 1)], "name1 long, name2 long, type_id int, live boolean, space_id int")
+    few = sorted(map(tuple, graph.oriented(edges, types).collect()))
+    monkeypatch.setattr(graph, "LITERALS", 3)
+    assert sorted(map(tuple, graph.oriented(edges, types).select("mine", "other", "type_id", "dir", "live", "space_id").collect())) == sorted((m, o, t, d, live, s) for m, o, d, t, live, s in few)
+
+
+def test_an_index_reads_only_what_is_asked(spark, tmp_path):
+    from weftgraph.operators.word_index import WordIndex
+
+    index = WordIndex(spark, str(tmp_path / "w"), buckets=16)
+    texts = spark.createDataFrame([(k, "s", f"common word{k} red") for k in range(300)] + [(1, "s", "common common"), (None, "s", None)], "id long, source string, text string")
+    assert index.load("9606", texts) == 1 and index.load(10090, texts.limit(5)) == 1
+    asked = spark.createDataFrame([("WORD7",), ("NOSUCH",)], "word string")
+    read = index.hits(asked, ["9606"]).inputFiles()
+    buckets = {r.b for r in asked.select(index._bucket().alias("b")).collect()}
+    assert read and all("taxon=9606" in f for f in read) and {int(f.split("bucket=")[1].split("/")[0]) for f in read} <= buckets
+    got = index.resolve(spark.createDataFrame([(1, "red word7 common"), (2, "nosuch"), (3, None)], "query_id long, text string"), ["9606"])
+    assert [(r.query_id, r.id) for r in got.orderBy("query_id", F.desc("score")).collect()][:1] == [(1, 7)] and got.where("query_id = 1").count() == 1  # the others have blacklisted words alone
+    assert index.load(9606, texts.limit(2)) == 2 and index.hits(asked, [9606]).join(asked, "word", "left_semi").count() == 0
+    index.drop("9606", keep=1)
+    assert index.taxa() == {"9606": 2, "10090": 1}
+    assert index.hits(asked, ["none"]).count() == 0
+
+
+def test_a_write_that_fails_leaves_the_table(spark, tmp_path):
+    from weftgraph.sources import writers as W
+
+    folder = str(tmp_path / "t")
+    W.write_table(spark.range(5), folder)
+    boom = spark.range(100).withColumn("id", F.when(F.col("id") == 77, F.raise_error(F.lit("boom")).cast("long")).otherwise(F.col("id")))
+    for mode in ("append", "drop"):
+        with pytest.raises(Exception, match="boom"):
+            W.write_table(boom, folder, mode)
+    assert sorted(r.id for r in W.read_table(spark, folder).collect()) == [0, 1, 2, 3, 4] and W.table_folders(spark, folder)[0] == 1
+    with pytest.raises(ValueError, match="has columns"):
+        W.write_table(spark.range(3).withColumn("x", F.lit(1)), folder)
+    with pytest.raises(ValueError, match="no mode"):
+        W.write_table(spark.range(3), folder, "replace")
+
+
+def test_dumps_with_quotes_and_brackets(spark, tmp_path):
+    from weftgraph.sources import readers, writers
+
+    texts = ["it's", "a,b);(c", "back\\slash\\n", "two\nlines", "", None, "''", "x" * 20_000 + "'y"]
+    rows = spark.createDataFrame([(k, t, k * 1.5 - 2) for k, t in enumerate(texts)], "id long, title string, x double")
+    writers.sql_dump_lines(rows, "page", 3).coalesce(1).write.option("lineSep", ";\n").text(str(tmp_path / "d"))
+    other = "-- a comment;\nCREATE TABLE `page` (id int);\nINSERT INTO `links` VALUES (1,'page');\nINSERT INTO `page` (`id`,`title`,`x`) VALUES (90,'doubled ''quote''',NULL),(91,NULL,1e3), (92,'(',0);\n"
+    (tmp_path / "d" / "more.sql").write_text(other)
+    got = {r.id: (r.title, r.x) for r in readers.sql_dump(spark, str(tmp_path / "d"), "page", "id long, title string, x double").collect()}
+    assert got == {k: (t, k * 1.5 - 2) for k, t in enumerate(texts)} | {90: ("doubled 'quote'", None), 91: (None, 1000.0), 92: ("(", 0.0)}

@@ -59,11 +59,33 @@ def gap(a_start: str = "a_start", a_end: str = "a_end", b_start: str = "b_start"
     return F.when(b1 < a0, b1 - a0).when(b0 > a1, b0 - a1).otherwise(0)
 
 
+def _beside(a: DataFrame, b: DataFrame, within: int, left: bool) -> DataFrame:
+    """Pairs of each a with the b that end last before it (or, on the right, begin first behind it), at most `within` away.
+
+    Both sides are put in one order of positions, in which the last end so far is a running maximum; so
+    each a meets one place, and the b that have just that place, however many are within reach.
+    """
+    end, start = ("b_end", "a_start") if left else ("b_start", "a_end")
+    sign = 1 if left else -1
+    row = F.struct(*[F.col(f"`{c}`") for c in a.columns])
+    spots = a.select("seq", (sign * F.col(start)).alias("_pos"), F.lit(0).alias("_kind"), row.alias("_row"))
+    ends = b.select("seq", (sign * F.col(end)).cast(spots.schema["_pos"].dataType).alias("_pos"), F.lit(1).alias("_kind"), F.lit(None).cast(spots.schema["_row"].dataType).alias("_row")).distinct()
+    order = [F.col("_pos").asc(), F.col("_kind").asc()]  # an end at the very start is an overlap
+    dealt = ranged(spots.where("_pos IS NOT NULL").unionByName(ends.where("_pos IS NOT NULL")), ["seq"], order)
+    near = running(dealt, ["seq"], order, F.when(F.col("_kind") == 1, F.col("_pos")), "_near", over="max")
+    near = near.where((F.col("_kind") == 0) & (F.col("_pos") - F.col("_near") <= within)).select("_row.*", (sign * F.col("_near")).alias(end))
+    return near.join(b, ["seq", end])
+
+
 def nearest(a: DataFrame, b: DataFrame, within: int, width: int = 256, flank: bool = False, keep_all: bool = False) -> DataFrame:
     """For each a the closest b at most so far away, ties kept; with flank the closest on either side, with keep_all every one within reach."""
-    pairs = overlapping(a, b, width, within).withColumn("distance", gap())
     if keep_all:
-        return pairs
+        return overlapping(a, b, width, within).withColumn("distance", gap())
+    a, b = a.where("a_start <= a_end"), b.where("b_start <= b_end")
+    pairs = overlapping(a, b, width)
+    for left in (True, False):
+        pairs = pairs.unionByName(_beside(a, b, within, left).select(*pairs.columns))
+    pairs = pairs.withColumn("distance", gap())
     by = ["seq", "a_id", F.signum("distance")] if flank else ["seq", "a_id"]
     order = Window.partitionBy(*by).orderBy(F.abs("distance"))
     return pairs.withColumn("_r", F.rank().over(order)).where("_r = 1").drop("_r")

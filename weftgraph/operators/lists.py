@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators.edges import leaves_only
 from weftgraph.operators.stretches import numbered
 from weftgraph.operators.traverse import closure
+from weftgraph.plans.shared import checkpointed
 
 
 def chain(rules: Sequence[DataFrame], how: str = "product") -> DataFrame:
@@ -211,6 +212,41 @@ def converted(terms: DataFrame, rules: DataFrame, source: str, target: str) -> D
     return chain(steps)
 
 
+def best_ways(rules: DataFrame, source: str, target: str, k: int = 3, most: int = 6) -> list[list[str]]:
+    """The k ways of rules (space_in, space_out, score) from one space to another by the most that they can score: the product of the best score of each step.
+
+    Ways come to no space twice. Of equals the shorter counts, then the first by name. Rules are a
+    vocabulary: pairs of spaces, of which each round keeps k ways to each space.
+    """
+    step = rules.where("space_in != space_out").groupBy(F.col("space_in").alias("at"), "space_out").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("weight"))
+    ways = rules.sparkSession.createDataFrame([(source, [source], 1.0)], "at string, way array<string>, weight double")
+    order = Window.partitionBy("at").orderBy(F.desc("weight"), F.size("way"), "way")
+    done: list[tuple[float, int, list[str]]] = []
+    for _ in range(most):
+        further = ways.join(step.withColumnRenamed("weight", "_w"), "at").where(~F.array_contains("way", F.col("space_out")))
+        further = further.select(F.col("space_out").alias("at"), F.concat("way", F.array("space_out")).alias("way"), (F.col("weight") * F.col("_w")).alias("weight"))
+        ways = checkpointed(further.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n"))
+        done += [(-r.weight, len(r.way), list(r.way)) for r in ways.where(F.col("at") == target).collect()]
+        ways = ways.where(F.col("at") != target)
+        if ways.isEmpty():
+            break
+    return [way for _, _, way in sorted(done)[:k]]
+
+
+def converted_best(terms: DataFrame, rules: DataFrame, source: str, target: str, k: int = 3, most: int = 6) -> DataFrame:
+    """input, output, score, way, via: terms (term) taken along the k best ways of rules; for each input and output the best score, then the better way."""
+    out = None
+    for place, way in enumerate(best_ways(rules, source, target, k, most)):
+        steps = [rules.where((F.col("space_in") == a) & (F.col("space_out") == b)).select("term_in", "term_out", "score") for a, b in zip(way, way[1:], strict=False)]
+        steps[0] = steps[0].join(terms.select(F.col("term").alias("term_in")).distinct(), "term_in", "left_semi")
+        rows = chain(steps).select("*", F.lit(place).alias("place"), F.array(*map(F.lit, way)).alias("way"))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return terms.sparkSession.createDataFrame([], "input string, output string, score double, way array<string>, via array<string>")
+    best = F.min_by(F.struct("score", "way", "via"), F.struct(-F.coalesce("score", F.lit(-1.0)), "place"))
+    return out.groupBy("input", "output").agg(best.alias("b")).select("input", "output", "b.score", "b.way", "b.via")
+
+
 def first_tags(meta: DataFrame, key: Sequence[str], tag: str = "tag", value: str = "value") -> DataFrame:
     """key, tag, value, n: one value for each tag of an edge, the first in order, and how many different ones there are."""
     return meta.groupBy(*key, tag).agg(F.min(value).alias(value), F.count_distinct(value).alias("n"))
@@ -225,3 +261,22 @@ def shuffled(rows: DataFrame, columns: Sequence[str], seed: int = 0) -> DataFram
 def with_columns_of(rows: DataFrame, key: str, *tables: DataFrame) -> DataFrame:
     """rows with the columns that each table (key and others, one row for each key) has for them."""
     return reduce(lambda a, b: a.join(b, key, "left"), tables, rows)
+
+
+def activities(measured: DataFrame, units: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """measured (endpoint, unit, value and others) with `standard` (the value in the base unit), `base` and `why` it is refused, or null.
+
+    units: unit, base, factor; endpoints: endpoint and a base unit that it may have, one row for each.
+    Refused are rows without a value, with a value that is no positive number, with an unknown
+    endpoint or unit, and with a unit that the endpoint may not have. Names count whatever their case.
+    """
+    known = F.broadcast(units.select(F.upper("unit").alias("_u"), F.col("base").alias("_base"), F.col("factor").alias("_factor")).dropDuplicates(["_u"]))  # a vocabulary
+    allowed = F.broadcast(endpoints.select(F.upper("endpoint").alias("_e"), F.col("base").alias("_ok")).distinct().groupBy("_e").agg(F.collect_set("_ok").alias("_bases")))
+    rows = measured.withColumn("_u", F.upper("unit")).withColumn("_e", F.upper("endpoint")).join(known, "_u", "left").join(allowed, "_e", "left")
+    number = F.col("value").try_cast("double") if dict(measured.dtypes)["value"] == "string" else F.col("value").cast("double")
+    why = (
+        F.when(F.col("value").isNull(), "no value").when(F.coalesce(number, F.lit(-1.0)).isin(float("inf")) | F.isnan(F.coalesce(number, F.lit(0.0))) | (F.coalesce(number, F.lit(-1.0)) <= 0), "no positive number")
+        .when(F.col("_bases").isNull(), "unknown endpoint").when(F.col("_base").isNull(), "unknown unit").when(~F.array_contains("_bases", F.col("_base")), "unit not allowed")
+    )
+    out = rows.withColumn("why", why).withColumn("standard", F.when(F.col("why").isNull(), number * F.col("_factor"))).withColumn("base", F.when(F.col("why").isNull(), F.col("_base")))
+    return out.select(*measured.columns, "standard", "base", "why")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from weftgraph.functions.text import words
+from weftgraph.operators.stretches import numbered
+from weftgraph.plans.shared import checkpointed, met, met_by_count
 
 #: Coefficients of Stirling's series for the logarithm of the gamma function.
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
@@ -87,7 +89,8 @@ def word_hits(texts: DataFrame, least_length: int = 2) -> DataFrame:
 def blacklist(hits: DataFrame, share: float) -> DataFrame:
     """source, word, freq: words that more than this share of a source's ids have."""
     ids = hits.groupBy("source").agg(F.count_distinct("id").alias("ids"))
-    return hits.groupBy("source", "word").agg(F.count_distinct("id").alias("n")).join(F.broadcast(ids), "source").select("source", "word", (F.col("n") / F.col("ids")).alias("freq")).where(F.col("freq") > share)
+    counts = checkpointed(hits.groupBy("source", "word").agg(F.count_distinct("id").alias("n")))
+    return met(counts, ids, "source").select("source", "word", (F.col("n") / F.col("ids")).alias("freq")).where(F.col("freq") > share)
 
 
 def resolve(queries: DataFrame, hits: DataFrame, black: DataFrame, top: int = 3) -> DataFrame:
@@ -137,12 +140,12 @@ def running_enrichment(ranked: DataFrame, members: DataFrame) -> DataFrame:
     """term, es: the largest deviation of the running sum over a ranked list (id, rank), up for members and down for others.
 
     The sum needs no pass over the list in one task: before a term's i-th member, at rank r, it has
-    met i - 1 members and r - i others, so only the members' own ranks matter.
+    met i - 1 members and r - i others, so only the members' own ranks matter. These are numbered by
+    stretches, so that a term which holds most of the list fills no task.
     """
     total = F.broadcast(ranked.agg(F.count("*").alias("total")))
-    hits = members.join(ranked, "id").select("term", "rank")
-    by_rank = Window.partitionBy("term").orderBy("rank")
-    steps = hits.withColumn("i", F.row_number().over(by_rank)).withColumn("size", F.count("*").over(Window.partitionBy("term"))).join(total)
+    hits = checkpointed(numbered(members.join(ranked, "id").select("term", "rank"), ["term"], [F.col("rank").asc()], "i", ties=False))
+    steps = met_by_count(hits, hits.groupBy("term").agg(F.count("*").alias("size")), ["term"], "size", hits.count()).join(total)
     others = F.greatest(F.col("total") - F.col("size"), F.lit(1))
     high = F.col("i") / F.col("size") - (F.col("rank") - F.col("i")) / others
     low = (F.col("i") - 1) / F.col("size") - (F.col("rank") - F.col("i")) / others

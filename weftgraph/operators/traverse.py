@@ -135,6 +135,28 @@ def distances(links: DataFrame, seeds: DataFrame, most: int | None = None) -> Da
     return out
 
 
+def seeded(links: DataFrame, seeds: DataFrame, most: int | None = None, through: DataFrame | None = None) -> DataFrame:
+    """node, seed, distance: clusters that grow from all seeds (node_id) at once; a node belongs to its nearest seed, the least of equals.
+
+    At most `most` edges away; with `through` (node_id) only such nodes are entered, so that clusters
+    keep to the types of nodes, as links keep to those of edges.
+    """
+    level = checkpointed(seeds.select(F.col("node_id").alias("node"), F.col("node_id").alias("seed"), F.lit(0).alias("distance")).distinct())
+    step, out = checkpointed(links.select("mine", "other").distinct()), level
+    if through is not None:
+        step = checkpointed(step.join(through.select(F.col("node_id").alias("other")), "other", "left_semi"))
+    for distance in itertools.count(1) if most is None else range(1, most + 1):
+        near = level.select(F.col("node").alias("mine"), "seed")
+        reached = step.join(near, "mine").groupBy(F.col("other").alias("node")).agg(F.min("seed").alias("seed"))
+        level = checkpointed(reached.join(out.select("node"), "node", "left_anti").withColumn("distance", F.lit(distance)))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+        if distance % 16 == 0:
+            out = checkpointed(out)
+    return out
+
+
 def explicit(links: DataFrame, types: DataFrame, seeds: DataFrame, legs: Sequence[Sequence[str]], complete: bool = True) -> DataFrame:
     """root, node, path: walks that take one edge of each leg's readings (of types) in turn, without coming back to a node.
 

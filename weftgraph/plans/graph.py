@@ -8,6 +8,7 @@ type and nodes by space, so that queries and the levels of a walk read what they
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass, fields
 from functools import reduce
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.plans.shared import shared_folder
+from weftgraph.plans.shared import located, shared_folder
 
 #: space_id: prefix of the names in it, class of its nodes.
 SPACES = {1: ("R#", 3), 2: ("N#", 4), 3: ("C#", 6), 4: ("S#", 7), 5: ("P#", 9), 6: ("O#", 10)}
@@ -63,7 +64,7 @@ def _edge(df: DataFrame, a: tuple[str, int], b: tuple[str, int], kind: int, live
 
 #: Of stored graphs: how their tables are laid out.
 _LAYOUT = {"nodes": "space_id", "edges": "type_id"}
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 def stored(g: Graph, folder: str) -> Graph:
@@ -79,9 +80,27 @@ def read_stored(spark: SparkSession, folder: str) -> Graph:
     return Graph(*[spark.read.parquet(f"{folder}/{f.name}") for f in fields(Graph)])
 
 
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def signature(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the names, sizes and times of the tables' files: it changes when a table does."""
+    seen = []
+    for name in _TABLES:
+        at, fs = located(spark, f"{sf_dir}/{name}.parquet")
+        files = fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
 def from_tables(spark: SparkSession, sf_dir: str) -> Graph:
-    """projected(), stored in the shared folder by the first query of an application over these tables."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """projected(), stored in the shared folder by the first query of an application over these tables, and again when a file of theirs changes.
+
+    The graph of files that have changed is kept for those who still read it, until forget().
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, signature(spark, sf_dir))
     if key not in _STORED:
         folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
         stored(projected(spark, sf_dir), folder)
@@ -89,9 +108,18 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Graph:
     return read_stored(spark, _STORED[key])
 
 
+def forget(spark: SparkSession, sf_dir: str | None = None) -> int:
+    """Removes the graphs that this application has stored, of some tables or all; returns how many."""
+    mine = [k for k in _STORED if k[0] == spark.sparkContext.applicationId and sf_dir in (None, k[1])]
+    for k in mine:
+        at, fs = located(spark, _STORED.pop(k))
+        fs.delete(at, True)
+    return len(mine)
+
+
 def projected(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions, nations, parties, parts and orders as nodes; keys and order lines as edges, with the lines as history and metadata."""
-    t = {n: table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    t = {n: table(spark, sf_dir, n) for n in _TABLES}
     keys = {1: ("region", "r_regionkey"), 2: ("nation", "n_nationkey"), 3: ("customer", "c_custkey"), 4: ("supplier", "s_suppkey"), 5: ("part", "p_partkey"), 6: ("orders", "o_orderkey")}
     nodes = reduce(DataFrame.unionByName, (t[n].select(node_id(k, s).alias("node_id"), F.concat(F.lit(SPACES[s][0]), F.col(k).cast("string")).alias("name"), F.lit(s).alias("space_id")) for s, (n, k) in keys.items()))
     yes = F.lit(True)
@@ -131,22 +159,31 @@ def projected(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, edges, history, meta, spark.createDataFrame(TYPES, "type_id int, forward string, backward string"), classes, labels, taxa, taxonomy, mappings)
 
 
-def vocabulary(df: DataFrame, most: int = 10_000) -> list[Row]:
-    """The rows of a vocabulary, which may not be more than so many."""
+#: Literals in one filter at most; larger vocabularies are joined.
+LITERALS = 10_000
+
+
+def vocabulary(df: DataFrame, most: int = LITERALS) -> list[Row]:
+    """The rows that a filter names, which may not be more than so many."""
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"a vocabulary of more than {most} rows")
+        raise ValueError(f"more than {most} types share the readings asked for")
     return rows
 
 
 def symmetric(types: DataFrame) -> list[int]:
     """Ids of the types that read alike both ways."""
-    return [r.type_id for r in vocabulary(types.where("forward = backward").select("type_id"))]
+    return [r.type_id for r in vocabulary(types.where("forward = backward").select("type_id").distinct())]
 
 
 def oriented(edges: DataFrame, types: DataFrame) -> DataFrame:
     """mine, other, type_id, dir, live, space_id: each edge from both ends; dir is 0 for a symmetric type, else 1 or -1."""
-    both = F.col("type_id").isin(symmetric(types))
+    alike = types.where("forward = backward").select("type_id").distinct()
+    rows = alike.limit(LITERALS + 1).collect()
+    if len(rows) > LITERALS:
+        edges, both = edges.join(alike.withColumn("_alike", F.lit(True)), "type_id", "left"), F.coalesce("_alike", F.lit(False))
+    else:
+        both = F.col("type_id").isin([r.type_id for r in rows])
     rest = ["type_id", "live", "space_id"]
     there = edges.select(F.col("name1").alias("mine"), F.col("name2").alias("other"), F.when(both, 0).otherwise(1).alias("dir"), *rest)
     back = edges.select(F.col("name2").alias("mine"), F.col("name1").alias("other"), F.when(both, 0).otherwise(-1).alias("dir"), *rest)

@@ -130,3 +130,31 @@ def taxa_named(names: DataFrame, pattern: str) -> DataFrame:
     fits = names.select(F.coalesce("merged_id", "tax_id").alias("tax_id"), name_matches(F.col("name"), pattern).alias("by_name"), name_matches(F.col("alias"), pattern).alias("by_alias"))
     any_name = F.broadcast(fits.agg(F.bool_or("by_name").alias("named")))  # one row
     return fits.join(any_name).where(F.when(F.coalesce("named", F.lit(False)), F.col("by_name")).otherwise(F.col("by_alias"))).select("tax_id").distinct()
+
+
+#: A value of a dump's row: a quoted text (with doubled or escaped quotes) or what stands up to the next comma.
+_DUMPED = r"'[^'\\]*(?:(?:\\.|'')[^'\\]*)*'|[^,()']+"
+
+
+def sql_dump(spark: SparkSession, path: str, table: str, columns: str) -> DataFrame:
+    """The rows that the `INSERT INTO table VALUES (...),(...);` statements of a dump hold, with these columns (DDL).
+
+    Spark reads a dump in ranges of bytes that are cut at the ends of statements; commas, brackets and
+    semicolons within quoted texts are texts. NULL is null, and so is what its column's type can't hold.
+    """
+    names = [f.strip().split()[0] for f in columns.split(",")]
+    kinds = [f.strip().split()[1] for f in columns.split(",")]
+    statement = spark.read.text(path, lineSep=";\n").where(F.col("value").rlike(rf"(?is)^\s*INSERT INTO `?{table}`?\s*(?:\([^)]*\))?\s*VALUES"))
+    body = F.regexp_replace("value", r"(?is)^\s*INSERT INTO [^(]*?(?:\([^)]*\)\s*)?VALUES\s*", "")
+    tuples = statement.select(F.explode(F.regexp_extract_all(body, F.lit(rf"\(((?:{_DUMPED}|,)*)\)"), F.lit(1))).alias("row"))
+    fields = tuples.select(F.regexp_extract_all("row", F.lit(_DUMPED), F.lit(0)).alias("f"))
+
+    def value(k: int, kind: str):
+        raw = F.trim(F.get("f", F.lit(k)))
+        quoted = F.substring(raw, F.lit(2), F.length(raw) - 2)
+        plain = F.replace(F.replace(quoted, F.lit("''"), F.lit("'")), F.lit("\\\\"), F.lit("\x00"))  # escaped backslashes wait
+        plain = F.replace(F.regexp_replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), r"\\(.)", "$1"), F.lit("\x00"), F.lit("\\"))
+        text = F.when(raw.startswith("'"), plain).when(F.upper(raw) != "NULL", raw)
+        return text if kind == "string" else text.try_cast(kind)
+
+    return fields.select(*[value(k, kind).alias(name) for k, (name, kind) in enumerate(zip(names, kinds, strict=True))])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import xml_escaped
+from weftgraph.plans.shared import listed
 
 
 def sif(edges: DataFrame) -> DataFrame:
@@ -76,3 +78,53 @@ def network_lines(nodes: DataFrame, edges: DataFrame, parameters: dict[str, str]
     tab = F.lit("\t")
     lines = nodes.select(F.concat_ws("\t", F.lit("NODE"), "name", F.coalesce("value", F.lit(""))).alias("value"))
     return params.union(lines).union(edges.select(F.concat(F.lit("EDGE"), tab, "name1", tab, "reading", tab, "name2").alias("value")))
+
+
+def sql_dump_lines(rows: DataFrame, table: str, per_statement: int = 100) -> DataFrame:
+    """value: INSERT statements of so many rows each, without the `;` and line end that a text writer puts behind them."""
+    def told(c: str, kind: str):
+        plain = F.replace(F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n"))
+        quoted = F.concat(F.lit("'"), plain, F.lit("'"))
+        return F.coalesce(quoted if kind == "string" else F.col(c).cast("string"), F.lit("NULL"))
+
+    one = F.concat(F.lit("("), F.concat_ws(",", *[told(c, k) for c, k in rows.dtypes]), F.lit(")"))
+    grouped = rows.select(one.alias("v"), F.expr(f"CAST(monotonically_increasing_id() div {per_statement} AS LONG)").alias("g"))
+    return grouped.groupBy("g").agg(F.concat(F.lit(f"INSERT INTO `{table}` VALUES "), F.array_join(F.collect_list("v"), ",")).alias("value")).select("value")
+
+
+# --- tables that are appended to or replaced as a whole --------------------------------------------
+
+
+def write_table(rows: DataFrame, folder: str, mode: str = "append") -> int:
+    """Adds rows to a table (`append`) or puts them in its place (`drop`), and returns its new version.
+
+    The rows go to a folder of their own; only when all are written does the table's list of folders
+    name it. A write that fails leaves the table as it was, and readers keep the version they have.
+    Columns must be those the table has.
+    """
+    if mode not in ("append", "drop"):
+        raise ValueError(f"no mode named {mode}")
+    spark = rows.sparkSession
+    version, folders = table_folders(spark, folder)
+    if mode == "append" and folders:
+        have = spark.read.parquet(folders[-1])
+        if sorted(rows.dtypes) != sorted(have.dtypes):
+            raise ValueError(f"the table has columns {have.dtypes}, the rows {rows.dtypes}")
+    path = f"{folder}/rows/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    listing = [*(folders if mode == "append" else []), path]
+    spark.createDataFrame([(k, p.rsplit("/", 1)[1]) for k, p in enumerate(listing)], "n int, part string").coalesce(1).write.json(f"{folder}/versions/v={version + 1}")
+    return version + 1
+
+
+def table_folders(spark: SparkSession, folder: str, version: int | None = None) -> tuple[int, list[str]]:
+    """(version, folders) of a table's last version that was written whole, or of an older one; (0, []) of none."""
+    have = sorted(int(n[2:]) for n in listed(spark, f"{folder}/versions") if "_SUCCESS" in listed(spark, f"{folder}/versions/{n}"))
+    if not have:
+        return 0, []
+    v = have[-1] if version is None else version
+    return v, [f"{folder}/rows/{r.part}" for r in spark.read.schema("n int, part string").json(f"{folder}/versions/v={v}").orderBy("n").collect()]
+
+
+def read_table(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    return spark.read.parquet(*table_folders(spark, folder, version)[1])

@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from weftgraph.operators.traverse import closure
 from weftgraph.plans.shared import checkpointed, listed, located, shared_folder
-from weftgraph.streaming.ingest import advanced
+from weftgraph.streaming.ingest import advanced, stale
 
 
 @dataclass(frozen=True)
@@ -67,6 +67,9 @@ KINDS = {
     ),
 }
 
+#: A cache of conversions: what a term of one space is in another, null for nothing, and when that was found.
+CONVERSIONS = Kind("term_in string, ns_in string, ns_out string, term_out string, score double, updated timestamp", ("term_in",), ())
+
 
 # --- versions ----------------------------------------------------------------------------------
 
@@ -250,7 +253,7 @@ def ingest(spark: SparkSession, source: str, store: str, kind: Kind, checkpoint:
 
 def fresh(spark: SparkSession, parts: int = 16) -> str:
     """An empty store in a new folder that driver and executors share."""
-    store = f"{sharedlocated(spark)}/store-{uuid.uuid4().hex}"
+    store = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     create(spark, store, parts)
     return store
 
@@ -271,3 +274,32 @@ def preview(spark: SparkSession, store: str, kind: Kind, operations: DataFrame)
         out.append(some.join(found, on, "left").select(*ops.columns, F.coalesce("n_rows", F.lit(0)).alias("n_rows")))
     effect = F.when(F.col("why").isNotNull(), "refused").when(F.col("op") == "set", F.when(F.col("n_rows") > 0, "held").otherwise("new")).when(F.col("n_rows") > 0, "removes").otherwise("nothing")
     return reduce(DataFrame.unionByName, out).withColumn("effect", effect)
+
+
+# --- caches ------------------------------------------------------------------------------------
+
+
+def churned(spark: SparkSession, store: str, convert: Callable[[DataFrame, str, str], DataFrame], now: str, days: int, redo_null: int | None = None) -> tuple[int, int]:
+    """(version, stale keys) of a store of CONVERSIONS after what is stale in it was computed anew.
+
+    Stale is a key (term_in, ns_in, ns_out) with a row older than so many days, or, if unscored, than
+    redo_null. convert takes terms (term) and the two spaces, and returns input, output and score; a
+    term for which it finds nothing gets a row without output. Only partitions with stale keys are
+    rewritten.
+    """
+    kind, key = CONVERSIONS, ["term_in", "ns_in", "ns_out"]
+    cached = read(spark, store, kind)
+    old = checkpointed(stale(cached, now, days, redo_null).select(*key).distinct())
+    n = old.count()
+    v, held = manifest(spark, store)
+    if not n:
+        return v, 0
+    new = None
+    for ns_in, ns_out in old.select("ns_in", "ns_out").distinct().collect():  # pairs of a vocabulary of spaces
+        asked = old.where((F.col("ns_in") == ns_in) & (F.col("ns_out") == ns_out)).select(F.col("term_in").alias("term"))
+        found = convert(asked, ns_in, ns_out).select(F.col("input").alias("term"), "output", "score")
+        rows = asked.join(found, "term", "left").select(F.col("term").alias("term_in"), F.lit(ns_in).alias("ns_in"), F.lit(ns_out).alias("ns_out"), F.col("output").cast("string").alias("term_out"), F.col("score").cast("double").alias("score"), F.lit(now).cast("timestamp").alias("updated"))
+        new = rows if new is None else new.unionByName(rows)
+    touched = sorted(r.part for r in old.select(part_of(kind, len(held)).alias("part")).distinct().collect())
+    kept = read(spark, store, kind, v, touched).join(old, key, "left_anti")
+    return replace(spark, store, kind, touched, checkpointed(kept.select(*kind.names).unionByName(new))), n
