@@ -104,6 +104,11 @@ def id_list(spark: SparkSession, text: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.split(F.lit(text), r"[\s,;]+")).alias("id")).where("id != ''").distinct()
 
 
+def id_file(spark: SparkSession, path: str) -> DataFrame:
+    """id: identifiers in text files, split like those of id_list."""
+    return spark.read.text(path).select(F.explode(F.split("value", r"[\s,;]+")).alias("id")).where("id != ''").distinct()
+
+
 def resolved_names(df: DataFrame, aliases: DataFrame, key: str = "name") -> DataFrame:
     """tax_id for each name: by name, else by alias; merged ids give the one they were merged into."""
     own = df.join(aliases.where("kind = 'name'").select(F.upper("alias").alias("_k"), F.col("tax_id").alias("_own")), F.upper(key) == F.col("_k"), "left").drop("_k")

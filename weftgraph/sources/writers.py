@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import xml_escaped
-from weftgraph.plans.shared import listed
+from weftgraph.plans.shared import listed, located
 
 
 def sif(edges: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("error").text(path)
 
 
-def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:
+def write_tab(df: DataFrame, path: str, sep: str = "\t") -> None:
     df.write.mode("error").csv(path, sep=sep, header=True, emptyValue="")
 
 
@@ -128,3 +128,13 @@ def table_folders(spark: SparkSession, folder: str, version: int | None = None)
 
 def read_table(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     return spark.read.parquet(*table_folders(spark, folder, version)[1])
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A file of a given name with a few lines."""
+    at, fs = located(spark, path)
+    out = fs.create(at)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
