@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.stretches import previous, ranged, running
+from weftgraph.plans.shared import checkpointed
 
 
 def _levels(df: DataFrame, low: Column, high: Column, width: int) -> tuple[DataFrame, list[int]]:
@@ -225,3 +226,52 @@ def _over_borders(runs: DataFrame) -> DataFrame:
     inner = runs.where(~at_low & ~at_high)
     outer = merged(runs.where(at_low | at_high).withColumn("_k", F.lit(0)), ["_k"], "low", "high").select("low", "high")  # two rows a block at most
     return inner.select("low", "high").unionByName(outer)
+
+
+def scaffolded(maps: DataFrame, queries: DataFrame, rounds: int = 2, bridges: DataFrame | None = None, width: int = 256) -> DataFrame:
+    """query, start, end, seq, far_start, far_end, strand, score, via, round: what lies beyond a sequence's own mappings, over up to `rounds` bridges.
+
+    maps: map_id, seq1, start1, end1, seq2, start2, end2, strand, score, read from either side; queries:
+    seq. In each round the far side of what was found is the near side of the next mappings that
+    overlap it: the shared stretch is carried back to the query and on to the far side, by step ratio
+    and strand. A way comes to no sequence and takes no mapping twice. The score of a bridge is that of
+    the shorter of the two on the shared sequence (of equals the lower), times the shared part of it,
+    to two places; unscored mappings leave it unscored. With bridges (seq) only such sequences are
+    gone on from.
+    """
+    sides = [maps.select("map_id", *[F.col(f"{c}{k}").alias(f"{side}_{c}") for side, k in zip(("near", "far"), order, strict=True) for c in ("seq", "start", "end")], "strand", "score") for order in ((1, 2), (2, 1))]
+    both = checkpointed(sides[0].unionByName(sides[1]))
+    b = both.select(F.col("near_seq").alias("seq"), F.col("map_id").alias("b_id"), F.col("near_start").alias("b_start"), F.col("near_end").alias("b_end"), *[F.col(c).alias(f"b_{c}") for c in ("far_seq", "far_start", "far_end", "strand", "score")])
+    first = both.join(queries.select(F.col("seq").alias("near_seq")).distinct(), "near_seq", "left_semi").where("near_seq != far_seq")
+    real = lambda c: F.col(c).cast("double")
+    state = first.select(
+        F.col("near_seq").alias("query"), real("near_start").alias("start"), real("near_end").alias("end"), F.col("far_seq").alias("seq"), real("far_start").alias("far_start"), real("far_end").alias("far_end"), "strand", real("score").alias("score"),
+        F.array("map_id").alias("via"), F.array("near_seq", "far_seq").alias("seen"), F.lit(0).alias("round"),
+    )
+    out = None
+
+    def carried_to(pos: Column, near: tuple[str, str], far: tuple[str, str], strand: str) -> Column:
+        ratio = (F.col(far[1]) - F.col(far[0]) + 1) / (F.col(near[1]) - F.col(near[0]) + 1)
+        offset = (pos - F.col(near[0])) * ratio
+        return F.when(F.col(strand) < 0, F.col(far[1]) - offset).otherwise(F.col(far[0]) + offset)
+
+    for k in range(1, rounds + 1):
+        a = state if bridges is None else state.join(bridges.select("seq").distinct(), "seq", "left_semi")
+        a = a.withColumnsRenamed({"far_start": "a_start", "far_end": "a_end"}).withColumn("a_id", F.col("query"))
+        pairs = overlapping(a, b, width).where("NOT array_contains(via, b_id) AND NOT array_contains(seen, b_far_seq)")
+        pairs = pairs.withColumn("low", F.greatest("a_start", real("b_start"))).withColumn("high", F.least("a_end", real("b_end")))
+        here, there = F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start")
+        base = F.when(here < there, F.col("score")).when(here > there, F.col("b_score")).otherwise(F.least("score", "b_score"))
+        part = (F.col("high") - F.col("low") + 1) / (F.least(here, there) + 1)
+        both_scored = F.col("score").isNotNull() & F.col("b_score").isNotNull()
+        for name, near, far, strand in (("q", ("a_start", "a_end"), ("start", "end"), "strand"), ("f", ("b_start", "b_end"), ("b_far_start", "b_far_end"), "b_strand")):
+            x, y = (carried_to(F.col(p), near, far, strand) for p in ("low", "high"))
+            pairs = pairs.withColumn(f"{name}_low", F.least(x, y)).withColumn(f"{name}_high", F.greatest(x, y))
+        state = checkpointed(pairs.select(
+            "query", F.col("q_low").alias("start"), F.col("q_high").alias("end"), F.col("b_far_seq").alias("seq"), F.col("f_low").alias("far_start"), F.col("f_high").alias("far_end"), (F.col("strand") * F.col("b_strand")).alias("strand"),
+            F.when(both_scored, F.floor(0.5 + 100 * (base * part)) / 100).alias("score"), F.concat("via", F.array("b_id")).alias("via"), F.concat("seen", F.array("b_far_seq")).alias("seen"), F.lit(k).alias("round"),
+        ))
+        out = state if out is None else out.unionByName(state)
+        if state.isEmpty():
+            break
+    return (state.where("false") if out is None else out).drop("seen")

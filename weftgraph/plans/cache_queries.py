@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators import intervals as I
 from weftgraph.operators import lists as L
 from weftgraph.operators import resolve as R
 from weftgraph.operators import traverse as T
@@ -128,6 +129,36 @@ def g29_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.seeded(links, parts.where("(node_id div 10) % 7 = 0").select("node_id"), 3, parts.where("(node_id div 10) % 11 != 0").select("node_id"))
 
 
+# --- scaffolds -----------------------------------------------------------------------------------
+
+_MAPS = """m AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'S' || l_suppkey AS seq1, datediff('day', DATE '1992-01-01', l_shipdate::DATE) AS s1, datediff('day', DATE '1992-01-01', l_shipdate::DATE) + l_quantity::INT AS e1, 'P' || l_partkey AS seq2,
+  l_linenumber * 100 AS s2, l_linenumber * 100 + l_quantity::INT AS e2, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS strand, round(l_discount * 10, 6) AS score FROM lineitem),
+q AS (SELECT * FROM m WHERE substr(seq1, 2)::INT % 40 = 0),
+one AS (SELECT *, greatest(b, s2) AS lo, least(e, e2) AS hi FROM (SELECT q.id AS i1, q.seq1 AS query, q.s1 AS qs, q.e1 AS qe, q.seq2 AS on_, q.s2 AS b, q.e2 AS e, q.strand AS t1, q.score AS sc1, m.* FROM q JOIN m ON m.seq2 = q.seq2 AND m.s2 <= q.e2 AND m.e2 >= q.s2 AND m.id <> q.id AND m.seq1 <> q.seq1)),
+r1 AS (SELECT query, seq1 AS seq, CASE WHEN t1 < 0 THEN qe - (hi - b) ELSE qs + (lo - b) END AS st, CASE WHEN t1 < 0 THEN qe - (lo - b) ELSE qs + (hi - b) END AS en, CASE WHEN strand < 0 THEN e1 - (hi - s2) ELSE s1 + (lo - s2) END AS fs, CASE WHEN strand < 0 THEN e1 - (lo - s2) ELSE s1 + (hi - s2) END AS fe, t1 * strand AS strand,
+  floor(0.5 + 100 * (CASE WHEN e - b < e2 - s2 THEN sc1 WHEN e - b > e2 - s2 THEN score ELSE least(sc1, score) END * ((hi - lo + 1)::DOUBLE / (least(e - b, e2 - s2) + 1)))) / 100 AS score, [i1, id] AS via, [query, on_, seq1] AS seen FROM one)"""
+
+
+@query(f"""WITH {_MAPS}, two AS (SELECT r1.query, r1.st, r1.en, r1.fs, r1.fe, r1.strand AS t1, r1.score AS sc1, m.*, greatest(r1.fs, m.s1) AS lo, least(r1.fe, m.e1) AS hi FROM r1 JOIN m ON m.seq1 = r1.seq AND m.s1 <= r1.fe AND m.e1 >= r1.fs AND NOT list_contains(via, m.id) AND NOT list_contains(seen, m.seq2)),
+r2 AS (SELECT query, seq2 AS seq, CASE WHEN t1 < 0 THEN en - (hi - fs) ELSE st + (lo - fs) END AS st, CASE WHEN strand < 0 THEN e2 - (hi - s1) ELSE s2 + (lo - s1) END AS fs, hi - lo AS len, t1 * strand AS strand,
+  floor(0.5 + 100 * (CASE WHEN fe - fs < e1 - s1 THEN sc1 WHEN fe - fs > e1 - s1 THEN score ELSE least(sc1, score) END * ((hi - lo + 1)::DOUBLE / (least(fe - fs, e1 - s1) + 1)))) / 100 AS score FROM two)
+SELECT 1 AS round, query, seq, count(*) AS n, sum(st)::DOUBLE AS starts, sum(fs)::DOUBLE AS far_starts, sum(en - st)::DOUBLE AS lengths, count_if(strand < 0) AS back, round(max(score), 2) AS best FROM r1 GROUP BY 2, 3
+UNION ALL SELECT 2, query, seq, count(*), sum(st)::DOUBLE, sum(fs)::DOUBLE, sum(len)::DOUBLE, count_if(strand < 0), round(max(score), 2) FROM r2 GROUP BY 2, 3""")
+def g33_two_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every fortieth supplier over shared parts to other suppliers, and on over those to other parts; positions and strands carried over both bridges."""
+    lines = table(spark, sf_dir, "lineitem")
+    day, length = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")), F.col("l_quantity").cast("int")
+    at = F.col("l_linenumber") * 100
+    maps = lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("map_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("seq1"), day.alias("start1"), (day + length).alias("end1"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("seq2"), at.alias("start2"), (at + length).alias("end2"),
+        F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("strand"), F.round(F.col("l_discount") * 10, 6).alias("score"),
+    )
+    queries = table(spark, sf_dir, "supplier").where("s_suppkey % 40 = 0").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("seq"))
+    found = I.scaffolded(maps, queries)
+    sums = [F.sum(c).alias(n) for c, n in (("start", "starts"), ("far_start", "far_starts"))]
+    return found.groupBy("round", "query", "seq").agg(F.count("*").alias("n"), *sums, F.sum(F.col("end") - F.col("start")).alias("lengths"), F.count_if(F.col("strand") < 0).alias("back"), F.round(F.max("score"), 2).alias("best"))
+
+
 # --- dumps, tables, activities -------------------------------------------------------------------
 
 
