@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from oracle import compare
 
-from weftgraph.plans import cache_queries, format_queries, graph_queries, list_queries, registry, service_queries, store_queries, walk_queries  # noqa: F401  they register their queries
+from weftgraph.plans import cache_queries, format_queries, graph_queries, list_queries, registry, report_queries, service_queries, store_queries, walk_queries  # noqa: F401  they register their queries
 
 SF = "/root/testdata/sf0.001"
 

@@ -275,3 +275,22 @@ def scaffolded(maps: DataFrame, queries: DataFrame, rounds: int = 2, bridges: Da
         if state.isEmpty():
             break
     return (state.where("false") if out is None else out).drop("seen")
+
+
+def on_build(maps: DataFrame, build: str, least: float = 0.0, how_bad: float | None = None, keep_null: bool = True) -> DataFrame:
+    """The places of terms (term, seq, build, start, end, strand, score) on one build: of at least this score, and no more than `how_bad` under the term's best there.
+
+    An unscored place counts as the worst: it is kept without a limit on badness, or where a term has no scored one.
+    """
+    here = maps.where(F.col("build") == build)
+    here = here.where(F.col("score") >= least) if not keep_null else here.where(F.col("score").isNull() | (F.col("score") >= least))
+    if how_bad is None:
+        return here
+    best = here.groupBy("term").agg(F.max("score").alias("_best"))
+    near = F.col("_best").isNull() | (F.round(F.col("_best") - F.col("score"), 9) <= how_bad)
+    return here.join(best, "term").where(F.coalesce(near, F.lit(False))).drop("_best")
+
+
+def features(maps: DataFrame, source: str, kind: str) -> DataFrame:
+    """value: tab lines of features as annotation servers take them (seq, source, kind, start, end, score, strand, phase, group)."""
+    return maps.select(F.concat_ws("\t", "seq", F.lit(source), F.lit(kind), F.least("start", "end").cast("string"), F.greatest("start", "end").cast("string"), F.when(F.col("score").isNull(), ".").otherwise(F.format_string("%.2f", F.col("score").cast("double"))), F.when(F.col("strand") < 0, "-").otherwise("+"), F.lit("."), F.concat(F.lit('term "'), F.col("term").cast("string"), F.lit('"'))).alias("value"))

@@ -280,3 +280,20 @@ def activities(measured: DataFrame, units: DataFrame, endpoints: DataFrame) -> D
     )
     out = rows.withColumn("why", why).withColumn("standard", F.when(F.col("why").isNull(), number * F.col("_factor"))).withColumn("base", F.when(F.col("why").isNull(), F.col("_base")))
     return out.select(*measured.columns, "standard", "base", "why")
+
+
+def pivot_report(rows: DataFrame, target: str, item: str, kind: str, value: str, kinds: Sequence[str]) -> DataFrame:
+    """target, a column for each kind with its best value, n rows, and mean_of_best: the mean over items of their best."""
+    best = rows.groupBy(target).pivot(kind, list(kinds)).agg(F.max(value))
+    counts = rows.where(F.col(kind).isin(*kinds)).groupBy(target).agg(F.count("*").alias("n"))
+    means = rows.groupBy(target, item).agg(F.max(value).alias("_b")).groupBy(target).agg(F.round(F.avg("_b"), 6).alias("mean_of_best"))
+    return best.join(counts, target).join(means, target)
+
+
+def custom_sets(rows: DataFrame, sets: DataFrame, key: str, names: dict[str, bool]) -> DataFrame:
+    """rows with a column for each named set (set_name, term, note): whether it holds them; where the name says so, also `name_note` with the first note in order."""
+    for name, noted in names.items():
+        mine = sets.where(F.col("set_name") == name).groupBy(F.col("term").alias(key)).agg(F.min("note").alias("_note"), F.lit(True).alias("_in"))
+        rows = rows.join(mine, key, "left").withColumn(name, F.coalesce("_in", F.lit(False)))
+        rows = (rows.withColumn(f"{name}_note", F.col("_note")) if noted else rows).drop("_in", "_note")
+    return rows

@@ -52,3 +52,25 @@ def looked_up(tokens: DataFrame, nodes: DataFrame, spaces: DataFrame, create: bo
     given = want.join(new.select("space_id", "_same", "node_id"), ["space_id", "_same"]).select("token", "node_id", F.lit(True).alias("made"))
     none = missing.join(given.select("token"), "token", "left_anti").select("token", F.lit(None).cast("long").alias("node_id"), F.lit(False).alias("made"))
     return found.withColumn("made", F.lit(False)).unionByName(given).unionByName(none), new.select("node_id", "name", "space_id")
+
+
+def normalised(accessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges: name1, reading, name2; labels: name, class_name) that the form of accessions (accession) tells.
+
+    GI numbers, however written (`1234`, `gi1234`, `gi|1234`, `g:1234`), are `gi1234` and `GI:1234`, aliases
+    of each other, of class GI. A versioned accession is a version of the one without, and of the one
+    before; names with the prefixes of reference sequences are of their classes. Others tell nothing.
+    """
+    a = F.trim("accession")
+    gi = F.regexp_extract(a, r"(?i)^(?:gi?[|:]?)?0*([1-9][0-9]*)$", 1)
+    base, version = F.regexp_extract(a, r"^([A-Z]{1,2}_?[A-Z]*[0-9]+)\.[0-9]+$", 1), F.regexp_extract(a, r"^[A-Z]{1,2}_?[A-Z]*[0-9]+\.([0-9]+)$", 1).try_cast("int")
+    rows = accessions.select(a.alias("accession"), gi.alias("gi"), base.alias("base"), version.alias("version")).distinct()
+    short, long = F.concat(F.lit("gi"), "gi"), F.concat(F.lit("GI:"), "gi")
+    alias, edge = F.lit("is a reliable alias for"), lambda x, r, y: F.struct(x.alias("name1"), r.alias("reading"), y.alias("name2"))
+    versioned = rows.where("base != ''")
+    edges = rows.where("gi != ''").select(F.explode(F.array(edge(short, alias, long), edge(long, alias, short))).alias("e")).select("e.*")
+    edges = edges.union(versioned.select("accession", F.lit("is a version of"), "base")).union(versioned.where("version > 1").select("accession", F.lit("is the version after"), F.concat("base", F.lit("."), F.col("version") - 1)))
+    named = rows.where("gi != ''").select(F.explode(F.array(short, long)).alias("name"), F.lit("GI").alias("class_name"))
+    kind = F.when(F.col("base").rlike("^[NX]M_"), "RNA").when(F.col("base").rlike("^[NX]P_"), "PROTEIN").when(F.col("base").rlike("^N[CGTW]_"), "GENOMIC")
+    named = named.union(versioned.select(F.explode(F.array("accession", "base")).alias("name"), kind.alias("class_name")).where("class_name IS NOT NULL"))
+    return edges.distinct(), named.distinct()

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -80,6 +80,46 @@ def enrichment(terms: DataFrame, picked: DataFrame, least: float = 1e-180, most_
     return rows.join(tests).select("term", "size", "hits", "expected", F.when(under, -F.col("log_p")).otherwise(F.col("log_p")).alias("log_p"), corrected.alias("log_p_all"))
 
 
+def enrichment_of_lists(terms: DataFrame, lists: DataFrame, least: float = 1e-180, most_share: float = 1.0, whole: float = 0.5) -> DataFrame:
+    """list, term, mode, size, hits, log_p, log_p_terms, log_p_lists, es: terms (term, id) against every list (list, id, rank) at once.
+
+    A list with less than `whole` of the world is `picked`: its terms get tails as in enrichment(),
+    corrected for the terms tested in it and then for the number of such lists. A list with more is
+    `ranked`: picking says nothing there, so its terms get the running sum over its ranks. Each list and
+    term is a row of one aggregation; nothing loops over lists.
+    """
+    member = terms.select("term", "id").distinct()
+    known = member.select("id").distinct()
+    world = known.agg(F.count("*").alias("world"))
+    drawn = checkpointed(lists.groupBy("list", "id").agg(F.min("rank").alias("rank")).join(known, "id", "left_semi"))
+    sizes = drawn.groupBy("list").agg(F.count("*").alias("n")).join(F.broadcast(world)).withColumn("mode", F.when(F.col("n") >= whole * F.col("world"), "ranked").otherwise("picked"))
+    sizes = checkpointed(sizes)
+    picked = sizes.where("mode = 'picked'")
+    hits = drawn.join(picked, "list").join(member, "id").groupBy("list", "term").agg(F.count("*").alias("hits"))
+    of_terms = member.groupBy("term").agg(F.count("*").alias("size")).join(F.broadcast(world)).where(F.col("size") <= most_share * F.col("world")).drop("world")
+    tested = of_terms.agg(F.log10(F.greatest(F.count("*"), F.lit(1))).alias("_terms"))
+    n_lists = picked.agg(F.log10(F.greatest(F.count("*"), F.lit(1))).alias("_lists"))
+    rows = hits.join(of_terms, "term").join(picked, "list")
+    under = F.col("hits") < F.col("n") * F.col("size") / F.col("world")
+    rows = rows.withColumn("log_p", log10_tail("hits", "n", "size", "world", under)).where(F.col("log_p") >= math.log10(least)).join(F.broadcast(tested)).join(F.broadcast(n_lists))
+    by_terms = F.least(F.lit(0.0), F.col("log_p") + F.col("_terms"))
+    nothing = F.lit(None).cast("double")
+    out = rows.select("list", "term", "mode", "size", "hits", F.when(under, -F.col("log_p")).otherwise(F.col("log_p")).alias("log_p"), by_terms.alias("log_p_terms"), F.least(F.lit(0.0), by_terms + F.col("_lists")).alias("log_p_lists"), nothing.alias("es"))
+    ranked = numbered(drawn.join(sizes.where("mode = 'ranked'").select("list"), "list", "left_semi"), ["list"], [F.col("rank").asc(), F.col("id").asc()], "_place", ties=False)
+    steps = checkpointed(numbered(ranked.join(member, "id").select("list", "term", F.col("_place").alias("rank")), ["list", "term"], [F.col("rank").asc()], "i", ties=False))
+    steps = steps.join(steps.groupBy("list", "term").agg(F.count("*").alias("hits")), ["list", "term"]).join(sizes.select("list", "n"), "list")
+    high, low = _deviations(F.col("i"), F.col("hits"), F.col("rank"), F.col("n"))
+    sums = steps.groupBy("list", "term").agg(F.max(high).alias("high"), F.min(low).alias("low"), F.max("hits").alias("hits")).join(of_terms, "term")
+    es = F.round(F.when(F.col("high") >= -F.col("low"), F.col("high")).otherwise(F.col("low")), 9)
+    return out.unionByName(sums.select("list", "term", F.lit("ranked").alias("mode"), "size", "hits", *[nothing.alias(c) for c in ("log_p", "log_p_terms", "log_p_lists")], es.alias("es")))
+
+
+def _deviations(i: Column, size: Column, rank: Column, total: Column) -> tuple[Column, Column]:
+    """The running sum after and before a term's i-th member, at this rank."""
+    others = F.greatest(total - size, F.lit(1))
+    return i / size - (rank - i) / others, (i - 1) / size - (rank - i) / others
+
+
 def word_hits(texts: DataFrame, least_length: int = 2) -> DataFrame:
     """id, source, word, score: the words of (id, source, text); a word's score is its share of the text's words."""
     rows = texts.select("id", "source", words(F.col("text")).alias("ws"))
@@ -146,8 +186,6 @@ def running_enrichment(ranked: DataFrame, members: DataFrame) -> DataFrame:
     total = F.broadcast(ranked.agg(F.count("*").alias("total")))
     hits = checkpointed(numbered(members.join(ranked, "id").select("term", "rank"), ["term"], [F.col("rank").asc()], "i", ties=False))
     steps = met_by_count(hits, hits.groupBy("term").agg(F.count("*").alias("size")), ["term"], "size", hits.count()).join(total)
-    others = F.greatest(F.col("total") - F.col("size"), F.lit(1))
-    high = F.col("i") / F.col("size") - (F.col("rank") - F.col("i")) / others
-    low = (F.col("i") - 1) / F.col("size") - (F.col("rank") - F.col("i")) / others
+    high, low = _deviations(F.col("i"), F.col("size"), F.col("rank"), F.col("total"))
     sides = steps.groupBy("term").agg(F.max(high).alias("high"), F.min(low).alias("low"), F.max("size").alias("size"))
     return sides.select("term", "size", F.round(F.when(F.col("high") >= -F.col("low"), F.col("high")).otherwise(F.col("low")), 9).alias("es"))
