@@ -1,8 +1,9 @@
 """From raw documents to a training mix: quality rules, near copies, repeated passages, test items, source weights.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the
-folder that the executors share and reads it again, so that a lost executor costs one stage at most.
-All stages but the last return the columns of documents.
+folder that the executors share and reads it again, so that a lost executor costs one stage at most;
+what a stage leaves there besides, and the stage before it, are removed once it is written. All
+stages but the last return the columns of documents.
 
 Null, empty and blank texts go in the first stage, with all others of fewer than 50 words; a null
 doc_id or source stays as it is (a null source is one of its own, the last). Rows that repeat a
@@ -21,7 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import decontaminate, jaccard_join, mixing, quality_ledger, substring_dedup
-from weftgraph.llm.common import shared_folder, table
+from weftgraph.llm.common import table
+from weftgraph.plans.shared import located, shared_folder, temporary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +65,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:  # nothing reads the stage before the last any more
+            at, fs = located(spark, before)
+            fs.delete(at, True)
+        before = path
     return docs
