@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 from types import SimpleNamespace
 
@@ -18,7 +19,7 @@ from weftgraph.operators import resolve as R
 from weftgraph.operators import traverse as T
 from weftgraph.operators.stretches import numbered
 from weftgraph.plans.graph import oriented, read_as, with_reading
-from weftgraph.plans.shared import met
+from weftgraph.plans.shared import met, temporary, written
 from weftgraph.sources import readers, writers
 from weftgraph.streaming import ingest as G
 
@@ -186,6 +187,20 @@ def test_hot_keys_are_met_where_their_rows_are(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_temporary_tables_go_at_the_end(spark):
+    outside = written(spark.range(3))
+    with temporary(spark):
+        inside = written(outside.where("id > 0"))
+        with temporary(spark):
+            inner = written(inside)
+        assert inside.count() == 2
+    paths = [df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] for df in (outside,)]
+    assert os.path.isdir(paths[0]) and outside.count() == 3
+    for gone in (inside, inner):
+        with pytest.raises(Exception, match="(?i)not exist|not found"):
+            gone.collect()
+
+
 def test_components_with_hubs(spark):
     """Two hubs, one the least and one the greatest of its cluster, beside a chain and random links."""
     rng = random.Random(1)
