@@ -7,6 +7,8 @@ from collections import Counter
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from weftgraph.plans.shared import listed, shared_folder
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -105,7 +107,11 @@ def test_run_against_plain_version(spark, tmp_path):
     assert {r.doc_id: r.text for r in stage.collect()} == clean
     assert stage.where(F.length("text") != F.col("n_chars")).isEmpty()
 
+    shared = shared_folder(spark)
+    before = set(listed(spark, shared))
     mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    (new,) = [n for n in set(listed(spark, shared)) - before if n.startswith(("pipeline-", "table-"))]
+    assert listed(spark, f"{shared}/{new}") == ["4-source_weights"]  # what the run needed on its way is gone
     assert all(clean[r.doc_id] == r.text and r.taken > 0 for r in mixed)
     for s in {r.source for r in mixed}:
         some = [r for r in mixed if r.source == s]
