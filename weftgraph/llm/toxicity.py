@@ -119,29 +119,30 @@ def _counted(rows: DataFrame, sieve: Sieve | None) -> DataFrame:
     """f, h, toxic, other: the labelled texts of either class that hold a word or beginning, of those that the sieve lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen: dict[tuple[str, int], list[int]] = {}
-        of: dict[str, list[tuple[str, int]]] = {}
+        seen: tuple[Counter[str], Counter[str]] = Counter(), Counter()  # by label
+        of: dict[str, list[str]] = {}
 
         def out() -> dict:
-            return {"f": [f for f, _ in seen], "h": signed(np.array([h for _, h in seen], np.uint64)), "toxic": [n[1] for n in seen.values()], "other": [n[0] for n in seen.values()]}
+            f = list(seen[0] | seen[1])
+            return {"f": f, "h": signed(np.fromiter(map(_hash, f), np.uint64, len(f))), "toxic": [seen[1][x] for x in f], "other": [seen[0][x] for x in f]}
 
         for b in batches:
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                hit: set[tuple[str, int]] = set()
-                for w in features(text):
-                    if (k := of.get(w)) is None:
-                        if len(of) > 300_000:
-                            of.clear()
-                        k = [(s, _hash(s)) for s in stems(w)]
-                        if sieve is not None:
-                            k = [x for x, held in zip(k, sieve.may_hold(np.array([h for _, h in k], np.uint64)).tolist(), strict=True) if held]
-                        of[w] = k
-                    hit.update(k)
-                for x in hit:
-                    seen.setdefault(x, [0, 0])[label] += 1
-            if len(seen) > 300_000:
+            found = [features(text).keys() for text in b.column(1).to_pylist()]
+            if len(of) > 300_000:
+                of.clear()
+            new = [w for w in set().union(*found) if w not in of]
+            parts = [stems(w) for w in new]
+            if sieve is not None:  # of all new words at once
+                flat = [s for p in parts for s in p]
+                held = iter(sieve.may_hold(np.fromiter(map(_hash, flat), np.uint64, len(flat))).tolist())
+                parts = [[s for s in p if next(held)] for p in parts]
+            of.update(zip(new, parts, strict=True))
+            for label, ws in zip(b.column(0).to_pylist(), found, strict=True):
+                seen[label].update({s for w in ws for s in of[w]})
+            if len(seen[0]) + len(seen[1]) > 300_000:
                 yield out()
-                seen.clear()
+                for x in seen:
+                    x.clear()
         yield out()
 
     got = map_arrow(rows.select("label", "text"), run, "f string, h long, toxic long, other long")
