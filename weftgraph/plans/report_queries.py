@@ -12,6 +12,7 @@ from weftgraph.operators import resolve as R
 from weftgraph.operators import traverse as T
 from weftgraph.plans.graph import table
 from weftgraph.plans.registry import query
+from weftgraph.plans.shared import heeding_case
 
 
 @query("""WITH w AS (SELECT count(*) AS world FROM part), l AS (SELECT 'Q' || q AS list, id, min(r) AS rank FROM (SELECT l_quantity::INT // 10 AS q, l_partkey AS id, l_orderkey AS r FROM lineitem WHERE l_returnflag = 'R' AND l_quantity::INT % 10 = 0 UNION ALL SELECT 9, p_partkey, p_retailprice * 100 FROM part WHERE p_size > 10) GROUP BY 1, 2),
@@ -85,7 +86,11 @@ def g26_nested_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_brand AS target, max(CASE WHEN f = 'A' THEN best END) AS "A", max(CASE WHEN f = 'N' THEN best END) AS "N", max(CASE WHEN f = 'R' THEN best END) AS "R", sum(n)::BIGINT AS n, round(max(mean), 6) AS mean_of_best FROM
 (SELECT p_brand, l_returnflag AS f, max(l_discount) AS best, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 25 GROUP BY 1, 2) JOIN (SELECT p_brand, avg(m) AS mean FROM (SELECT p_brand, p_partkey, max(l_discount) AS m FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 25 GROUP BY 1, 2) GROUP BY 1) USING (p_brand) GROUP BY 1""")
 def m12_pivot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compounds (parts) by target (brand): the best value of each kind of assay, how many there are, and the mean of the compounds' best."""
+    """Compounds (parts) by target (brand): the best value of each kind of assay, how many there are, and the mean of the compounds' best.
+
+    The column of kind `N` and the count `n` differ by case alone, so the report is made in a session that heeds case.
+    """
+    spark = heeding_case(spark)
     part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_quantity >= 25")
     rows = lines.join(part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_brand").alias("target"), "p_partkey", F.col("l_returnflag").alias("kind"), F.col("l_discount").alias("value"))
     return L.pivot_report(rows, "target", "p_partkey", "kind", "value", ["A", "N", "R"])

@@ -36,6 +36,16 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
 
 
+def heeding_case(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the same settings, in which names of columns that differ by case alone are two: for tables that have such columns, which no other session writes."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.caseSensitive", "true")
+    return own
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with files in the shared folder."""
     context = df.sparkSession.sparkContext
