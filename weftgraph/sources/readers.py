@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import name_matches
@@ -75,9 +75,9 @@ def xml_rows(spark: SparkSession, path: str, row: str, schema: str | None = None
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def newest_files(df: DataFrame, key: str, version: str) -> DataFrame:
-    """Rows from the file with the highest version per key; key and version are patterns over the file's name."""
-    name = F.col("_metadata.file_name")
+def newest_files(df: DataFrame, key: str, version: str, name: Column | None = None) -> DataFrame:
+    """Rows from the file with the highest version per key; key and version are patterns over the file's name, or another (that of a folder of files, which Spark reads as a column)."""
+    name = F.col("_metadata.file_name") if name is None else name
     df = df.select("*", F.regexp_extract(name, key, 1).alias("file_key"), F.regexp_extract(name, version, 1).try_cast("long").alias("file_version"))
     newest = df.groupBy("file_key").agg(F.max("file_version").alias("file_version"))
     return df.join(newest, ["file_key", "file_version"], "left_semi")
