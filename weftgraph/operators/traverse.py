@@ -121,17 +121,17 @@ def expand(
 
 def distances(links: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """node_id, distance: the fewest edges from any seed, for every node within reach, or within so many edges."""
-    level = checkpointed(seeds.select("node_id", F.lit(0).alias("distance")).distinct())
-    out, step = level, checkpointed(links.select("mine", "other").distinct())
+    level = written(seeds.select("node_id", F.lit(0).alias("distance")).distinct())
+    out, step = level, written(links.select("mine", "other"))
     for depth in itertools.count(1) if most is None else range(1, most + 1):
         nearer = level.select(F.col("node_id").alias("mine"))
         level = step.join(nearer, "mine", "left_semi").select(F.col("other").alias("node_id")).distinct().join(out, "node_id", "left_anti")
-        level = checkpointed(level.select("node_id", F.lit(depth).alias("distance")))
+        level = written(level.select("node_id", F.lit(depth).alias("distance")))
         if level.isEmpty():
             break
         out = out.unionByName(level)
         if depth % 16 == 0:
-            out = checkpointed(out)
+            out = written(out)
     return out
 
 
@@ -187,17 +187,18 @@ def find_paths(links: DataFrame, start: DataFrame, end: DataFrame, weight: Colum
 
     A step's weight (0.95 unless given, a Column over type_id and dir) multiplies into the score.
     """
-    away = distances(links, start, max_legs).select(F.col("node_id").alias("other"), F.col("distance").alias("there"))
+    away = written(distances(links, start, max_legs).select("node_id", F.col("distance").alias("there")))
     step = links.select("mine", "other", "type_id", "dir", (F.lit(0.95) if weight is None else weight).alias("weight")).groupBy("mine", "other").agg(F.max("weight").alias("weight"))
-    step = checkpointed(step.join(away, "other"))
-    walks = checkpointed(end.join(away.select(F.col("other").alias("node_id"), "there"), "node_id").select(F.col("node_id").alias("mine"), "there", F.array("node_id").alias("path"), F.lit(1.0).alias("score"), F.lit(0).alias("lost")))
+    step = step.join(away.withColumnRenamed("node_id", "other"), "other").join(away.select(F.col("node_id").alias("mine"), F.col("there").alias("here")), "mine")
+    loss = F.greatest(F.lit(0), F.col("there") - F.col("here") + 1)
+    step = written(step.where("here > 0").withColumn("loss", loss).where(F.col("loss") <= slack).drop("here"))  # no walk takes any other step, of which a hub has many
+    walks = written(end.join(away, "node_id").select(F.col("node_id").alias("mine"), "there", F.array("node_id").alias("path"), F.lit(1.0).alias("score"), F.lit(0).alias("lost")))
     out = [walks.where("there = 0")]
     for leg in range(max_legs):
         left = max_legs - leg - 1  # legs after this one
-        further = walks.where("there > 0").withColumnRenamed("there", "here").join(step.where(F.col("there") <= left), "mine")
-        further = further.withColumn("lost", F.col("lost") + F.greatest(F.lit(0), F.col("there") - F.col("here") + 1))
-        further = further.where((F.col("lost") <= slack) & ~F.array_contains("path", F.col("other")))
-        walks = checkpointed(further.select(F.col("other").alias("mine"), "there", F.concat("path", F.array("other")).alias("path"), (F.col("score") * F.col("weight")).alias("score"), "lost").where(F.col("score") >= least))
+        further = walks.where("there > 0").drop("there").join(step.where(F.col("there") <= left), "mine")
+        further = further.withColumn("lost", F.col("lost") + F.col("loss")).where((F.col("lost") <= slack) & ~F.array_contains("path", F.col("other")))
+        walks = written(further.select(F.col("other").alias("mine"), "there", F.concat("path", F.array("other")).alias("path"), (F.col("score") * F.col("weight")).alias("score"), "lost").where(F.col("score") >= least))
         if walks.isEmpty():
             break
         out.append(walks.where("there = 0"))
