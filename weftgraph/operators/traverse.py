@@ -44,11 +44,12 @@ def roots(links: DataFrame) -> DataFrame:
 def common_parents(above: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, ancestor, distance: the shared ancestors with the least summed depth, ties kept; above is a closure."""
     with_self = above.unionByName(above.select("node").union(above.select("ancestor")).distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
-    a = with_self.select(F.col("node").alias("a"), "ancestor", F.col("depth").alias("da"))
-    b = with_self.select(F.col("node").alias("b"), "ancestor", F.col("depth").alias("db"))
-    both = pairs.join(a, "a").join(b, ["b", "ancestor"]).select("a", "b", "ancestor", (F.col("da") + F.col("db")).alias("distance"))
-    best = Window.partitionBy("a", "b").orderBy("distance")
-    return both.withColumn("_r", F.rank().over(best)).where("_r = 1").drop("_r")
+    up = written(with_self.groupBy("node").agg(F.collect_list(F.struct("ancestor", "depth")).alias("up")))  # as many as a node has ancestors
+    both = pairs.join(up.select(F.col("node").alias("b"), F.col("up").alias("_b")), "b").join(up.select(F.col("node").alias("a"), F.col("up").alias("_a")), "a")
+    met = F.flatten(F.transform("_a", lambda x: F.transform(F.filter("_b", lambda y: y["ancestor"] == x["ancestor"]), lambda y: F.struct(x["ancestor"].alias("ancestor"), (x["depth"] + y["depth"]).alias("distance")))))
+    both = both.select("a", "b", met.alias("_met"))
+    least = F.array_min(F.transform("_met", lambda m: m["distance"]))
+    return both.select("a", "b", F.explode(F.filter("_met", lambda m: m["distance"] == least)).alias("_m")).select("a", "b", "_m.ancestor", "_m.distance")
 
 
 def signed_distance(above: DataFrame, pairs: DataFrame) -> DataFrame:
