@@ -22,17 +22,21 @@ def closure(links: DataFrame, most: int | None = None) -> DataFrame:
     """(node, ancestor, depth): the least depth of every ancestor, from links (child, parent); with most, of those up to this depth.
 
     Distances double with each round, so a chain of n links takes log2(n) rounds; cycles do no harm.
+    With all ancestors up to depth d at hand, those up to 2 d lie above one at just d: so only these
+    go on, and what they meet is new unless a shorter way leads there.
     """
     step = links.where("child IS NOT NULL AND parent IS NOT NULL AND child != parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    have, size = checkpointed(step), -1
-    while (now := have.agg(F.count("*"), F.sum("depth")).first()) != size:
-        size = now
+    have, reach = written(step), 1
+    while most is None or reach < most:
         upper = have.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
-        longer = have.join(upper, "ancestor").select("node", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        longer = have.where(F.col("depth") == reach).join(upper, "ancestor").select("node", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         longer = longer.where(F.col("node") != F.col("ancestor"))
         if most is not None:
             longer = longer.where(F.col("depth") <= most)
-        have = checkpointed(have.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        new = written(longer.join(have.select("node", "ancestor"), ["node", "ancestor"], "left_anti").groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        if new.isEmpty():
+            break
+        have, reach = have.unionByName(new), 2 * reach
     return have
 
 
