@@ -169,7 +169,7 @@ def l22_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("it's (a), "), F.coalesce("url", F.lit("")), F.lit("; \\ 'b'"))
     near = F.when(F.col("page_id") % 5 != 0, F.col("page_id") - 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(0).alias("namespace"), title.alias("title"), near.cast("long").alias("redirect"))
-    writers.sql_dump_lines(rows, "page").coalesce(2).write.option("lineSep", ";\n").text(folder)
+    writers.sql_dump_lines(rows, "page").write.option("lineSep", ";\n").text(folder)
     read = readers.sql_dump(spark, folder, "page", "page_id long, namespace int, title string, redirect long")
     known = read.select(F.col("page_id").alias("redirect"))
     ends = T.chased(read.join(known, "redirect", "left_semi").select(F.col("page_id").alias("source"), F.col("redirect").alias("target")))
