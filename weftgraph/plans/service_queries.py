@@ -161,7 +161,8 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, supplier, nation, part = (table(spark, sf_dir, n) for n in ("lineitem", "supplier", "nation", "part"))
 
     def rule(df: DataFrame, a: str, b: str, term_in: str, term_out: str, score: float) -> DataFrame:
-        return df.select(F.lit(a).alias("space_in"), F.lit(b).alias("space_out"), F.col(term_in).cast("string").alias("term_in"), F.col(term_out).cast("string").alias("term_out"), F.lit(score).alias("score")).distinct()
+        pairs = df.select(F.col(term_in).alias("term_in"), F.col(term_out).alias("term_out")).distinct()  # as they are: names of spaces and texts of keys would make rows four times as wide
+        return pairs.select(F.lit(a).alias("space_in"), F.lit(b).alias("space_out"), F.col("term_in").cast("string").alias("term_in"), F.col("term_out").cast("string").alias("term_out"), F.lit(score).alias("score"))
 
     some = rule(lines, "PART", "SUPPLIER", "l_partkey", "l_suppkey", 0.9), rule(supplier, "SUPPLIER", "NATION", "s_suppkey", "s_nationkey", 0.8), rule(nation, "NATION", "REGION", "n_nationkey", "n_regionkey", 0.5), rule(part, "PART", "BRAND", "p_partkey", "p_brand", 1.0)
     return some[0].union(some[1]).union(some[2]).union(some[3])
