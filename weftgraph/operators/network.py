@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.stretches import CHUNK, numbered, ranged, running
+from weftgraph.operators.stretches import numbered
 from weftgraph.operators.traverse import chased
-from weftgraph.plans.shared import checkpointed, met
+from weftgraph.plans.shared import written
 
 
 def without_edges(edges: DataFrame, gone: DataFrame, key: Sequence[str] = ("name1", "name2", "type_id")) -> tuple[DataFrame, DataFrame]:
@@ -36,10 +35,10 @@ def proxied(edges: DataFrame, by: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _entered(hop: DataFrame, ranked: bool) -> DataFrame:
-    """node, parent, worse (the score, negative): one way into each node, from the least parent, with ranks from the least of those with the best score."""
-    worse = (-F.col("score")).alias("worse")
-    way = F.min(F.struct(worse, "mine") if ranked else F.struct("mine", worse)).alias("_w")
-    return hop.groupBy("node").agg(way).select("node", F.col("_w.mine").alias("parent"), F.col("_w.worse").alias("worse"))
+    """node, parent, worse (the score, negative) and the parent's way, if it has one: one way into each node, from the least parent, with ranks from the least of those with the best score."""
+    kept = [c for c in hop.columns if c == "_way"]
+    way = F.min(F.struct(*(("worse", "mine") if ranked else ("mine", "worse")), *kept)).alias("_w")
+    return hop.withColumn("worse", -F.col("score")).groupBy("node").agg(way).select("node", F.col("_w.mine").alias("parent"), F.col("_w.worse").alias("worse"), *[F.col(f"_w.{c}").alias(c) for c in kept])
 
 
 def traversed(links: DataFrame, roots: DataFrame, actions: DataFrame | None = None, most_depth: int = 10, split_at: int | None = None, order: str = "level", score: Column | None = None) -> DataFrame:
@@ -54,71 +53,54 @@ def traversed(links: DataFrame, roots: DataFrame, actions: DataFrame | None = No
     sibling, which come by id; `ranked` always takes, of all nodes whose parent is taken, the one with
     the best score (of its link, a Column over type_id and dir; 1 unless given), then the least depth,
     then the least id.
+
+    Rounds are as many as levels, each one write of the level. But for order by level a node carries its
+    way from the root (with ranks what is worse than all after it), of at most most_depth steps, in
+    whose order all nodes are numbered by stretches; so no task holds a subtree or all siblings.
     """
     if order not in ("level", "immediate", "ranked"):
         raise ValueError(f"no order named {order}")
-    ranked = order == "ranked"
-    scored = links.withColumn("score", (F.lit(1.0) if score is None else score).cast("double"))
-    marks = roots.sparkSession.createDataFrame([], "node long, action string") if actions is None else actions.select(F.col("node_id").alias("node"), "action")
+    ranked, plain = order == "ranked", order == "level"
+    scored = links.select("mine", F.col("other").alias("node"), (F.lit(1.0) if score is None else score).cast("double").alias("score"))
+    marks = None if actions is None else actions.select(F.col("node_id").alias("node"), "action")
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("action", F.lit(None).cast("string")) if marks is None else rows.join(marks, "node", "left")
+
+    def more(level: DataFrame) -> tuple[bool, bool]:
+        """Whether the level has nodes, and whether it is the last."""
+        n, ends = level.agg(F.count("*"), F.count_if(F.col("action") == "abort")).first()
+        return n > 0, ends > 0
+
     top = roots.select(F.col("node_id").cast("long").alias("node")).distinct().select("node", F.lit(None).cast("long").alias("parent"), F.lit(-1.0).alias("worse"), F.lit(0).alias("depth"))
-    own = F.array(F.struct("worse", "depth", "node"))
-    level = checkpointed(top.join(marks, "node", "left").withColumn("way", own))
-    levels, found = [level], level
+    own = F.array(F.struct("worse", "depth", "node")) if ranked else F.array("node")
+    ways = [] if plain else ["way"]
+    level = written(marked(top if plain else top.withColumn("way", own)))
+    found, last = level, more(level)[1]
     for depth in range(1, most_depth + 1):
-        if not level.where("action = 'abort'").isEmpty():
+        if last:
             break
-        open_ = level.where("action IS NULL OR action = 'hide'").select(F.col("node").alias("mine"))
-        hop = scored.join(open_, "mine", "left_semi").groupBy("mine", F.col("other").alias("node")).agg(F.max("score").alias("score")).join(found.select("node"), "node", "left_anti")
+        open_ = level.where("action IS NULL OR action = 'hide'").select(F.col("node").alias("mine"), *[F.col(c).alias("_way") for c in ways])
+        hop = scored.join(open_, "mine").join(found.select("node"), "node", "left_anti")
         if split_at is not None:
             new = Window.partitionBy("mine")
+            hop = hop.groupBy("mine", "node").agg(F.max("score").alias("score"), *[F.first("_way").alias("_way") for _ in ways])
             hop = hop.withColumn("_n", F.count("*").over(new)).where(F.col("_n") < split_at).drop("_n")
-        entered = _entered(hop, ranked).withColumn("depth", F.lit(depth)).join(marks, "node", "left")
+        entered = _entered(hop, ranked).withColumn("depth", F.lit(depth))
         if ranked:  # of the way from the root only what is worse than all after it counts
-            above = level.select(F.col("node").alias("parent"), F.col("way").alias("_way"))
-            entered = met(checkpointed(entered), above, "parent").withColumn("way", F.concat(F.filter("_way", lambda w: w > F.struct("worse", "depth", "node")), own)).drop("_way")
-        else:
-            entered = entered.withColumn("way", own)
-        level = checkpointed(entered.select(*found.columns))
-        if level.isEmpty():
+            entered = entered.withColumn("way", F.concat(F.filter("_way", lambda w: w > F.struct("worse", "depth", "node")), own))
+        elif not plain:
+            entered = entered.withColumn("way", F.concat("_way", own))
+        level = written(marked(entered).select(*found.columns))
+        some, last = more(level)
+        if not some:
             break
-        levels.append(level)
         found = found.unionByName(level)
     shown = "action IS NULL OR action NOT IN ('skip', 'hide')"
-    if order == "immediate":
-        return _preorder(levels, F.expr(f"coalesce({shown}, true)")).select("place", "node", "parent", "depth")
-    by = [F.col("way").asc()] if ranked else [F.col("depth").asc(), F.col("parent").asc_nulls_first(), F.col("node").asc()]
+    by = [F.col("depth").asc(), F.col("parent").asc_nulls_first(), F.col("node").asc()] if plain else [F.col("way").asc()]
     return numbered(found.where(shown), [], by, "place", ties=False).select("place", "node", "parent", "depth")
 
 
-def _preorder(levels: list[DataFrame], shown: Column) -> DataFrame:
-    """The shown nodes with their place, all below a node before its next sibling (by id).
-
-    Sizes of subtrees go up level by level, sums over earlier siblings are made by stretches, places go
-    down level by level; so the number of rounds is the depth, and no task holds a subtree or all
-    siblings.
-    """
-    one, sized, below = shown.cast("long"), [], None
-    for level in reversed(levels):
-        rows = level.select("node", "parent", "depth", one.alias("own"))
-        if below is None:
-            rows = rows.withColumn("size", F.col("own"))
-        else:
-            sums = below.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("_below"))
-            rows = rows.join(sums, "node", "left").withColumn("size", F.col("own") + F.coalesce("_below", F.lit(0))).drop("_below")
-        below = checkpointed(rows)
-        sized.append(below)
-    order = [F.col("node")]
-    dealt = ranged(reduce(DataFrame.unionByName, sized), ["parent"], order)
-    offset = checkpointed(running(dealt, ["parent"], order, F.col("size"), "before", current=False).withColumn("before", F.coalesce("before", F.lit(0))).drop(CHUNK))
-    above = checkpointed(offset.where("depth = 0").withColumn("place", F.col("before") + 1))
-    out = [above]
-    for depth in range(1, len(levels)):
-        first = above.select(F.col("node").alias("parent"), (F.col("place") + F.col("own")).alias("_first"))
-        above = checkpointed(met(offset.where(F.col("depth") == depth), first, "parent").withColumn("place", F.col("_first") + F.col("before")).drop("_first"))
-        out.append(above)
-    return reduce(DataFrame.unionByName, out).where("own = 1")
-
-
 def listed_edges(links: DataFrame, placed: DataFrame, linear: bool = False) -> DataFrame:
     """place, mine, other, type_id, dir: the links among traversed() nodes, each once, from the end that is taken first; in the order of its place, type and the other's place.
 
