@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.stretches import previous, ranged, running
+from weftgraph.operators.stretches import previous, ranged, reached, running
 from weftgraph.plans.shared import checkpointed
 
 
@@ -92,6 +92,36 @@ def nearest(a: DataFrame, b: DataFrame, within: int, width: int = 256, flank: bo
     return pairs.withColumn("_r", F.rank().over(order)).where("_r = 1").drop("_r")
 
 
+def nearest_counts(a: DataFrame, b: DataFrame, within: int) -> DataFrame:
+    """seq, a_id, distance, n: how many b nearest() finds for each a, without a row for each pair.
+
+    The b that end before an a, or begin behind it, are running sums in an order of positions, with the
+    last of them as a running maximum; what is left of all b overlaps. So the work grows with the
+    intervals, however many overlap.
+    """
+    a, b = a.where("a_start <= a_end AND a_id IS NOT NULL").select("seq", "a_id", "a_start", "a_end"), b.where("b_start <= b_end")
+    sides = []
+    for left in (True, False):
+        end, start = ("b_end", "a_start") if left else ("b_start", "a_end")
+        sign = 1 if left else -1
+        spots = a.select("seq", (sign * F.col(start)).cast("long").alias("_pos"), F.lit(0).alias("_kind"), "a_id", F.lit(0).cast("long").alias("_n"))
+        ends = b.groupBy("seq", (sign * F.col(end)).cast("long").alias("_pos")).agg(F.count("*").alias("_n")).select("seq", "_pos", F.lit(1).alias("_kind"), F.lit(None).cast(a.schema["a_id"].dataType).alias("a_id"), "_n")
+        order = [F.col("_pos").asc(), F.col("_kind").asc()]  # an end at the very start is an overlap
+        dealt = ranged(spots.unionByName(ends).where("seq IS NOT NULL"), ["seq"], order)
+        dealt = reached(dealt, ["seq"], order, F.col("_n"), F.when(F.col("_kind") == 1, F.struct("_pos", "_n")), ("_out", "_near")).where("_kind = 0")
+        away = sign * (F.col("_near._pos") - F.col("_pos"))
+        sides.append(dealt.select("seq", "a_id", F.when(F.abs(away) <= within, away).alias("distance"), F.col("_near._n").alias("n"), F.col("_out"), F.lit(int(left)).alias("_row")))
+    held = b.groupBy("seq").agg(F.count("*").alias("_all"))
+    rows = sides[0].unionByName(sides[1]).join(held, "seq").withColumn("_over", F.col("_all") * F.col("_row") - F.col("_out"))
+    rows = rows.groupBy("seq", "a_id", "distance").agg(F.sum("n").alias("n"), F.sum("_over").alias("_over"))  # an a_id may have several rows
+    least = F.min(F.abs("distance"))
+    at = [F.min(F.when(side, F.struct(F.abs("distance").alias("d"), "distance", "n"))) for side in (F.col("distance") < 0, F.col("distance") > 0)]
+    best = rows.groupBy("seq", "a_id").agg(F.sum("_over").alias("_over"), least.alias("_least"), at[0].alias("_left"), at[1].alias("_right"))
+    over = F.array(F.struct(F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("distance"), F.col("_over").alias("n")))
+    found = F.when(F.col("_over") > 0, over).otherwise(F.filter(F.array("_left", "_right"), lambda x: x.d == F.col("_least")))
+    return best.select("seq", "a_id", F.explode(found).alias("x")).select("seq", "a_id", "x.distance", "x.n")
+
+
 def nearest_blocks(a: DataFrame, b: DataFrame, within: int, width: int = 256) -> DataFrame:
     """a_id, b_id, distance between mappings made of blocks (rows that share an a_id or b_id): that of their two closest blocks.
 

@@ -11,14 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.plans.shared import checkpointed
+from weftgraph.plans.shared import written
 
 CHUNK = "_stretch"
 
 
 def ranged(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """rows with the number of their stretch in the order of by and order; rows that tie are in one stretch."""
-    return checkpointed(rows.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(CHUNK, F.spark_partition_id()))
+    return written(rows.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(CHUNK, F.spark_partition_id()))
 
 
 def _with_before(rows: DataFrame, by: Sequence[str], value: Column, over: str) -> DataFrame:
@@ -54,6 +54,19 @@ def running(dealt: DataFrame, by: Sequence[str], order: Sequence[Column], value:
     return dealt.withColumn(name, both).drop("_before")
 
 
+def reached(dealt: DataFrame, by: Sequence[str], order: Sequence[Column], count: Column, last: Column, names: tuple[str, str]) -> DataFrame:
+    """ranged() rows with the sum of a count and the max of another value up to each row, in one pass."""
+    per = dealt.groupBy(*by, CHUNK).agg(F.sum(count).alias("_s"), F.max(last).alias("_m"))
+    earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(CHUNK).alias("_at"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_sums"), F.max("_m").over(earlier).alias("_lasts"))
+    same = F.col(CHUNK) == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    here = _inside(by, order).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumns({"_s": F.coalesce(F.sum(count).over(here), F.lit(0)), "_m": F.max(last).over(here)}).join(per, same)
+    return dealt.withColumns({names[0]: F.col("_sums") + F.col("_s"), names[1]: F.greatest("_lasts", "_m")}).drop("_at", "_s", "_m", "_sums", "_lasts", *[f"_by_{c}" for c in by])
+
+
 def previous(dealt: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
     """ranged() rows with a value of the row before."""
     w = _inside(by, order)

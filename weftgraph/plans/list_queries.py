@@ -57,7 +57,7 @@ _GAP = "CASE WHEN b.end1 < a.start1 THEN b.end1 - a.start1 WHEN b.start1 > a.end
 
 @query(f"SELECT a_id, distance, count(*) AS n FROM (SELECT a.map_id AS a_id, {_GAP} AS distance {_PAIRS} WHERE abs({_GAP}) <= 20 QUALIFY rank() OVER (PARTITION BY a.seq1, a.map_id ORDER BY abs({_GAP})) = 1) GROUP BY 1, 2", True)
 def j12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.nearest(*_two(spark, sf_dir), within=20).groupBy("a_id", "distance").agg(F.count("*").alias("n"))
+    return I.nearest_counts(*_two(spark, sf_dir), within=20).groupBy("a_id", F.col("distance").cast("int").alias("distance")).agg(F.sum("n").alias("n"))
 
 
 @query(f"SELECT a_id, distance, count(*) AS n FROM (SELECT a.map_id AS a_id, {_GAP} AS distance {_PAIRS} WHERE abs({_GAP}) <= 20 QUALIFY rank() OVER (PARTITION BY a.seq1, a.map_id, sign({_GAP}) ORDER BY abs({_GAP})) = 1) GROUP BY 1, 2", True)
