@@ -19,6 +19,7 @@ columns other than the key and text are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -54,8 +55,11 @@ class Shape:
         return self.own + self.shared
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), _END] if text else [_END]
+def tokens(text: str | bytes | None) -> list[bytes]:
+    """Of a text, or of its UTF-8."""
+    words = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).lower().split() if text else []
+    words.append(_END)
+    return words
 
 
 def held_out(key: Column, parts: int = 10) -> Column:
@@ -91,25 +95,20 @@ class Lexicon(dict):
 def word_counts(texts: DataFrame) -> DataFrame:
     """h, tail, n: the hash of each word and of its last letters, and how often it occurs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        lexicon, seen = Lexicon(), np.zeros(0, np.int64)
-
-        def out() -> dict:
-            return {"h": lexicon.hashes, "tail": lexicon.tails, "n": seen}
+    def out(seen: Counter[bytes]) -> dict:
+        lexicon = Lexicon()
+        lexicon.numbers(list(seen))
+        return {"h": lexicon.hashes, "tail": lexicon.tails, "n": list(seen.values())}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen: Counter[bytes] = Counter()
         for b in batches:
-            for text in b.column(0):
-                numbers = lexicon.numbers(tokens(text.as_py()))
-                if len(lexicon) > len(seen):
-                    seen = np.concatenate([seen, np.zeros(max(1024, 2 * len(lexicon) - len(seen)), np.int64)])
-                np.add.at(seen, numbers, 1)
-                if lexicon.full():
-                    seen = seen[: len(lexicon)]
-                    yield out()
-                    lexicon.empty()
-                    seen = np.zeros(0, np.int64)
-        seen = seen[: len(lexicon)]
-        yield out()
+            for text in b.column(0).to_pylist():
+                seen.update(tokens(text))
+                if len(seen) > _HELD_WORDS:
+                    yield out(seen)
+                    seen.clear()
+        yield out(seen)
 
     return map_arrow(texts, run, "h long, tail int, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("tail").alias("tail"))
 
@@ -141,8 +140,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, column: int) ->
     """Rows, the number of tokens of each, and the tokens' numbers end to end, about `_CHUNK` tokens at a time."""
     for b in batches:
         start, size, sizes, held = 0, 0, [], []
-        for row, text in enumerate(b.column(column)):
-            words = tokens(text.as_py())
+        for row, text in enumerate(b.column(column).to_pylist()):
+            words = tokens(text)
             sizes.append(len(words))
             held.append(lexicon.numbers(words))
             size += len(words)
@@ -378,7 +377,7 @@ def _class_sums(counts: DataFrame, own: np.ndarray, shape: Shape) -> np.ndarray:
 def score(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id") -> DataFrame:  # noqa: B008
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) for each row of docs."""
     spark = docs.sparkSession
-    rows = docs.select(docs[key].alias("doc_id"), held_out(docs[key]).alias("held_out"), docs["text"].cast("string").alias("text"))
+    rows = docs.select(docs[key].alias("doc_id"), held_out(docs[key]).alias("held_out"), docs["text"].cast("string").cast("binary").alias("text"))
     counts = written(word_counts(rows.where("NOT held_out").select("text")))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shape = shape.sized(kinds)
