@@ -99,7 +99,7 @@ def nearest_counts(a: DataFrame, b: DataFrame, within: int) -> DataFrame:
     last of them as a running maximum; what is left of all b overlaps. So the work grows with the
     intervals, however many overlap.
     """
-    a, b = a.where("a_start <= a_end AND a_id IS NOT NULL").select("seq", "a_id", "a_start", "a_end"), b.where("b_start <= b_end")
+    a, b = a.where("a_start <= a_end").select("seq", "a_id", "a_start", "a_end"), b.where("b_start <= b_end")
     sides = []
     for left in (True, False):
         end, start = ("b_end", "a_start") if left else ("b_start", "a_end")
