@@ -7,7 +7,9 @@ different words, from 5 to 40 thousand; so does what tasks hold and the driver a
 further. Word counts themselves stay a distributed table, and words outside the table sent to tasks
 meet their counts in a join.
 
-Starting values are random; every Baum-Welch pass, and all counts, cover every training text. Passes
+Starting values are random; every Baum-Welch pass, and all counts, cover every training text. The first
+passes learn block by block: each block of tasks replaces its own counts of the pass before and the
+model is estimated anew, which takes about half as many passes as learning at the end of each. Passes
 end when the log-likelihood gained per token is under `least_gain` and no longer rising. Texts are
 passed through in stretches of steps, of which only the borders are kept until the way back, so that
 memory does not grow with the longest text but for 2 bytes a token.
@@ -36,6 +38,7 @@ _END = b"\n"  # no word holds a line break
 _HELD_WORDS = 1 << 17
 _CHUNK = 1 << 18  # tokens coded together
 _CELLS = 1 << 22  # values of the largest array of a stretch
+_BLOCKS = 8  # a power of two: times that the model is estimated in the first pass; half as often in each pass after it, down to once
 
 
 @dataclass(frozen=True)
@@ -234,7 +237,7 @@ def _ahead(model: Model, codes: np.ndarray, active: np.ndarray, before: np.ndarr
     for t, m in enumerate(active.tolist()):
         x = values[:, t, :m]
         x *= model.start[:, None] if before is None and t == 0 else move @ last[:, :m]
-        np.sum(x, axis=0, out=scales[t, :m])
+        np.add.reduce(x, axis=0, out=scales[t, :m])
         x /= scales[t, :m]
         last[:, :m] = x
         values[:, t, m:] = 0
@@ -350,17 +353,29 @@ def _pass(coded: DataFrame, model: Broadcast, shape: Shape) -> tuple[np.ndarray,
 
 
 def fitted(coded: DataFrame, share: np.ndarray, total: int, shape: Shape) -> Model:
-    """Baum-Welch over all training texts until a pass gains less than `least_gain` a token, and no more than the one before."""
+    """Baum-Welch over all training texts until a pass gains less than `least_gain` a token, and no more than the one before.
+
+    A pass of several groups of blocks estimates the model after each, from the latest counts of every
+    block; before a sixteenth of all tokens is counted the starting values stay. Only passes of one
+    group are compared, so the last two count every text under one model each.
+    """
     context = coded.sparkSession.sparkContext
-    model, logs = _first_model(share, shape), []
+    model, logs, held, groups, whole = _first_model(share, shape), [], {}, _BLOCKS, 0
     while total:
-        sent = context.broadcast(model)
-        start, move, emit, log = _pass(coded, sent, shape)
-        sent.unpersist()
-        model = estimated(start, move, emit, model.move, share)
+        done, log = {}, 0.0
+        for g in range(groups):
+            sent = context.broadcast(model)
+            start, move, emit, part = _pass(coded.where(F.pmod("block", F.lit(groups)) == g), sent, shape)
+            sent.unpersist()
+            done[g], log = (start, move * model.move, emit), log + part
+            start, move, emit = (sum(c) for c in zip(*done.values(), *(c for j, c in held.items() if j % groups not in done), strict=True))
+            if emit.sum() * 2 * _BLOCKS >= total:
+                model = estimated(start, move, emit, np.ones_like(move), share)
         logs.append(log / total)
-        if len(logs) > 2 and logs[-1] - logs[-2] < min(shape.least_gain, logs[-2] - logs[-3]):
+        whole += groups == 1
+        if whole > 1 and logs[-1] - logs[-2] < min(shape.least_gain, logs[-2] - logs[-3]):
             break
+        held, groups = done, max(1, groups // 2)
     return model
 
 
@@ -383,7 +398,7 @@ def score(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id") -> DataF
     shape = shape.sized(kinds)
     top = most_frequent(counts, shape.known)
     v = Vocabulary(top["h"].to_numpy(np.int64), top["tail"].to_numpy(np.int64), top["n"].to_numpy(np.int64), int(total), int(kinds), shape)
-    coded = written(_encoded(rows, spark.sparkContext.broadcast(v)).withColumn("row", F.monotonically_increasing_id()))
+    coded = written(_encoded(rows, spark.sparkContext.broadcast(v)).withColumns({"row": F.monotonically_increasing_id(), "block": F.pmod(F.spark_partition_id(), F.lit(_BLOCKS))}), "block")
     sums = _class_sums(counts, v.hashes[: shape.own], shape)
     share = (sums + 0.1) / (sums.sum() + 0.1 * len(sums))
     model = fitted(coded, share, int(total), shape)

@@ -70,13 +70,13 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             fs.delete(at, True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder, which is smaller than a checkpoint of many rows and takes one run of the plan, not two."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder, which is smaller than a checkpoint of many rows and takes one run of the plan, not two; in a folder for each value of some columns, if they are named."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     if _MADE:
         _MADE[-1].append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
