@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.traverse import components
-from weftgraph.plans.shared import met
+from weftgraph.plans.shared import met, met_by_count
 
 from .common import Sieve, WordHashes, gram_hashes, keyed, lists, map_arrow, mix, parts_of, signed, whole, written
 
@@ -289,8 +289,7 @@ def _link_groups(rows: DataFrame, how: Likeness, leaves: int) -> DataFrame:
 
 
 def _with_texts(dealt: DataFrame, rows: DataFrame) -> DataFrame:
-    """dealt (g1, g2, sid, part, k, th) with its texts, packed; hardly any other text leaves its task."""
-    dealt = written(dealt.select("g1", "g2", "sid", "part", "k", "th"))
+    """dealt (g1, g2, sid, part, k, th), which comes from a table by few steps, with its texts, packed; hardly any other text leaves its task."""
     sieve = Sieve(dealt.select("k", "th").distinct().select(F.xxhash64("k", "th").alias("h")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -315,14 +314,14 @@ def _rest(first: DataFrame, comp: DataFrame, rows: DataFrame, how: Likeness, blo
     held = written(first.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("root", "sid")).drop("root"))
     centre = held.where("sid = c").select("c", F.col("part").alias("own"))
     held = written(met(held, centre, "c").withColumn("out", F.col("part") != F.col("own")))
-    sizes = held.groupBy("c").agg(F.count_if("out").alias("no"), F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)).alias("to"), F.count_if(~F.col("out")).alias("nl"), F.sum(F.when(F.col("out"), 0).otherwise(F.col("n"))).alias("tl"))
-    sizes = sizes.where("no > 0").select("c", _chunk("no", "to", block).alias("qo"), _chunk("nl", "tl", block).alias("ql"))
-    held = met(held, sizes, "c").withColumn("at", F.pmod(F.xxhash64("sid"), F.when(F.col("out"), F.col("qo")).otherwise(F.col("ql"))))
+    sizes = held.groupBy("c").agg(F.count_if("out").alias("no"), F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)).alias("to"), F.count_if(~F.col("out")).alias("nl"), F.sum(F.when(F.col("out"), 0).otherwise(F.col("n"))).alias("tl"), F.count("*").alias("all"))
+    sizes = sizes.where("no > 0").select("c", "all", _chunk("no", "to", block).alias("qo"), _chunk("nl", "tl", block).alias("ql"))
+    held = met_by_count(held, sizes, ["c"], "all", held.count()).withColumn("at", F.pmod(F.xxhash64("sid"), F.when(F.col("out"), F.col("qo")).otherwise(F.col("ql"))))
     # pairs of blocks (i of the outer sets, j of the outer or, from qo on, of the inner ones)
     outer = held.where("out").withColumn("pair", F.explode(F.expr("transform(sequence(0L, qo + ql - 1), j -> IF(j < at, struct(j AS i, at AS j), struct(at AS i, j AS j)))")))
     inner = held.where("NOT out").withColumn("pair", F.explode(F.expr("transform(sequence(0L, qo - 1), i -> struct(i AS i, qo + at AS j))")))
     dealt = outer.unionByName(inner).select("sid", "part", "k", "th", F.col("c").alias("g1"), F.expr("pair.i * (qo + ql) + pair.j").alias("g2"))
-    return _link_groups(_with_texts(dealt, rows), how, block)
+    return _link_groups(_with_texts(written(dealt), rows), how, block)
 
 
 def links(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -341,18 +340,18 @@ def links(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> tup
     at_hot = keys.join(hot, "key", "left_semi")
     centres = F.broadcast(at_hot.groupBy("key").agg(F.min("sid").alias("c")))
     edges = written(met_by_key.unionByName(at_hot.join(centres, "key").select("c", "sid")).distinct())
-    upper = edges.groupBy(F.col("sid").alias("c")).agg(F.min("c").alias("root"))  # the centre's own least centre takes its place
-    edges = met(edges, upper, "c").select(F.col("root").alias("c"), "sid")
-    edges = edges.unionByName(edges.select("c", F.col("c").alias("sid"))).distinct()
+    each = edges.select("c", F.lit(1).alias("n"), F.lit(None).cast("long").alias("root")).unionByName(edges.select(F.col("sid").alias("c"), F.lit(0).alias("n"), F.col("c").alias("root")))
+    upper = each.groupBy("c").agg(F.sum("n").alias("n"), F.min("root").alias("root")).where("n > 0 AND root IS NOT NULL")  # the centre's own least centre takes its place
+    edges = met_by_count(edges, upper, ["c"], "n", edges.count()).select(F.col("root").alias("c"), F.explode(F.array("sid", "root")).alias("sid")).distinct()
     classes = leaves.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("k", "th")).alias("rep"), F.first("n").alias("n"))
     held = written(edges.join(classes, "sid").select("c", "sid", "n", "rep.k", "rep.th"))
-    sizes = held.groupBy("c").agg(F.count("*").alias("size"), F.sum("n").alias("total")).select("c", _chunk("size", "total", block).alias("q"))
-    dealt = met(held, sizes, "c")
+    sizes = held.groupBy("c").agg(F.count("*").alias("size"), F.sum("n").alias("total")).select("c", "size", _chunk("size", "total", block).alias("q"))
+    dealt = written(met_by_count(held, sizes, ["c"], "size", held.count()).drop("size"))
     at = F.when(F.col("sid") == F.col("c"), F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("q"))))
     first = dealt.select(F.col("c").alias("g1"), F.explode(at).alias("g2"), "sid", F.col("sid").alias("part"), "k", "th")
     texts = rows.select("k", "th", "text")
     found = written(_link_groups(_with_texts(first, texts), how, block))
-    large = written(dealt.where("q > 1").select("c", "sid", "n", "k", "th"))
+    large = dealt.where("q > 1").select("c", "sid", "n", "k", "th")
     if not large.isEmpty():
         comp = written(components(found))  # stars, which stand for the links they came from
         found = comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_rest(large, comp, texts, how, block))
@@ -365,8 +364,8 @@ def near_duplicates(docs: DataFrame, how: Likeness = Likeness(), block: int = 10
     some = leaves.where("sid IS NOT NULL")
     least = some.groupBy("sid").agg(F.min("doc_id").alias("least"))
     linked = written(components(found).select(F.col("node").alias("sid"), "root").join(least, "sid"))
-    by_root = linked.groupBy("root").agg(F.min("least").alias("of_root"))
-    named = least.join(met(linked, by_root, "root").select("sid", "root", "of_root"), "sid", "left")
+    by_root = linked.groupBy("root").agg(F.min("least").alias("of_root"), F.count("*").alias("n"))
+    named = least.join(met_by_count(linked, by_root, ["root"], "n", linked.count()).select("sid", "root", "of_root"), "sid", "left")
     named = written(named.select("sid", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("of_root")).alias("component_id")))
     out = met(some, named, "sid").unionByName(leaves.where("sid IS NULL").withColumn("component_id", F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -380,9 +379,9 @@ def one_of_each(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024)
     """
     leaves, found = links(docs, how, block)
     places = written(leaves.where("sid IS NOT NULL").groupBy("sid", "k", "th").agg(F.count("*").alias("rows")))
-    placed = written(met(places, components(found).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    first = placed.groupBy("root").agg(F.min(F.struct("k", "th")).alias("rep"))
-    wanted = met(placed, first, "root").withColumn("gone", (F.col("k") != F.col("rep.k")) | (F.col("th") != F.col("rep.th"))).where("gone OR rows > 1")
+    placed = written(met(places, written(components(found)).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    first = placed.groupBy("root").agg(F.min(F.struct("k", "th")).alias("rep"), F.count("*").alias("n"))
+    wanted = met_by_count(placed, first, ["root"], "n", placed.count()).withColumn("gone", (F.col("k") != F.col("rep.k")) | (F.col("th") != F.col("rep.th"))).where("gone OR rows > 1")
     wanted = written(wanted.select(F.col("k").alias("_k"), F.col("th").alias("_th"), "gone"))
     sieve = Sieve(wanted.select(F.xxhash64("_k", "_th").alias("h")))
     rows = docs.select(whole(docs).alias("row"), keyed(docs).alias("_k"), F.xxhash64(docs["text"]).alias("_th"))
