@@ -13,6 +13,11 @@ nodes whose bound is under what the threshold asks. Pairs of leaves that are lef
 connected are counted exactly. Roots over the block size are cut into blocks which all hold the
 centre; afterwards only what the centre's component does not hold meets the other blocks.
 
+Texts that have a common phrase, not more, agree on a part by chance, the more of them the larger the
+corpus. So a set does without its most frequent keys, as far as the pigeonhole allows, and groups first
+meet by marks, small bitmaps of their sets with the same bounds as the leaves of trees; only texts
+whose marks allow a link are sent to be counted.
+
 Links come as a spanning forest: no link between different texts is lost to the components, though
 copies and connected texts are not expanded into all pairs.
 
@@ -52,6 +57,7 @@ _FANOUT = 8
 _PAIR_WORDS = 1 << 20  # bitmap words compared at a time
 _GRAMS = 2048  # n-grams for each set of a block
 _HOT = 4096
+_FREQUENT = 1 << 20
 _HELD_SETS = 200_000  # whose keys a task remembers to have given
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,11 +120,45 @@ def parts(how: Likeness, band: int) -> tuple[int, int]:
     return differ + 1 + z, z
 
 
-def part_keys(members: np.ndarray, how: Likeness) -> np.ndarray:
+class Frequent:
+    """The keys that many sets have, in an order that all tasks share: the most frequent first, of equal ones the least."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        """keys in ascending order, and how often there is each."""
+        self.keys, place = keys, np.empty(len(keys), np.int32)
+        place[np.lexsort((keys, -n))] = np.arange(len(keys), dtype=np.int32)
+        self.place = place
+
+    @classmethod
+    def of(cls, often: DataFrame, total: int) -> Frequent:
+        """Those that more than one in `_FREQUENT` of all keys are, so fewer than that."""
+        some = often.where(F.col("n") * _FREQUENT > total).toPandas()
+        keys, n = some["key"].to_numpy(np.int64).view(np.uint64), some["n"].to_numpy(np.int64)
+        order = np.argsort(keys)
+        return cls(keys[order], n[order])
+
+    def without(self, keys: np.ndarray, most: int) -> np.ndarray:
+        """keys but for the first `most` of them in the order, or as many as are in it."""
+        if most < 1 or not len(self.keys):
+            return keys
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        found = np.flatnonzero(self.keys[at] == keys)
+        if len(found) > most:
+            found = found[np.argpartition(self.place[at[found]], most - 1)[:most]]
+        return np.delete(keys, found)
+
+
+def part_keys(members: np.ndarray, how: Likeness, frequent: Frequent | None = None) -> np.ndarray:
     """Keys of which sets that link share one: the content of each part, in the bands of the set's size and its larger partners'.
 
     Two sets may agree on empty parts. With at most z of them, a set still agrees with a partner on
     another part; sets with more also have the keys of z + 1 empty parts each (of one, if there are many parts).
+
+    With all parts in an order that begins with the empty and then the frequent ones, a set can do
+    without its first z: of the z + 1 that it agrees on with a partner, the last comes after z others in
+    both. So a set with fewer than z empty parts leaves out so many of its most frequent keys, which
+    sets that share a common phrase have, not copies alone.
     """
     out = [np.empty(0, np.uint64)]
     size = len(members)
@@ -132,7 +172,8 @@ def part_keys(members: np.ndarray, how: Likeness) -> np.ndarray:
         first = np.flatnonzero(np.diff(part, prepend=-1))
         held = part[first]
         content = np.add.reduceat(mix(members[order]), first)
-        out.append(mix(content * _ODD + (held + (band << 40)).astype(np.uint64)))
+        keys = mix(content * _ODD + (held + (band << 40)).astype(np.uint64))
+        out.append(keys if frequent is None else frequent.without(keys, z - (m - len(held))))
         if m - len(held) > z:
             empty = np.setdiff1d(np.arange(m), held).tolist()
             some = combinations(empty, z + 1) if m <= 10 else ((k,) for k in empty)
@@ -141,14 +182,14 @@ def part_keys(members: np.ndarray, how: Likeness) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(texts: pa.Array, how: Likeness, hashes: WordHashes, known: set[int]) -> Iterator[tuple[int, int | None, np.ndarray]]:
-    """Size, id and keys of each text's set; no keys for sets that the task has met lately."""
+def _sets(texts: pa.Array, how: Likeness, hashes: WordHashes, known: set[int], frequent: Frequent | None = None) -> Iterator[tuple[np.ndarray, int | None, np.ndarray]]:
+    """Members, id and keys of each text's set; no keys for sets that the task has met lately."""
     for text in texts:
         members = np.unique(shingles(text.as_py(), how.n, hashes))
         sid = set_id(members) if len(members) else None
         if len(known) >= _HELD_SETS:
             known.clear()
-        yield len(members), sid, np.empty(0, np.uint64) if sid is None or sid in known else part_keys(members, how)
+        yield members, sid, np.empty(0, np.uint64) if sid is None or sid in known else part_keys(members, how, frequent)
         known.add(sid)
 
 
@@ -163,28 +204,41 @@ def _shared_keys(rows: DataFrame, how: Likeness) -> DataFrame:
     return map_arrow(rows, run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _leaves(rows: DataFrame, how: Likeness, shared: Sieve) -> DataFrame:
-    """doc_id, k, th, n, sid of each text, and those of its keys that may be shared."""
+def _leaves(rows: DataFrame, how: Likeness, shared: Sieve, frequent: Frequent) -> DataFrame:
+    """doc_id, k, th, n, sid of each text, and those of its keys that may be shared, without frequent ones that it can do without; a mark of its set, if there are any."""
+    sent = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashes, known = WordHashes(), set()
         for b in batches:
-            sizes, ids, keys = zip(*_sets(b.column(3), how, hashes, known), strict=True) if b.num_rows else ((), (), ())
-            some = [x[shared.may_hold(x)] for x in keys]
-            yield {"doc_id": b.column(0), "k": b.column(1), "th": b.column(2), "n": sizes, "sid": ids, "keys": lists(signed(np.concatenate([np.empty(0, np.uint64), *some])), list(map(len, some)), pa.int64())}
+            sizes, ids, keys, marks = [], [], [np.empty(0, np.uint64)], []
+            for members, sid, every in _sets(b.column(3), how, hashes, known, sent.value):
+                some = every[shared.may_hold(every)]
+                sizes.append(len(members))
+                ids.append(sid)
+                keys.append(some)
+                marks.append(set_mark(members) if len(some) else None)
+            yield {"doc_id": b.column(0), "k": b.column(1), "th": b.column(2), "n": sizes, "sid": ids, "keys": lists(signed(np.concatenate(keys)), list(map(len, keys[1:])), pa.int64()), "mark": marks}
+
+    return map_arrow(rows, run, "doc_id long, k long, th long, n long, sid long, keys array<long>, mark binary")
+
+
+def set_mark(members: np.ndarray) -> bytes:
+    """The least member and a bitmap of a set, of 2 to 4 bits for each member."""
+    table = np.zeros(max(64, 2 << len(members).bit_length()), bool)
+    table[(members & np.uint64(len(table) - 1)).astype(np.int64)] = True
+    return members[:1].tobytes() + np.packbits(table).tobytes()
 
-    return map_arrow(rows, run, "doc_id long, k long, th long, n long, sid long, keys array<long>")
+
+def _folded(mark: bytes, width: int) -> np.ndarray:
+    """The bitmap of a mark in so many bytes, a power of two."""
+    return np.bitwise_or.reduce(np.frombuffer(mark, np.uint8, offset=8).reshape(-1, width), axis=0)
 
 
 class _Tree:
     """Bitmaps, size ranges and excess of the nodes of each level; level 0 holds the leaves."""
 
-    def __init__(self, members: list[np.ndarray], top: int):
-        sizes = np.fromiter(map(len, members), np.int64, len(members))
-        bits = 64 * max(4, -(-4 * top // 64))
-        table = np.zeros((len(members), bits), bool)
-        table[np.repeat(np.arange(len(members)), sizes), (np.concatenate(members) % np.uint64(bits)).astype(np.int64)] = True
-        maps = np.packbits(table, axis=1).view(np.uint64)
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray):
         excess = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
         self.levels = [(maps, sizes, sizes, excess)]
         while len(self.levels[-1][0]) > _FANOUT:
@@ -217,6 +271,14 @@ class _Tree:
         keep = slack >= 0
         return a[keep], b[keep], slack[keep]
 
+    @classmethod
+    def of(cls, members: list[np.ndarray], top: int) -> _Tree:
+        sizes = np.fromiter(map(len, members), np.int64, len(members))
+        bits = 64 * max(4, -(-4 * top // 64))
+        table = np.zeros((len(members), bits), bool)
+        table[np.repeat(np.arange(len(members)), sizes), (np.concatenate(members) % np.uint64(bits)).astype(np.int64)] = True
+        return cls(np.packbits(table, axis=1).view(np.uint64), sizes)
+
     @staticmethod
     def _children(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         grid = np.arange(_FANOUT)
@@ -235,18 +297,35 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _by_size(sizes: np.ndarray, how: Likeness) -> Iterator[tuple[int, np.ndarray]]:
+    """(top, which): sets that trees are made of, of up to top members and not under what a set of half as many can link with."""
+    for band in range(1, int(sizes.max(initial=1)).bit_length() + 1):
+        low, top = 1 << (band - 1), (1 << band) - 1
+        inside = np.flatnonzero((sizes >= how.least_partner(low)) & (sizes <= top))
+        if len(inside) > 1 and not how.alone(top):
+            yield top, inside
+
+
+def may_link(marks: list[bytes], sizes: np.ndarray, part: np.ndarray, how: Likeness) -> np.ndarray:
+    """Which sets may link with one of another part, as far as marks and sizes tell."""
+    least, found = np.array([int.from_bytes(x[:8], "little") for x in marks], np.uint64), np.zeros(len(marks), bool)
+    for _, inside in _by_size(sizes, how):
+        inside = inside[np.lexsort((sizes[inside], least[inside]))]
+        width = min(len(marks[k]) for k in inside) - 8
+        maps = np.stack([_folded(marks[k], width) for k in inside]).view(np.uint64)
+        pairs = inside[_Tree(maps, sizes[inside]).pairs(how)]
+        found[pairs[part[pairs[:, 0]] != part[pairs[:, 1]]]] = True
+    return found
+
+
 def forest_links(members: list[np.ndarray], how: Likeness, part: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect the sets as all their links do; sets with equal `part` count as connected."""
     part = np.arange(len(members)) if part is None else np.unique(part, return_inverse=True)[1]
     sizes = np.fromiter(map(len, members), np.int64, len(members))
     links: list[tuple[int, int]] = []
-    for band in range(1, int(sizes.max(initial=1)).bit_length() + 1):
-        low, top = 1 << (band - 1), (1 << band) - 1
-        inside = np.flatnonzero((sizes >= how.least_partner(low)) & (sizes <= top))
-        if len(inside) < 2 or how.alone(top):
-            continue
+    for top, inside in _by_size(sizes, how):
         inside = inside[np.lexsort((sizes[inside], [members[k][0] for k in inside]))]
-        left = inside[_Tree([members[k] for k in inside], top).pairs(how)]
+        left = inside[_Tree.of([members[k] for k in inside], top).pairs(how)]
         while len(left):
             left = left[part[left[:, 0]] != part[left[:, 1]]]
             now, left = left[:1024], left[1024:]
@@ -288,6 +367,38 @@ def _link_groups(rows: DataFrame, how: Likeness, leaves: int) -> DataFrame:
     return map_arrow(dealt, run, "a long, b long").distinct()
 
 
+def _likely(dealt: DataFrame, marks: DataFrame, how: Likeness, leaves: int) -> DataFrame:
+    """(g1, g2, sid, part, k, th): the rows of dealt, which has n besides, that may link with one of another part in their group, by the marks (sid, mark); no others need their texts."""
+    columns = ["g1", "g2", "sid", "part", "k", "th"]
+
+    def some(pack: dict[int, tuple[bytes, int, int]], rows: list[tuple]) -> dict:
+        marks, sizes, part = zip(*pack.values(), strict=True)
+        may = may_link(list(marks), np.array(sizes, np.int64), np.array(part, np.int64), how)
+        likely = {s for s, yes in zip(pack, may.tolist(), strict=True) if yes}
+        return dict(zip(columns, zip(*(r for r in rows if r[2] in likely), strict=True), strict=True)) if likely else {c: [] for c in columns}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        pack: dict[int, tuple[bytes, int, int]] = {}
+        rows: list[tuple] = []
+        last, held = None, 0
+        for batch in batches:
+            c = [x.to_pylist() for x in batch.columns]
+            for row, n, mark in zip(zip(*c[:6], strict=True), *c[6:], strict=True):
+                if row[:2] != last and (len(rows) >= leaves or held >= leaves * _GRAMS):
+                    yield some(pack, rows)
+                    pack, rows, held = {}, [], 0
+                last = row[:2]
+                rows.append(row)
+                if row[2] not in pack:
+                    pack[row[2]] = mark, n, row[3]
+                    held += n
+        if pack:
+            yield some(pack, rows)
+
+    marked = dealt.join(marks, "sid").select(*columns, "n", "mark").repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    return map_arrow(marked, run, ", ".join(f"{c} long" for c in columns))
+
+
 def _with_texts(dealt: DataFrame, rows: DataFrame) -> DataFrame:
     """dealt (g1, g2, sid, part, k, th), which comes from a table by few steps, with its texts, packed; hardly any other text leaves its task."""
     sieve = Sieve(dealt.select("k", "th").distinct().select(F.xxhash64("k", "th").alias("h")))
@@ -309,7 +420,7 @@ def _chunk(size: str, total: str, block: int) -> F.Column:
     return F.greatest(F.ceil(F.col(size) / block), F.ceil(F.col(total) / (block * _GRAMS))).cast("long")
 
 
-def _rest(first: DataFrame, comp: DataFrame, rows: DataFrame, how: Likeness, block: int) -> DataFrame:
+def _rest(first: DataFrame, comp: DataFrame, rows: DataFrame, marks: DataFrame, how: Likeness, block: int) -> DataFrame:
     """Links across the blocks of one root: what the centre's component (of comp) doesn't hold meets everything in its root."""
     held = written(first.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("root", "sid")).drop("root"))
     centre = held.where("sid = c").select("c", F.col("part").alias("own"))
@@ -320,8 +431,8 @@ def _rest(first: DataFrame, comp: DataFrame, rows: DataFrame, how: Likeness, blo
     # pairs of blocks (i of the outer sets, j of the outer or, from qo on, of the inner ones)
     outer = held.where("out").withColumn("pair", F.explode(F.expr("transform(sequence(0L, qo + ql - 1), j -> IF(j < at, struct(j AS i, at AS j), struct(at AS i, j AS j)))")))
     inner = held.where("NOT out").withColumn("pair", F.explode(F.expr("transform(sequence(0L, qo - 1), i -> struct(i AS i, qo + at AS j))")))
-    dealt = outer.unionByName(inner).select("sid", "part", "k", "th", F.col("c").alias("g1"), F.expr("pair.i * (qo + ql) + pair.j").alias("g2"))
-    return _link_groups(_with_texts(written(dealt), rows), how, block)
+    dealt = outer.unionByName(inner).select("sid", "part", "n", "k", "th", F.col("c").alias("g1"), F.expr("pair.i * (qo + ql) + pair.j").alias("g2"))
+    return _link_groups(_with_texts(written(_likely(dealt, marks, how, block)), rows), how, block)
 
 
 def links(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -331,8 +442,8 @@ def links(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> tup
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), keyed(docs).alias("k"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
     often = written(_shared_keys(rows, how))
-    leaves = written(_leaves(rows, how, Sieve(often.select("key"))))
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    leaves = written(_leaves(rows, how, Sieve(often.select("key")), Frequent.of(often, total)))
     hot = F.broadcast(often.where(F.col("n") * _HOT > total).select("key"))  # fewer than _HOT rows
     keys = leaves.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "sid")
     alike = Window.partitionBy("key")
@@ -348,13 +459,13 @@ def links(docs: DataFrame, how: Likeness = Likeness(), block: int = 1024) -> tup
     sizes = held.groupBy("c").agg(F.count("*").alias("size"), F.sum("n").alias("total")).select("c", "size", _chunk("size", "total", block).alias("q"))
     dealt = written(met_by_count(held, sizes, ["c"], "size", held.count()).drop("size"))
     at = F.when(F.col("sid") == F.col("c"), F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("q"))))
-    first = dealt.select(F.col("c").alias("g1"), F.explode(at).alias("g2"), "sid", F.col("sid").alias("part"), "k", "th")
-    texts = rows.select("k", "th", "text")
-    found = written(_link_groups(_with_texts(first, texts), how, block))
+    first = dealt.select(F.col("c").alias("g1"), F.explode(at).alias("g2"), "sid", F.col("sid").alias("part"), "n", "k", "th")
+    texts, marks = rows.select("k", "th", "text"), leaves.where("mark IS NOT NULL").select("sid", "mark").dropDuplicates(["sid"])
+    found = written(_link_groups(_with_texts(written(_likely(first, marks, how, block)), texts), how, block))
     large = dealt.where("q > 1").select("c", "sid", "n", "k", "th")
     if not large.isEmpty():
         comp = written(components(found))  # stars, which stand for the links they came from
-        found = comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_rest(large, comp, texts, how, block))
+        found = comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_rest(large, comp, texts, marks, how, block))
     return leaves.select("doc_id", "k", "th", "n", "sid"), found
 
 
